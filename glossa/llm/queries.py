@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, fertility, fingerprint, language, mixing, toxicity, url_filter
+from glossa.llm import bpe, fertility, fingerprint, language, licenses, mixing, near_dedup, substring_dedup, toxicity, url_filter
 from glossa.session import table
 
 
@@ -16,6 +16,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,13 +32,35 @@ def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.detect_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op4_toxicity, op5_bpe, op6_fertility, op8_language, op10_fingerprint)}
-ORACLES = {"op1_mixing": mixing.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_url_filter,
+        op3_substring_dedup,
+        op4_toxicity,
+        op5_bpe,
+        op6_fertility,
+        op7_licenses,
+        op8_language,
+        op9_near_dedup,
+        op10_fingerprint,
+    )
+}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op7_licenses": licenses.oracle()}

@@ -1,8 +1,8 @@
 """Toxicity by compression distance under two zstandard dictionaries.
 
-Both dictionaries are trained: one on ordinary text, one on the wording that
-sets toxic texts apart (words whose document frequency among toxic texts is
-well above that among ordinary ones). The ordinary model compresses with the
+Both dictionaries come from labelled text: one is trained on ordinary phrases,
+one holds, as raw content, the wording that sets toxic texts apart (words whose
+document frequency among toxic texts is well above that among ordinary ones). The ordinary model compresses with the
 first, the toxic model with both, so what they share costs the same and the
 difference of the two compressed lengths is what the toxic wording explains.
 Windows are single words between a carrier that both know (it pays for the
@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ class Distance:
         self.ordinary, self.toxic = ordinary, toxic
 
     def open(self) -> None:
-        self.carrier = self.ordinary[-200:-160] + b"~" + self.ordinary[-100:-60] + b" "
+        self.carrier = self.ordinary[-200:-160] + b"~" + self.ordinary[-100:-60] + b"^ "
         self.compress = [self._compressor(d).compress for d in (self.ordinary, self.toxic + self.ordinary)]
         self.known: dict[bytes, int] = {}
 
@@ -116,12 +118,12 @@ def dictionaries(rows: list[tuple[str, int]]) -> Distance | None:
     telling = {w for w, n in docs[1].items() if n >= LEAST_DOCS and w and n * ratio / (docs[0][w] + 0.5) >= LEAST_RATIO}
     phrases = [b" " + b" ".join(words[k : k + 4]) + b" " for words in texts[0] for k in range(0, len(words), 4)]
     random.Random(0).shuffle(phrases)
-    marked = [(b" " + w) * 3 + b" " for words in texts[1] for w in words if w in telling]
     try:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, phrases[:50_000]).as_bytes()
-        toxic = zstandard.train_dictionary(TOXIC_BYTES, marked).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         return None
+    # The library's trainer drops words shorter than its segments; the most telling stand last, nearest the text.
+    toxic = b" " + b" ".join(sorted(telling, key=lambda w: (docs[1][w], w)))[-TOXIC_BYTES:] + b" "
     return Distance(ordinary, toxic)
 
 
@@ -153,22 +155,39 @@ def fit(docs: DataFrame, labels: DataFrame, *, text="text", doc_id="doc_id", tox
     return train([r[1:] for r in rows], (float(strides[0]), float(strides[1])))
 
 
+def _scores(model: tuple[Distance, np.ndarray] | None, texts: list[str | None]) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(texts))
+    distance, beta = model
+    if not hasattr(distance, "known"):
+        distance.open()
+    return 1 / (1 + np.exp(-np.clip(features(np.array([distance.counts(t) for t in texts])) @ beta, -30, 30)))
+
+
 def score(docs: DataFrame, model: tuple[Distance, np.ndarray] | None, *, text="text", doc_id="doc_id") -> DataFrame:
     """doc_id, score, predicted for every row."""
     packed = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(chunk: list[dict]) -> list[tuple]:
-        if packed.value is None:
-            return [(row["doc_id"], 0.0, 0) for row in chunk]
-        distance, beta = packed.value
-        if not hasattr(distance, "known"):
-            distance.open()
-        scores = 1 / (1 + np.exp(-np.clip(features(np.array([distance.counts(r["text"]) for r in chunk])) @ beta, -30, 30)))
-        return [(row["doc_id"], float(s), int(s >= THRESHOLD)) for row, s in zip(chunk, scores, strict=True)]
+        scores = _scores(packed.value, [row["text"] for row in chunk])
+        return [(row["doc_id"], float(x), int(x >= THRESHOLD)) for row, x in zip(chunk, scores, strict=True)]
 
     return map_chunks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), judge, "doc_id long, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: tuple[Distance, np.ndarray] | None, *, text="text") -> DataFrame:
+    """The rows of docs, all their columns, whose text isn't predicted toxic."""
+    packed = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                yield part.filter(pa.array(_scores(packed.value, part.column(text).to_pylist()) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def detect_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fitted on two folds of three, every document scored."""
     model = fit(docs, labels, held_out=lambda c: fold(c, 3) == 1)
