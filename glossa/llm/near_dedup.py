@@ -8,8 +8,8 @@ that short registers have by chance, and then on the full sets.
 
 Documents with equal sets are one class from the start, so copies never meet
 in a bucket. Within a bucket only a few heads are compared with the others,
-and only across components found so far; while a bucket still holds several
-components the next round takes eight times as many heads, up to all of them.
+and only across components found so far: first the member that meets most
+others, then eight, and where a bucket still holds several components, all.
 A bucket of many near copies collapses in the first rounds without its pairs
 ever being listed, and no link that a bucket shows is lost. At a similarity of
 0.8 two documents share no bucket with probability 6e-7.
@@ -100,7 +100,7 @@ def _banded(classes: DataFrame) -> DataFrame:
     def keys(lines: pd.Series) -> pd.Series:
         return pd.Series(list(band_keys(np.frombuffer(b"".join(lines), np.uint16).reshape(-1, REGISTERS))) if len(lines) else [])
 
-    return classes.select("id", F.explode(F.pandas_udf(keys, "array<long>")("registers")).alias("key"))
+    return classes.select("id", "n", F.explode(F.pandas_udf(keys, "array<long>")("registers")).alias("key"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -127,9 +127,12 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", size: int
     sketches = cut(_sketch(docs, size))
     # A class goes by its least id. An id with several texts has several classes, and all its texts are compared.
     classes = cut(sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "registers")).alias("c")).select("digest", "c.*"))
-    banded = _banded(classes.select("id", "registers"))
+    banded = _banded(classes.select("id", "n", "registers"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("first"), F.max("id").alias("final")).where("first < final")
-    buckets = cut(banded.join(sizes, "key").select("key", "id", "g", "first"))
+    buckets = cut(banded.join(sizes, "key").select("key", "id", "n", "g"))
+    # The original of many copies shares more buckets than any copy: the member met most is the first head.
+    met_most = buckets.groupBy("id").agg(F.sum("g").alias("met"))
+    fronts = buckets.join(met_most, "id").groupBy("key").agg(F.max(F.struct("met", "id", "n")).alias("f")).select("key", F.col("f.id").alias("front"), F.col("f.n").alias("front_n"))
     roots = sketches.where("digest is not null").join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b").where("a != b")
     roots = components(roots)
     heads, known = 1, classes.select("id", "n", "registers")
@@ -140,9 +143,12 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", size: int
         largest = open_.agg(F.max("g")).first()[0]
         if not largest:
             break
-        is_head = F.col("id") == F.col("first") if heads == 1 else F.pmod(F.xxhash64("key", "id"), F.col("g")) < heads
-        fronts = open_.where(is_head).select("key", F.col("id").alias("front"), F.col("root").alias("front_root"))
-        met = open_.join(fronts, "key").where("front_root != root").select(F.least("id", "front").alias("a"), F.greatest("id", "front").alias("b")).distinct()
+        if heads > 1:
+            fronts = open_.where(F.pmod(F.xxhash64("key", "id"), F.col("g")) < heads).select("key", F.col("id").alias("front"), F.col("n").alias("front_n"))
+        placed_fronts = fronts.join(roots.select(F.col("a").alias("front"), F.col("root").alias("front_root")), "front", "left")
+        placed_fronts = placed_fronts.withColumn("front_root", F.coalesce("front_root", "front"))
+        sized = (F.least("n", "front_n") * 100 >= F.greatest("n", "front_n") * SIMILAR_PERCENT) & (F.col("front_root") != F.col("root"))
+        met = open_.join(placed_fronts, "key").where(sized).select(F.least("id", "front").alias("a"), F.greatest("id", "front").alias("b")).distinct()
         rated = met.join(known.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b")), "b").join(
             known.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a")), "a"
         )
@@ -151,7 +157,7 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", size: int
         roots = components(roots.select("a", F.col("root").alias("b")).unionByName(links))
         if heads >= largest:
             break
-        buckets, heads = open_.select("key", "id", "g", "first"), heads * 8
+        buckets, heads = open_.select("key", "id", "n", "g"), 8 if heads == 1 else largest
     found = sketches.select("id", F.col("n").alias("n_shingles")).join(roots.select(F.col("a").alias("id"), "root"), "id", "left")
     own = F.when(F.col("id") < LAST, F.col("id"))
     component = F.coalesce("root", own)
