@@ -7,11 +7,11 @@ checked by the Jaccard estimate of its registers, corrected for the collisions
 that short registers have by chance, and then on the full sets.
 
 Documents with equal sets are one class from the start, so copies never meet
-in a bucket. Within a bucket only a few heads are compared with the others,
-and only across components found so far: first the member that meets most
-others, then eight, and where a bucket still holds several components, all.
-A bucket of many near copies collapses in the first rounds without its pairs
-ever being listed, and no link that a bucket shows is lost. At a similarity of
+in a bucket. Within a bucket one head is compared with the others
+first: the member that meets most others. A bucket of many near copies
+collapses there without its pairs being listed. Components that still meet in a
+bucket are then compared whole, member by member, in cells of bounded size, so
+no link that a bucket shows is lost. At a similarity of
 0.8 two documents share no bucket with probability 6e-7.
 
 Buckets are counted with partial sums and joined by key, so a hot bucket is
@@ -27,19 +27,23 @@ from __future__ import annotations
 
 import functools
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.components import components
 from glossa.llm.shingles import U, mix, shingle_set
-from glossa.llm.texts import map_chunks
+from glossa.llm.texts import map_chunks, to_batch
 from glossa.session import cut, small_side
 
 BANDS, ROWS, MANTISSA = 36, 5, 10
 REGISTERS = BANDS * ROWS
+BLOCK = 128  # members and visitors of a cell
 SIMILAR_PERCENT, SLACK = 80, 0.15  # the estimate's standard error is 0.03
 LAST = 2**63 - 1
 ID_ROWS = 2_000_000  # ids, 32 MB: broadcast up to here
@@ -121,6 +125,70 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(F.pandas_udf(similar, "boolean")("text_a", "text_b")).select("a", "b").distinct()
 
 
+def _compare(size: int):
+    """Links within cells: rows sorted by cell, members of one component (side 0)
+    against visitors (side 1). The registers' estimate chooses the pairs whose
+    full sets are compared."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(rows: list[dict]) -> list[tuple[int, int]]:
+        members, visitors = ([r for r in rows if r["side"] == k] for k in (0, 1))
+        if not members or not visitors:
+            return []
+        sets = functools.cache(lambda text: shingle_set(text, size))
+        m, v = (np.frombuffer(b"".join(r["registers"] for r in side), np.uint16).reshape(-1, REGISTERS) for side in (members, visitors))
+        sizes = np.array([r["n"] for r in members], float)
+        out = []
+        for line, visitor in zip(v, visitors, strict=True):
+            by_chance = chance(sizes, np.full(len(members), float(visitor["n"])))
+            alike = ((m == line).mean(1) - by_chance) / (1 - by_chance)
+            near = np.minimum(sizes, visitor["n"]) * 100 >= np.maximum(sizes, visitor["n"]) * SIMILAR_PERCENT
+            for k in np.flatnonzero((alike >= SIMILAR_PERCENT / 100 - SLACK) & near):
+                p, q = sets(members[k]["text"]), sets(visitor["text"])
+                both = np.intersect1d(p, q, assume_unique=True).size
+                if 100 * both >= SIMILAR_PERCENT * (p.size + q.size - both):
+                    out.append((members[k]["id"], visitor["id"]))
+                    break  # one link joins the visitor to the component
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cell = [], None
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                if row["cell"] != cell:
+                    found += links(held)
+                    held, cell = [], row["cell"]
+                held.append(row)
+            yield to_batch(found, schema)
+        yield to_batch(links(held), schema)
+
+    return run
+
+
+def _across(open_: DataFrame, docs: DataFrame, registers_of: DataFrame, size: int) -> DataFrame:
+    """Links between the components that still share a bucket. Members of the smaller
+    component visit the larger; a component's members and its visitors are dealt
+    into cells of about BLOCK each way, so texts travel once a cell, not a pair."""
+    members = open_.select("root", "id").distinct()
+    weights = members.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
+    weighed = open_.join(weights, "root").withColumn("rank", F.struct("weight", "root"))
+    hosts = weighed.groupBy("key", "root").agg(F.first("rank").alias("host_rank")).withColumnRenamed("root", "host")
+    visits = weighed.join(hosts, "key").where(F.col("rank") < F.col("host_rank")).select("host", "id").distinct()
+    plan = visits.groupBy("host").agg(F.count(F.lit(1)).alias("visitors")).join(weights.withColumnRenamed("root", "host"), "host")
+    ways = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    plan = cut(plan.select("host", ways("weight").alias("na"), ways("visitors").alias("nb")))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    inside = members.withColumnRenamed("root", "host").join(plan, "host").select("host", "id", F.lit(0).alias("side"), place("na").alias("x"), F.explode(every("nb")).alias("y"))
+    outside = visits.join(plan, "host").select("host", "id", F.lit(1).alias("side"), F.explode(every("na")).alias("x"), place("nb").alias("y"))
+    seats = inside.unionByName(outside).select("id", "side", F.concat_ws("-", "host", "x", "y").alias("cell"))
+    texts = docs.join(small_side(members.select("id"), members.count(), ID_ROWS), "id").join(registers_of, "id")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = seats.join(texts, "id").select("cell", "side", "id", "n", "registers", "text").repartition(tasks, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_compare(size), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id that links reach), kept."""
     docs = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
@@ -135,16 +203,19 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", size: int
     fronts = buckets.join(met_most, "id").groupBy("key").agg(F.max(F.struct("met", "id", "n")).alias("f")).select("key", F.col("f.id").alias("front"), F.col("f.n").alias("front_n"))
     roots = sketches.where("digest is not null").join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b").where("a != b")
     roots = components(roots)
-    heads, known = 1, classes.select("id", "n", "registers")
+    known = classes.select("id", "n", "registers")
+    first = True
     while True:
         placed = buckets.join(roots.select(F.col("a").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         open_ = cut(placed.join(mixed, "key"))
-        largest = open_.agg(F.max("g")).first()[0]
-        if not largest:
+        if open_.isEmpty():
+            break
+        if not first:
+            # All components that still meet are compared; what one link joins is joined, so this ends it.
+            links = cut(_across(open_, docs, known, size).distinct())
+            roots = components(roots.select("a", F.col("root").alias("b")).unionByName(links))
             break
-        if heads > 1:
-            fronts = open_.where(F.pmod(F.xxhash64("key", "id"), F.col("g")) < heads).select("key", F.col("id").alias("front"), F.col("n").alias("front_n"))
         placed_fronts = fronts.join(roots.select(F.col("a").alias("front"), F.col("root").alias("front_root")), "front", "left")
         placed_fronts = placed_fronts.withColumn("front_root", F.coalesce("front_root", "front"))
         sized = (F.least("n", "front_n") * 100 >= F.greatest("n", "front_n") * SIMILAR_PERCENT) & (F.col("front_root") != F.col("root"))
@@ -155,9 +226,7 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", size: int
         likely = rated.where(F.pandas_udf(estimate, "double")("r_a", "r_b", "n_a", "n_b") >= SIMILAR_PERCENT / 100 - SLACK).select("a", "b").distinct()
         links = cut(_verified(cut(likely), docs, size))
         roots = components(roots.select("a", F.col("root").alias("b")).unionByName(links))
-        if heads >= largest:
-            break
-        buckets, heads = open_.select("key", "id", "n", "g"), 8 if heads == 1 else largest
+        buckets, first = open_.select("key", "id", "n", "g"), False
     found = sketches.select("id", F.col("n").alias("n_shingles")).join(roots.select(F.col("a").alias("id"), "root"), "id", "left")
     own = F.when(F.col("id") < LAST, F.col("id"))
     component = F.coalesce("root", own)
