@@ -126,8 +126,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 
 def _compare(size: int):
-    """Links within cells: rows sorted by cell, members of one component (side 0)
-    against visitors (side 1). The registers' estimate chooses the pairs whose
+    """Links within cells: rows sorted by cell, a host's members (side 0) against
+    visitors (side 1) of other components. The registers' estimate chooses the pairs whose
     full sets are compared."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -143,12 +143,15 @@ def _compare(size: int):
             by_chance = chance(sizes, np.full(len(members), float(visitor["n"])))
             alike = ((m == line).mean(1) - by_chance) / (1 - by_chance)
             near = np.minimum(sizes, visitor["n"]) * 100 >= np.maximum(sizes, visitor["n"]) * SIMILAR_PERCENT
+            joined = {visitor["root"]}
             for k in np.flatnonzero((alike >= SIMILAR_PERCENT / 100 - SLACK) & near):
+                if members[k]["root"] in joined:  # one link joins the visitor to a component
+                    continue
                 p, q = sets(members[k]["text"]), sets(visitor["text"])
                 both = np.intersect1d(p, q, assume_unique=True).size
                 if 100 * both >= SIMILAR_PERCENT * (p.size + q.size - both):
                     out.append((members[k]["id"], visitor["id"]))
-                    break  # one link joins the visitor to the component
+                    joined.add(members[k]["root"])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,24 +171,28 @@ def _compare(size: int):
 
 def _across(open_: DataFrame, docs: DataFrame, registers_of: DataFrame, size: int) -> DataFrame:
     """Links between the components that still share a bucket. Members of the smaller
-    component visit the larger; a component's members and its visitors are dealt
-    into cells of about BLOCK each way, so texts travel once a cell, not a pair."""
-    members = open_.select("root", "id").distinct()
-    weights = members.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
-    weighed = open_.join(weights, "root").withColumn("rank", F.struct("weight", "root"))
-    hosts = weighed.groupBy("key", "root").agg(F.first("rank").alias("host_rank")).withColumnRenamed("root", "host")
-    visits = weighed.join(hosts, "key").where(F.col("rank") < F.col("host_rank")).select("host", "id").distinct()
-    plan = visits.groupBy("host").agg(F.count(F.lit(1)).alias("visitors")).join(weights.withColumnRenamed("root", "host"), "host")
+    component visit the larger; a host's members and its visitors are dealt into
+    cells of about BLOCK each way, so texts travel once a cell, not a pair."""
+    sizes = open_.groupBy("root").agg(F.countDistinct("id").alias("weight"), F.min("key").alias("low"))
+    # Small components that share their least bucket are one host, a large one is its own.
+    host = F.when(F.col("weight") >= BLOCK, F.concat(F.lit("r"), F.col("root"))).otherwise(F.concat(F.lit("k"), F.col("low")))
+    weighed = cut(open_.join(sizes, "root").select("key", "id", "root", F.struct("weight", "root").alias("rank"), host.alias("host")))
+    members = weighed.select("host", "id", "root").distinct()
+    hosts = weighed.groupBy("key", "host").agg(F.max("rank").alias("host_rank"))
+    visits = weighed.drop("host").join(hosts, "key").where(F.col("rank") < F.col("host_rank")).select("host", "id", "root").distinct()
+    weights = members.groupBy("host").agg(F.count(F.lit(1)).alias("weight"))
+    plan = visits.groupBy("host").agg(F.count(F.lit(1)).alias("visitors")).join(weights, "host")
     ways = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     plan = cut(plan.select("host", ways("weight").alias("na"), ways("visitors").alias("nb")))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    inside = members.withColumnRenamed("root", "host").join(plan, "host").select("host", "id", F.lit(0).alias("side"), place("na").alias("x"), F.explode(every("nb")).alias("y"))
-    outside = visits.join(plan, "host").select("host", "id", F.lit(1).alias("side"), F.explode(every("na")).alias("x"), place("nb").alias("y"))
-    seats = inside.unionByName(outside).select("id", "side", F.concat_ws("-", "host", "x", "y").alias("cell"))
-    texts = docs.join(small_side(members.select("id"), members.count(), ID_ROWS), "id").join(registers_of, "id")
+    inside = members.join(plan, "host").select("host", "id", "root", F.lit(0).alias("side"), place("na").alias("x"), F.explode(every("nb")).alias("y"))
+    outside = visits.join(plan, "host").select("host", "id", "root", F.lit(1).alias("side"), F.explode(every("na")).alias("x"), place("nb").alias("y"))
+    seats = inside.unionByName(outside).select("id", "root", "side", F.concat_ws("-", "host", "x", "y").alias("cell"))
+    ids = members.select("id").distinct()
+    texts = docs.join(small_side(ids, ids.count(), ID_ROWS), "id").join(registers_of, "id")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = seats.join(texts, "id").select("cell", "side", "id", "n", "registers", "text").repartition(tasks, "cell").sortWithinPartitions("cell")
+    dealt = seats.join(texts, "id").select("cell", "side", "id", "root", "n", "registers", "text").repartition(tasks, "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(_compare(size), "a long, b long")
 
 
