@@ -172,10 +172,12 @@ def _compare(size: int):
 def _across(open_: DataFrame, docs: DataFrame, registers_of: DataFrame, size: int) -> DataFrame:
     """Links between the components that still share a bucket. Members of the smaller
     component visit the larger; a host's members and its visitors are dealt into
-    cells of about BLOCK each way, so texts travel once a cell, not a pair."""
-    sizes = open_.groupBy("root").agg(F.countDistinct("id").alias("weight"), F.min("key").alias("low"))
-    # Small components that share their least bucket are one host, a large one is its own.
-    host = F.when(F.col("weight") >= BLOCK, F.concat(F.lit("r"), F.col("root"))).otherwise(F.concat(F.lit("k"), F.col("low")))
+    cells of about BLOCK each way, so texts travel once a cell, not a pair. As all order
+    buckets alike by size, a large bucket has few hosts."""
+    crowd = F.shiftleft(F.least("g", F.lit(2**22)), 40).bitwiseOR(F.col("key").bitwiseAND(F.lit(2**40 - 1)))  # by size, then by name
+    sizes = open_.groupBy("root").agg(F.countDistinct("id").alias("weight"), F.max(crowd).alias("top"))
+    # Small components that share their largest bucket are one host, a large one is its own.
+    host = F.when(F.col("weight") >= BLOCK, F.concat(F.lit("r"), F.col("root"))).otherwise(F.concat(F.lit("k"), F.col("top")))
     weighed = cut(open_.join(sizes, "root").select("key", "id", "root", F.struct("weight", "root").alias("rank"), host.alias("host")))
     members = weighed.select("host", "id", "root").distinct()
     hosts = weighed.groupBy("key", "host").agg(F.max("rank").alias("host_rank"))
