@@ -11,26 +11,26 @@ from glossa.session import cut
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-    if large:
-        moved = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    else:
-        moved = both.join(low, "a").where("b < a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
+    if large:  # a row a link at most: the small star that follows leaves out repeats
+        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    moved = both.join(low, "a").where("b < a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
     return moved.where("a != b").distinct()
 
 
-def _mark(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link to a node that has none: then the links are the answer."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    met = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return met.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) to (a, root) for every node that isn't its component's least
     id. Each round halves the trees' depth or better and is cut off; hubs meet
     only sums that combine before the shuffle and joins that Spark may split."""
-    current = cut(edges.where("a != b").distinct())
-    mark = _mark(current)
-    while mark[0]:
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    current = cut(edges.where("a != b").select(high.alias("a"), low.alias("b")).distinct())
+    while not _settled(current):
         current = cut(_star(_star(current, True), False))
-        before, mark = mark, _mark(current)
-        if mark == before:
-            break
     return current.select("a", F.col("b").alias("root"))
