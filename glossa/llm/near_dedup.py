@@ -240,3 +240,25 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", size: int
     own = F.when(F.col("id") < LAST, F.col("id"))
     component = F.coalesce("root", own)
     return found.select(own.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == own, F.col("root").isNull()).alias("kept"))
+
+
+#: For two-word shingles and one row an id.
+ORACLE = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM docs),
+followed AS (SELECT doc_id, n, word, lead(word) OVER (PARTITION BY doc_id ORDER BY place) AS following FROM words),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN n = 1 THEN word ELSE word || ' ' || following END AS shingle FROM followed WHERE n = 1 OR following IS NOT NULL),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id WHERE 100 * shared.n >= {SIMILAR_PERCENT} * (p.n + q.n - shared.n)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM docs
+  UNION SELECT reach.a, other.b FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) other ON reach.b = other.a),
+least_ids AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM docs JOIN least_ids USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""

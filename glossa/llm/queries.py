@@ -63,4 +63,10 @@ QUERIES = {
         op10_fingerprint,
     )
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op7_licenses": licenses.oracle()}
+ORACLES = {
+    "op1_mixing": mixing.ORACLE,
+    "op2_url_filter": url_filter.oracle(),
+    "op3_substring_dedup": substring_dedup.ORACLE,
+    "op7_licenses": licenses.oracle(),
+    "op9_near_dedup": near_dedup.ORACLE,
+}

@@ -193,3 +193,21 @@ def remove_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", keep_text:
 
     columns = ["id", "text", "role", "hits", *(f"carried_{c}" for c in carry)]
     return map_chunks(full.select(columns).unionByName(rest.select(columns)), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text + "".join(f", {c} string" for c in carry))
+
+
+ORACLE = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM docs),
+windows AS (
+  SELECT r, place, word, CASE WHEN count(*) OVER ahead = {WINDOW} THEN string_agg(word, ' ') OVER ahead END AS k FROM words
+  WINDOW ahead AS (PARTITION BY r ORDER BY place ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+repeated AS (SELECT k FROM windows WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+covered AS (
+  SELECT r, place, word, max((repeated.k IS NOT NULL)::INT) OVER (PARTITION BY r ORDER BY place ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM windows LEFT JOIN repeated ON windows.k = repeated.k),
+left_over AS (
+  SELECT r, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (WHERE gone = 0) AS kept FROM covered GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN left_over USING (r)
+"""

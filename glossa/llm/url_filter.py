@@ -108,3 +108,43 @@ def filter_urls(pages: DataFrame, *, page_id="page_id", url="url", rules=RULES)
     judged = judged.join(small_side(verdicts, shapes.count()), ["host", "shape"])
     own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), "template", "purity")
+
+
+def _level_sql(k: int) -> str:
+    """The tree's k-th level as SQL: t(k - 1) with its templates one branch longer."""
+    return f"""
+children{k} AS (
+  SELECT host, template, shape[{k}] AS child, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM t{k - 1} WHERE shape[{k}] IS NOT NULL GROUP BY ALL),
+points{k} AS (
+  SELECT host, template, count(*) AS fan, sum(n) AS seen, sum(labelled) AS all_labelled, sum(blocked) / nullif(sum(labelled), 0) AS pooled FROM children{k} GROUP BY ALL),
+branches{k} AS (
+  SELECT host, template, child, CASE WHEN fan >= {MANY} AND seen <= {RARE}::DOUBLE * fan THEN '*'
+    WHEN labelled > 0 AND labelled < all_labelled AND abs(blocked / nullif(labelled, 0) - pooled) <= {ALIKE}::DOUBLE * sqrt(pooled * (1 - pooled) / nullif(labelled, 0)) THEN '~'
+    ELSE child END AS branch FROM children{k} JOIN points{k} USING (host, template)),
+t{k} AS (
+  SELECT t.host, t.shape, t.n, t.labelled, t.blocked, CASE WHEN b.branch IS NULL THEN t.template ELSE list_append(t.template, b.branch) END AS template
+  FROM t{k - 1} t LEFT JOIN branches{k} b ON t.host = b.host AND t.template = b.template AND t.shape[{k}] = b.child),"""
+
+
+def oracle(rules=RULES) -> str:
+    ranked = sorted(rules, key=lambda r: (len(r[0]), len(r[1]), r), reverse=True)
+    fits = [(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN", h + p, v) for h, p, v in ranked]
+    rule, verdict = (" ".join(f"{f[0]} '{f[k]}'" for f in fits) for k in (1, 2))
+    return rf"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+parts AS (
+  SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS by_rule,
+    list_transform(string_split_regex(regexp_replace(path, '^/+|/+$', '', 'g'), '/+'),
+      lambda s: CASE WHEN regexp_full_match(s, '[0-9a-fA-F]{{8,}}|[^/]{{40,}}') THEN '*' ELSE regexp_replace(s, '[0-9]+', '*', 'g') END) AS parts FROM parsed),
+judged AS (SELECT *, CASE WHEN len(parts) > {DEPTH} THEN list_append(parts[1:{DEPTH}], '**') ELSE parts END AS shape FROM parts),
+t0 AS (
+  SELECT host, shape, count(*) AS n, count(rule) AS labelled, count(*) FILTER (WHERE by_rule = 'block') AS blocked, []::VARCHAR[] AS template FROM judged GROUP BY host, shape),
+prior AS (SELECT least(0.5::DOUBLE, (coalesce(sum(blocked), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE)) AS prior FROM t0),{"".join(_level_sql(k) for k in range(1, DEPTH + 2))}
+totals AS (
+  SELECT host, template, (sum(blocked) + {SMOOTH}::DOUBLE * any_value(prior)) / (sum(labelled) + {SMOOTH}::DOUBLE) AS purity FROM t{DEPTH + 1}, prior GROUP BY host, template)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+  array_to_string(list_concat([''], t{DEPTH + 1}.template), '/') AS template, purity
+FROM judged JOIN t{DEPTH + 1} USING (host, shape) JOIN totals USING (host, template)
+"""
