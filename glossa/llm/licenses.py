@@ -1,13 +1,17 @@
 """Licence recognition by sentence rules.
 
-Texts are split into sentences, normalised (lower case, letters and digits
-only, single spaces) and looked up among known licence sentences; the
-identifiers found, in order, are matched against licence rules, each an ordered
-list of identifiers that may have others between them. Of the rules that fit
-the one with most sentences wins, then the earlier one.
+Texts are normalised (lower case, letters and digits only, single spaces) and
+known licence sentences looked for from one boundary to another. Sentence
+stops, blank lines and the ends of lines are boundaries, but a sentence may run
+over the ends of lines inside it, so that a wrapped notice is found as well as
+one on a line of its own; signs that open a line, as of comments, are left out.
+At each place the longest known sentence counts. The identifiers found, in
+order, are matched against licence rules, each an ordered list of identifiers
+that may have others between them. Of the rules that fit the one with most
+sentences wins, then the earlier one.
 
 It is one projection: no shuffle, and texts without any of the words that every
-known sentence contains aren't split at all.
+known sentence contains aren't searched at all.
 
 Defined cases: a null or empty text has no sentences and no licence; a sentence
 that occurs again counts again; rows are judged each on its own; other columns
@@ -22,6 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPLIT = r"[.!?;:]+[ \t\r\n]+|\n+"
+#: What opens a line: signs, and the comment words of m4 and batch files.
+OPENING = r"(?md)^[^a-z0-9\n]*(?:(?:dnl|rem)\b[^a-z0-9\n]*)?"
+STOP = "\x01"
 SIGNS = "licen|permission|copyright|redistribution|software|warrant|public domain"
 
 #: Known licence sentences by identifier, as they are written.
@@ -79,6 +86,12 @@ def known_sentences() -> dict[str, str]:
     return {_normal(re.split(SPLIT, s)[0]): name for name, written in SENTENCES.items() for s in written}
 
 
+def sentence_pattern() -> str:
+    """The known sentences between boundaries, longest first, with ends of lines between any two words."""
+    longest = sorted(known_sentences(), key=lambda s: (-len(s), s))
+    return rf"(?<=[\n{STOP}] ?)(?:{'|'.join(s.replace(' ', '[ \\n]+') for s in longest)})(?= ?[\n{STOP}])"
+
+
 def rule_pattern(ids: tuple[str, ...]) -> str:
     """The rule as a pattern over identifiers that each stand between commas."""
     return "," + ",(.*,)?".join(ids) + ","
@@ -91,12 +104,11 @@ def _ordered() -> list[tuple[str, tuple[str, ...]]]:
 def scan_licenses(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, n_matched, sentence_ids (joined by commas), license (null if none)."""
     known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    sentences = F.split(F.col(text), SPLIT)
-    ids = F.transform(
-        F.filter(sentences, lambda s: F.lower(s).rlike(SIGNS)),
-        lambda s: F.element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))),
-    )
-    found = F.when(F.lower(F.col(text)).rlike(SIGNS), F.array_compact(ids)).otherwise(F.array().cast("array<string>"))
+    lines = F.regexp_replace(F.translate(F.lower(F.col(text)), STOP, " "), OPENING, "")
+    marked = F.concat(F.lit(STOP), F.regexp_replace(lines, r"[.!?;:]+[ \t\r\n]+|\n\n+", STOP), F.lit(STOP))
+    plain = F.regexp_replace(marked, rf"[^a-z0-9\n{STOP}]+", " ")
+    ids = F.transform(F.regexp_extract_all(plain, F.lit(sentence_pattern()), F.lit(0)), lambda s: F.element_at(known, F.regexp_replace(s, r"[ \n]+", " ")))
+    found = F.when(F.lower(F.col(text)).rlike(SIGNS), ids).otherwise(F.array().cast("array<string>"))
     line = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     license = F.coalesce(*[F.when(line.rlike(rule_pattern(ids)), F.lit(name)) for name, ids in _ordered()])
     matched = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(found, F.array().cast("array<string>")).alias("ids"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -230,6 +231,29 @@ def test_licenses(docs, spark):
     assert (r[0]["license"], r[0]["sentence_ids"], r[1]["license"]) == ("Apache-2.0", "apache2-line,apache2-comply,apache2-copy,asis-basis", "MIT")
 
 
+def test_wrapped_licenses(spark):
+    written = {name: lines[-1] for name, lines in licenses.SENTENCES.items()}
+    body = {
+        "MIT": f"{written['mit-grant']}:\n\n{written['mit-notice']}.",
+        "BSD-3-Clause": f"{written['bsd-redistribution']}:\n\n1. {written['bsd-source']}.\n\n2. {written['bsd-binary']}.\n\n3. {written['bsd-endorse']}.",
+        "ISC": f"{written['isc-grant']}.",
+        "GPL-3.0": f"{written['gpl-redistribute']}: {written['gpl-terms3']}.\n\n{written['gpl-warranty']}; without even the implied warranty.",
+        "Apache-2.0": f"{written['apache2-line']}; {written['apache2-comply']}. {written['apache2-copy']}\n\n    http://x\n\n{written['asis-basis']}.",
+    }
+    want, rows = [], []
+    for name, text in body.items():
+        wrapped = "\n\n".join(textwrap.fill(part, 72) for part in text.split("\n\n"))
+        for sign, end in (("", "\n"), ("# ", "\n"), (" * ", "\n"), ("// ", "\r\n"), ("; ", "\n"), ("dnl ", "\n"), ("! ", "\r\n")):
+            for head in ("Copyright (c) 2020 A. Author\n\n", "Some title\n"):
+                rows.append((len(rows), end.join((sign + x).rstrip() for x in ("/*\n" + head + wrapped + "\n*/\nint main;").split("\n"))))
+                want.append(name)
+    more = [("MIT License\nPermission to nothing\n", "mit-line"), ("This project is licensed under the\nMIT License\nand more", "mit-line"), ("MIT License\nMIT License.\n\nMIT\n\nLicense", "mit-line,mit-line"), ("Our MIT License\nis no", "")]
+    got = [r["license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == want
+    got = licenses.scan_licenses(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(more)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["sentence_ids"], r["n_matched"]) for r in got] == [(ids, len(ids.split(",")) if ids else 0) for _, ids in more]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
