@@ -1,5 +1,6 @@
 """Every operator on odd rows, and against plain versions on small tables."""
 
+import base64
 import hashlib
 import random
 import textwrap
@@ -189,6 +190,26 @@ def test_fertility_counts(docs):
     assert fertility.script_of("Привет мир") == "cyrillic" and fertility.script_of("日本語") == "cjk" and fertility.script_of("12") == "other"
 
 
+def test_fertility_bands_reject_junk(spark):
+    rng = random.Random(6)
+    words = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars > 400").orderBy("doc_id").select("doc_id", "text", "lang")
+    clean = [tuple(r) for r in words.limit(400).collect() if not any(c in r["text"] for c in "#*$%&|<>")]
+    join = lambda n, word: " ".join(word() for _ in range(n))
+    junk = [
+        join(300, lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz0123456789") for _ in range(rng.randint(4, 9)))),
+        join(100, lambda: f"{rng.getrandbits(128):032x}"),
+        join(60, lambda: base64.b64encode(rng.randbytes(30)).decode()),
+        join(200, lambda: "".join(rng.choice("#*$%&|<>=-+~^") for _ in range(6))),
+        join(200, lambda: "".join(rng.choice("#*$%&|<>=-+~^a") for _ in range(6))),
+        join(400, lambda: rng.choice("one two three four five six seven eight nine ten".split())),
+    ]
+    rows = clean + [(-1 - k, t, [None, "en"][k // len(junk)]) for k, t in enumerate(junk * 2)]
+    got = fertility.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).where("not base_failed").collect()
+    assert sum(r["doc_id"] < 0 for r in got) == 2 * len(junk) and not any(r["kept"] for r in got if r["doc_id"] < 0)
+    prose_kept = [r["kept"] for r in got if r["doc_id"] >= 0]
+    assert len(prose_kept) > 300 and sum(prose_kept) >= 0.98 * len(prose_kept)
+
+
 def test_language_of_odd_texts(docs):
     got = language.identify(docs, {"en": language.ranked(language.grams(BASE), 400).tolist()}).collect()
     assert len(got) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in got)
