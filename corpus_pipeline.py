@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from glossa.llm import bpe, mixing, near_dedup, substring_dedup, toxicity
 from glossa.session import cut, shared_dir, small_side, table
 
-DROPPED_ROWS = 2_000_000  # ids, 32 MB: broadcast up to here
+DROPPED_ROWS = 2_000_000  # row numbers, 32 MB: broadcast up to here
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of each component of near copies stays."""
-    dropped = cut(near_dedup.near_duplicates(docs, size=5).where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(small_side(dropped, dropped.count(), DROPPED_ROWS), "doc_id", "left_anti")
+    """One row of each component of near copies stays: that of the least id, a null
+    last, and of several the first by number. The numbered rows are written once,
+    so that each row is judged for itself, however often its id occurs."""
+    home = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("row", F.monotonically_increasing_id()).write.parquet(home)
+    rows = spark.read.parquet(home)
+    found = near_dedup.near_duplicates(rows, doc_id="row", size=5)
+    copies = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("row"), "component_id"))
+    members = copies.unionByName(copies.select(F.col("component_id").alias("row"), "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    firsts = rows.select("row", "doc_id").join(small_side(members, 2 * copies.count(), DROPPED_ROWS), "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    dropped = cut(members.join(firsts.select(F.col("first.row").alias("row")), "row", "left_anti").select("row"))
+    return rows.join(small_side(dropped, dropped.count(), DROPPED_ROWS), "row", "left_anti").select(*docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,3 +300,17 @@ def test_pipeline_stages_take_effect(spark):
     taken = mixing.mix(short).agg(F.sum("taken")).first()[0]
     assert mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == taken
     assert corpus_pipeline.encode(spark, mixed, SF).count() == mixed.count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_pipeline_keeps_one_of_repeated_and_unnamed_rows(spark):
+    first = 10**12
+    texts = [prose(60, 100 + k) for k in range(12)]
+    rows = [(first + k, t) for k, t in enumerate(texts[:6])] + [(first, texts[0]), (None, texts[6]), (None, texts[6]), (None, texts[7])]
+    rows += [(first + 9, texts[8]), (first + 9, texts[9]), (first + 8, texts[10]), (None, texts[10]), (first + 7, texts[10]), (None, texts[1]), (None, texts[11] + " end"), (first + 6, texts[11])]
+    want = Counter([*((first + k, t) for k, t in enumerate(texts[:6])), (None, texts[6]), (None, texts[7]), (first + 9, texts[8]), (first + 9, texts[9]), (first + 7, texts[10]), (first + 6, texts[11])])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert name == "toxicity" or Counter((r["doc_id"], r["text"]) for r in docs.collect()) == want
+    assert Counter(r["doc_id"] for r in corpus_pipeline.encode(spark, docs, SF).collect()) == Counter(i for i, _ in want.elements())
