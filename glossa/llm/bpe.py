@@ -10,7 +10,7 @@ their border would have come before the merges that made them. Following last to
 the encoding.
 
 The vocabulary file (1.5 MB) is read on the driver and broadcast. A worker
-keeps the words it has met, MEMORY at most, and forgets them all beyond that;
+keeps the words it has met, MEMORY bytes at most, and forgets them all beyond that;
 nothing is shuffled.
 
 Defined cases: a null text counts as empty, 0 tokens; strings of special
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from glossa.llm.texts import map_chunks
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMORY = 600_000
+MEMORY = 32_000_000  # bytes of remembered words, ENTRY for each beside its letters
+ENTRY, PAIRS = 300, 300_000
 NEVER = 1 << 30
 #: White space of the pre-tokeniser, its pattern for any text, and the same for texts below U+0250.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -76,6 +77,7 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
+        self.held = 0
         self.text_ids: dict[str, str] = {s: str(i) for s, i in self.special.items()}
         self.decoded: dict[str, bytes] = {s: self.pieces[i] for s, i in self.special.items()}
 
@@ -151,13 +153,16 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encode and decode words that aren't known yet."""
-        if len(self.text_ids) + len(words) > MEMORY:
+        if self.held > MEMORY:
             self.forget()
+        if len(self.neighbours) > PAIRS:
+            self.neighbours.clear()
         new = sorted(w.encode("utf-8", "surrogatepass") for w in words if w not in self.text_ids)
         for word, tokens in zip(new, self.encode_sorted(new), strict=True):
             name = word.decode("utf-8", "surrogatepass")
-            self.text_ids[name] = ",".join(map(str, tokens))
+            ids = self.text_ids[name] = ",".join(map(str, tokens))
             self.decoded[name] = b"".join([self.pieces[t] for t in tokens])
+            self.held += ENTRY + 2 * len(word) + len(ids)
 
     def words(self, text: str) -> list[str]:
         if self.cut and self.cut.search(text):

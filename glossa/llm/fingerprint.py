@@ -3,34 +3,41 @@
 A text is put in canonical form (Unicode NFKC, case folded, white space runs to
 one space, ends stripped) and hashed with 128-bit xxh3. Rows with one digest
 form a bucket; within it every canonical text is compared, byte by byte, with
-that of the bucket's first row, and a text that differs gets a suffix of its
-own, so equal fingerprints mean equal canonical texts.
+the least of the bucket's, and a text that differs gets a suffix of its own, so
+equal fingerprints mean equal canonical texts.
 
-Buckets are found by counting digests (combined before the shuffle); only rows
-of buckets with two rows or more carry their text to the comparison, an
-equi-join with one row a bucket that Spark may split where a bucket is hot.
+Texts are shuffled once, into ranges of ids, where each meets the next one; the
+last of a range waits for the first of the following range, which is a join of
+one row a range. Buckets are found by counting digests (combined before the
+shuffle). Only rows of buckets with two rows or more are read again, and equal
+texts among them are combined before the comparison, so a hot bucket is a few
+rows.
 
 Defined cases: a null text counts as empty; equal texts, repeated rows and
-copies share a fingerprint; rows with a null id sort last; an empty table
-gives an empty result; other columns are ignored.
+copies share a fingerprint; rows of one id go by the hash of their texts and
+then the texts, rows with a null id come last, and so many of them are split
+over ranges; a very long text is held whole in one task, with its successor and
+the edited text, and no others; an empty table gives an empty result; other
+columns are ignored. An edited text's fingerprint is its digest, and likeness is
+that of the canonical texts themselves wherever digests agree.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.llm.texts import arrow_schema, chunks, map_chunks, to_batch
 from glossa.session import cut, small_side
 
-SHARED_ROWS = 1_000_000  # of (id, digest), about 100 MB: broadcast up to here
+LAST = 2**63 - 1  # where rows with a null id sort
+SHARED_ROWS = 500_000  # digests, about 50 MB: broadcast up to here
 
 
 def canonical(text: str | None) -> str:
@@ -39,8 +46,12 @@ def canonical(text: str | None) -> str:
     return " ".join(folded.split())
 
 
+def wide_hash(form: str) -> str:
+    return xxhash.xxh3_128_hexdigest(form.encode("utf-8", "surrogatepass"))
+
+
 def digest(text: str | None) -> str:
-    return xxhash.xxh3_128_hexdigest(canonical(text).encode("utf-8", "surrogatepass"))
+    return wide_hash(canonical(text))
 
 
 def edited(text: str, following: str) -> str:
@@ -48,79 +59,93 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-LAST = 2**63 - 1  # where rows with a null id sort
-
-
-def with_following(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
-    """id, doc_id, text, lead, bucket: every row in its range of ids, and after each
-    range the first row of the next range that has rows (lead = 1), the first of
-    all after the last. One shuffle of the texts; the ranges are as many as
-    there are tasks, whatever the data, and so is what the driver learns of them.
-    """
-    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("id"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = rows.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [k / parts for k in range(1, parts)], 0.25 / parts)
-    splits = np.unique(np.array(cuts, dtype=np.float64))
-
-    @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splits, ids.to_numpy(np.float64)).astype(np.int32))
-
-    heads = rows.groupBy(bucket_of("id").alias("bucket")).agg(F.min("id").alias("id")).orderBy("bucket").collect()
-    owners = pd.Series({head["id"]: heads[k - 1]["bucket"] for k, head in enumerate(heads)}, dtype="float64")
-
-    @F.pandas_udf("int")
-    def owner_of(ids: pd.Series) -> pd.Series:
-        return ids.map(owners).astype("Int32")
-
-    placed = rows.withColumns({"own": bucket_of("id"), "ahead": owner_of("id")})
-    sent = F.array_compact(F.array(F.struct(F.col("own").alias("to"), F.lit(0).alias("lead")), F.when(F.col("ahead").isNotNull(), F.struct(F.col("ahead").alias("to"), F.lit(1).alias("lead")))))
-    return placed.select("id", "doc_id", "text", F.explode(sent).alias("s")).select("id", "doc_id", "text", F.col("s.lead").alias("lead"), F.col("s.to").alias("bucket"))
-
-
-OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("edited_fingerprint", pa.string()), ("next_digest", pa.string())])
-
-
-def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, lead, id, text): each is edited with the one after it."""
-    held, own = None, ""
-    for batch in batches:
+RESULT = "doc_id long, n_chars long, edited_sha256 string, digest string, form_sha256 string, edited_fingerprint string, near_edited double, near_next double"
+#: What a range gives: results, and its open ends (kind 'first' or 'last') with their texts.
+OUT = f"kind string, pid int, {RESULT}, text string"
+
+
+def _pair(doc_id: int | None, text: str, form: str, mark: str, following: str, next_form: str, hashed: Callable) -> tuple:
+    """One row's result from its text and the next one's."""
+    changed = edited(text, following)
+    changed_form = canonical(changed)
+    shas = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (changed, form)]
+    return doc_id, len(text), shas[0], mark, shas[1], hashed(changed_form), float(form == changed_form), float(form == next_form)
+
+
+def _walk(hashed: Callable):
+    """Rows of one range in order: each is edited with the one after it."""
+
+    schema = arrow_schema(OUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for rows in chunks(batches):
+            out = []
+            for row in rows:
+                text = row["text"]
+                form = canonical(text)
+                if held is None:
+                    out.append(("first", row["pid"], *[None] * 8, text))
+                else:
+                    out.append((None, None, *_pair(*held, text, form, hashed), None))
+                held = row["doc_id"], text, form, hashed(form)
+            pid = rows[-1]["pid"]
+            yield to_batch(out, schema)
+        if held is not None:
+            yield to_batch([("last", pid, held[0], *[None] * 7, held[1])], schema)
+
+    return run
+
+
+def mark_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hashed: Callable = wide_hash) -> DataFrame:
+    """RESULT's columns: digests of every text and of the text edited with its
+    successor's start."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("id"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    ranges = rows.repartitionByRange(tasks, "id", "tie").sortWithinPartitions("id", "tie", "text")
+    walked = cut(ranges.select("doc_id", "text", F.spark_partition_id().alias("pid")).mapInArrow(_walk(hashed), OUT))
+    ends = walked.where("kind is not null")
+    order = Window.orderBy("pid")
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # One number a range: the range after each, and the first after the last.
+    after = ends.where("kind = 'first'").select("pid", F.coalesce(F.lead("pid").over(order), F.min("pid").over(everything)).alias("next"))
+    heads = ends.where("kind = 'first'").select(F.col("pid").alias("next"), F.col("text").alias("following"))
+    tails = ends.where("kind = 'last'").select("pid", "doc_id", "text").join(after, "pid").join(heads, "next")
+
+    def close(chunk: list[dict]) -> list[tuple]:
         out = []
-        for doc_id, text, lead, bucket in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lead", "bucket")), strict=True):
-            mark = digest(text)
-            if held and held[2] == bucket:
-                changed = edited(held[1], text)
-                out.append((held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own, digest(changed), mark))
-            held, own = None if lead else (doc_id, text, bucket), mark
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(OUT)], schema=OUT)
-
+        for row in chunk:
+            form, next_form = canonical(row["text"]), canonical(row["following"])
+            out.append(_pair(row["doc_id"], row["text"], form, hashed(form), row["following"], next_form, hashed))
+        return out
 
-def _form(texts: pd.Series) -> pd.DataFrame:
-    forms = texts.map(canonical)
-    return pd.DataFrame({"form": forms, "digest": forms.map(lambda f: xxhash.xxh3_128_hexdigest(f.encode("utf-8", "surrogatepass")))})
+    closed = cut(map_chunks(tails.select("doc_id", "text", "following"), close, RESULT))
+    return walked.where("kind is null").select(*closed.columns).unionByName(closed)
 
 
-def confirm(docs: DataFrame, marks: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """marks(doc_id, digest, ...) with fingerprint: the digest, and a suffix for a
-    row whose canonical text isn't that of its bucket's first row."""
-    buckets = marks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first")).where("n > 1").drop("n")
-    shared = cut(marks.join(buckets, "digest").select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("digest").alias("of"), "first").distinct())
+def collisions(docs: DataFrame, marks: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hashed: Callable = wide_hash) -> DataFrame:
+    """(digest, form_sha256) of the canonical texts, all but the least of each, that
+    share a digest with another one: none unless digests collide."""
+    own = F.coalesce("doc_id", F.lit(LAST))
+    shared = cut(marks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    ids = cut(marks.join(small_side(shared, shared.count(), SHARED_ROWS), "digest", "left_semi").select(own.alias("id")).distinct())
     texts = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    members = texts.join(small_side(shared, shared.count(), SHARED_ROWS), "id").select("id", "of", "first", F.pandas_udf(_form, "form string, digest string")("text").alias("f")).where("f.digest = of")
-    firsts = members.where("id = first").groupBy("of").agg(F.min("f.form").alias("first_form"))
-    odd = members.join(firsts, "of").where(F.col("f.form") != F.col("first_form")).select("id", "of", F.sha2("f.form", 256).alias("suffix")).distinct()
-    joined = marks.join(odd, (F.coalesce(marks["doc_id"], F.lit(LAST)) == odd["id"]) & (marks["digest"] == odd["of"]), "left")
-    return joined.select(*[marks[c] for c in marks.columns], F.concat_ws("-", marks["digest"], odd["suffix"]).alias("fingerprint"))
+    # Equal texts combine before the shuffle, however many there are.
+    variants = texts.join(small_side(ids, ids.count(), SHARED_ROWS), "id", "left_semi").select("text").distinct()
+
+    def form(chunk: list[dict]) -> list[tuple]:
+        forms = [canonical(row["text"]) for row in chunk]
+        return [(hashed(f), f) for f in forms]
+
+    forms = map_chunks(variants, form, "digest string, form string").distinct()
+    least = forms.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("form").alias("least")).where("n > 1")
+    return cut(forms.join(least, "digest").where("form != least").select("digest", F.sha2("form", 256).alias("form_sha256")))
 
 
-def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hashed: Callable = wide_hash) -> DataFrame:
     """Fingerprints of every text, of the text edited with its successor's start,
-    and how alike the text's is to the edited text's and the successor's."""
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chained = with_following(docs, doc_id, text, 4 * tasks).repartition(tasks, "bucket").sortWithinPartitions("bucket", "lead", "id", "text")
-    marks = cut(chained.mapInArrow(_edit, "doc_id long, n_chars long, edited_sha256 string, digest string, edited_fingerprint string, next_digest string"))
-    return confirm(docs, marks, doc_id=doc_id, text=text).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        (F.col("digest") == F.col("edited_fingerprint")).cast("double").alias("near_edited"),
-        (F.col("digest") == F.col("next_digest")).cast("double").alias("near_next"),
-    )
+    and how alike the text is to the edited text and the successor."""
+    marks = mark_edits(docs, doc_id=doc_id, text=text, hashed=hashed)
+    odd = collisions(docs, marks, doc_id=doc_id, text=text, hashed=hashed).withColumn("suffix", F.col("form_sha256"))
+    told = marks.join(small_side(odd, odd.count(), SHARED_ROWS), ["digest", "form_sha256"], "left")
+    return told.select("doc_id", "n_chars", "edited_sha256", F.concat_ws("-", "digest", "suffix").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next")

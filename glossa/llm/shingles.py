@@ -7,7 +7,7 @@ import xxhash
 
 U = np.uint64
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-MEMORY = 500_000
+MEMORY = 100_000  # words remembered, some 18 MB a worker
 
 
 class _Codes(dict):

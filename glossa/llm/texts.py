@@ -8,15 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[list[dict]]:
-    """Rows in lists of about CHUNK_CHARS characters; a null text stays None."""
+    """Rows in lists of about CHUNK_CHARS characters; a null text stays None. At the
+    end the worker, which Spark keeps for later tasks, gives unused memory back."""
     rows, held = [], 0
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            for row in batch.slice(start, 256).to_pylist():
+        for start in range(0, batch.num_rows, 64):
+            for row in batch.slice(start, 64).to_pylist():
                 rows.append(row)
                 held += len(row[text] or "")
                 if held >= CHUNK_CHARS:
@@ -24,6 +25,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[li
                     rows, held = [], 0
     if rows:
         yield rows
+    pa.default_memory_pool().release_unused()
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -34,13 +36,20 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
-def map_chunks(df: DataFrame, work: Callable[[list[dict]], list[tuple]], ddl: str) -> DataFrame:
-    """df through work, which turns a chunk of rows into tuples of ddl's columns."""
-    schema = pa.schema([(name, ARROW[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, ARROW[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def map_chunks(df: DataFrame, work: Callable[[list[dict]], list[tuple]], ddl: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """df through work, which turns a chunk of rows into tuples of ddl's columns;
+    done is called at the end of a partition."""
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunks(batches):
             yield to_batch(work(rows), schema)
+        if done:
+            done()
 
     return df.mapInArrow(run, ddl)
 

@@ -37,7 +37,7 @@ from glossa.llm.texts import fold, map_chunks
 
 FIT_TOXIC, FIT_ORDINARY = 3000, 6000
 LEVELS = (0.2, 0.3, 0.4, 0.5)
-ORDINARY_BYTES, TOXIC_BYTES, MEMORY = 8192, 4096, 400_000
+ORDINARY_BYTES, TOXIC_BYTES, MEMORY = 8192, 4096, 100_000
 LEAST_DOCS, LEAST_RATIO, THRESHOLD = 3, 8.0, 0.7
 _EDGES = b".,!?;:\"()*#$%&|<>"
 _TAIL = b" ~^@|=+_0"

@@ -223,7 +223,8 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_fingerprints(docs):
-    rows = sorted(TEXTS, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    ties = {t: h for t, h in docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    rows = sorted(TEXTS, key=lambda r: (r[0] is None, r[0] or 0, ties[r[1] or ""], r[1] or ""))
     texts = [t or "" for _, t in rows]
     want = []
     for k, (i, t) in enumerate(zip([r[0] for r in rows], texts)):
@@ -237,10 +238,18 @@ def test_fingerprints(docs):
 
 
 def test_fingerprint_collisions_are_told_apart(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A ")], "doc_id long, text string")
-    marks = docs.select("doc_id", F.lit(fingerprint.digest("a")).alias("digest"))
-    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.confirm(docs, marks).collect()}
-    assert got[1] == got[3] == fingerprint.digest("a")
+    texts = ["a", "b", "A ", "c", "bb", "B B", "dd", None, "", "b"]
+    rows = [(None if k % 3 == 0 else k // 2, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weak = lambda form: str(len(form))
+    got = fingerprint.fingerprint_edits(docs, hashed=weak).select("doc_id", "n_chars", "fingerprint").collect()
+    forms = {}
+    for i, t in rows:
+        form = fingerprint.canonical(t)
+        least = min(f for f in map(fingerprint.canonical, texts) if weak(f) == weak(form))
+        forms.setdefault((i, len(t or ""), weak(form) if form == least else f"{weak(form)}-{hashlib.sha256(form.encode()).hexdigest()}"), []).append(form)
+    assert Counter(map(tuple, got)) == Counter({k: len(v) for k, v in forms.items()})
+    assert len({r["fingerprint"] for r in got}) == len(set(map(fingerprint.canonical, texts)))
 
 
 def test_licenses(docs, spark):
