@@ -28,8 +28,27 @@ def bad_values(df: DataFrame, columns: list[str], nonnegative: bool = True) -> D
     return rows.where("n_null > 0 or n_odd > 0" + " or n_negative > 0" * nonnegative)
 
 
+def strict_integer(df: DataFrame, column: str) -> DataFrame:
+    """The column as a long; a value that is no finite whole number stops the job."""
+    number = F.col(column).cast("string").try_cast("double")
+    whole = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf")) & (number == F.floor(number))
+    refused = F.raise_error(F.concat(F.lit(f"{column} is no whole number: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+    return df.withColumn(column, F.when(whole, number.cast("long")).otherwise(refused.cast("long")))
+
+
+def not_integer(df: DataFrame, column: str) -> DataFrame:
+    """P3's violations: rows whose value is no finite whole number."""
+    number = F.col(column).cast("string").try_cast("double")
+    return df.where(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")) | (number != F.floor(number)))
+
+
+def coerce(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns as numbers, what is none missing."""
+    return df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in columns})
+
+
 def not_numeric(df: DataFrame, column: str) -> DataFrame:
-    """Values that are there but no number."""
+    """V4: values that are there but no number."""
     return df.where(F.col(column).isNotNull() & F.col(column).cast("string").try_cast("double").isNull())
 
 
@@ -87,6 +106,38 @@ def broken_identities(df: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     return df.where(F.abs(F.col("ll_sum") - F.col("ll_mean") * F.col("n_test")) > tolerance * (1 + F.abs("ll_sum")))
 
 
+def broken_deltas(df: DataFrame, identities: dict[str, tuple[str, str]], tolerance: float = 1e-8) -> DataFrame:
+    """Rows where a delta isn't the difference of its two scores, by name."""
+    off = [F.when(~F.coalesce(F.abs(F.col(d) - (F.col(a) - F.col(b))) <= tolerance * (1 + F.abs(F.col(a))), F.lit(False)), d) for d, (a, b) in identities.items()]
+    return df.withColumn("broken", F.array_join(F.array_compact(F.array(*off)), ",")).where("broken != ''")
+
+
+def directional_violations(df: DataFrame, family: str, columns: dict[str, list[str]]) -> DataFrame:
+    """Per family how many of its own directional columns aren't finite, how many
+    of the other families' aren't missing, and rows of no known family."""
+    own, other = F.lit(0), F.lit(0)
+    for name, mine in columns.items():
+        here = F.col(family).eqNullSafe(F.lit(name))
+        for c in mine:
+            finite = F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
+            own = own + (here & ~finite).cast("int")
+            other = other + (~here & F.col(c).isNotNull()).cast("int")
+    unknown = ~F.coalesce(F.col(family).isin(list(columns)), F.lit(False))
+    found = df.groupBy(family).agg(F.sum(own).alias("n_not_finite"), F.sum(other).alias("n_not_missing"), F.sum(unknown.cast("int")).alias("n_unknown"))
+    return found.where("n_not_finite + n_not_missing + n_unknown > 0")
+
+
+def anchor_differs(report: DataFrame, again: DataFrame, tolerance: float, slack: float = 1e-9) -> DataFrame:
+    """A stored anchor report (n, max_gap, mean_gap, p99_gap) against one that is
+    computed again: figures that differ, and gaps out of order or over the tolerance."""
+    figures = ["n", "max_gap", "mean_gap", "p99_gap"]
+    both = report.crossJoin(again.select(*[F.col(c).alias(f"{c}_again") for c in figures]))  # one row each
+    near = lambda a, b: F.coalesce(F.abs(a - b) <= slack * (1 + F.abs(b)), F.lit(False))
+    checks = [F.when(~near(F.col(c), F.col(f"{c}_again")), f"{c} differs") for c in figures]
+    checks += [F.when(F.col("max_gap_again") > tolerance, "over tolerance"), F.when(F.col("mean_gap") > F.col("max_gap") + 1e-15, "mean over max"), F.when(F.col("p99_gap") > F.col("max_gap") + 1e-15, "p99 over max")]
+    return both.select(F.explode(F.array_compact(F.array(*checks))).alias("violation"))
+
+
 def varying_scores(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys whose score isn't the same in all partners."""
     return df.groupBy(*keys).agg(F.countDistinct(value).alias("n_values")).where("n_values != 1")
@@ -105,6 +156,11 @@ def summary_differs(rows: DataFrame, expected: dict[str, str]) -> DataFrame:
     return wanted.join(rows, "key", "left").where(~F.col("value").eqNullSafe(F.col("expected")))
 
 
+def text_digests(texts: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
+    """A digest of each text."""
+    return texts.select(key, F.sha2(text, 256).alias("sha256"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """A digest of a table's content, whatever its order."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])

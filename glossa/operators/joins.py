@@ -46,16 +46,49 @@ def match_violations(left: DataFrame, right: DataFrame, keys: list[str] = KEY, w
 
 
 def join_predictors(*tables: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Predictor families side by side; run match_violations first."""
+    """Predictor families side by side; run match_violations first. A column
+    besides the keys and word that two tables have is an error."""
     joined, *others = tables
     for other in others:
-        joined = joined.join(other.drop(*[c for c in other.columns if c in joined.columns and c not in keys]), keys)
+        require_disjoint(joined, other, [*keys, "word"])
+        joined = joined.join(other.drop(*[c for c in ("word",) if c in joined.columns]), keys)
     return joined
 
 
+def require_disjoint(left: DataFrame, right: DataFrame, shared: list[str]) -> None:
+    """Columns that both tables have, beyond the shared ones, stop the merge."""
+    if clash := sorted((set(left.columns) & set(right.columns)) - set(shared)):
+        raise ValueError(f"both tables have {', '.join(clash)}")
+
+
+def merge_base(means: DataFrame, scores: DataFrame) -> DataFrame:
+    """Full outer join of reading-time means (text ids from 1) and scores (from 0)."""
+    return means.join(scores.withColumn("text_id", F.col("text_id") + 1), KEY, "full_outer")
+
+
+def base_violations(merged: DataFrame, lang: str = "en") -> DataFrame:
+    """J3's checks: rows without surprisal, and words that aren't the reference token
+    (not asked of he and gr)."""
+    checks = [F.when(F.col("surprisal").isNull(), "no surprisal")]
+    if lang not in ("he", "gr"):
+        checks.append(F.when(~F.coalesce(F.col("word") == F.col("ref_token"), F.lit(False)), "word differs"))
+    return merged.select(*KEY, F.coalesce(*checks).alias("violation")).where("violation is not null")
+
+
 def attach_base(predictors: DataFrame, base: DataFrame) -> DataFrame:
-    """Reading-time base (text ids from 1) onto predictors (from 0)."""
-    return predictors.withColumn("text_id", F.col("text_id") + 1).join(base, KEY, "left")
+    """Reading-time base (text ids from 1) onto predictors (from 0); base rows
+    without a predictor fall away."""
+    shifted = predictors.withColumn("text_id", F.col("text_id") + 1)
+    require_disjoint(shifted, base, [*KEY])
+    return shifted.join(base, KEY, "left")
+
+
+def attach_layers(joint: DataFrame, layers: DataFrame, prefix: str = "internal_layer_surprisal_layer") -> DataFrame:
+    """Layer columns (text ids from 0) onto a joint table (from 1); it may not have
+    layer columns already. key_differences tells whether the keys are the same."""
+    columns = family_columns(layers, prefix)
+    require_disjoint(joint.select(*joint.columns), layers.select(*KEY, *columns), KEY)
+    return layers.select((F.col("text_id") + 1).alias("text_id"), "word_id", *columns).join(joint, KEY, "left")
 
 
 def uncovered(predictors: DataFrame, base: DataFrame) -> DataFrame:

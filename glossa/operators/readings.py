@@ -29,17 +29,25 @@ def outlier_share(rows: DataFrame) -> DataFrame:
     return rows.agg((100 * F.avg(F.col("outlier").cast("double"))).alias("outlier_percent"), F.count(F.lit(1)).alias("n"))
 
 
+def keep_rows(rows: DataFrame, excluded: list, number: str = "word_id", worker: str = "worker", langs: list[str] | None = None) -> DataFrame:
+    """Rows that have a word number, are of none of the workers excluded and,
+    where languages are named, are in one of them (null workers stay)."""
+    kept = rows.where(F.col(number).isNotNull() & ~F.coalesce(F.col(worker).isin(excluded), F.lit(False)))
+    return kept if langs is None else kept.where(F.col("lang").isin(langs))
+
+
 def skip_policy(rows: DataFrame, keep_zeros: bool, time: str = "time") -> DataFrame:
     """Skipped words stay at zero or go."""
     return rows if keep_zeros else rows.where(F.col(time) != 0)
 
 
 def time_variants(rows: DataFrame, total: str, first_pass: str, first_fixation: str) -> DataFrame:
-    """Five times. v1 total and v2, v3 with skipped words at zero; v4, v5 are
-    taken before nulls are filled, so an unskipped null stays."""
-    zero = lambda c: F.when(F.col("skipped"), 0.0).otherwise(F.col(c))
+    """Five times. v1 is the total as read; v2 and v3 are the first pass and the
+    first fixation with nulls at zero; v4 and v5 are the first fixation and the first
+    pass with skipped words at zero, where an unskipped null stays."""
+    unskipped = lambda c: F.when(F.col("skipped"), 0.0).otherwise(F.col(c))
     return rows.withColumns(
-        {"time_v1": zero(total), "time_v2": F.coalesce(zero(first_pass), F.lit(0.0)), "time_v3": F.coalesce(zero(first_fixation), F.lit(0.0)), "time_v4": zero(first_pass), "time_v5": zero(first_fixation)}
+        {"time_v1": F.col(total), "time_v2": F.coalesce(first_pass, F.lit(0.0)), "time_v3": F.coalesce(first_fixation, F.lit(0.0)), "time_v4": unskipped(first_fixation), "time_v5": unskipped(first_pass)}
     )
 
 
@@ -77,23 +85,17 @@ def gaze_passes(rows: DataFrame) -> DataFrame:
 
 
 def reading_measures(rows: DataFrame, time: str = "time") -> DataFrame:
-    """Five measures of a word, on its first row: total, first fixation, first
-    pass, and the latter two over progressive rows only."""
+    """Five measures of a word, those of its first row: the total over the word,
+    the row's own time, the sum over the row's pass, and the latter two where the
+    row is progressive (a first pass and no regression), else zero."""
     word = Window.partitionBy("worker", "text_id", "word_id")
-    t, progressive = F.col(time), F.col("first_pass") & ~F.col("regression")
-    by_row = word.orderBy("row_idx")
-    first_fixation = F.first(t).over(word.orderBy("fixation", "row_idx"))
-    measured = rows.withColumns(
-        {
-            "total": F.sum(t).over(word),
-            "first_fixation": first_fixation,
-            "first_pass_time": F.sum(F.when(F.col("first_pass"), t).otherwise(0.0)).over(word),
-            "progressive_pass_time": F.sum(F.when(progressive, t).otherwise(0.0)).over(word),
-            "progressive_fixation": F.coalesce(F.first(F.when(progressive, t), ignorenulls=True).over(by_row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0)),
-            "nth": F.row_number().over(by_row),
-        }
+    progressive = (F.col("first_pass") & ~F.col("regression")).cast("int")
+    in_pass = F.sum(time).over(Window.partitionBy("worker", "text_id", "word_id", "pass"))
+    measured = rows.withColumn("in_pass", in_pass).withColumns({"total": F.sum(time).over(word), "nth": F.row_number().over(word.orderBy("row_idx"))})
+    return measured.where("nth = 1").select(
+        "worker", "text_id", "word_id", "total", F.col(time).alias("first_fixation"), F.col("in_pass").alias("first_pass_time"),
+        (F.col("in_pass") * progressive).alias("progressive_pass_time"), (F.col(time) * progressive).alias("progressive_fixation"),
     )
-    return measured.where("nth = 1").select("worker", "text_id", "word_id", "total", "first_fixation", "first_pass_time", "progressive_pass_time", "progressive_fixation")
 
 
 def word_means(rows: DataFrame, keys: list[str], numeric: list[str]) -> DataFrame:

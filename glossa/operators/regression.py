@@ -9,14 +9,17 @@ fold and the data are read once.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.session import cut
+from glossa.session import cut, small_side
 
+NARROW = 24
 WAVES = ("", "prev_", "prev2_", "prev3_")
 
 
@@ -32,12 +35,57 @@ def term_column(term: str) -> Column:
     return parts[0] if len(parts) == 1 else parts[0] * parts[1]
 
 
-def complete_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose design columns are all there and finite."""
+def is_complete(columns: list[str]) -> Column:
+    """Whether all the columns are there and finite."""
+    whole = F.lit(True)
     for c in columns:
         number = F.col(c).cast("double")
-        rows = rows.where(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf")))
-    return rows
+        whole = whole & number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    return whole
+
+
+def complete_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose design columns are all there and finite."""
+    return rows.where(is_complete(columns))
+
+
+def complete_report(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """How many rows there are, are complete, and are left out."""
+    return rows.select(F.coalesce(is_complete(columns), F.lit(False)).alias("whole")).agg(
+        F.count(F.lit(1)).alias("n_input"), F.count_if("whole").alias("n_complete"), F.count_if(~F.col("whole")).alias("n_excluded")
+    )
+
+
+def baselines(buggy: str = "surprisal_buggy") -> dict[str, list[str]]:
+    """M3: terms beyond the lexical controls: none, or the uncorrected surprisal at the
+    current word and three before."""
+    return {"empty": [], "full_surprisal": [f"{w}{buggy}" for w in WAVES]}
+
+
+def grid_formulas(first: dict[int, str], second: dict[int, str]) -> dict[str, list[str]]:
+    """M8, M9: the lexical controls alone, with each predictor of either family, and
+    with each pair, every predictor at four places."""
+    out = {"m0": formula_terms([])}
+    out |= {f"a{k}": formula_terms([a]) for k, a in first.items()} | {f"b{k}": formula_terms([b]) for k, b in second.items()}
+    return out | {f"a{i}b{j}": formula_terms([a, b]) for i, a in first.items() for j, b in second.items()}
+
+
+def grid_deltas(scores: DataFrame, first: list[int], second: list[int]) -> DataFrame:
+    """M8, M9: per cell and fold the log densities of the four models and the gain of
+    each predictor given the other, as means and sums."""
+    cells = scores.sparkSession.createDataFrame([(i, j, f"a{i}", f"b{j}", f"a{i}b{j}") for i in first for j in second], "first int, second int, a string, b string, ab string")
+    held = scores.select("fold", "n_train", "n_test", F.col("formula"), "ll_mean", "ll_sum")
+    out = F.broadcast(cells).crossJoin(held.where("formula = 'm0'").select("fold", "n_train", "n_test", F.col("ll_mean").alias("ll_m0_mean"), F.col("ll_sum").alias("ll_m0_sum")))
+    for name, column in (("a", "a"), ("b", "b"), ("joint", "ab")):
+        part = held.select(F.col("formula").alias(column), "fold", F.col("ll_mean").alias(f"ll_{name}_mean"), F.col("ll_sum").alias(f"ll_{name}_sum"))
+        out = out.join(part, [column, "fold"])
+    gains = {f"delta_{x}_given_{y}_{f}": F.col(f"ll_joint_{f}") - F.col(f"ll_{y}_{f}") for x, y in (("a", "b"), ("b", "a")) for f in ("mean", "sum")}
+    return out.drop("a", "b", "ab").withColumns(gains)
+
+
+def sample_too_small(sizes: DataFrame, terms: int | Column) -> DataFrame:
+    """M5: folds (n_train) whose training rows are no more than the terms."""
+    return sizes.where(F.col("n_train") <= terms)
 
 
 def assign_folds(rows: DataFrame, keys: list[str], folds: int, seed: str) -> DataFrame:
@@ -59,13 +107,39 @@ def assign_folds(rows: DataFrame, keys: list[str], folds: int, seed: str) -> Dat
 
 
 def fold_by_text(rows: DataFrame, folds: int, seed: str, text_id: str = "text_id") -> DataFrame:
-    """Whole texts in one fold."""
-    return rows.withColumn("fold", (F.pmod(F.xxhash64(F.lit(seed), text_id), F.lit(folds)) + 1).cast("int"))
+    """Whole texts in one fold, by the seeded digest of the text's id."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(text_id).cast("string"))), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("fold", (digest % folds + 1).cast("int"))
+
+
+def wide_gram(rows: DataFrame, terms: list[str], response: str) -> DataFrame:
+    """M4's sums for many terms: each partition multiplies its rows' matrix with itself
+    in numpy, batch by batch, and hands out p * p / 2 numbers a fold."""
+    columns = [F.lit(1.0), *[term_column(t) for t in terms], F.col(response).cast("double")]
+    named = rows.select(F.col("fold").cast("int").alias("fold"), *[c.alias(f"c{k}") for k, c in enumerate(columns)])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fold, *values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x = np.column_stack(values).astype(float)
+            for k in np.unique(fold):
+                part = x[fold == k]
+                sums[int(k)] = sums.get(int(k), 0.0) + part.T @ part
+        for k, total in sums.items():
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_pydict({"fold": np.full(len(i), k, np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32), "v": total[i, j]})
+
+    partial = named.mapInArrow(products, "fold int, i int, j int, v double")
+    return partial.groupBy("fold", "i", "j").agg(F.sum("v").alias("v"))
 
 
 def gram(rows: DataFrame, terms: list[str], response: str) -> DataFrame:
     """M4's sums: (fold, i, j, v) for i <= j over [1, terms..., response]; sums
-    combine before the shuffle, p * p / 2 numbers a fold and task."""
+    combine before the shuffle, p * p / 2 numbers a fold and task. From NARROW terms
+    on the products are made in numpy, as one plan can't hold so many sums."""
+    if len(terms) > NARROW:
+        return wide_gram(rows, terms, response)
     columns = [F.lit(1.0), *[term_column(t) for t in terms], F.col(response).cast("double")]
     names = list(range(len(columns)))
     sums = [F.sum(columns[i] * columns[j]).alias(f"v_{i}_{j}") for i in names for j in names if i <= j]
@@ -147,7 +221,7 @@ def prediction_errors(rows: DataFrame, terms: list[str], response: str, betas: D
     """MSE, MAE and R squared of held-out rows under each fold's coefficients
     (formula, fold, coefficients over [1, terms])."""
     x = [F.lit(1.0), *[term_column(t) for t in terms]]
-    joined = rows.join(F.broadcast(betas.select("formula", "fold", "coefficients")), "fold")
+    joined = rows.join(small_side(betas.select("formula", "fold", "coefficients"), betas.count()), "fold")
     fitted = sum((F.get("coefficients", F.lit(k)) * c for k, c in enumerate(x)), F.lit(0.0))
     y = F.col(response).cast("double")
     scored = joined.select("formula", "fold", y.alias("y"), (y - fitted).alias("e"))
@@ -161,7 +235,7 @@ def logistic_scores(rows: DataFrame, terms: list[str], response: str, folds: lis
     from pyspark.ml.functions import vector_to_array
 
     columns = {f"x{k}": term_column(t) for k, t in enumerate(terms)}
-    ready = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows.select("fold", F.col(response).cast("double").alias("label"), *[c.alias(n) for n, c in columns.items()]))
+    ready = VectorAssembler(inputCols=list(columns), outputCol="features").transform(cut(rows.select("fold", F.col(response).cast("double").alias("label"), *[c.alias(n) for n, c in columns.items()])))
     out = None
     for fold in folds:
         model = LogisticRegression(regParam=0.0, maxIter=100, tol=1e-9).fit(ready.where(F.col("fold") != fold))

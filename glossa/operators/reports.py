@@ -2,44 +2,84 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.session import cut, small_side
+
 
-def word_types(words: DataFrame) -> DataFrame:
+def word_types(words: DataFrame, surprisal: str = "surprisal", buggy: str | None = None, frequency: str | None = None) -> DataFrame:
     """Per word the mean surprisal, its channel-capacity form mean(s^2) /
-    mean(s), log frequency and length."""
-    s = F.col("surprisal")
-    return words.groupBy("word").agg(
-        F.avg(s).alias("piantadosi"), (F.avg(s * s) / F.avg(s)).alias("cch"), F.log(F.count(F.lit(1))).alias("zipf"), F.max("word_len").alias("word_len")
-    )
+    mean(s), both also of the uncorrected scores where there are any, log frequency
+    (of the rows, or the mean of a column) and length."""
+    forms = [("piantadosi", "cch", F.col(surprisal))] + ([("piantadosi_buggy", "cch_buggy", F.col(buggy))] if buggy else [])
+    measures = [c for mean, ratio, s in forms for c in (F.avg(s).alias(mean), (F.avg(s * s) / F.avg(s)).alias(ratio))]
+    zipf = F.log(F.avg(frequency)) if frequency else F.log(F.count(F.lit(1)))
+    return words.groupBy("word").agg(*measures, zipf.alias("zipf"), F.max("word_len").alias("word_len"))
 
 
-def average_rank(column: str) -> Column:
-    """Ranks from 1 with ties at their mean, over a table of word types."""
-    order = Window.orderBy(column)
-    ties = Window.partitionBy(column)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
+def with_cost(types: DataFrame) -> DataFrame:
+    """Zipf as a cost, its sign turned, as the correlations take it."""
+    return types.withColumn("zipf", -F.col("zipf"))
 
 
 def rank_column(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """A column's average ranks by way of its distinct values, so that only those
-    are ordered in one place."""
-    sizes = rows.groupBy(column).agg(F.count(F.lit(1)).alias("ties"))
-    before = F.coalesce(F.sum("ties").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = sizes.select(F.col(column).alias("value"), (before + (F.col("ties") + 1) / 2).alias(name))
+    """A column's ranks from 1, ties at their mean: distinct values go into ranges, a
+    range's sum gives its offset and only its own values are ordered in a task."""
+    sizes = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("ties"))
+    ranged = cut(sizes.repartitionByRange("value").withColumn("pid", F.spark_partition_id()))
+    ahead = lambda what, window: F.coalesce(F.sum(what).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("pid").agg(F.sum("ties").alias("held")).select("pid", ahead("held", Window.orderBy("pid")).alias("offset"))  # a row a range
+    within = ahead("ties", Window.partitionBy("pid").orderBy("value"))
+    ranks = ranged.join(F.broadcast(offsets), "pid").select("value", (F.col("offset") + within + (F.col("ties") + 1) / 2).alias(name))
     return rows.join(ranks, F.col(column) == F.col("value")).drop("value")
 
 
+def _incomplete_beta(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function by its continued fraction."""
+    if not 0 < x < 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _incomplete_beta(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = c = 1.0
+    d = 0.0
+    for k in range(500):
+        m = k // 2
+        if k % 2:
+            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if k else 1.0
+        d = 1 / ((1 + step * d) or 1e-300)
+        c = (1 + step / c) or 1e-300
+        value *= c * d
+        if abs(1 - c * d) < 1e-15:
+            break
+    return front * (value - 1)
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t, for the few rows of a report."""
+
+    def tails(values: pd.Series, degrees: pd.Series) -> pd.Series:
+        return pd.Series([_incomplete_beta(n / (n + v * v), n / 2, 0.5) if n > 0 and v == v else None for v, n in zip(values, degrees, strict=True)], dtype="float64")
+
+    return F.pandas_udf(tails, "double")(t.cast("double"), df.cast("double"))
+
+
 def length_correlations(types: DataFrame, predictors: list[str], length: str = "word_len") -> DataFrame:
-    """Pearson and Spearman of word length with each predictor and their t."""
+    """Pearson and Spearman of word length with each predictor, their t and p."""
     out = None
     for p in predictors:
         both = rank_column(rank_column(types.select(length, p).where(F.col(p).isNotNull()), length, "rank_a"), p, "rank_b")
         line = both.agg(F.lit(p).alias("predictor"), F.count(F.lit(1)).alias("n"), F.corr(length, p).alias("pearson"), F.corr("rank_a", "rank_b").alias("spearman"))
         out = line if out is None else out.unionByName(line)
     t = lambda r: F.col(r) * F.sqrt((F.col("n") - 2) / (1 - F.col(r) * F.col(r)))
-    return out.withColumns({"pearson_t": t("pearson"), "spearman_t": t("spearman")})
+    timed = out.withColumns({"pearson_t": t("pearson"), "spearman_t": t("spearman")})
+    return timed.withColumns({f"{r}_p": student_p(F.col(f"{r}_t"), F.col("n") - 2) for r in ("pearson", "spearman")})
 
 
 def signflip_exact(folds: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
@@ -47,6 +87,8 @@ def signflip_exact(folds: DataFrame, keys: list[str], value: str, k: int) -> Dat
     mean is strictly greater in size than the one seen."""
     listed = folds.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", value))), lambda s: s[value]).alias("d"))
     signed = lambda pattern: F.aggregate(F.zip_with("d", F.sequence(F.lit(0), F.size("d") - 1), lambda v, i: F.when(F.call_function("getbit", pattern, i) == 1, -v).otherwise(v)), F.lit(0.0), lambda a, v: a + v)
+    if k > 16:
+        raise ValueError("2^k sign patterns: for more than 16 folds use signflip_random")
     patterns = folds.sparkSession.range(1 << k).withColumnRenamed("id", "pattern")
     seen = F.aggregate("d", F.lit(0.0), lambda a, v: a + v)
     flips = listed.crossJoin(F.broadcast(patterns)).select(*keys, signed(F.col("pattern")).alias("flipped"), seen.alias("seen"))  # 2^k patterns, k folds
@@ -55,11 +97,15 @@ def signflip_exact(folds: DataFrame, keys: list[str], value: str, k: int) -> Dat
 
 
 def signflip_random(folds: DataFrame, keys: list[str], value: str, flips: int, seed: str) -> DataFrame:
-    """The same with random signs, p = (greater + 1) / flips."""
-    draws = folds.sparkSession.range(flips).withColumnRenamed("id", "flip")
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "flip", *keys, "fold"), F.lit(2)) == 0, 1).otherwise(-1)
-    means = folds.crossJoin(draws).groupBy(*keys, "flip").agg(F.abs(F.avg(F.col(value) * sign)).alias("m"), F.abs(F.avg(value)).alias("seen"))
-    return means.groupBy(*keys).agg(((F.count_if(F.col("m") > F.col("seen")) + 1) / F.lit(flips)).alias("p"))
+    """The same with random signs, p = (greater + 1) / flips. A group is one row
+    with its fold values, met by every flip."""
+    listed = folds.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", value))), lambda s: s[value]).alias("d"))  # folds: a few values a group
+    bits = lambda i: F.pmod(F.xxhash64(F.lit(seed), *keys, F.col("flip"), i), F.lit(2))
+    total = lambda signed: F.aggregate(signed, F.lit(0.0), lambda a, v: a + v)
+    flipped = total(F.transform("d", lambda v, i: F.when(bits(i) == 0, v).otherwise(-v)))
+    drawn = listed.withColumn("flip", F.explode(F.sequence(F.lit(1), F.lit(flips))))
+    met = drawn.select(*keys, (F.abs(flipped) > F.abs(total(F.col("d")))).alias("greater"))
+    return met.groupBy(*keys).agg(((F.count_if("greater") + 1) / F.lit(flips)).alias("p"))
 
 
 def corrected_p(rows: DataFrame, groups: list[str], p: str = "p") -> DataFrame:
@@ -103,7 +149,55 @@ def chart_means(rows: DataFrame, keys: list[str], value: str = "diff_empty") ->
     return plain.groupBy(*keys).agg((100 * F.avg(value)).alias("value"))
 
 
-def budgets(rows: DataFrame, cost: str, budget: str) -> DataFrame:
-    """Difference to a budget, what is over and under it, and its size."""
-    gap = F.col(cost) - F.col(budget)
-    return rows.withColumns({f"delta_{cost}": gap, f"over_{cost}": F.greatest(gap, F.lit(0.0)), f"under_{cost}": F.greatest(-gap, F.lit(0.0)), f"abs_delta_{cost}": F.abs(gap)})
+def budgets(rows: DataFrame, budget: str, cost: str = "surprisal", waves: tuple[str, ...] = ("", "prev_", "prev2_", "prev3_", "next_")) -> DataFrame:
+    """At each place the difference of cost to budget, the parts of it that are
+    over (cost below budget) and under, and its size."""
+    columns = {}
+    for w in waves:
+        gap = F.col(f"{w}{cost}") - F.col(f"`{w}{budget}`")
+        columns |= {f"{w}budget_delta_{budget}": gap, f"{w}overbudget_{budget}": F.greatest(-gap, gap * 0), f"{w}underbudget_{budget}": F.greatest(gap, gap * 0), f"{w}absdelta_{budget}": F.abs(gap)}
+    return rows.withColumns(columns)
+
+
+def p_table(folds: DataFrame, keys: list[str], value: str, k: int, groups: list[str]) -> DataFrame:
+    """For every key the mean of its k fold values, the exact sign-flip p, the
+    corrected p inside a group of tests, and the class of significance."""
+    tested = signflip_exact(folds, keys, value, k).select(*keys, F.col("mean_delta").alias("diffs"), F.col("p").alias("pvalue"))
+    return corrected_p(tested, groups, "pvalue").withColumn("stars", stars(F.col("p_corrected")))
+
+
+def chosen_differences(results: DataFrame, kinds: dict[str, tuple[int, str]]) -> DataFrame:
+    """M12's selection: each kind of comparison takes rows of its predictor_type and,
+    as diff, one of the stored differences; rows of no kind go."""
+    out = None
+    for kind, (code, column) in kinds.items():
+        part = results.where(F.col("predictor_type") == code).withColumns({"kind": F.lit(kind), "diff": F.col(column)})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def predictor_descriptives(scores: DataFrame) -> DataFrame:
+    """A10, from (model, size, context, key, value): the mean by model and context and
+    whether it falls from the context before."""
+    means = scores.groupBy("model", "size", "context").agg(F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n"))
+    before = F.lag("mean_value").over(Window.partitionBy("model").orderBy("context"))
+    return means.withColumn("falls", F.col("mean_value") < before)
+
+
+def score_correlations(scores: DataFrame, across: str) -> DataFrame:
+    """A10: Pearson correlations of the scores of a key between two values of across
+    ('context' inside a model, 'model' at a context)."""
+    same = "model" if across == "context" else "context"
+    left, right = (scores.select("key", same, F.col(across).alias(c), F.col("value").alias(f"value_{c}")) for c in ("first", "second"))
+    pairs = left.join(right, ["key", same]).where("first < second")
+    return pairs.groupBy(same, "first", "second").agg(F.corr("value_first", "value_second").alias("r"))
+
+
+def size_trend(means: DataFrame, value: str = "mean_value") -> DataFrame:
+    """A10: per context the correlation of a model's value with the log of its size."""
+    return means.groupBy("context").agg(F.corr(value, F.log("size")).alias("r"), F.count(F.lit(1)).alias("n_models"))
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Labels of a name (size, family, what it is called) from a dimension table."""
+    return rows.join(small_side(labels, labels.count()), key, "left")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.session import cut, small_side
+
 #: The punctuation that is stripped from words.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WHITE = r"(?U)\s+"
@@ -65,8 +68,14 @@ def byte_alphabet(word: Column) -> Column:
     return F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "".join(map(chr, odd)), "".join(chr(256 + k) for k in range(len(odd))))
 
 
+def resolve_duplicates(texts: DataFrame, key: str, preferred: Column) -> DataFrame:
+    """T4: distinct rows; where a key has several texts, those that meet the predicate."""
+    distinct = texts.distinct()
+    return distinct.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key))).where((F.col("n") == 1) | preferred).drop("n")
+
+
 def rebuild_passages(words: DataFrame, key: str = "text_id", order: str = "word_id", word: str = "word", distinct: bool = True) -> DataFrame:
-    """Passages from word rows that readers repeat, words by place."""
+    """Passages from word rows that readers repeat, words by place."""
     rows = words.select(key, order, word).distinct() if distinct else words
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(word).alias("word"))))
     return rows.groupBy(key).agg(F.array_join(F.transform(ordered, lambda s: s["word"]), " ").alias("text"))
@@ -80,8 +89,14 @@ def rebuild_from_offsets(tokens: DataFrame, key: str = "text_id", row: str = "ro
     return spaced.groupBy(key).agg(F.array_join(F.transform(ordered, lambda s: s["piece"]), "").alias("text"))
 
 
+def reference_tokens(readings: DataFrame, passages: DataFrame) -> DataFrame:
+    """The passage's word at each reading's place, null where it has none."""
+    tokens = word_table(passages).select("text_id", "word_id", F.col("word").alias("ref_token"))
+    return readings.join(tokens, ["text_id", "word_id"], "left")
+
+
 def realign_words(readings: DataFrame, passages: DataFrame) -> DataFrame:
-    """The first place at or after word_id where the passage has the cleaned
+    """T5: the first place at or after word_id where the passage has the cleaned
     word; null place where it has none."""
     arrays = passages.select("text_id", F.transform(word_array(F.col("text")), clean_word).alias("passage"))
     joined = readings.join(arrays, "text_id", "left")
@@ -105,12 +120,16 @@ def subsample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 
 
 def ngrams(passages: DataFrame, max_order: int) -> DataFrame:
-    """(order, ngram, text_id, word_id) for every n-gram ending at a word."""
-    arrays = passages.select("text_id", word_array(F.col("text")).alias("w"))
-    ends = arrays.select("text_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("end")).where(F.size("w") > 0)
-    orders = F.sequence(F.lit(1), F.least(F.lit(max_order), F.col("end")))
-    grams = F.transform(orders, lambda o: F.struct(o.alias("order"), F.array_join(F.slice("w", F.col("end") - o + 1, o), " ").alias("ngram")))
-    return ends.select("text_id", (F.col("end") - 1).alias("word_id"), F.inline(grams))
+    """(order, ngram, text_id, word_id) for every n-gram ending at a word. A
+    passage's n-grams are built in one row, each order from the one below, and
+    handed out once, so memory grows with the passage's length."""
+    grams = passages.select("text_id", word_array(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("g1", F.col("w"))
+    for o in range(2, max_order + 1):
+        n = F.greatest(F.size("w") - (o - 1), F.lit(0))
+        grams = grams.withColumn(f"g{o}", F.zip_with(F.slice(f"g{o - 1}", F.lit(1), n), F.slice("w", F.lit(o), n), lambda head, word: F.concat_ws(" ", head, word)))
+    ending = lambda o: F.transform(f"g{o}", lambda g, k: F.struct((k + (o - 1)).alias("word_id"), F.lit(o).alias("order"), g.alias("ngram")))
+    rows = [ending(o) for o in range(1, max_order + 1)]
+    return grams.select("text_id", F.inline(F.concat(*rows)))
 
 
 def ngram_counts(passages: DataFrame, max_order: int, needed: DataFrame | None = None) -> DataFrame:
@@ -129,29 +148,33 @@ def backoff_surprisal(held_out: DataFrame, counts: DataFrame, contexts: list[int
 
     Of the orders within the context the highest with a count is taken, alpha for
     each order tried above it; the start of a passage shortens the history for
-    free. An unseen word has the pseudo-count over the corpus size.
+    free. An unseen word has the pseudo-count over the corpus size. A count whose
+    history has none stops the job (T13).
+
+    Distinct n-grams are scored, one order after another: an n-gram without a
+    count has the score of its suffix and alpha. A word then takes the scores of
+    the longest n-gram that ends at it, by one join.
     """
     top = max(contexts) + 1
-    target = ngrams(held_out, top)
-    history = ngrams(held_out, max(top - 1, 1)).select("text_id", (F.col("word_id") + 1).alias("word_id"), (F.col("order") + 1).alias("order"), F.col("ngram").alias("history"))
+    placed = ngrams(held_out, top)
+    wanted = placed.groupBy("order", "ngram").agg(F.count(F.lit(1)).alias("uses"))
+    known = cut(wanted.join(counts.where("order > 0").select("order", "ngram", F.col("cnt").alias("c")), ["order", "ngram"], "left").select("order", "ngram", F.coalesce("c", F.lit(0)).alias("c")))
     size = counts.where("order = 0").select(F.col("cnt").alias("corpus"))
-    seen = counts.where("order > 0")
-    rows = (
-        target.join(history, ["text_id", "word_id", "order"], "left")
-        .join(seen.withColumnRenamed("cnt", "c"), ["order", "ngram"], "left")
-        .join(seen.select((F.col("order") + 1).alias("order"), F.col("ngram").alias("history"), F.col("cnt").alias("d")), ["order", "history"], "left")
-        .crossJoin(F.broadcast(size))  # one row
-        .select("text_id", "word_id", "order", F.coalesce("c", F.lit(0)).alias("c"), F.when(F.col("order") == 1, F.col("corpus")).otherwise(F.col("d")).alias("d"), "corpus")
-    )
-    out = []
-    for k in contexts:
-        within = F.col("order") <= k + 1
-        best = F.max(F.when(within & (F.col("c") > 0), F.struct("order", "c", "d")))
-        longest = F.max(F.when(within, F.col("order")))
-        found = -((longest - best["order"]) * F.log(F.lit(alpha)) + F.log(best["c"]) - F.log(best["d"]))
-        unseen = -((longest - 1) * F.log(F.lit(alpha)) + F.log(F.lit(pseudo)) - F.log(F.max("corpus")))
-        out.append(F.coalesce(found, unseen).alias(f"ngram_surprisal_context_{k}"))
-    return rows.groupBy("text_id", "word_id").agg(*out)
+    unigram = F.log(F.when(F.col("c") > 0, F.col("c").cast("double")).otherwise(F.lit(float(pseudo)))) - F.log("corpus")
+    level = known.where("order = 1").crossJoin(F.broadcast(size)).select("ngram", F.array(unigram).alias("scores"))  # one row
+    scored = level.withColumn("order", F.lit(1))
+    for o in range(2, top + 1):
+        grams = known.where(F.col("order") == o).select("ngram", "c", F.substring_index("ngram", " ", o - 1).alias("history"), F.substring_index("ngram", " ", 1 - o).alias("suffix"))
+        histories = known.where(F.col("order") == o - 1).select(F.col("ngram").alias("history"), F.col("c").alias("d"))
+        both = grams.join(histories, "history", "left").join(level.withColumnRenamed("ngram", "suffix"), "suffix")
+        orphan = F.raise_error(F.concat(F.lit("a count but none of its history: "), F.col("ngram")))
+        found = F.when(F.coalesce("d", F.lit(0)) <= 0, orphan.cast("double")).otherwise(F.log("c") - F.log("d"))
+        score = F.when(F.col("c") > 0, found).otherwise(F.element_at("scores", -1) + math.log(alpha))
+        level = both.select("ngram", F.concat("scores", F.array(score)).alias("scores"))
+        scored = scored.unionByName(level.withColumn("order", F.lit(o)))
+    longest = placed.where(F.col("order") == F.least(F.lit(top), F.col("word_id") + 1))
+    out = [(-F.element_at("scores", F.least(F.lit(k + 1), F.size("scores")))).alias(f"ngram_surprisal_context_{k}") for k in contexts]
+    return longest.join(scored, ["order", "ngram"]).select("text_id", "word_id", *out)
 
 
 def count_violations(counts: DataFrame) -> DataFrame:
@@ -169,9 +192,12 @@ def word_frequency(corpus: DataFrame, study: DataFrame) -> DataFrame:
     return wanted.join(counts, "word", "left").select("word", (F.coalesce("cnt", F.lit(0)) + 1).alias("freq_count"))
 
 
-def lexicon_score(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+def lexicon_score(words: DataFrame, lexicon: DataFrame, constant: float | None = None) -> DataFrame:
     """The sum of a word's token values; null if any token is unknown or none
-    is left. Scored once a distinct word."""
+    is left. Scored once a distinct word. A language without a lexicon has the
+    same constant for every word."""
+    if constant is not None:
+        return words.withColumn("freq", F.lit(constant))
     distinct = words.select("word").distinct()
     tokens = distinct.select("word", F.explode_outer(F.split(clean_word(F.col("word")), "[-'/]+")).alias("token"))
     scored = tokens.join(lexicon.select("token", "value"), "token", "left").groupBy("word").agg(
@@ -190,18 +216,15 @@ def context_windows(words: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def overlapping_chunks(passages: DataFrame, size: int, stride: int) -> DataFrame:
-    """Chunks of size tokens that start stride tokens before the last one's
-    end; every chunk but the first drops what it shares, so each token counts once."""
-    arrays = passages.select("text_id", word_array(F.col("text")).alias("w")).where(F.size("w") > 0)
-    step = size - stride
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - size) / F.lit(float(step))).cast("int")))
-    rows = arrays.select("text_id", "w", F.explode(starts).alias("chunk"))
-    first = F.col("chunk") * step
-    kept = F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.lit(stride))
-    return rows.select(
-        "text_id", "chunk", first.alias("start"), F.least(F.lit(size), F.size("w") - first).alias("n_tokens"), kept.alias("n_dropped"),
-        F.array_join(F.slice("w", first + kept + 1, F.lit(size)), " ").alias("ignored"),
-    ).drop("ignored")
+    """Chunks of size tokens, each beginning size - stride + 1 tokens after the
+    one before; every chunk but the first drops the stride - 1 tokens that it
+    shares, so each token counts once."""
+    lengths = passages.select("text_id", F.size(word_array(F.col("text"))).alias("n")).where("n > 0")
+    step = size - stride + 1
+    chunks = F.sequence(F.lit(0), F.ceil(F.greatest(F.col("n") - size, F.lit(0)) / F.lit(float(step))).cast("int"))
+    rows = lengths.select("text_id", "n", F.explode(chunks).alias("chunk")).withColumn("start", F.col("chunk") * step)
+    dropped = F.when(F.col("chunk") == 0, 0).otherwise(stride - 1)
+    return rows.select("text_id", "chunk", "start", F.least(F.lit(size), F.col("n") - F.col("start")).alias("n_tokens"), dropped.alias("n_dropped"))
 
 
 def word_ids_of_tokens(tokens: DataFrame) -> DataFrame:
@@ -228,6 +251,6 @@ def class_mass(logits: DataFrame, weights: DataFrame) -> DataFrame:
     """-log of the weighted probability of a token class, from long rows
     (position, vocab_id, logit) and class weights (vocab_id, weight)."""
     top = logits.groupBy("position").agg(F.max("logit").alias("top"))
-    scaled = logits.join(top, "position").join(F.broadcast(weights), "vocab_id", "left")  # a vocabulary's size
+    scaled = logits.join(top, "position").join(small_side(weights, weights.count()), "vocab_id", "left")
     mass = F.exp(F.col("logit") - F.col("top"))
     return scaled.groupBy("position").agg((F.log(F.sum(mass)) - F.log(F.sum(mass * F.coalesce("weight", F.lit(0.0))))).alias("class_surprisal"))

@@ -6,34 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators import checks, joins, readings, regression, reports, words
+from glossa.plans.base import ORACLES, QUERIES, SQL_WORDS, WORDS, held_out, passages, query
 from glossa.session import table
 
-WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> '')"
-SQL_WORDS = f"""
-base AS (SELECT doc_id AS text_id, {WORDS} AS w FROM documents),
-words AS (SELECT text_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS word_id FROM base)"""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-
-
-def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), "text")
-
-
 @query(f"WITH {SQL_WORDS} SELECT text_id, word_id, word, length(word) AS word_len FROM words")
 def word_table(spark, sf_dir):
     return words.word_table(passages(spark, sf_dir))
@@ -67,30 +42,33 @@ def ngram_counts(spark, sf_dir):
 
 
 SQL_HELD = "held AS (SELECT item_id AS text_id, " + WORDS + """ AS w FROM benchmark),
-hwords AS (SELECT text_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS word_id FROM held),
-h AS (SELECT text_id, word_id, word, lag(word) OVER t AS p1, lag(word, 2) OVER t AS p2 FROM hwords WINDOW t AS (PARTITION BY text_id ORDER BY word_id))"""
-
-
-@query(f"""WITH {SQL_GRAMS}, {SQL_HELD},
-n AS (SELECT cnt AS n FROM counts WHERE "order" = 0),
-c AS (SELECT h.*, n.n, coalesce(c1.cnt, 0) AS c1, coalesce(c2.cnt, 0) AS c2, coalesce(c3.cnt, 0) AS c3, coalesce(d2.cnt, 0) AS d2, coalesce(d3.cnt, 0) AS d3
-  FROM h CROSS JOIN n
-  LEFT JOIN counts c1 ON c1."order" = 1 AND c1.ngram = h.word
-  LEFT JOIN counts c2 ON c2."order" = 2 AND c2.ngram = h.p1 || ' ' || h.word
-  LEFT JOIN counts c3 ON c3."order" = 3 AND c3.ngram = h.p2 || ' ' || h.p1 || ' ' || h.word
-  LEFT JOIN counts d2 ON d2."order" = 1 AND d2.ngram = h.p1
-  LEFT JOIN counts d3 ON d3."order" = 2 AND d3.ngram = h.p2 || ' ' || h.p1)
-SELECT text_id, word_id,
-  -ln(greatest(c1, 1)::DOUBLE / n) AS ngram_surprisal_context_0,
-  CASE WHEN p1 IS NULL THEN -ln(greatest(c1, 1)::DOUBLE / n) WHEN c2 > 0 THEN -ln(c2::DOUBLE / d2) ELSE -ln(0.4::DOUBLE * greatest(c1, 1) / n) END AS ngram_surprisal_context_1,
-  CASE WHEN p1 IS NULL THEN -ln(greatest(c1, 1)::DOUBLE / n)
-       WHEN p2 IS NULL THEN CASE WHEN c2 > 0 THEN -ln(c2::DOUBLE / d2) ELSE -ln(0.4::DOUBLE * greatest(c1, 1) / n) END
-       WHEN c3 > 0 THEN -ln(c3::DOUBLE / d3) WHEN c2 > 0 THEN -ln(0.4::DOUBLE * c2 / d2) ELSE -ln(0.16::DOUBLE * greatest(c1, 1) / n) END AS ngram_surprisal_context_2
-FROM c""".replace("-ln(", "0 - round(ln(").replace(" / n)", " / n), 9)").replace("/ d2)", "/ d2), 9)").replace("/ d3)", "/ d3), 9)"))
+hwords AS (SELECT text_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS word_id FROM held)"""
+
+
+def _backoff_sql(top: int) -> str:
+    """Counts by order over separate word columns, only for n-grams that the held-out
+    words end, and one score after another."""
+    back = lambda o: [f"p{k}" for k in range(o - 1, 0, -1)] + ["word"]
+    lags = ", ".join(f"lag(word, {k}) OVER t AS p{k}" for k in range(1, top + 1))
+    parts = [f"e AS MATERIALIZED (SELECT text_id, word_id, word, {lags} FROM words WINDOW t AS (PARTITION BY text_id ORDER BY word_id))", f"h AS MATERIALIZED (SELECT text_id, word_id, word, {lags} FROM hwords WINDOW t AS (PARTITION BY text_id ORDER BY word_id))", "n AS (SELECT count(*)::DOUBLE AS n FROM words)"]
+    for o in range(1, top + 1):
+        names = ", ".join(back(o))
+        parts.append(f"need{o} AS MATERIALIZED (SELECT DISTINCT {names} FROM h WHERE {back(o)[0]} IS NOT NULL)")
+        parts.append(f"c{o} AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS c{o} FROM e SEMI JOIN need{o} USING ({names}) GROUP BY {names})")
+    score = ["s1 AS (SELECT h.*, n, ln(coalesce(c1, 1)) - ln(n) AS s1 FROM h CROSS JOIN n LEFT JOIN c1 USING (word))"]
+    for o in range(2, top + 1):
+        same = " AND ".join(f"s.{c} = c.{c}" for c in back(o))
+        history = " AND ".join(f"s.p{k + 1} = d.{'word' if k == 0 else f'p{k}'}" for k in range(o - 1))
+        score.append(f"s{o} AS (SELECT s.*, CASE WHEN s.p{o - 1} IS NULL THEN s{o - 1} WHEN c{o} > 0 THEN ln(c{o}) - ln(c{o - 1}) ELSE ln(0.4::DOUBLE) + s{o - 1} END AS s{o} FROM s{o - 1} s LEFT JOIN c{o} c ON {same} LEFT JOIN c{o - 1} d ON {history})")
+    out = ", ".join(f"0 - round(s{k + 1}, 9) AS ngram_surprisal_context_{k}" for k in range(top))
+    return f"WITH {SQL_WORDS}, {SQL_HELD}, {', '.join(parts + score)} SELECT text_id, word_id, {out} FROM s{top}"
+
+
+@query(_backoff_sql(5))
 def backoff_surprisal(spark, sf_dir):
     target = held_out(spark, sf_dir)
-    counts = words.ngram_counts(passages(spark, sf_dir), 3, needed=words.ngrams(target, 3))
-    scored = words.backoff_surprisal(target, counts, [0, 1, 2])
+    counts = words.ngram_counts(passages(spark, sf_dir), 5, needed=words.ngrams(target, 5))
+    scored = words.backoff_surprisal(target, counts, [0, 1, 2, 3, 4])
     return scored.select("text_id", "word_id", *[F.round(c, 9).alias(c) for c in scored.columns[2:]])
 
 
@@ -131,9 +109,9 @@ def context_windows(spark, sf_dir):
     return words.context_windows(words.word_table(held_out(spark, sf_dir)), [1, 2, 4]).withColumn("context", F.array_join("context", " "))
 
 
-@query(f"""WITH {SQL_WORDS}, n AS (SELECT text_id, len(w) AS n FROM base WHERE len(w) > 0),
-c AS (SELECT text_id, n, unnest(generate_series(0, greatest(0, ceil((n - 256) / 206.0)::BIGINT))) AS chunk FROM n)
-SELECT text_id, chunk, chunk * 206 AS start, least(256, n - chunk * 206) AS n_tokens, CASE WHEN chunk = 0 THEN 0 ELSE 50 END AS n_dropped FROM c""")
+@query(f"""WITH RECURSIVE {SQL_WORDS}, n AS (SELECT text_id, len(w) AS n FROM base WHERE len(w) > 0),
+walk AS (SELECT text_id, n, 0 AS chunk, 0 AS start FROM n UNION ALL SELECT text_id, n, chunk + 1, start + 256 - 50 + 1 FROM walk WHERE start + 256 < n)
+SELECT text_id, chunk, start, least(256, n - start) AS n_tokens, CASE WHEN chunk = 0 THEN 0 ELSE 49 END AS n_dropped FROM walk""")
 def chunk_overlap(spark, sf_dir):
     return words.overlapping_chunks(passages(spark, sf_dir), 256, 50)
 
@@ -195,9 +173,9 @@ def regressions(spark, sf_dir):
     return readings.regressions(_events(spark, sf_dir)).select("row_idx", "regression")
 
 
-@query(f"""WITH {SQL_GAZE} SELECT worker, text_id, word_id, round(sum(time), 6) AS total, round(arg_min(time, fixation * 100000000 + row_idx), 6) AS first_fixation,
- round(sum(CASE WHEN first_pass THEN time ELSE 0 END), 6) AS first_pass_time, round(sum(CASE WHEN first_pass AND NOT regression THEN time ELSE 0 END), 6) AS progressive_pass_time,
- round(coalesce(arg_min(time, row_idx) FILTER (WHERE first_pass AND NOT regression), 0), 6) AS progressive_fixation FROM g GROUP BY ALL""")
+@query(f"""WITH {SQL_GAZE}, m AS (SELECT *, sum(time) OVER (PARTITION BY worker, text_id, word_id) AS total, sum(time) OVER (PARTITION BY worker, text_id, word_id, pass) AS in_pass,
+  CASE WHEN first_pass AND NOT regression THEN 1 ELSE 0 END AS forward, row_number() OVER (PARTITION BY worker, text_id, word_id ORDER BY row_idx) AS nth FROM g)
+SELECT worker, text_id, word_id, round(total, 6) AS total, round(time, 6) AS first_fixation, round(in_pass, 6) AS first_pass_time, round(in_pass * forward, 6) AS progressive_pass_time, round(time * forward, 6) AS progressive_fixation FROM m WHERE nth = 1""")
 def rt_measures(spark, sf_dir):
     m = readings.reading_measures(readings.regressions(readings.gaze_passes(_events(spark, sf_dir))))
     return m.select("worker", "text_id", "word_id", *[F.round(c, 6).alias(c) for c in m.columns[3:]])
@@ -210,13 +188,12 @@ def rt_word_means(spark, sf_dir):
     return means.withColumn("time", F.round("time", 6))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS k FROM lineitem), o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0)
+@query("""WITH l AS (SELECT l_orderkey AS k FROM lineitem), o AS (SELECT o_orderkey AS k FROM orders)
 SELECT coalesce(a.k, o.k) AS k, CASE WHEN o.k IS NULL THEN 'missing right' ELSE 'missing left' END AS violation FROM l a FULL JOIN o ON a.k = o.k WHERE a.k IS NULL OR o.k IS NULL
 UNION ALL SELECT k, 'repeated left' FROM l GROUP BY k HAVING count(*) > 1 UNION ALL SELECT k, 'repeated right' FROM o GROUP BY k HAVING count(*) > 1""")
 def keyed_merge_violations(spark, sf_dir):
     left = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
-    right = table(spark, sf_dir, "orders").where("o_orderkey % 3 != 0").select(F.col("o_orderkey").alias("k"))
-    return joins.match_violations(left, right, ["k"])
+    return joins.match_violations(left, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), ["k"])
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY 1), g AS (SELECT abs(l.v - o_totalprice) AS gap FROM l JOIN orders ON o_orderkey = k)
@@ -294,11 +271,27 @@ def fold_deltas(spark, sf_dir):
     return s.select("delta", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), "k")
 
 
-@query()
+SQL_PAIR = f"""{SQL_FOLDS},
+s AS (SELECT fold, count(*)::DOUBLE AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS yb, sum(y * y) AS yy FROM f GROUP BY fold),
+t AS (SELECT fold, n AS m, a AS ha, b AS hb, y AS hy, aa AS haa, bb AS hbb, ab AS hab, ay AS hay, yb AS hby, yy AS hyy, sum(n) OVER () - n AS n,
+  sum(a) OVER () - a AS a, sum(b) OVER () - b AS b, sum(y) OVER () - y AS y, sum(aa) OVER () - aa AS aa, sum(bb) OVER () - bb AS bb, sum(ab) OVER () - ab AS ab, sum(ay) OVER () - ay AS ay, sum(yb) OVER () - yb AS yb, sum(yy) OVER () - yy AS yy FROM s),
+z AS (SELECT *, aa - a * a / n AS caa, bb - b * b / n AS cbb, ab - a * b / n AS cab, ay - a * y / n AS cay, yb - b * y / n AS cby FROM t),
+q AS (SELECT *, 'm0' AS formula, 0::DOUBLE AS ba, 0::DOUBLE AS bb_ FROM z UNION ALL SELECT *, 'a', cay / caa, 0 FROM z UNION ALL SELECT *, 'b', 0, cby / cbb FROM z
+  UNION ALL SELECT *, 'ab', (cay * cbb - cby * cab) / (caa * cbb - cab * cab), (cby * caa - cay * cab) / (caa * cbb - cab * cab) FROM z),
+k0 AS (SELECT *, (y - ba * a - bb_ * b) / n AS b0 FROM q),
+r AS (SELECT *, (yy - 2 * (b0 * y + ba * ay + bb_ * yb) + b0 * b0 * n + 2 * b0 * (ba * a + bb_ * b) + ba * ba * aa + 2 * ba * bb_ * ab + bb_ * bb_ * bb) / n AS v,
+  hyy - 2 * (b0 * hy + ba * hay + bb_ * hby) + b0 * b0 * m + 2 * b0 * (ba * ha + bb_ * hb) + ba * ba * haa + 2 * ba * bb_ * hab + bb_ * bb_ * hbb AS rss FROM k0),
+ll AS (SELECT formula, fold, n::BIGINT AS n_train, m::BIGINT AS n_test, b0, ba, bb_ AS bb, rss / m AS mse, 1 - rss / (hyy - hy * hy / m) AS r2, -0.5 * ln(2 * pi() * v) - rss / (2 * v * m) AS ll_mean, (-0.5 * ln(2 * pi() * v) - rss / (2 * v * m)) * m AS ll_sum FROM r)"""
+
+
+@query(f"""WITH {SQL_PAIR}, p(delta, w, o) AS (VALUES ('a given b', 'ab', 'b'), ('b given a', 'ab', 'a'), ('a', 'a', 'm0'), ('b', 'b', 'm0')),
+gain AS (SELECT delta, x.ll_mean - y.ll_mean AS d FROM p JOIN ll x ON x.formula = w JOIN ll y ON y.formula = o AND y.fold = x.fold)
+SELECT delta, round(avg(d), 6) AS mean, round(stddev_samp(d) / sqrt(count(*)), 6) AS se, count(*) AS k FROM gain GROUP BY delta""")
 def conditional_deltas(spark, sf_dir):
-    """Gains of each predictor given the other; tested against a row-level refit."""
+    """Gains of each predictor given the other."""
     pairs = [("a given b", "ab", "b"), ("b given a", "ab", "a"), ("a", "a", "m0"), ("b", "b", "m0")]
-    return regression.fold_summary(regression.deltas(_scores(spark, sf_dir), pairs), ["delta"], "delta_mean")
+    gains = regression.fold_summary(regression.deltas(_scores(spark, sf_dir), pairs), ["delta"], "delta_mean")
+    return gains.select("delta", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), "k")
 
 
 @query(f"""WITH {SQL_OLS}, dd AS (SELECT ll_a - ll_0 AS d, row_number() OVER (ORDER BY fold) - 1 AS i FROM ll),
@@ -309,50 +302,66 @@ def signflip_exact(spark, sf_dir):
     return reports.signflip_exact(d, ["delta"], "delta_mean", 10).drop("mean_delta")
 
 
-@query("WITH e AS (SELECT 'm0' AS formula, unnest(generate_series(1, 11))::INT AS fold) SELECT formula, fold, 'missing' AS violation FROM e WHERE fold > 10")
+@query(f"""WITH {SQL_FOLDS}, have AS (SELECT DISTINCT formula, fold, l_returnflag FROM (SELECT f.*, l_returnflag FROM f JOIN (SELECT l_orderkey AS ok, l_linenumber AS ln, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) x ON ok = l_orderkey AND ln = l_linenumber) CROSS JOIN (VALUES ('m0'), ('a'), ('b'), ('ab')) v(formula)),
+want AS (SELECT formula, fold, l_returnflag FROM (VALUES ('m0'), ('a'), ('c')) v(formula) CROSS JOIN (SELECT unnest(generate_series(1, 11))::INT AS fold) CROSS JOIN (SELECT DISTINCT l_returnflag FROM lineitem))
+SELECT *, 'missing' AS violation FROM want ANTI JOIN have USING (formula, fold, l_returnflag) UNION ALL SELECT *, 'unexpected' FROM have ANTI JOIN want USING (formula, fold, l_returnflag)""")
 def grid_completeness(spark, sf_dir):
-    folds = spark.range(1, 12).select(F.lit("m0").alias("formula"), F.col("id").cast("int").alias("fold"))
-    return checks.incomplete_grid(_scores(spark, sf_dir).where("formula = 'm0'"), folds)
+    """Results by formula, fold and flag against the grid that was asked for."""
+    flags = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"))
+    have = _design(spark, sf_dir).join(flags, ["l_orderkey", "l_linenumber"]).select("fold", "l_returnflag").distinct()
+    found = joins.grid(have, spark.createDataFrame([(f,) for f in FORMULAS], "formula string"))
+    folds = spark.range(1, 12).select(F.col("id").cast("int").alias("fold"))
+    wanted = joins.grid(spark.createDataFrame([("m0",), ("a",), ("c",)], "formula string"), folds, table(spark, sf_dir, "lineitem").select("l_returnflag").distinct())
+    return checks.incomplete_grid(found, wanted)
 
 
 @query()
 def logistic_cv(spark, sf_dir):
-    """Toxic labels by quality and length; tested against a numpy fit."""
+    """Toxic labels by quality and length."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("size", F.log1p("n_chars"))
     return regression.logistic_scores(regression.assign_folds(rows, ["doc_id"], 4, "logit"), ["quality", "size"], "toxic", [1, 2, 3, 4])
 
 
-@query(f"""WITH {SQL_WORDS}, w AS (SELECT word, length(word) AS l, (word_id % 11 + length(word))::DOUBLE AS s FROM words WHERE regexp_full_match(word, '[a-z]+')),
-t AS (SELECT word, avg(s) AS piantadosi, avg(s * s) / avg(s) AS cch, ln(count(*)) AS zipf, max(l) AS word_len FROM w GROUP BY word)
-SELECT word, round(piantadosi, 9) AS piantadosi, round(cch, 9) AS cch, round(zipf, 9) AS zipf, word_len FROM t""")
+SQL_TYPES = f"""{SQL_WORDS}, w AS (SELECT word, length(word) AS l, (word_id % 11 + length(word))::DOUBLE AS s, (word_id % 7 + 1)::DOUBLE AS u FROM words WHERE regexp_full_match(word, '[a-z]+')),
+t AS (SELECT word, avg(s) AS piantadosi, avg(s * s) / avg(s) AS cch, avg(u) AS piantadosi_buggy, avg(u * u) / avg(u) AS cch_buggy, ln(count(*)) AS zipf, max(l) AS word_len FROM w GROUP BY word)"""
+COSTS = ["piantadosi_buggy", "piantadosi", "cch_buggy", "cch", "zipf"]
+
+
+@query(f"WITH {SQL_TYPES} SELECT word, {', '.join(f'round({c}, 9) AS {c}' for c in COSTS)}, word_len FROM t")
 def word_types(spark, sf_dir):
     t = _types(spark, sf_dir)
-    return t.select("word", *[F.round(c, 9).alias(c) for c in ("piantadosi", "cch", "zipf")], "word_len")
+    return t.select("word", *[F.round(c, 9).alias(c) for c in COSTS], "word_len")
 
 
 def _types(spark, sf_dir):
     w = words.word_table(passages(spark, sf_dir)).where(words.latin_lower(F.col("word")) & (F.col("word") != ""))
-    return reports.word_types(w.withColumn("surprisal", (F.col("word_id") % 11 + F.col("word_len")).cast("double")))
+    scored = w.withColumns({"surprisal": (F.col("word_id") % 11 + F.col("word_len")).cast("double"), "buggy": (F.col("word_id") % 7 + 1).cast("double")})
+    return reports.word_types(scored, buggy="buggy")
+
 
+def _ranks(c: str) -> str:
+    return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}"
 
-@query(f"""WITH {SQL_WORDS}, w AS (SELECT word, length(word) AS l, (word_id % 11 + length(word))::DOUBLE AS s FROM words WHERE regexp_full_match(word, '[a-z]+')),
-t AS (SELECT avg(s) AS p, ln(count(*)) AS z, max(l) AS l FROM w GROUP BY word),
-r AS (SELECT *, rank() OVER (ORDER BY l) + (count(*) OVER (PARTITION BY l) - 1) / 2.0 AS rl, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp, rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2.0 AS rz FROM t)
-SELECT 'piantadosi' AS predictor, count(*) AS n, round(corr(l, p), 6) AS pearson, round(corr(rl, rp), 6) AS spearman FROM r
-UNION ALL SELECT 'zipf', count(*), round(corr(l, z), 6), round(corr(rl, rz), 6) FROM r""")
+
+@query(f"""WITH {SQL_TYPES}, n AS (SELECT * REPLACE (-zipf AS zipf) FROM t), v AS (SELECT word_len, {', '.join(f'round({c}, 9) AS {c}' for c in COSTS)} FROM n),
+r AS (SELECT *, {', '.join(map(_ranks, ['word_len', *COSTS]))} FROM v)
+{' UNION ALL '.join(f"SELECT '{c}' AS predictor, count(*) AS n, round(corr(word_len, {c}), 6) AS pearson, round(corr(r_word_len, r_{c}), 6) AS spearman FROM r" for c in COSTS)}""")
 def word_length_study(spark, sf_dir):
-    c = reports.length_correlations(_types(spark, sf_dir), ["piantadosi", "zipf"])
+    costs = reports.with_cost(_types(spark, sf_dir)).select("word_len", *[F.round(c, 9).alias(c) for c in COSTS])
+    c = reports.length_correlations(costs, COSTS)
     return c.select("predictor", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
-@query(f"""WITH {SQL_WORDS}, {SQL_HELD}, need AS (SELECT DISTINCT word FROM hwords), store AS (SELECT DISTINCT word FROM need WHERE length(word) % 2 = 0),
+@query(f"""WITH {SQL_WORDS}, {SQL_HELD}, need AS (SELECT DISTINCT word FROM hwords), store AS (SELECT DISTINCT unnest({WORDS}) AS word FROM conversations),
 c AS (SELECT word, count(*) AS n FROM words GROUP BY word)
 SELECT 'corpus' AS index_name, 1 AS "order", word AS ngram, coalesce(n, 0) AS cnt FROM need LEFT JOIN c USING (word) WHERE word NOT IN (SELECT word FROM store)""")
 def incremental_counts(spark, sf_dir):
+    """A count store that holds what the conversations needed; the rest is counted."""
     from glossa.sources.readers import extend_counts
 
     needed = words.ngrams(held_out(spark, sf_dir), 1).select("order", "ngram").distinct()
-    store = needed.where(F.length("ngram") % 2 == 0).withColumns({"index_name": F.lit("corpus"), "cnt": F.lit(1)})
+    stored = words.ngrams(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("text_id"), "text"), 1)
+    store = stored.select(F.lit("corpus").alias("index_name"), "order", "ngram").distinct()
     return extend_counts(passages(spark, sf_dir), needed, store, "corpus")
 
 
@@ -365,7 +374,8 @@ def long_share(spark, sf_dir):
 @query(f"WITH {SQL_WORDS} SELECT text_id, count(*) AS n_words, max(length(word)) AS longest FROM words GROUP BY text_id HAVING count(*) < 50")
 def short_passages(spark, sf_dir):
     w = words.word_table(passages(spark, sf_dir))
-    return w.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_words"), F.max("word_len").alias("longest")).where("n_words < 50")
+    longest = w.groupBy("text_id").agg(F.max("word_len").alias("longest"))
+    return words.short_passages(w, 50).join(longest, "text_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,3 +393,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["surprisal_gains"] = flagship
+
+from glossa.plans import merges, scans, studies, texts, validation  # noqa: E402, F401 - they register their queries

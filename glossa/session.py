@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach: spark.checkpoint.dir.
 
-    Where the session names none (tests, local runs) a fresh local folder is
-    set once and reused.
+    Where the session names none, a local run sets a fresh local folder once and
+    reuses it; a cluster is refused, as its executors share no local folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     context.setCheckpointDir(folder)
     return folder

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.words import word_array
+from glossa.operators.words import ngrams, word_table
+from glossa.session import cut, small_side
 
 ABSENT = "\x00absent"
 #: What the Windows-1252 code page has at 0x80 to 0x9f, in order; undefined codes keep their own.
@@ -30,12 +33,12 @@ def from_cp1252(text: Column) -> Column:
     return F.translate(text, "".join(map(chr, range(0x80, 0xA0))), CP1252)
 
 
-def read_fixation_files(spark: SparkSession, folder: str, pattern: str, name: str, columns: list[str]) -> DataFrame:
+def read_fixation_files(spark: SparkSession, folder: str, pattern: str, name: str, columns: list[str], on: str = "file_name") -> DataFrame:
     """White-space separated Windows-1252 files; worker and text id come from
-    the file's name by the regular expression name (two groups), row_idx keeps a
-    file's order."""
-    lines = spark.read.option("pathGlobFilter", pattern).option("encoding", "ISO-8859-1").option("sep", "\x00").option("quote", "").option("header", False).schema("line string").csv(folder)
-    file = F.col("_metadata.file_name")
+    the file's name (or path: on) by the regular expression name (two groups),
+    row_idx keeps the order within a file."""
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("encoding", "ISO-8859-1").option("sep", "\x00").option("quote", "").option("header", False).schema("line string").csv(folder)
+    file = F.col(f"_metadata.{on}")
     parts = F.filter(F.split(from_cp1252(F.col("line")), r"\s+"), lambda w: w != "")
     rows = lines.select(F.regexp_extract(file, name, 1).alias("worker"), F.regexp_extract(file, name, 2).cast("long").alias("text_id"), parts.alias("parts"), F.monotonically_increasing_id().alias("row_idx"))
     header = F.get("parts", F.lit(0)) == columns[0]
@@ -43,10 +46,15 @@ def read_fixation_files(spark: SparkSession, folder: str, pattern: str, name: st
 
 
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
-    """One passage a line; the id is the line's number from 0 and blank lines
-    keep theirs."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("text_id", "text"), F.size(F.split("value", "\n")).alias("n"))
-    return lines.where("text != '' or text_id < n - 1").select(F.col("text_id").cast("long").alias("text_id"), F.rtrim(F.col("text"), F.lit("\r")).alias("text"))
+    """One passage a line; the id is the line's number from 0 over the files in
+    the order of their paths, and blank lines keep theirs. Lines are numbered within
+    their block of a file; a row a block says how many lines lie before it."""
+    block = ["path", "start"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.rtrim(F.col("value"), F.lit("\r")).alias("text"))
+    blocks = cut(lines.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select(*block, "first", before.alias("before"))
+    return lines.join(small_side(placed, blocks.count()), block).select((F.col("before") + F.col("row") - F.col("first")).alias("text_id"), "text")
 
 
 def write_passages(passages: DataFrame, path: str) -> None:
@@ -54,35 +62,51 @@ def write_passages(passages: DataFrame, path: str) -> None:
     passages.orderBy("text_id").select("text").write.mode("overwrite").text(path)
 
 
-def write_table(rows: DataFrame, path: str, sep: str | None = None) -> None:
-    """Parquet, or delimited text where sep is given; Spark's committer swaps it in whole."""
-    writer = rows.write.mode("overwrite")
-    writer.parquet(path) if sep is None else writer.option("sep", sep).option("header", True).option("emptyValue", "").csv(path)
+def write_table(rows: DataFrame, path: str, sep: str | None = None, quoting: bool = True, encoding: str = "UTF-8", parts: list[str] | None = None) -> None:
+    """Parquet, or delimited text where sep is given, in folders by the columns
+    parts; Spark's committer swaps it in whole."""
+    writer = rows.write.mode("overwrite").partitionBy(*(parts or []))
+    if sep is None:
+        return writer.parquet(path)
+    quotes = {"quote": '"', "escape": '"'} if quoting else {"quote": ""}
+    writer.options(sep=sep, header=True, emptyValue="", nullValue="", encoding=encoding, **quotes).csv(path)
 
 
-def read_result_grid(spark: SparkSession, folder: str, pattern: str, name: str) -> DataFrame:
+def read_result_grid(spark: SparkSession, folder: str, pattern: str, name: str, families: dict[str, str] | None = None, on: str = "file_name") -> DataFrame:
     """All result files of a grid that are there, tagged dataset and model from
-    their names (two groups)."""
-    read = spark.read.option("pathGlobFilter", pattern).option("header", True).option("sep", "\t").csv(folder)
-    file = F.col("_metadata.file_name")
-    return read.select("*", F.regexp_extract(file, name, 1).alias("dataset"), F.regexp_extract(file, name, 2).alias("model"))
+    their names (or paths) by a pattern of two groups, and the model's family."""
+    read = spark.read.options(pathGlobFilter=pattern, recursiveFileLookup=True, header=True, sep="\t").csv(folder)
+    file = F.col(f"_metadata.{on}")
+    tagged = read.select("*", F.regexp_extract(file, name, 1).alias("dataset"), F.regexp_extract(file, name, 2).alias("model"))
+    known = F.create_map(*[F.lit(x) for pair in (families or {"": ""}).items() for x in pair])
+    return tagged.withColumn("family", F.coalesce(F.element_at(known, F.col("model")), F.substring_index("model", "-", 1)))
 
 
 def missing_keys(needed: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
-    """What a resumable job has still to compute."""
+    """What a resumable job has still to compute."""
     return needed.select(*keys).distinct().join(store.select(*keys), keys, "left_anti")
 
 
 def extend_counts(corpus: DataFrame, needed: DataFrame, store: DataFrame, index_name: str) -> DataFrame:
     """Rows (index_name, order, ngram, cnt) to append to a count store: counts of
     the needed n-grams that it lacks for this index, 0 for those the corpus lacks."""
-    from glossa.operators.words import ngrams
-
     open_ = missing_keys(needed, store.where(F.col("index_name") == index_name), ["order", "ngram"])
     top = open_.agg(F.max("order")).first()[0] or 1
     counts = ngrams(corpus, top).join(open_, ["order", "ngram"], "left_semi").groupBy("order", "ngram").agg(F.count(F.lit(1)).alias("cnt"))
     return open_.join(counts, ["order", "ngram"], "left").select(F.lit(index_name).alias("index_name"), "order", "ngram", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
-def corpus_size(corpus: DataFrame) -> DataFrame:
-    return corpus.agg(F.sum(F.size(word_array(F.col("text")))).alias("n_words"))
+def resume_scores(passages: DataFrame, store: DataFrame, identity: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scores of all passages (text_id, word_id, word, value, reused): what the
+    store has for this run's identity is reused, the rest computed. Stored rows
+    that don't cover their passage's words exactly, or aren't finite, stop the job."""
+    stored = store.where(F.col("identity") == identity).drop("identity")
+    words = word_table(passages).select("text_id", "word_id", "word")
+    done = stored.select("text_id").distinct()
+    of_stored = words.join(done, "text_id", "left_semi").withColumnRenamed("word", "expected")
+    checked = stored.withColumn("found", F.lit(True)).join(of_stored, ["text_id", "word_id"], "full_outer")
+    sound = F.col("found").isNotNull() & F.col("word").eqNullSafe(F.col("expected")) & F.coalesce(~F.isnan("value") & (F.abs("value") < float("inf")), F.lit(False))
+    refused = F.raise_error(F.concat(F.lit("stored scores don't fit text "), F.col("text_id").cast("string")))
+    reused = checked.select("text_id", "word_id", F.when(sound, F.col("word")).otherwise(refused.cast("string")).alias("word"), "value")
+    fresh = compute(passages.join(done, "text_id", "left_anti"))
+    return reused.withColumn("reused", F.lit(True)).unionByName(fresh.select("text_id", "word_id", "word", "value").withColumn("reused", F.lit(False)))

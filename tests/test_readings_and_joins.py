@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.operators import checks, joins, readings
+from glossa.operators import checks, joins, readings, words
 from glossa.sources import readers
 
 
@@ -19,9 +19,18 @@ def test_outliers_and_zeros(spark):
 
 
 def test_variants_keep_unskipped_null(spark):
-    rows = spark.createDataFrame([(False, None, None, None), (True, 5.0, 5.0, 5.0)], "skipped boolean, t double, p double, f double")
-    a, b = readings.time_variants(rows, "t", "p", "f").select("time_v2", "time_v4").collect()
-    assert (a[0], a[1]) == (0.0, None) and (b[0], b[1]) == (0.0, 0.0)
+    rows = [(1, True, 9.0, 8.0, 7.0), (2, False, 5.0, 4.0, 3.0), (3, False, None, None, None), (4, True, None, None, None)]
+    want = {1: (9.0, 8.0, 7.0, 0.0, 0.0), 2: (5.0, 4.0, 3.0, 3.0, 4.0), 3: (None, 0.0, 0.0, None, None), 4: (None, 0.0, 0.0, 0.0, 0.0)}
+    got = readings.time_variants(spark.createDataFrame(rows, "k int, skipped boolean, t double, p double, f double"), "t", "p", "f")
+    assert {r["k"]: tuple(r[f"time_v{v}"] for v in range(1, 6)) for r in got.collect()} == want
+
+
+def test_measures_are_those_of_the_first_row(spark):
+    rows = [(2, 1, 5, 10.0), (2, 2, 3, 20.0), (3, 3, 4, 30.0), (1, 4, 1, 40.0), (1, 5, 2, 50.0)]
+    table = spark.createDataFrame([("w", 0, *r) for r in rows], "worker string, text_id int, word_id int, row_idx int, fixation int, time double")
+    got = readings.reading_measures(readings.regressions(readings.gaze_passes(table))).collect()
+    # Word 2's first row is its later pass; word 3's fixation comes before none; word 1's two rows are one pass.
+    assert {r["word_id"]: tuple(r)[3:] for r in got} == {2: (30.0, 10.0, 10.0, 0.0, 0.0), 3: (30.0, 30.0, 30.0, 0.0, 0.0), 1: (90.0, 40.0, 90.0, 90.0, 40.0)}
 
 
 def test_repair_ids(spark):
@@ -31,9 +40,10 @@ def test_repair_ids(spark):
 
 
 def test_lags_do_not_cross_texts(spark):
-    rows = spark.createDataFrame([(0, 1, 0.2), (1, 0, 0.3), (0, 0, 0.1)], "text_id int, word_id int, surprisal double")
-    got = {(r["text_id"], r["word_id"]): r["prev_surprisal"] for r in joins.add_lags(rows, ["surprisal"]).collect()}
-    assert got == {(0, 0): None, (0, 1): 0.1, (1, 0): None}
+    values = {(6, 0): 4.0, (6, 1): 5.5, (6, 2): 7.0, (6, 3): 1.0, (8, 0): 2.5, (8, 1): 9.0}
+    rows = spark.createDataFrame([(*k, v) for k, v in sorted(values.items(), key=lambda x: -x[1])], "text_id int, word_id int, surprisal double")
+    for r in joins.add_lags(rows, ["surprisal"]).collect():
+        assert [r["prev_surprisal"], r["prev2_surprisal"], r["prev3_surprisal"]] == [values.get((r["text_id"], r["word_id"] - k)) for k in (1, 2, 3)]
 
 
 def test_merge_violations(spark):
@@ -75,6 +85,11 @@ def test_readers(spark, tmp_path):
     assert [(r["worker"], r["text_id"], r["WORD"]) for r in fix] == [("sa", 12, "“café”"), ("sa", 12, "b")]
     (tmp_path / "p.txt").write_text("one\n\nthree\n")
     assert sorted(map(tuple, readers.read_passages(spark, str(tmp_path / "p.txt")).collect())) == [(0, "one"), (1, ""), (2, "three")]
+    (tmp_path / "long.txt").write_text("".join(f"line {k}\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    got = sorted(map(tuple, readers.read_passages(spark, str(tmp_path / "long.txt")).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(k, f"line {k}") for k in range(5000)]
 
 
 def test_incremental_counts(spark):
@@ -83,3 +98,23 @@ def test_incremental_counts(spark):
     store = spark.createDataFrame([("i", 1, "a", 2), ("other", 1, "b", 9)], "index_name string, order int, ngram string, cnt long")
     got = sorted((r["ngram"], r["cnt"]) for r in readers.extend_counts(corpus, needed, store, "i").collect())
     assert got == [("b", 1), ("z z", 0)]
+
+
+def test_stored_scores_are_reused_or_refused(spark):
+    texts = spark.createDataFrame([(0, "one two"), (1, "three")], "text_id long, text string")
+    ddl = "identity string, text_id long, word_id int, word string, value double"
+    compute = lambda p: words.word_table(p).withColumn("value", F.lit(7.0))
+    store = [("me", 0, 0, "one", 1.0), ("me", 0, 1, "two", 2.0), ("you", 1, 0, "three", 3.0)]
+    got = readers.resume_scores(texts, spark.createDataFrame(store, ddl), "me", compute)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0, "one", 1.0, True), (0, 1, "two", 2.0, True), (1, 0, "three", 7.0, False)]
+    for bad in (store[:1], [("me", 0, 0, "one", float("inf")), store[1]], [("me", 0, 0, "uno", 1.0), store[1]]):
+        with pytest.raises(Exception, match="don't fit"):
+            readers.resume_scores(texts, spark.createDataFrame(bad, ddl), "me", compute).collect()
+
+
+def test_strict_integers_and_clashing_families(spark):
+    with pytest.raises(Exception, match="no whole number"):
+        checks.strict_integer(spark.createDataFrame([("1",), ("1.5",)], "x string"), "x").collect()
+    one = spark.createDataFrame([(0, 0, "a", 1.0)], "text_id long, word_id int, word string, s double")
+    with pytest.raises(ValueError, match="both tables have s"):
+        joins.join_predictors(one, one)

@@ -16,42 +16,81 @@ def test_word_table_keeps_odd_words_and_skips_blank(spark):
 
 
 def test_ngram_suffixes_reset_at_passages(spark):
-    df = spark.createDataFrame([(0, "a b c"), (1, "b")], "text_id long, text string")
-    assert {r["ngram"] for r in w.ngrams(df, 3).select("ngram").distinct().collect()} == {"a", "b", "c", "a b", "b c", "a b c"}
+    texts = {4: "sun moon sun tide", 9: "tide", 11: " ", 12: "moon  tide\tsun"}
+    df = spark.createDataFrame(list(texts.items()), "text_id long, text string")
+    want = set()
+    for i, text in texts.items():
+        parts = text.split()
+        want |= {(i, end, o, " ".join(parts[end - o + 1 : end + 1])) for end in range(len(parts)) for o in range(1, 4) if o <= end + 1}
+    assert {tuple(r) for r in w.ngrams(df, 3).select("text_id", "word_id", "order", "ngram").collect()} == want
+
+
+def test_ngrams_of_one_very_long_text(spark):
+    df = spark.range(1).select(F.lit(0).alias("text_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda k: F.concat(F.lit("w"), (k % 977).cast("string"))), " ").alias("text"))
+    counts = w.ngram_counts(df, 3)
+    assert {r["order"]: r["n"] for r in counts.groupBy("order").agg(F.sum("cnt").alias("n")).collect()} == {0: 100_000, 1: 100_000, 2: 99_999, 3: 99_998}
 
 
 def test_backoff_values(spark):
-    counts = spark.createDataFrame(
-        [(0, "", 1000), (1, "a", 100), (1, "b", 50), (1, "c", 10), (1, "d", 0), (2, "a b", 20), (2, "b c", 0), (3, "a b c", 0)], "order int, ngram string, cnt long"
-    )
-    text = spark.createDataFrame([(0, "a b c"), (1, "d")], "text_id long, text string")
-    got = {(r[0], r[1]): r[2] for r in w.backoff_surprisal(text, counts, [2]).collect()}
-    want = {(0, 0): -math.log(100 / 1000), (0, 1): -math.log(20 / 100), (0, 2): -math.log(0.16 * 10 / 1000), (1, 0): -math.log(1 / 1000)}
+    corpus = ["red fox ran", "red fox sat here", "the red hen sat", "a hen ran far", "red red fox"]
+    texts = {3: "red fox sat far", 5: "hen unknown red fox ran", 8: "zebra", 9: ""}
+    alpha, pseudo, seen = 0.3, 0.5, {}
+    for line in corpus:
+        parts = line.split()
+        for end in range(len(parts)):
+            for o in range(1, end + 2):
+                key = tuple(parts[end - o + 1 : end + 1])
+                seen[key] = seen.get(key, 0) + 1
+    size = sum(len(line.split()) for line in corpus)
+
+    def score(parts, at, context):
+        failed = 0
+        for o in range(min(context, at) + 1, 0, -1):
+            gram = tuple(parts[at - o + 1 : at + 1])
+            if o == 1 or seen.get(gram):
+                top, bottom = (seen.get(gram) or pseudo, size) if o == 1 else (seen[gram], seen[gram[:-1]])
+                return -math.log(alpha**failed * top / bottom)
+            failed += 1
+
+    own = spark.createDataFrame(list(enumerate(corpus)), "text_id long, text string")
+    held = spark.createDataFrame(list(texts.items()), "text_id long, text string")
+    got = {(r["text_id"], r["word_id"], k): r[f"ngram_surprisal_context_{k}"] for r in w.backoff_surprisal(held, w.ngram_counts(own, 3), [0, 1, 2], alpha, pseudo).collect() for k in range(3)}
+    want = {(i, at, k): score(t.split(), at, k) for i, t in texts.items() for at in range(len(t.split())) for k in range(3)}
     assert got == pytest.approx(want)
 
 
+def test_backoff_refuses_a_count_without_history(spark):
+    counts = spark.createDataFrame([(0, "", 9), (1, "hen", 3), (2, "red hen", 2)], "order int, ngram string, cnt long")
+    with pytest.raises(Exception, match="none of its history"):
+        w.backoff_surprisal(spark.createDataFrame([(0, "red hen")], "text_id long, text string"), counts, [1]).collect()
+
+
 def test_count_violations(spark):
     counts = spark.createDataFrame([(0, "", 0), (1, "a", 0), (2, "a b", 3)], "order int, ngram string, cnt long")
     assert rows(w.count_violations(counts), "violation") == [("empty corpus",), ("history without count",)]
 
 
 def test_chunks_count_each_token_once(spark):
-    df = spark.createDataFrame([(0, " ".join("abcdefghijkl"))], "text_id long, text string")
-    chunks = w.overlapping_chunks(df, 5, 2).collect()
-    assert sum(c["n_tokens"] - c["n_dropped"] for c in chunks) == 12
+    for n, size, stride, want in ((12, 5, 2, [(0, 0), (4, 1), (8, 1)]), (9, 9, 4, [(0, 0)]), (23, 10, 4, [(0, 0), (7, 3), (14, 3)]), (8, 3, 3, [(k, 2 * (k > 0)) for k in range(6)])):
+        df = spark.createDataFrame([(0, " ".join(f"t{k}" for k in range(n)))], "text_id long, text string")
+        chunks = sorted(w.overlapping_chunks(df, size, stride).collect(), key=lambda c: c["chunk"])
+        assert [(c["start"], c["n_dropped"]) for c in chunks] == want
+        kept = [k for c in chunks for k in range(c["start"] + c["n_dropped"], c["start"] + c["n_tokens"])]
+        assert kept == list(range(n))
 
 
 def test_boundary_correction(spark):
-    t = spark.createDataFrame([(0, 0, 2.0, 0.2, 0.1, True), (0, 1, 3.0, 0.3, 0.0, False), (0, 2, 4.0, 0.6, 0.0, True)], "text_id long, token_pos int, raw double, bow_fix double, bos_fix double, is_bow boolean")
-    got = {r["word_id"]: (r["surprisal"], r["surprisal_buggy"]) for r in w.boundary_surprisal(t, 0.8).collect()}
-    assert got[0] == pytest.approx((2 - 0.1 + 3 + 0.6, 5.0)) and got[1] == pytest.approx((4 - 0.6 + 0.8, 4.0))
+    tokens = [(7.5, 0.25, 0.75, True), (1.25, 0.5, 0.0, False), (6.0, 1.5, 0.0, True), (2.5, 0.125, 0.0, True), (0.5, 0.0625, 0.0, False)]
+    t = spark.createDataFrame([(6, k, *x) for k, x in enumerate(tokens)], "text_id long, token_pos int, raw double, bow_fix double, bos_fix double, is_bow boolean")
+    got = {r["word_id"]: (r["surprisal"], r["surprisal_buggy"]) for r in w.boundary_surprisal(t, 0.375).collect()}
+    assert got == {0: pytest.approx((7.5 - 0.75 + 1.25 + 1.5, 8.75)), 1: pytest.approx((6.0 - 1.5 + 0.125, 6.0)), 2: pytest.approx((2.5 - 0.125 + 0.5 + 0.375, 3.0))}
 
 
 def test_boundary_clamps_small_negatives_only(spark):
     ddl = "text_id long, token_pos int, raw double, bow_fix double, bos_fix double, is_bow boolean"
-    t = spark.createDataFrame([(0, 0, 0.0, 0.0, 2e-6, True), (1, 0, 0.0, 0.0, 0.1, True)], ddl)
+    t = spark.createDataFrame([(0, 0, 0.5, 0.0, 0.500007, True), (1, 0, 0.5, 0.0, 0.75, True)], ddl)
     got = {r["text_id"]: r["surprisal"] for r in w.boundary_surprisal(t, 0.0).collect()}
-    assert got[0] == 0.0 and got[1] == pytest.approx(-0.1)
+    assert got[0] == 0.0 and got[1] == pytest.approx(-0.25)
 
 
 def test_byte_alphabet(spark):
