@@ -7,15 +7,17 @@ over the ends of lines inside it, so that a wrapped notice is found as well as
 one on a line of its own; signs that open a line, as of comments, are left out.
 At each place the longest known sentence counts. The identifiers found, in
 order, are matched against licence rules, each an ordered list of identifiers
-that may have others between them. Of the rules that fit the one with most
-sentences wins, then the earlier one.
+that may have others between them. All licences whose rules fit are named; of the
+rules that fit the one with most sentences gives the text's licence, then the
+earlier one. "v." before a number ends no sentence.
 
 It is one projection: no shuffle, and texts without any of the words that every
 known sentence contains aren't searched at all.
 
 Defined cases: a null or empty text has no sentences and no licence; a sentence
-that occurs again counts again; rows are judged each on its own; other columns
-are ignored.
+that occurs again counts again; of rules with as many sentences the first in
+RULES wins; a very long text is searched whole; rows are judged each on its own;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ SPLIT = r"[.!?;:]+[ \t\r\n]+|\n+"
 #: What opens a line: signs, and the comment words of m4 and batch files.
 OPENING = r"(?md)^[^a-z0-9\n]*(?:(?:dnl|rem)\b[^a-z0-9\n]*)?"
 STOP = "\x01"
+VERSION = r"\bv\.[ \t\r\n]+([0-9])"
 SIGNS = "licen|permission|copyright|redistribution|software|warrant|public domain"
 
 #: Known licence sentences by identifier, as they are written.
@@ -45,11 +48,29 @@ SENTENCES = {
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "gpl-terms3": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl-terms2": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"],
+    "gpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "gpl2-only": ["you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
+    "either-2": ["either version 2 of the License, or (at your option) any later version"],
+    "either-21": ["either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl-redistribute": ["This library is free software"],
+    "lgpl-warranty": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "lgpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "lgpl-terms3": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl-terms3": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "zlib-origin": ["The origin of this software must not be misrepresented"],
+    "bsl-line": ["Distributed under the Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"],
+    "bsl-grant": ['Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following'],
+    "cc0-waiver": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"],
+    "cc0-line": ["Licensed under CC0 1.0"],
+    "epl2-line": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
     "mpl2-line": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "ccby4-line": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "ccbysa4-line": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
@@ -63,12 +84,26 @@ RULES = (
     ("MIT", ("mit-line", "mit-grant", "mit-notice")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-line",)),
-    ("GPL-3.0", ("gpl-redistribute", "gpl-terms3", "gpl-warranty")),
-    ("GPL-3.0", ("gpl3-line",)),
-    ("GPL-2.0", ("gpl-redistribute", "gpl-terms2", "gpl-warranty")),
+    ("GPL-3.0-or-later", ("gpl-redistribute", "gpl-terms3", "gpl-warranty")),
+    ("GPL-3.0-only", ("gpl3-line",)),
+    ("GPL-2.0-or-later", ("gpl-redistribute", "gpl-terms", "either-2", "gpl-warranty")),
+    ("GPL-2.0-or-later", ("gpl-redistribute", "gpl-terms2", "gpl-warranty")),
+    ("GPL-2.0-only", ("gpl-redistribute", "gpl2-only")),
+    ("LGPL-2.1-or-later", ("lgpl-redistribute", "lgpl-terms", "either-21", "lgpl-warranty")),
+    ("LGPL-3.0-or-later", ("gpl-redistribute", "lgpl-terms3")),
+    ("LGPL-3.0-or-later", ("lgpl-redistribute", "lgpl-terms3")),
+    ("AGPL-3.0-or-later", ("gpl-redistribute", "agpl-terms3")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Zlib", ("zlib-warranty", "zlib-grant", "zlib-origin")),
+    ("BSL-1.0", ("bsl-line", "bsl-grant")),
+    ("BSL-1.0", ("bsl-line",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("CC0-1.0", ("cc0-waiver",)),
+    ("CC0-1.0", ("cc0-line",)),
+    ("EPL-2.0", ("epl2-line",)),
     ("MPL-2.0", ("mpl2-line",)),
     ("CC-BY-4.0", ("ccby4-line",)),
     ("CC-BY-SA-4.0", ("ccbysa4-line",)),
@@ -82,8 +117,8 @@ def _normal(sentence: str) -> str:
 
 
 def known_sentences() -> dict[str, str]:
-    """Identifier by normalised sentence; a written sentence with inner stops is keyed by its first part."""
-    return {_normal(re.split(SPLIT, s)[0]): name for name, written in SENTENCES.items() for s in written}
+    """Identifier by normalised sentence."""
+    return {_normal(re.sub(VERSION, r"v\1", s.lower())): name for name, written in SENTENCES.items() for s in written}
 
 
 def sentence_pattern() -> str:
@@ -102,28 +137,33 @@ def _ordered() -> list[tuple[str, tuple[str, ...]]]:
 
 
 def scan_licenses(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
-    """doc_id, n_matched, sentence_ids (joined by commas), license (null if none)."""
+    """doc_id, n_matched, sentence_ids (joined by commas), license (null if none) and
+    licenses, all that fit, joined by commas."""
     known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
     lines = F.regexp_replace(F.translate(F.lower(F.col(text)), STOP, " "), OPENING, "")
-    marked = F.concat(F.lit(STOP), F.regexp_replace(lines, r"[.!?;:]+[ \t\r\n]+|\n\n+", STOP), F.lit(STOP))
+    marked = F.concat(F.lit(STOP), F.regexp_replace(F.regexp_replace(lines, VERSION, "v$1"), r"[.!?;:]+[ \t\r\n]+|\n\n+", STOP), F.lit(STOP))
     plain = F.regexp_replace(marked, rf"[^a-z0-9\n{STOP}]+", " ")
     ids = F.transform(F.regexp_extract_all(plain, F.lit(sentence_pattern()), F.lit(0)), lambda s: F.element_at(known, F.regexp_replace(s, r"[ \n]+", " ")))
     found = F.when(F.lower(F.col(text)).rlike(SIGNS), ids).otherwise(F.array().cast("array<string>"))
     line = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
-    license = F.coalesce(*[F.when(line.rlike(rule_pattern(ids)), F.lit(name)) for name, ids in _ordered()])
+    fits = [F.when(line.rlike(rule_pattern(ids)), F.lit(name)) for name, ids in _ordered()]
+    everything = F.array_join(F.array_distinct(F.array_compact(F.array(*fits))), ",")
     matched = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(found, F.array().cast("array<string>")).alias("ids"))
-    return matched.select("doc_id", F.size("ids").cast("long").alias("n_matched"), F.array_join("ids", ",").alias("sentence_ids")).withColumn("license", license)
+    named = matched.select("doc_id", F.size("ids").cast("long").alias("n_matched"), F.array_join("ids", ",").alias("sentence_ids"))
+    return named.withColumns({"license": F.when(F.col("n_matched") > 0, F.coalesce(*fits)), "licenses": F.when(F.col("n_matched") > 0, everything).otherwise("")})
 
 
 def oracle() -> str:
     rows = ", ".join(f"('{s}', '{i}')" for s, i in known_sentences().items())
-    cases = " ".join(f"WHEN regexp_matches(',' || sentence_ids || ',', '{rule_pattern(ids)}') THEN '{name}'" for name, ids in _ordered())
+    fits = [f"CASE WHEN regexp_matches(',' || sentence_ids || ',', '{rule_pattern(ids)}') THEN '{name}' END" for name, ids in _ordered()]
+    names = list(dict.fromkeys(name for name, _ in _ordered()))
+    named = {name: " OR ".join(f"regexp_matches(',' || sentence_ids || ',', '{rule_pattern(ids)}')" for n, ids in RULES if n == name) for name in names}
     return rf"""
 WITH known(sentence, id) AS (VALUES {rows}),
-split AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(coalesce(text, ''), '{SPLIT}') AS parts FROM documents),
+split AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '{VERSION}', 'v\1', 'g'), '{SPLIT}') AS parts FROM documents),
 sentences AS (SELECT r, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM split),
-found AS (SELECT r, k, id FROM sentences JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = known.sentence),
+found AS (SELECT r, k, id FROM sentences JOIN known ON trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) = known.sentence),
 ids AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY k) AS sentence_ids FROM found GROUP BY r)
-SELECT doc_id, n_matched, sentence_ids, CASE {cases} END AS license
+SELECT doc_id, n_matched, sentence_ids, coalesce({", ".join(fits)}) AS license, concat_ws(',', {", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in named.items())}) AS licenses
 FROM (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matched, coalesce(sentence_ids, '') AS sentence_ids FROM split LEFT JOIN ids USING (r))
 """
