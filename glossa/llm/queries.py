@@ -9,7 +9,7 @@ from glossa.session import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
