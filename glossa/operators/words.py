@@ -137,7 +137,8 @@ def ngram_counts(passages: DataFrame, max_order: int, needed: DataFrame | None =
     the needed ones are shuffled where a list of them is given."""
     grams = ngrams(passages, max_order).select("order", "ngram")
     if needed is not None:
-        grams = grams.join(needed.select("order", "ngram").distinct(), ["order", "ngram"], "left_semi")
+        wanted = cut(needed.select("order", "ngram").distinct())
+        grams = grams.join(small_side(wanted, wanted.count()), ["order", "ngram"], "left_semi")
     counts = grams.groupBy("order", "ngram").agg(F.count(F.lit(1)).alias("cnt"))
     size = passages.select(F.size(word_array(F.col("text"))).alias("n")).agg(F.lit(0).alias("order"), F.lit("").alias("ngram"), F.coalesce(F.sum("n"), F.lit(0)).alias("cnt"))
     return counts.unionByName(size)
@@ -187,8 +188,8 @@ def count_violations(counts: DataFrame) -> DataFrame:
 
 def word_frequency(corpus: DataFrame, study: DataFrame) -> DataFrame:
     """Corpus counts of the study's words, from 1 for words it lacks."""
-    wanted = study.select("word").distinct()
-    counts = word_table(corpus).join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    wanted = cut(study.select("word").distinct())
+    counts = word_table(corpus).join(small_side(wanted, wanted.count()), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
     return wanted.join(counts, "word", "left").select("word", (F.coalesce("cnt", F.lit(0)) + 1).alias("freq_count"))
 
 

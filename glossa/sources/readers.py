@@ -90,9 +90,9 @@ def missing_keys(needed: DataFrame, store: DataFrame, keys: list[str]) -> DataFr
 def extend_counts(corpus: DataFrame, needed: DataFrame, store: DataFrame, index_name: str) -> DataFrame:
     """Rows (index_name, order, ngram, cnt) to append to a count store: counts of
     the needed n-grams that it lacks for this index, 0 for those the corpus lacks."""
-    open_ = missing_keys(needed, store.where(F.col("index_name") == index_name), ["order", "ngram"])
+    open_ = cut(missing_keys(needed, store.where(F.col("index_name") == index_name), ["order", "ngram"]))
     top = open_.agg(F.max("order")).first()[0] or 1
-    counts = ngrams(corpus, top).join(open_, ["order", "ngram"], "left_semi").groupBy("order", "ngram").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = ngrams(corpus, top).join(small_side(open_, open_.count()), ["order", "ngram"], "left_semi").groupBy("order", "ngram").agg(F.count(F.lit(1)).alias("cnt"))
     return open_.join(counts, ["order", "ngram"], "left").select(F.lit(index_name).alias("index_name"), "order", "ngram", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
