@@ -1,5 +1,13 @@
 """A training corpus from raw documents: toxic ones out, one of each group of near
-duplicates, repeated passages out, sources mixed to weight, and tokens."""
+duplicates, repeated passages out, sources mixed to weight, and tokens.
+
+Defined cases, for every stage: rows are judged each on its own, whatever ids
+they share; a null text counts as an empty one, which is no toxic document, no
+copy and no passage, and is in no mix; a null source is a source of its own; very
+long texts are handled whole; ties go by id and then by row; an empty table
+stays empty; columns other than those of documents are not carried past the
+second stage.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +22,14 @@ from glossa.session import cut, shared_dir, small_side, table
 DROPPED_ROWS = 2_000_000  # row numbers, 32 MB: broadcast up to here
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written once, so that a row is itself however
+    often its id occurs."""
+    home = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("row", F.monotonically_increasing_id()).write.parquet(home)
+    return docs.sparkSession.read.parquet(home)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -22,11 +38,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies stays: that of the least id, a null
-    last, and of several the first by number. The numbered rows are written once,
-    so that each row is judged for itself, however often its id occurs."""
-    home = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
-    docs.withColumn("row", F.monotonically_increasing_id()).write.parquet(home)
-    rows = spark.read.parquet(home)
+    last, and of several the first by number."""
+    rows = numbered(docs)
     found = near_dedup.near_duplicates(rows, doc_id="row", size=5)
     copies = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("row"), "component_id"))
     members = copies.unionByName(copies.select(F.col("component_id").alias("row"), "component_id").distinct())
@@ -44,9 +57,10 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    plan = mixing.mix(docs).groupBy("doc_id").agg(F.max(F.col("epochs") + F.col("more").cast("long")).alias("copies")).where("copies > 0")
-    repeated = docs.join(plan.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
+    """Each row as often as the mix takes it."""
+    rows = numbered(docs)
+    plan = mixing.mix(rows, table(spark, sf_dir, "labels"), keep=("row",)).select("row", (F.col("epochs") + F.col("more").cast("long")).alias("copies")).where("copies > 0")
+    repeated = rows.join(plan, "row")
     return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
