@@ -2,9 +2,12 @@
 
 Both dictionaries come from labelled text: one is trained on ordinary phrases,
 one holds, as raw content, the wording that sets toxic texts apart (words whose
-document frequency among toxic texts is well above that among ordinary ones). The ordinary model compresses with the
-first, the toxic model with both, so what they share costs the same and the
-difference of the two compressed lengths is what the toxic wording explains.
+document frequency among toxic texts is well above that among ordinary ones, the
+most telling up to TOXIC_BYTES). The ordinary model compresses with the first, the
+toxic model with both, so what they share costs the same and the difference of
+the two compressed lengths is what the toxic wording explains. The library's
+trainer makes no such dictionary: it cuts short words up between its segments
+(the README has the figures).
 Windows are single words between a carrier that both know (it pays for the
 block's fixed cost) and a tail (zstandard looks for no match in the last eight
 bytes). A window's saving is the difference over its length; a text is scored
@@ -12,13 +15,16 @@ by how many windows reach each of LEVELS, through a logistic calibration fitted
 on labelled texts that the dictionaries haven't seen.
 
 The fit uses a bounded sample of labelled rows, FIT_TOXIC and FIT_ORDINARY
-expected, chosen by hash; scoring is one map over all whole texts. Windows
-repeat, so a worker remembers MEMORY savings at most.
+expected, and fewer where these would hold more than FIT_CHARS characters,
+chosen by hash, and FIT_PHRASES of their phrases; scoring is one map over all
+whole texts. Windows repeat, so a worker remembers MEMORY savings at most.
 
 Defined cases: a null or empty text has no windows and gets the calibration's
-score for none; without labels of both kinds every score is 0; rows are scored
-each on its own; repeated labels of a document count once, toxic if any is;
-other columns are ignored.
+score for none; without labels of both kinds, or too few to train on, every score
+is 0; rows are scored each on its own, equal texts alike; repeated labels of a
+document count once, toxic if any is, and of several texts under one labelled id
+the least is the example; a very long text is scored whole; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.texts import fold, map_chunks
+from glossa.session import small_side
 
-FIT_TOXIC, FIT_ORDINARY = 3000, 6000
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS, FIT_PHRASES = 3000, 6000, 60_000_000, 50_000
 LEVELS = (0.2, 0.3, 0.4, 0.5)
 ORDINARY_BYTES, TOXIC_BYTES, MEMORY = 8192, 4096, 100_000
 LEAST_DOCS, LEAST_RATIO, THRESHOLD = 3, 8.0, 0.7
@@ -119,12 +126,16 @@ def dictionaries(rows: list[tuple[str, int]]) -> Distance | None:
     phrases = [b" " + b" ".join(words[k : k + 4]) + b" " for words in texts[0] for k in range(0, len(words), 4)]
     random.Random(0).shuffle(phrases)
     try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, phrases[:50_000]).as_bytes()
+        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, phrases[:FIT_PHRASES]).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         return None
-    # The library's trainer drops words shorter than its segments; the most telling stand last, nearest the text.
-    toxic = b" " + b" ".join(sorted(telling, key=lambda w: (docs[1][w], w)))[-TOXIC_BYTES:] + b" "
-    return Distance(ordinary, toxic)
+    chosen, held = [], 0
+    for word in sorted(telling, key=lambda w: (-docs[1][w], w)):
+        if (held := held + len(word) + 1) > TOXIC_BYTES:
+            break
+        chosen.append(word)
+    # The most telling stand last, nearest the text.
+    return Distance(ordinary, b" " + b" ".join(chosen[::-1]) + b" ")
 
 
 def train(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)) -> tuple[Distance, np.ndarray] | None:
@@ -150,8 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, text="text", doc_id="doc_id", tox
     sizes = {r["mark"]: r["count"] for r in marks.groupBy("mark").count().collect()}
     strides = [max(1, -(-sizes.get(k, 0) // most)) for k, most in enumerate((FIT_ORDINARY, FIT_TOXIC))]
     chosen = marks.where(F.pmod(F.xxhash64("of", F.lit("fit")), F.when(F.col("mark") == 1, strides[1]).otherwise(strides[0])) == 0)
-    sample = docs.select(F.col(doc_id).alias("of"), F.col(text).alias("text")).join(F.broadcast(chosen), "of")  # FIT_TOXIC + FIT_ORDINARY rows expected
-    rows = sorted((r["of"], r["text"] or "", r["mark"]) for r in sample.collect())
+    texts = docs.select(F.col(doc_id).alias("of"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    near = lambda some: texts.join(small_side(some, some.count()), "of").groupBy("of", "mark").agg(F.min("text").alias("text"))
+    chars = near(chosen).agg(F.sum(F.length("text"))).first()[0] or 0
+    if (thin := -(-chars // FIT_CHARS)) > 1:
+        chosen = chosen.where(F.pmod(F.xxhash64("of", F.lit("thin")), F.lit(thin)) == 0)
+    rows = sorted((r["of"], r["text"], r["mark"]) for r in near(chosen).collect())
     return train([r[1:] for r in rows], (float(strides[0]), float(strides[1])))
 
 
