@@ -133,7 +133,7 @@ def _purities(shapes: DataFrame, prior: Column) -> DataFrame:
     keyed = shapes.withColumns({"corpus": F.lit(""), "domain": registered_domain(F.col("host"))})
     out = keyed.select(*SCOPES, "shape").withColumn("purity", prior)
     for scope in SCOPES:
-        sums = keyed.groupBy(F.col(scope).alias("key"), "shape").agg(*[F.sum(c).alias(c) for c in COUNTS])
+        sums = cut(keyed.groupBy(F.col(scope).alias("key"), "shape").agg(*[F.sum(c).alias(c) for c in COUNTS]))
         grown = cut(grow_tree(sums, prior)).withColumnRenamed("key", scope)
         joined = out.join(small_side(grown, grown.count()), [scope, "shape"])
         purity = F.col("pooled") if scope == "corpus" else _smoothed(F.col("purity"), "blocked", "labelled")
