@@ -79,14 +79,16 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFra
     )
 
 
-def mix(docs: DataFrame, ratings: DataFrame | None = None, *, doc_id="doc_id", text="text", source="source", rating="quality", weights=(5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, ratings: DataFrame | None = None, *, doc_id="doc_id", text="text", source="source", rating="quality", weights=(5, 2, 1), cap: int = 3, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of
-    each document, whole epochs and the sampled fraction together.
+    each document, whole epochs and the sampled fraction together. keep names
+    columns that come along.
 
     A source's sample is the longest prefix within its budget, and then the one
     document outside it that fits best in what is left.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), text_quality(F.col(text)).alias("measured"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), text_quality(F.col(text)).alias("measured"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    carried = [f"kept_{c}" for c in keep]
     if ratings is not None:
         given = ratings.where(F.col(rating).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg((F.col(rating) > 0).cast("double")).alias("rating"))
         rows = rows.join(given, "doc_id", "left")
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, ratings: DataFrame | None = None, *, doc_id="doc_id", t
     base = cut(
         rows.withColumn("weight", F.col("measured") * factor)
         .withColumn("key", sampling_key(seed, F.col("doc_id"), F.col("size"), F.col("weight")))
-        .select("doc_id", "source", "size", "weight", "key", F.floor(F.log2("key") * OCTAVE).alias("bucket"), F.monotonically_increasing_id().alias("row"))
+        .select("doc_id", "source", "size", "weight", "key", F.floor(F.log2("key") * OCTAVE).alias("bucket"), F.monotonically_increasing_id().alias("row"), *carried)
     )
     histogram = base.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     sizes = histogram.groupBy("source").agg(F.sum("held").alias("source_size"))
@@ -119,7 +121,7 @@ def mix(docs: DataFrame, ratings: DataFrame | None = None, *, doc_id="doc_id", t
         planned.where(F.col("bucket") != edge)
         .withColumn("more", F.col("bucket") < edge)
         .unionByName(planned.where(F.col("bucket") == edge).withColumn("more", upto <= F.col("rest") - F.col("before")))
-        .select("row", "doc_id", "of", "key", "weight", "size", "source_size", "target", "epochs", "rest", "more")
+        .select("row", "doc_id", "of", "key", "weight", "size", "source_size", "target", "epochs", "rest", "more", *carried)
     )
     # What the prefix leaves of a budget goes to the document that fits it best.
     gaps = sampled.groupBy("of", "rest").agg(F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0)).alias("got"))
@@ -131,7 +133,7 @@ def mix(docs: DataFrame, ratings: DataFrame | None = None, *, doc_id="doc_id", t
     filled = sampled.join(small_side(fillers, count), F.col("row") == F.col("filler"), "left")
     more = F.col("more") | F.col("filler").isNotNull()
     taken = F.col("size") * F.col("epochs") + F.when(more, F.col("size")).otherwise(0)
-    return filled.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("epochs").cast("long").alias("epochs"), more.alias("more"), F.round("weight", 9).alias("weight"))
+    return filled.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("epochs").cast("long").alias("epochs"), more.alias("more"), F.round("weight", 9).alias("weight"), *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 
 ORACLE = r"""
