@@ -107,6 +107,6 @@ def resume_scores(passages: DataFrame, store: DataFrame, identity: str, compute:
     checked = stored.withColumn("found", F.lit(True)).join(of_stored, ["text_id", "word_id"], "full_outer")
     sound = F.col("found").isNotNull() & F.col("word").eqNullSafe(F.col("expected")) & F.coalesce(~F.isnan("value") & (F.abs("value") < float("inf")), F.lit(False))
     refused = F.raise_error(F.concat(F.lit("stored scores don't fit text "), F.col("text_id").cast("string")))
-    reused = checked.select("text_id", "word_id", F.when(sound, F.col("word")).otherwise(refused.cast("string")).alias("word"), "value")
+    reused = checked.where(F.when(sound, F.lit(True)).otherwise(refused.cast("boolean"))).select("text_id", "word_id", "word", "value")
     fresh = compute(passages.join(done, "text_id", "left_anti"))
     return reused.withColumn("reused", F.lit(True)).unionByName(fresh.select("text_id", "word_id", "word", "value").withColumn("reused", F.lit(False)))
