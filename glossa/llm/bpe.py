@@ -14,7 +14,8 @@ keeps the words it has met, MEMORY bytes at most, and forgets them all beyond th
 nothing is shuffled.
 
 Defined cases: a null text counts as empty, 0 tokens; strings of special
-tokens in a text become those tokens; rows are encoded each on its own; other
+tokens in a text become those tokens; a very long text is encoded whole, and so
+is a very long word; rows are encoded each on its own, equal texts alike; other
 columns are ignored.
 """
 

@@ -19,8 +19,10 @@ Defined cases: a null or empty text has no words and fails; a text without a
 letter is no text of any script and is rejected; a language with fewer than
 LEAST_TEXTS texts, or null, takes the bands of its script, and a script with
 fewer takes BANDS, the widest that any text may have; a length with fewer takes
-the entropy of the next shorter one; rows are judged each on its own; other
-columns are ignored.
+the entropy of the next shorter one; a figure that is just a limit is inside it,
+and letters of several scripts as often as each other are the first's by name; a
+very long text is measured whole; rows are judged each on its own; other columns
+are ignored.
 """
 
 from __future__ import annotations
