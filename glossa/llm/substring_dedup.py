@@ -8,36 +8,42 @@ windows have equal anchors at equal offsets, so the anchor's count is never
 below the window's, the sketch overestimates as count-min sketches do, and it
 holds a twelfth of the items. Only the cells that reach two matter after the
 merge: one bit each, MOST_CELLS * ROWS / 8 bytes at most (64 MB), which is what
-is broadcast. The second pass groups exactly, by 128-bit keys of the word
-sequences, the windows that the sketch takes for repeated. Beyond the sketch's
-capacity more windows pass it and the second pass does more; none is lost.
+is broadcast. The second pass walks the texts once more, writes down the windows
+that the sketch takes for repeated, and groups them by the 128-bit xxh3 of their
+words. Beyond the sketch's capacity more windows pass it and the second pass
+does more; none is lost.
 
-Documents with equal texts are collapsed first: all their windows are repeated,
-one of them stands for the rest, and none of them needs an answer.
+Documents with equal texts (by 128 bits of hash) are collapsed first: all their
+windows are repeated, one of them stands for the rest, and none of them needs an
+answer.
 
 Window counts combine before their shuffle; the way back to the documents is an
-equi-join on the window key, one row a key on one side, which Spark may split
-where a passage is hot.
+equi-join on the window key of the written windows with the written repeated
+keys, one row a key, which Spark may split where a passage is hot.
 
 Defined cases: a null or empty text has no words; a text shorter than a window
-is kept whole; repeated rows repeat each other's windows; other columns are
-ignored.
+is kept whole, and a very long one is walked whole in one task; a row is known by
+its id and 64 bits of its text's hash, so rows that share an id, or have none,
+are each judged by their own text; repeated rows repeat each other's windows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.shingles import U, mix, window_codes, word_codes
 from glossa.llm.texts import chunks, map_chunks, to_batch
-from glossa.session import cut, small_side
+from glossa.session import cut, shared_dir, small_side
 
 WINDOW, ANCHOR = 35, 12
 ROWS, BLOCK, MOST_CELLS, LEAST_CELLS = 2, 1 << 16, 1 << 28, 1 << 18
@@ -113,15 +119,17 @@ def repeated_cells(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, bits) -> DataFrame:
-    """Windows that the sketch takes for repeated: key, document, place and weight;
-    a document that stands for its copies has weight 2 and no place."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("weight", pa.int32())])
+    """Windows that the sketch takes for repeated: key, number of the row, place and
+    weight; a document that stands for its copies has weight 2 and no place. A row
+    that has any gives its id and mark as well, once, without a key."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("weight", pa.int32()), ("id", pa.int64()), ("mark", pa.int64())])
+    digest = xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = bits.value
         width = lines.shape[1] * 8
         for rows in chunks(batches):
-            parts = []
+            parts, heads = [], []
             for row in rows:
                 words = _words(row["text"])
                 if len(words) < WINDOW or row["role"] == "copy":
@@ -135,24 +143,34 @@ def _candidates(docs: DataFrame, bits) -> DataFrame:
                     often &= (lines[line][cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
                 hit = np.flatnonzero(often[np.searchsorted(places, at)])
                 if len(hit):
-                    first, second = window_codes(codes, WINDOW)[hit], window_codes(mix(codes ^ U(0x5851F42D4C957F2D)), WINDOW)[hit]
-                    place = hit + (row["mark"] << 32) if row["role"] is None else np.full(len(hit), -1)
-                    parts.append((first.view(np.int64), second.view(np.int64), np.full(len(hit), row["id"]), place, np.full(len(hit), 1 if row["role"] is None else 2, np.int32)))
+                    joined = b" ".join(words)
+                    starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
+                    spans = zip(starts[hit].tolist(), (starts[hit + WINDOW] - 1).tolist(), strict=True)
+                    keys = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in spans]), np.int64).reshape(-1, 2)
+                    alone = row["role"] is None
+                    parts.append((keys[:, 0], keys[:, 1], np.full(len(hit), row["row"]), hit.astype(np.int32) if alone else np.full(len(hit), -1, np.int32), np.full(len(hit), 1 if alone else 2, np.int32)))
+                    if alone:
+                        heads.append((None, None, row["row"], None, None, row["id"], row["mark"]))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
+                columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+                columns += [pa.nulls(len(columns[0]), pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            if heads:
+                yield to_batch(heads, schema)
 
-    return docs.mapInArrow(run, "k1 long, k2 long, id long, at long, weight int")
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    return numbered.mapInArrow(run, "k1 long, k2 long, row long, at int, weight int, id long, mark long")
 
 
 def _with_roles(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """id, doc_id, text, mark (31 bits of the text's hash) and role: null, or for
-    equal texts 'first' on one and 'copy' on the others."""
+    """id, text and mark (its hash) of every row, and (id, mark, role) of equal texts:
+    'first' on one of them, or on all of that id, and 'copy' on the others."""
     rows = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("id"), F.col(text).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    rows = rows.withColumn("h1", F.xxhash64("text")).withColumn("mark", F.pmod("h1", F.lit(1 << 31)))
-    hashed = rows.where("text is not null").select("id", "mark", "h1", F.xxhash64(F.lit("second"), "text").alias("h2"))
-    same = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
-    roles = cut(hashed.join(same, ["h1", "h2"]).groupBy("id", "mark").agg(F.max(F.when(F.col("id") == F.col("first"), "first").otherwise("copy")).alias("role")))
-    return rows.drop("h1"), roles
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    hashed = rows.where("text is not null").select("id", "mark", F.xxhash64(F.lit("second"), "text").alias("h2"))
+    same = hashed.groupBy("mark", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
+    roles = cut(hashed.join(same, ["mark", "h2"]).groupBy("id", "mark").agg(F.max(F.when(F.col("id") == F.col("first"), "first").otherwise("copy")).alias("role")))
+    return rows, roles
 
 
 def remove_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -164,10 +182,15 @@ def remove_repeats(docs: DataFrame, *, doc_id="doc_id", text="text", keep_text:
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     width = min(MOST_CELLS, max(LEAST_CELLS, 1 << (chars // CHARS_PER_CELL).bit_length()))
     bits = docs.sparkSession.sparkContext.broadcast(repeated_cells(placed.where("role is null or role = 'first'").select("text", "role"), width))
-    found = _candidates(placed.select("id", "text", "mark", "role"), bits)
-    repeated = found.groupBy("k1", "k2").agg(F.sum("weight").alias("n")).where("n > 1").select("k1", "k2")
-    hits = found.where("at >= 0").join(repeated, ["k1", "k2"]).select("id", F.shiftright("at", 32).alias("mark"), F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("at"))
-    marked = cut(hits.groupBy("id", "mark").agg(F.sort_array(F.collect_set("at")).alias("hits")))
+    spark, home = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/windows-{uuid.uuid4().hex}"
+    _candidates(placed.select("id", "text", "mark", "role"), bits).write.parquet(f"{home}/found")
+    found = spark.read.parquet(f"{home}/found")
+    # Written tables take less of the disk than checkpoints, which aren't compressed.
+    found.where("k1 is not null").groupBy("k1", "k2").agg(F.sum("weight").alias("n")).where("n > 1").select("k1", "k2").write.parquet(f"{home}/repeated")
+    repeated = spark.read.parquet(f"{home}/repeated")
+    hits = found.where("at >= 0").join(small_side(repeated, repeated.count()), ["k1", "k2"]).select("row", "at")
+    by_row = hits.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("hits"))
+    marked = cut(by_row.join(found.where("k1 is null").select("row", "id", "mark"), "row").select("id", "mark", "hits"))
     touched = marked.select("id", "mark")
     side = small_side(touched, touched.count(), ID_ROWS)
     full = placed.join(side, ["id", "mark"], "left_semi").join(marked, ["id", "mark"], "left")
