@@ -7,26 +7,27 @@ checked by the Jaccard estimate of its registers, corrected for the collisions
 that short registers have by chance, and then on the full sets.
 
 Documents with equal sets are one class from the start, so copies never meet
-in a bucket. Within a bucket one head is compared with the others
-first: the member that meets most others. A bucket of many near copies
-collapses there without its pairs being listed. Components that still meet in a
-bucket are then compared whole, member by member, in cells of bounded size, so
-no link that a bucket shows is lost. At a similarity of
-0.8 two documents share no bucket with probability 6e-7.
+in a bucket. Within a bucket one front is compared with the others first: the
+member that meets most others. A bucket of many near copies collapses there
+without its pairs being listed. Components that still meet in a bucket are then
+compared whole, member by member, as hosts and visitors in cells of bounded
+size, so no link that a bucket shows is lost. At a similarity of 0.8 two
+documents share no bucket with probability 6e-7.
 
 Buckets are counted with partial sums and joined by key, so a hot bucket is
 never gathered in one task.
 
 Defined cases: a null or empty text has no shingles, links with nothing and is
-kept; a text shorter than a shingle is one shingle; repeated rows of an id
-share its component; rows with a null id count as the last id; other columns
-are ignored.
+kept; a text shorter than a shingle is one shingle; a very long text is one row
+of a cell like any other; repeated rows of an id are one document and share its
+component; a row with a null id is a document by its text (62 bits of its hash),
+never the least of a component that has an id, and its own component_id is null
+where there is none; other columns are ignored. Ids are below 2^62.
 """
 
 from __future__ import annotations
 
 import functools
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +39,15 @@ from pyspark.sql import functions as F
 
 from glossa.llm.components import components
 from glossa.llm.shingles import U, mix, shingle_set
-from glossa.llm.texts import map_chunks, to_batch
+from glossa.llm.texts import gathered, map_chunks, to_batch
 from glossa.session import cut, small_side
 
 BANDS, ROWS, MANTISSA = 36, 5, 10
 REGISTERS = BANDS * ROWS
-BLOCK = 128  # members and visitors of a cell
+BLOCK, BLOCK_SHINGLES = 1024, 400_000  # members, or visitors, of a cell and their shingles
+SMALL = 128  # components under SMALL documents share a host
 SIMILAR_PERCENT, SLACK = 80, 0.15  # the estimate's standard error is 0.03
-LAST = 2**63 - 1
+UNNAMED = 2**62  # rows without an id go by this bit and a hash of their text
 ID_ROWS = 2_000_000  # ids, 32 MB: broadcast up to here
 _rng = np.random.default_rng(9)
 _ODD = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
@@ -107,24 +109,6 @@ def _banded(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", F.explode(F.pandas_udf(keys, "array<long>")("registers")).alias("key"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """pairs(a, b) whose full sets are similar enough."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = docs.join(small_side(ids, ids.count(), ID_ROWS), "id")
-    left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-
-    def similar(first: pd.Series, second: pd.Series) -> pd.Series:
-        sets = functools.lru_cache(64)(lambda text: shingle_set(text, size))
-        out = []
-        for x, y in zip(first, second, strict=True):
-            p, q = sets(x), sets(y)
-            both = np.intersect1d(p, q, assume_unique=True).size
-            out.append(100 * both >= SIMILAR_PERCENT * (p.size + q.size - both))
-        return pd.Series(out, dtype=bool)
-
-    return pairs.join(right, "b").join(left, "a").where(F.pandas_udf(similar, "boolean")("text_a", "text_b")).select("a", "b").distinct()
-
-
 def _compare(size: int):
     """Links within cells: rows sorted by cell, a host's members (side 0) against
     visitors (side 1) of other components. The registers' estimate chooses the pairs whose
@@ -169,77 +153,88 @@ def _compare(size: int):
     return run
 
 
-def _across(open_: DataFrame, docs: DataFrame, registers_of: DataFrame, size: int) -> DataFrame:
-    """Links between the components that still share a bucket. Members of the smaller
-    component visit the larger; a host's members and its visitors are dealt into
-    cells of about BLOCK each way, so texts travel once a cell, not a pair. As all order
-    buckets alike by size, a large bucket has few hosts."""
-    crowd = F.shiftleft(F.least("g", F.lit(2**22)), 40).bitwiseOR(F.col("key").bitwiseAND(F.lit(2**40 - 1)))  # by size, then by name
-    sizes = open_.groupBy("root").agg(F.countDistinct("id").alias("weight"), F.max(crowd).alias("top"))
-    # Small components that share their largest bucket are one host, a large one is its own.
-    host = F.when(F.col("weight") >= BLOCK, F.concat(F.lit("r"), F.col("root"))).otherwise(F.concat(F.lit("k"), F.col("top")))
-    weighed = cut(open_.join(sizes, "root").select("key", "id", "root", F.struct("weight", "root").alias("rank"), host.alias("host")))
-    members = weighed.select("host", "id", "root").distinct()
-    hosts = weighed.groupBy("key", "host").agg(F.max("rank").alias("host_rank"))
-    visits = weighed.drop("host").join(hosts, "key").where(F.col("rank") < F.col("host_rank")).select("host", "id", "root").distinct()
-    weights = members.groupBy("host").agg(F.count(F.lit(1)).alias("weight"))
-    plan = visits.groupBy("host").agg(F.count(F.lit(1)).alias("visitors")).join(weights, "host")
-    ways = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    plan = cut(plan.select("host", ways("weight").alias("na"), ways("visitors").alias("nb")))
+def _meet(members: DataFrame, visits: DataFrame, docs: DataFrame, registers_of: DataFrame, size: int) -> DataFrame:
+    """Links of members (host, id, root, n) with visits (likewise), both distinct. A
+    host's members and its visitors are dealt into cells of about BLOCK rows, or
+    BLOCK_SHINGLES where they are long, each way, so texts travel once a cell, not a
+    pair."""
+    ways = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    plan, hosts = gathered(cut(visits.groupBy("host").agg(ways.alias("nb")).join(members.groupBy("host").agg(ways.alias("na")), "host")))
+    plan = small_side(plan, hosts)
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     inside = members.join(plan, "host").select("host", "id", "root", F.lit(0).alias("side"), place("na").alias("x"), F.explode(every("nb")).alias("y"))
     outside = visits.join(plan, "host").select("host", "id", "root", F.lit(1).alias("side"), F.explode(every("na")).alias("x"), place("nb").alias("y"))
-    seats = inside.unionByName(outside).select("id", "root", "side", F.concat_ws("-", "host", "x", "y").alias("cell"))
-    ids = members.select("id").distinct()
+    seats, _ = gathered(cut(inside.unionByName(outside).select("id", "root", "side", F.concat_ws("-", "host", "x", "y").alias("cell"))))
+    ids = seats.select("id").distinct()
     texts = docs.join(small_side(ids, ids.count(), ID_ROWS), "id").join(registers_of, "id")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = seats.join(texts, "id").select("cell", "side", "id", "root", "n", "registers", "text").repartition(tasks, "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(_compare(size), "a long, b long")
+    return dealt.mapInArrow(_compare(size), "a long, b long").distinct()
+
+
+def _fronts(open_: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each bucket's member that meets most others, with those of the bucket that it may
+    be near by size and by the registers' estimate. The original of many copies
+    shares more buckets than any copy, so a bucket of them collapses here."""
+    met_most = open_.groupBy("id").agg(F.sum("g").alias("met"))
+    fronts = open_.join(met_most, "id").groupBy("key").agg(F.max(F.struct("met", "id", "n", "root")).alias("f")).select("key", F.col("f.id").alias("front"), F.col("f.n").alias("front_n"), F.col("f.root").alias("front_root"))
+    sized = (F.least("n", "front_n") * 100 >= F.greatest("n", "front_n") * SIMILAR_PERCENT) & (F.col("front_root") != F.col("root"))
+    met = open_.join(fronts, "key").where(sized).groupBy("front", "id").agg(F.min("root").alias("root"), F.min("front_root").alias("front_root"))
+    own, other = (known.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")) for c in ("id", "front"))
+    rated = met.join(own, "id").join(other, "front")
+    likely, _ = gathered(cut(rated.where(F.pandas_udf(estimate, "double")("r_front", "r_id", "n_front", "n_id") >= SIMILAR_PERCENT / 100 - SLACK).select("front", "front_root", "n_front", "id", "root", "n_id")))
+    host = F.col("front").cast("string").alias("host")
+    return likely.groupBy(host, F.col("front").alias("id"), F.col("front_root").alias("root")).agg(F.max("n_front").alias("n")), likely.groupBy(host, "id", "root").agg(F.max("n_id").alias("n"))
+
+
+def _hosts(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hosts, and who visits them, so that all components that share a bucket meet.
+
+    A large component is a host of its own; small ones that share their largest
+    bucket are a host together, and all of them visit it. From other hosts those
+    who share a bucket visit the higher one. As all order buckets alike by size, a
+    large bucket has few hosts.
+    """
+    crowd = F.shiftleft(F.least("g", F.lit(2**22)), 40).bitwiseOR(F.col("key").bitwiseAND(F.lit(2**40 - 1)))  # by size, then by name
+    sizes = open_.groupBy("root").agg(F.countDistinct("id").alias("weight"), F.max(crowd).alias("top"))
+    small = F.col("weight") < SMALL
+    own = F.when(small, F.concat(F.lit("k"), F.col("top"))).otherwise(F.concat(F.lit("r"), F.col("root")))
+    placed, _ = gathered(cut(open_.join(sizes, "root").select("key", "id", "n", "root", F.struct("weight", "root").alias("rank"), own.alias("own"), small.alias("small"))))
+    seat = ["host", "id", "root", "n"]
+    members, _ = gathered(cut(placed.groupBy(F.col("own").alias("host"), "id", "root", "small").agg(F.max("n").alias("n"))))
+    inside = members.where("small").select(*seat)
+    hosts = placed.groupBy("key", "own").agg(F.max("rank").alias("host_rank")).withColumnRenamed("own", "host")
+    outside = placed.join(hosts, "key").where("own != host and rank < host_rank").groupBy("host", "id", "root").agg(F.max("n").alias("n"))
+    return members.select(*seat), inside.unionByName(outside.select(*seat))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id that links reach), kept."""
-    docs = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
+    unnamed = F.lit(UNNAMED).bitwiseOR(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(UNNAMED - 1)))
+    docs = docs.select(F.coalesce(F.col(doc_id), unnamed).alias("id"), F.col(text).alias("text"))
     sketches = cut(_sketch(docs, size))
     # A class goes by its least id. An id with several texts has several classes, and all its texts are compared.
     classes = cut(sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "registers")).alias("c")).select("digest", "c.*"))
     banded = _banded(classes.select("id", "n", "registers"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("first"), F.max("id").alias("final")).where("first < final")
     buckets = cut(banded.join(sizes, "key").select("key", "id", "n", "g"))
-    # The original of many copies shares more buckets than any copy: the member met most is the first head.
-    met_most = buckets.groupBy("id").agg(F.sum("g").alias("met"))
-    fronts = buckets.join(met_most, "id").groupBy("key").agg(F.max(F.struct("met", "id", "n")).alias("f")).select("key", F.col("f.id").alias("front"), F.col("f.n").alias("front_n"))
     roots = sketches.where("digest is not null").join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b").where("a != b")
     roots = components(roots)
     known = classes.select("id", "n", "registers")
-    first = True
-    while True:
+    for among in (lambda rows: _fronts(rows, known), _hosts):
         placed = buckets.join(roots.select(F.col("a").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        open_ = cut(placed.join(mixed, "key"))
-        if open_.isEmpty():
-            break
-        if not first:
-            # All components that still meet are compared; what one link joins is joined, so this ends it.
-            links = cut(_across(open_, docs, known, size).distinct())
-            roots = components(roots.select("a", F.col("root").alias("b")).unionByName(links))
+        open_, rows = gathered(cut(placed.join(mixed, "key")))
+        if not rows:
             break
-        placed_fronts = fronts.join(roots.select(F.col("a").alias("front"), F.col("root").alias("front_root")), "front", "left")
-        placed_fronts = placed_fronts.withColumn("front_root", F.coalesce("front_root", "front"))
-        sized = (F.least("n", "front_n") * 100 >= F.greatest("n", "front_n") * SIMILAR_PERCENT) & (F.col("front_root") != F.col("root"))
-        met = open_.join(placed_fronts, "key").where(sized).select(F.least("id", "front").alias("a"), F.greatest("id", "front").alias("b")).distinct()
-        rated = met.join(known.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b")), "b").join(
-            known.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a")), "a"
-        )
-        likely = rated.where(F.pandas_udf(estimate, "double")("r_a", "r_b", "n_a", "n_b") >= SIMILAR_PERCENT / 100 - SLACK).select("a", "b").distinct()
-        links = cut(_verified(cut(likely), docs, size))
+        links = cut(_meet(*among(open_), docs, known, size))
         roots = components(roots.select("a", F.col("root").alias("b")).unionByName(links))
-        buckets, first = open_.select("key", "id", "n", "g"), False
+        buckets = open_.select("key", "id", "n", "g")
     found = sketches.select("id", F.col("n").alias("n_shingles")).join(roots.select(F.col("a").alias("id"), "root"), "id", "left")
-    own = F.when(F.col("id") < LAST, F.col("id"))
-    component = F.coalesce("root", own)
-    return found.select(own.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == own, F.col("root").isNull()).alias("kept"))
+    component = F.coalesce("root", "id")
+    named = lambda c: F.when(c < UNNAMED, c)
+    return found.select(named(F.col("id")).alias("doc_id"), "n_shingles", named(component).alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
 #: For two-word shingles and one row an id.

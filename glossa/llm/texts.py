@@ -54,6 +54,17 @@ def map_chunks(df: DataFrame, work: Callable[[list[dict]], list[tuple]], ddl: st
     return df.mapInArrow(run, ddl)
 
 
+ROWS_PER_TASK = 50_000
+
+
+def gathered(df: DataFrame) -> tuple[DataFrame, int]:
+    """A written df in as many partitions as its counted rows need, and their number: a
+    shuffle of few rows then costs few files, not one a task."""
+    rows = df.count()
+    parts = max(1, -(-rows // ROWS_PER_TASK))
+    return df.coalesce(parts), rows
+
+
 def fold(doc_id: str, parts: int):
     """crc32 of the id's text, modulo parts."""
     return F.crc32(F.col(doc_id).cast("string")) % parts
