@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, fertility, fingerprint, language, licenses, mixing, near_dedup, substring_dedup, toxicity, url_filter
+from glossa.llm import bpe, fertility, fingerprint, language, licenses, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
 from glossa.session import table
 
 
@@ -48,6 +48,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_copies(table(spark, sf_dir, "documents"), keep_first=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +65,7 @@ QUERIES = {
         op8_language,
         op9_near_dedup,
         op10_fingerprint,
+        op12_suffix_dedup,
     )
 }
 ORACLES = {
@@ -69,4 +74,5 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op7_licenses": licenses.oracle(),
     "op9_near_dedup": near_dedup.ORACLE,
+    "op12_suffix_dedup": suffix_dedup.ORACLE,
 }
