@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, fertility, fingerprint, language, licenses, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
+from glossa.llm import bpe, divergence, fertility, fingerprint, language, licenses, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
 from glossa.session import table
 
 
@@ -52,6 +52,10 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_copies(table(spark, sf_dir, "documents"), keep_first=False)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +70,7 @@ QUERIES = {
         op9_near_dedup,
         op10_fingerprint,
         op12_suffix_dedup,
+        op13_divergence,
     )
 }
 ORACLES = {
@@ -75,4 +80,5 @@ ORACLES = {
     "op7_licenses": licenses.oracle(),
     "op9_near_dedup": near_dedup.ORACLE,
     "op12_suffix_dedup": suffix_dedup.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
