@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, divergence, fertility, fingerprint, language, licenses, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
+from glossa.llm import bpe, divergence, fertility, fingerprint, language, licenses, mixing, near_dedup, resampling, substring_dedup, suffix_dedup, toxicity, url_filter
 from glossa.session import table
 
 
@@ -48,6 +48,11 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_copies(table(spark, sf_dir, "documents"), keep_first=False)
 
@@ -69,6 +74,7 @@ QUERIES = {
         op8_language,
         op9_near_dedup,
         op10_fingerprint,
+        op11_resampling,
         op12_suffix_dedup,
         op13_divergence,
     )
@@ -79,6 +85,7 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op7_licenses": licenses.oracle(),
     "op9_near_dedup": near_dedup.ORACLE,
+    "op11_resampling": resampling.ORACLE,
     "op12_suffix_dedup": suffix_dedup.ORACLE,
     "op13_divergence": divergence.ORACLE,
 }
