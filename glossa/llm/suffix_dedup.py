@@ -7,8 +7,8 @@ windows whole. Suffixes that begin in pieces of different anchors differ within
 window, so the suffix array of a corpus, as deep as a window, falls into one array an
 anchor, and these are built apart in tasks.
 
-Equal pieces are collapsed to one with a count before anything is gathered; an anchor
-with one distinct piece needs no array. The others' pieces are put in suffix order; the
+Equal pieces (by 64 bits of hash under one anchor) are collapsed to one with a count
+before anything is gathered; an anchor with one distinct piece needs no array. The others' pieces are put in suffix order; the
 previous smaller and next smaller text positions around each suffix give the longest
 match that begins earlier in the corpus (the longest previous factor) and, with
 positions turned round, the longest that begins later. A window is a later copy if its
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.shingles import U, mix
-from glossa.llm.texts import chunks
+from glossa.llm.texts import chunks, to_batch
 from glossa.session import cut, shared_dir, small_side
 
 WINDOW, ANCHOR = 200, 64
@@ -49,12 +49,15 @@ MOST_STARTS = 200  # of a piece: a longer run of one anchor (periodic text) is s
 SLICE, PLACES = 1 << 20, U((1 << 21) - 1)  # starts of a long text that are hashed at once, and the bits of their places
 CROWD = 300_000  # starts of an anchor's distinct pieces that one array takes, some 150 MB
 BATCH_STARTS = 16_000  # small anchors share an array up to here
-KEY_ROWS = 1_000_000  # of anchors or texts, 16 MB: broadcast up to here
+KEY_ROWS = 50_000  # of anchors or texts: broadcast up to here
 LAST = 2**63 - 1
 _FACTORS = np.random.default_rng(12).integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
-PIECE = pa.schema([("key", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("id", pa.int64()), ("m1", pa.int64()), ("m2", pa.int64()), ("at", pa.int32()), ("run", pa.int32()), ("n", pa.int32()), ("inner", pa.int32()), ("body", pa.binary())])
-PIECE_DDL = "key long, d1 long, d2 long, id long, m1 long, m2 long, at int, run int, n int, inner int, body binary"
-FLAGS = pa.schema([("key", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("flags", pa.list_(pa.int32()))])
+PIECE = pa.schema([(n, pa.int64()) for n in ("key", "d", "id", "mark")] + [(n, pa.int32()) for n in ("at", "run", "n", "inner")])
+PIECE_DDL = "key long, d long, id long, mark long, at int, run int, n int, inner int"
+BODY = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("at", pa.int32()), ("run", pa.int32()), ("body", pa.binary())])
+BODY_DDL = "key long, d long, id long, mark long, at int, run int, body binary"
+FLAGS = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("flags", pa.list_(pa.int32()))])
+WINDOWS = pa.schema([(n, pa.int64()) for n in ("w1", "w2", "key", "d", "id", "mark")] + [("at", pa.int32()), ("k", pa.int32())])
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +87,16 @@ def pieces_of(keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, mark, n, text) to their pieces."""
     held: list[tuple] = []
-    digest = xxhash.xxh3_128_digest
+    digest = xxhash.xxh3_64_intdigest
 
     def batch() -> pa.RecordBatch:
-        keys, digests, owners, places, runs, inner, bodies = zip(*held, strict=True)
+        keys, digests, owners, places, runs, inner = zip(*held, strict=True)
         lengths = [len(k) for k in keys]
-        d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        id_, m1, m2, n = (np.repeat(np.array(c, np.int64), lengths) for c in zip(*owners, strict=True))
-        columns = [np.concatenate(keys).view(np.int64), d[:, 0], d[:, 1], id_, m1, m2, np.concatenate(places).astype(np.int32), np.concatenate(runs).astype(np.int32), n.astype(np.int32), np.concatenate(inner).astype(np.int32), [b for part in bodies for b in part]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE, strict=True)], schema=PIECE)
+        id_, mark, n = (np.repeat(np.array(c, np.int64), lengths) for c in zip(*owners, strict=True))
+        columns = [np.concatenate(keys).view(np.int64), np.concatenate(digests).view(np.int64), id_, mark, np.concatenate(places), np.concatenate(runs), n, np.concatenate(inner)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns, PIECE, strict=True)], schema=PIECE)
 
     for rows in chunks(batches):
         for row in rows:
@@ -102,8 +105,8 @@ def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = data[low : low + SLICE + WINDOW - 1]
                 keys, place = anchors(part)
                 starts, ends, inner = pieces_of(keys, place)
-                bodies = [part[a : b + WINDOW - 1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                held.append((keys[starts], b"".join(map(digest, bodies)), (row["id"], row["m1"], row["m2"], row["n"]), starts + low, ends - starts, inner, bodies))
+                digests = [digest(part[a : b + WINDOW - 1]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                held.append((keys[starts], np.array(digests, np.uint64), (row["id"], row["mark"], row["n"]), starts + low, ends - starts, inner))
                 if low:
                     yield batch()
                     held.clear()
@@ -112,6 +115,17 @@ def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.clear()
 
 
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, mark, text, wanted) to the bytes of the wanted pieces."""
+    for rows in chunks(batches):
+        for row in rows:
+            data = row["text"].encode("utf-8", "surrogatepass")
+            for low in range(0, len(row["wanted"]), 10_000):
+                some = row["wanted"][low : low + 10_000]
+                lines = [(p["key"], p["d"], row["id"], row["mark"], p["at"], p["run"], data[p["at"] : p["at"] + p["run"] + WINDOW - 1]) for p in some]
+                yield to_batch(lines, BODY)
+
+
 def longest_previous(position: list[int], common: list[int]) -> list[int]:
     """For each suffix, in suffix order, the longest prefix that it shares with one at a
     smaller position; common[r] is what suffix r shares with the one before it. The
@@ -160,11 +174,9 @@ def _arrays(keep_first: bool):
     """Pieces sorted by anchor to their flagged starts."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        ranked = sorted(range(len(rows)), key=lambda k: tuple(rows[k]["first"].values()))
+        ranked = sorted(range(len(rows)), key=lambda k: (rows[k]["id"], rows[k]["mark"], rows[k]["at"]))
         flags = factors([r["body"] for r in rows], [r["run"] for r in rows], ranked, keep_first)
-        marked = [(r["key"], r["d1"], r["d2"], spans_of(f)) for r, f in zip(rows, flags, strict=True) if f.any()]
-        columns = zip(*marked, strict=True) if marked else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FLAGS, strict=True)], schema=FLAGS)
+        return to_batch([(r["key"], r["d"], spans_of(f)) for r, f in zip(rows, flags, strict=True) if f.any()], FLAGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, starts = [], 0
@@ -185,75 +197,80 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of crowded anchors, one row a window: its hash and where it is."""
     for batch in batches:
         for row in batch.to_pylist():
-            body, size = row["body"], row["run"]
-            d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(body[k : k + WINDOW]) for k in range(size)]), np.int64).reshape(-1, 2)
-            same = {c: np.full(size, row[c]) for c in ("key", "d1", "d2")}
-            first = {c: np.full(size, v) for c, v in row["first"].items()}
-            yield pa.RecordBatch.from_pydict({"w1": d[:, 0], "w2": d[:, 1], **same, **first, "k": np.arange(size, dtype=np.int32)})
+            size, same = row["run"], [row[c] for c in ("key", "d", "id", "mark", "at")]
+            w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(row["body"][k : k + WINDOW]) for k in range(size)]), np.int64).reshape(-1, 2)
+            columns = [w[:, 0], w[:, 1], *(np.full(size, v) for v in same), np.arange(size)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns, WINDOWS, strict=True)], schema=WINDOWS)
 
 
-def _crowded(pieces: DataFrame, keep_first: bool) -> DataFrame:
+def _crowded(bodies: DataFrame, keep_first: bool) -> DataFrame:
     """Flagged starts of crowded anchors' pieces, by counting windows."""
-    where = "id long, m1 long, m2 long, at int, k int"
-    windows = pieces.select("key", "d1", "d2", "first", "run", "body").mapInArrow(_windows, f"w1 long, w2 long, key long, d1 long, d2 long, {where}")
-    place = F.struct("id", "m1", "m2", "at", "k")
+    windows = bodies.mapInArrow(_windows, "w1 long, w2 long, key long, d long, id long, mark long, at int, k int")
+    place = F.struct("id", "mark", "at", "k")
     counted = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("met"), F.min(place).alias("least")).where("met > 1")
     again = windows.join(counted, ["w1", "w2"])
     if keep_first:
         again = again.where(place != F.col("least"))
     starts = F.sort_array(F.collect_set("k"))
-    return again.groupBy("key", "d1", "d2").agg(F.flatten(F.transform(starts, lambda k: F.array(k, k + 1))).alias("flags"))
+    return again.groupBy("key", "d").agg(F.flatten(F.transform(starts, lambda k: F.array(k, k + 1))).alias("flags"))
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """id, text and hash (m1, m2) of every row, and (m1, m2, first) of texts that
-    several rows have."""
-    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("id"), F.col(text).alias("text")).withColumns({"m1": F.xxhash64("text"), "m2": F.xxhash64(F.lit("second"), "text")})
+    """id, text, mark (its hash) and a second hash of every row, and (mark, second,
+    first) of texts that several rows have."""
+    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).alias("id"), F.col(text).alias("text")).withColumns({"mark": F.xxhash64("text"), "second": F.xxhash64(F.lit("second"), "text")})
     long_ones = rows.where(F.octet_length("text") >= WINDOW)
-    return rows, cut(long_ones.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first")).where("rows > 1"))
+    return rows, cut(long_ones.groupBy("mark", "second").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first")).where("rows > 1"))
+
+
+def _side(df: DataFrame, limit: int = KEY_ROWS) -> DataFrame:
+    return small_side(df, df.count(), limit)
+
+
+def _of_texts(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """rows that lists has (id, mark) of, with its columns: others aren't shuffled."""
+    return rows.join(_side(lists.select("id", "mark")), ["id", "mark"], "left_semi").join(lists, ["id", "mark"])
 
 
 def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", keep_first: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows with their texts' hashes, texts of several rows, and (m1, m2, spans) of
-    each text: starts that are later copies (or repeated), as [begin, end) of windows."""
+    """The rows with their texts' hashes, texts of several rows, and (id, mark, spans) of
+    texts: starts that are later copies (or repeated), as [begin, end) of windows."""
     rows, copies = _texts(docs, doc_id, text)
-    home = f"{shared_dir(docs.sparkSession)}/pieces-{uuid.uuid4().hex}"
-    read = docs.sparkSession.read.parquet
-    known = rows.join(small_side(copies, copies.count(), KEY_ROWS), ["m1", "m2"], "left").where("first is null or id = first")
+    spark, home = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/pieces-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """df as a table, so that later steps neither compute it nor its shuffles again."""
+        df.write.parquet(f"{home}/{name}")
+        return spark.read.parquet(f"{home}/{name}")
+
+    walked = rows.join(_side(copies), ["mark", "second"], "left").where("first is null or id = first")
     weight = F.lit(1) if keep_first else F.when(F.col("first").isNull(), 1).otherwise(2)  # a copy goes whole, and only the first is walked
-    known.select("id", "m1", "m2", weight.alias("n"), "text").mapInArrow(_cut_up, PIECE_DDL).write.option("compression", "zstd").parquet(f"{home}/pieces")
-    pieces = read(f"{home}/pieces")
-    several = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2")) | (F.max("inner") > 0) | F.lit(keep_first)
-    pieces.groupBy("key").agg((F.sum("n") + F.max("inner")).alias("met"), several.alias("several")).where("met > 1").select("key", "several").write.parquet(f"{home}/keys")
-    keys = read(f"{home}/keys")
-    plain, mixed = (keys.where(w).select("key") for w in ("not several", "several"))
-    one = pieces.join(small_side(plain, plain.count(), KEY_ROWS), "key").select("m1", "m2", "at", F.array(F.lit(0), F.col("run")).alias("flags"))
-    of_mixed = pieces.join(small_side(mixed, mixed.count(), KEY_ROWS), "key")
-    whole = of_mixed.groupBy("key", "d1", "d2").agg(F.sum("n").alias("met"), F.min(F.struct("id", "m1", "m2", "at")).alias("first"), F.first("run").alias("run"), F.first("body").alias("body"))
-    whole.write.option("compression", "zstd").parquet(f"{home}/distinct")
-    distinct = read(f"{home}/distinct")
-    crowds = cut(distinct.groupBy("key").agg(F.sum("run").alias("starts")).where(F.col("starts") > CROWD).select("key"))
-    side = small_side(crowds, crowds.count(), KEY_ROWS)
-    few, many = distinct.join(side, "key", "left_anti"), distinct.join(side, "key", "left_semi")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    arrays = few.select("key", "d1", "d2", "first", "run", "body").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_arrays(keep_first), "key long, d1 long, d2 long, flags array<int>")
-    arrays.unionByName(_crowded(many, keep_first)).write.parquet(f"{home}/flags")
-    flags, size = read(f"{home}/flags"), ["key", "d1", "d2"]
+    pieces = kept(walked.select("id", "mark", weight.alias("n"), "text").mapInArrow(_cut_up, PIECE_DDL), "pieces")
+    met = kept(pieces.groupBy("key").agg(F.sum(F.col("n") + F.col("inner")).alias("met")).where("met > 1").select("key"), "met")
+    shared = kept(pieces.join(_side(met), "key"), "shared")
+    several = shared.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.max("inner").alias("inner")).where((F.col("low") != F.col("high")) | (F.col("inner") > 0) | F.lit(keep_first))
+    several = _side(cut(several.select("key")))
     every = F.array(F.lit(0), F.col("run"))
-    marked = distinct.drop("body").join(flags, size, "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<int>")))
+    one = shared.join(several, "key", "left_anti").select("id", "mark", "at", every.alias("flags"))
+    mixed = kept(shared.join(several, "key", "left_semi"), "mixed")
+    first = F.min(F.struct("id", "mark", "at")).alias("first")
+    distinct = kept(mixed.groupBy("key", "d").agg(F.sum("n").alias("met"), first, F.first("run").alias("run")), "distinct")
+    wanted = distinct.groupBy("first.id", "first.mark").agg(F.collect_list(F.struct("key", "d", "first.at", "run")).alias("wanted"))
+    bodies = _of_texts(walked.select("id", "mark", "text"), kept(wanted, "wanted")).mapInArrow(_bodies, BODY_DDL).dropDuplicates(["key", "d"])
+    crowds = cut(distinct.groupBy("key").agg(F.sum("run").alias("starts")).where(F.col("starts") > CROWD).select("key"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bodies = kept(bodies, "bodies")
+    few = bodies.join(_side(crowds), "key", "left_anti").repartition(tasks, "key").sortWithinPartitions("key")
+    arrays = few.mapInArrow(_arrays(keep_first), "key long, d long, flags array<int>")
+    flags = kept(arrays.unionByName(_crowded(bodies.join(_side(crowds), "key", "left_semi"), keep_first)), "flags")
+    marked = distinct.join(flags, ["key", "d"], "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<int>")))
     if keep_first:
-        marked = marked.select(*size, "first", "flags").where("size(flags) > 0 or met > 1")
+        hits = mixed.join(marked.select("key", "d", "first", "flags"), ["key", "d"])
+        hits = hits.withColumn("flags", F.when(F.col("first") == F.struct("id", "mark", "at"), F.col("flags")).otherwise(every))
     else:
-        marked = marked.select(*size, F.when(F.col("met") > 1, every).otherwise(F.col("flags")).alias("flags")).where("size(flags) > 0")
-    marked.write.parquet(f"{home}/marked")
-    marked = read(f"{home}/marked")
-    hits = pieces.drop("body").join(small_side(marked, marked.count(), KEY_ROWS // 8), size)
-    if keep_first:
-        hits = hits.withColumn("flags", F.when(F.col("first") == F.struct("id", "m1", "m2", "at"), F.col("flags")).otherwise(every))
-    placed = one.unionByName(hits.select("m1", "m2", "at", "flags"))
-    spans = placed.groupBy("m1", "m2").agg(F.collect_list(F.struct("at", "flags")).alias("spans"))
-    spans.write.parquet(f"{home}/spans")
-    return rows, copies, read(f"{home}/spans")
+        hits = mixed.join(marked.select("key", "d", F.when(F.col("met") > 1, every).otherwise(F.col("flags")).alias("flags")), ["key", "d"])
+    placed = one.unionByName(hits.where("size(flags) > 0").select("id", "mark", "at", "flags"))
+    return rows, copies, kept(placed.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "flags")).alias("spans")), "spans")
 
 
 def _left(keep_bytes: bool):
@@ -276,8 +293,7 @@ def _left(keep_bytes: bool):
                 kept = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 line = (None if row["id"] == LAST else row["id"], len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
                 out.append((*line, kept, edges[1:-1]) if keep_bytes else line)
-            columns = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            yield to_batch(out, schema)
 
     return run
 
@@ -289,14 +305,12 @@ def remove_copies(docs: DataFrame, *, doc_id="doc_id", text="text", keep_first:
     and end of each span, one after another)."""
     rows, copies, spans = repeated_spans(docs, doc_id=doc_id, text=text, keep_first=keep_first)
     gone = F.col("first").isNotNull() & ((F.col("id") != F.col("first")) | F.lit(not keep_first))
-    placed = rows.join(small_side(copies.select("m1", "m2", "first"), copies.count(), KEY_ROWS), ["m1", "m2"], "left").withColumn("whole", gone)
-    touched = spans.select("m1", "m2")
-    side = small_side(touched, touched.count(), KEY_ROWS)
-    full = placed.join(side, ["m1", "m2"], "left_semi").join(spans, ["m1", "m2"], "left")
-    rest = placed.join(side, ["m1", "m2"], "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    placed = rows.join(_side(copies.select("mark", "second", "first")), ["mark", "second"], "left").select("id", "mark", "text", gone.alias("whole"))
+    full = _of_texts(placed.where("not whole"), spans)
+    rest = placed.where("not whole").join(_side(spans.select("id", "mark")), ["id", "mark"], "left_anti").unionByName(placed.where("whole"))
     columns = ["id", "text", "whole", "spans"]
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<long>" * keep_bytes
-    return full.select(columns).unionByName(rest.select(columns)).mapInArrow(_left(keep_bytes), ddl)
+    return full.select(columns).unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(columns)).mapInArrow(_left(keep_bytes), ddl)
 
 
 #: Windows as hexadecimal digits, two a byte; all that repeat go.
