@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -132,52 +131,6 @@ def ngrams(passages: DataFrame, max_order: int) -> DataFrame:
     return grams.select("text_id", F.inline(F.concat(*rows)))
 
 
-def ngram_counts(passages: DataFrame, max_order: int, needed: DataFrame | None = None) -> DataFrame:
-    """Counts by order, the corpus size as order 0 with an empty n-gram; only
-    the needed ones are shuffled where a list of them is given."""
-    grams = ngrams(passages, max_order).select("order", "ngram")
-    if needed is not None:
-        wanted = cut(needed.select("order", "ngram").distinct())
-        grams = grams.join(small_side(wanted, wanted.count()), ["order", "ngram"], "left_semi")
-    counts = grams.groupBy("order", "ngram").agg(F.count(F.lit(1)).alias("cnt"))
-    size = passages.select(F.size(word_array(F.col("text"))).alias("n")).agg(F.lit(0).alias("order"), F.lit("").alias("ngram"), F.coalesce(F.sum("n"), F.lit(0)).alias("cnt"))
-    return counts.unionByName(size)
-
-
-def backoff_surprisal(held_out: DataFrame, counts: DataFrame, contexts: list[int], alpha: float = 0.4, pseudo: float = 1.0) -> DataFrame:
-    """Stupid Backoff surprisal of every word at each context length.
-
-    Of the orders within the context the highest with a count is taken, alpha for
-    each order tried above it; the start of a passage shortens the history for
-    free. An unseen word has the pseudo-count over the corpus size. A count whose
-    history has none stops the job (T13).
-
-    Distinct n-grams are scored, one order after another: an n-gram without a
-    count has the score of its suffix and alpha. A word then takes the scores of
-    the longest n-gram that ends at it, by one join.
-    """
-    top = max(contexts) + 1
-    placed = ngrams(held_out, top)
-    wanted = placed.groupBy("order", "ngram").agg(F.count(F.lit(1)).alias("uses"))
-    known = cut(wanted.join(counts.where("order > 0").select("order", "ngram", F.col("cnt").alias("c")), ["order", "ngram"], "left").select("order", "ngram", F.coalesce("c", F.lit(0)).alias("c")))
-    size = counts.where("order = 0").select(F.col("cnt").alias("corpus"))
-    unigram = F.log(F.when(F.col("c") > 0, F.col("c").cast("double")).otherwise(F.lit(float(pseudo)))) - F.log("corpus")
-    level = known.where("order = 1").crossJoin(F.broadcast(size)).select("ngram", F.array(unigram).alias("scores"))  # one row
-    scored = level.withColumn("order", F.lit(1))
-    for o in range(2, top + 1):
-        grams = known.where(F.col("order") == o).select("ngram", "c", F.substring_index("ngram", " ", o - 1).alias("history"), F.substring_index("ngram", " ", 1 - o).alias("suffix"))
-        histories = known.where(F.col("order") == o - 1).select(F.col("ngram").alias("history"), F.col("c").alias("d"))
-        both = grams.join(histories, "history", "left").join(level.withColumnRenamed("ngram", "suffix"), "suffix")
-        orphan = F.raise_error(F.concat(F.lit("a count but none of its history: "), F.col("ngram")))
-        found = F.when(F.coalesce("d", F.lit(0)) <= 0, orphan.cast("double")).otherwise(F.log("c") - F.log("d"))
-        score = F.when(F.col("c") > 0, found).otherwise(F.element_at("scores", -1) + math.log(alpha))
-        level = both.select("ngram", F.concat("scores", F.array(score)).alias("scores"))
-        scored = scored.unionByName(level.withColumn("order", F.lit(o)))
-    longest = placed.where(F.col("order") == F.least(F.lit(top), F.col("word_id") + 1))
-    out = [(-F.element_at("scores", F.least(F.lit(k + 1), F.size("scores")))).alias(f"ngram_surprisal_context_{k}") for k in contexts]
-    return longest.join(scored, ["order", "ngram"]).select("text_id", "word_id", *out)
-
-
 def count_violations(counts: DataFrame) -> DataFrame:
     """N-grams with a count whose history has none, and an empty corpus."""
     parents = counts.select((F.col("order") + 1).alias("order"), F.col("ngram").alias("history"), F.col("cnt").alias("d"))

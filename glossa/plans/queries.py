@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators import checks, joins, readings, regression, reports, words
+from glossa.operators import checks, grams, joins, readings, regression, reports, words
 from glossa.plans.base import ORACLES, QUERIES, SQL_WORDS, WORDS, held_out, passages, query
 from glossa.session import table
 
@@ -38,7 +38,7 @@ counts AS (SELECT "order", ngram, count(*) AS cnt FROM grams GROUP BY ALL UNION
 
 @query(f"""WITH {SQL_GRAMS} SELECT "order", ngram, cnt FROM counts""")
 def ngram_counts(spark, sf_dir):
-    return words.ngram_counts(passages(spark, sf_dir), 3)
+    return grams.ngram_counts(passages(spark, sf_dir), 3)
 
 
 SQL_HELD = "held AS (SELECT item_id AS text_id, " + WORDS + """ AS w FROM benchmark),
@@ -67,8 +67,8 @@ def _backoff_sql(top: int) -> str:
 @query(_backoff_sql(5))
 def backoff_surprisal(spark, sf_dir):
     target = held_out(spark, sf_dir)
-    counts = words.ngram_counts(passages(spark, sf_dir), 5, needed=words.ngrams(target, 5))
-    scored = words.backoff_surprisal(target, counts, [0, 1, 2, 3, 4])
+    counts = grams.count_grams(passages(spark, sf_dir), 5, needed=target)
+    scored = grams.backoff_surprisal(target, counts, [0, 1, 2, 3, 4])
     return scored.select("text_id", "word_id", *[F.round(c, 9).alias(c) for c in scored.columns[2:]])
 
 
@@ -382,7 +382,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a corpus, backoff surprisal from the corpus's own n-grams, lags, and
     the gain in held-out log density of word length that surprisal brings."""
     docs = passages(spark, sf_dir)
-    scored = words.backoff_surprisal(docs, words.ngram_counts(docs, 2), [0, 1])
+    scored = grams.backoff_surprisal(docs, grams.count_grams(docs, 2), [0, 1])
     rows = joins.join_predictors(words.word_table(docs), scored).drop("word")
     rows = joins.add_lags(rows, ["word_len", "ngram_surprisal_context_0", "ngram_surprisal_context_1"])
     terms = ["prev_word_len", "ngram_surprisal_context_0", "prev_ngram_surprisal_context_0", "ngram_surprisal_context_1", "prev_ngram_surprisal_context_1"]

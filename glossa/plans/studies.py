@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossa.operators import joins, regression, reports, words
+from glossa.operators import grams, joins, regression, reports, words
 from glossa.plans.base import SQL_WORDS, passages, query
 from glossa.plans.queries import FORMULAS, SQL_FOLDS, SQL_PAIR, _design, _scores
 from glossa.session import table
@@ -58,10 +58,10 @@ def reading_design(spark, sf_dir):
     """The whole chain on documents: words, corpus frequency, n-gram surprisal from the
     corpus and a score from the word before, lags, and a time that depends on them."""
     docs = passages(spark, sf_dir)
-    counts = words.ngram_counts(docs, 2)
-    scored = words.backoff_surprisal(docs, counts, [0, 1])
+    counts = grams.count_grams(docs, 2)
+    scored = grams.backoff_surprisal(docs, counts, [0, 1])
     w = words.word_table(docs)
-    freq = counts.where("order = 1").select(F.col("ngram").alias("word"), F.sqrt(F.log1p("cnt")).alias("freq"))  # no sum of the surprisals
+    freq = counts.words.words.select("word", F.sqrt(F.log1p("cnt")).alias("freq"))  # no sum of the surprisals
     part = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", "word", "text_id", "word_id")), k, 4), 16, 10).cast("double") / 65536
     noisy = w.join(freq, "word").withColumns({
         "context_limited_surprisal_context_1": F.col("word_len") + 3 * part(1), "context_limited_surprisal_context_2": F.col("word_len") / 2 + 5 * part(5), "internal_layer_surprisal_layer_6": 2 * part(9) - F.col("freq") / 4, "noise": part(13),

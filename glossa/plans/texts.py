@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossa.operators import words
+from glossa.operators import grams, words
 from glossa.plans.base import SQL_WORDS, WORDS, held_out, passages, query
 from glossa.session import table
 
@@ -79,7 +79,7 @@ uni AS (SELECT word, count(*) AS n FROM words GROUP BY word HAVING count(*) >= 2
 SELECT 2 AS "order", word || ' ' || following AS ngram, 'history without count' AS violation FROM f WHERE following IS NOT NULL AND word NOT IN (SELECT word FROM uni) GROUP BY word, following""")
 def count_violations(spark, sf_dir):
     """A count table that lost the words seen once."""
-    counts = words.ngram_counts(passages(spark, sf_dir), 2)
+    counts = grams.ngram_counts(passages(spark, sf_dir), 2)
     return words.count_violations(counts.where("order != 1 or cnt >= 2"))
 
 

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from glossa.operators import grams as g
 from glossa.operators import words as w
 
 
@@ -27,10 +28,40 @@ def test_ngram_suffixes_reset_at_passages(spark):
 
 def test_ngrams_of_one_very_long_text(spark):
     df = spark.range(1).select(F.lit(0).alias("text_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda k: F.concat(F.lit("w"), (k % 977).cast("string"))), " ").alias("text"))
-    counts = w.ngram_counts(df, 3)
+    counts = g.ngram_counts(df, 3)
     assert {r["order"]: r["n"] for r in counts.groupBy("order").agg(F.sum("cnt").alias("n")).collect()} == {0: 100_000, 1: 100_000, 2: 99_999, 3: 99_998}
 
 
+@pytest.mark.parametrize("head, fit", [(g.HEAD, 9), (1, 9), (2, 1), (g.HEAD, 2)])
+def test_ngram_counts_whatever_is_broadcast_or_fits(spark, monkeypatch, head, fit):
+    """Small heads send most words and n-grams through shuffles; a small fit takes a
+    column for each word or two."""
+    monkeypatch.setattr(g, "HEAD", head)
+    monkeypatch.setattr(g.Dictionary, "fit", property(lambda self: min(fit, 63 // self.bits)))
+    texts = ["a rose is a rose is a rose", "is a  rose\ta", "", None, "daisy"]
+    want = {}
+    for line in texts:
+        parts = (line or "").split()
+        for o in range(1, 4):
+            for at in range(len(parts) - o + 1):
+                key = (o, " ".join(parts[at : at + o]))
+                want[key] = want.get(key, 0) + 1
+        want[0, ""] = want.get((0, ""), 0) + len(parts)
+    df = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    got = g.ngram_counts(df, 3)
+    assert rows(got, "order", "ngram", "cnt") == sorted((*k, n) for k, n in want.items())
+    needed = spark.createDataFrame([(0, "rose is red"), (1, "a rose tulip")], "text_id long, text string")
+    some = g.spelled(g.count_grams(df, 3, needed=needed))
+    assert rows(some, "order", "ngram", "cnt") == [(0, "", 13), (1, "a", 5), (1, "is", 3), (1, "rose", 4), (2, "a rose", 4), (2, "rose is", 2)]
+    back = g.from_strings(got)
+    assert rows(g.spelled(back), "order", "ngram", "cnt") == rows(got, "order", "ngram", "cnt") and back.corpus == 13
+
+
+def test_words_are_numbered_by_frequency(spark):
+    counted = spark.createDataFrame([("b", 2), ("a", 9), ("c", 2), ("d", 30)], "word string, cnt long")
+    assert rows(g.dictionary(counted).words, "id", "word") == [(2, "d"), (3, "a"), (4, "b"), (5, "c")]
+
+
 def test_backoff_values(spark):
     corpus = ["red fox ran", "red fox sat here", "the red hen sat", "a hen ran far", "red red fox"]
     texts = {3: "red fox sat far", 5: "hen unknown red fox ran", 8: "zebra", 9: ""}
@@ -54,15 +85,23 @@ def test_backoff_values(spark):
 
     own = spark.createDataFrame(list(enumerate(corpus)), "text_id long, text string")
     held = spark.createDataFrame(list(texts.items()), "text_id long, text string")
-    got = {(r["text_id"], r["word_id"], k): r[f"ngram_surprisal_context_{k}"] for r in w.backoff_surprisal(held, w.ngram_counts(own, 3), [0, 1, 2], alpha, pseudo).collect() for k in range(3)}
     want = {(i, at, k): score(t.split(), at, k) for i, t in texts.items() for at in range(len(t.split())) for k in range(3)}
-    assert got == pytest.approx(want)
+    for counts in (g.count_grams(own, 3), g.count_grams(own, 3, needed=held), g.from_strings(g.ngram_counts(own, 3))):
+        scored = g.backoff_surprisal(held, counts, [0, 1, 2], alpha, pseudo).collect()
+        assert {(r["text_id"], r["word_id"], k): r[f"ngram_surprisal_context_{k}"] for r in scored for k in range(3)} == pytest.approx(want)
+
+
+def test_backoff_beyond_the_counted_orders(spark):
+    """An order that was never counted has no n-gram with a count."""
+    own = spark.createDataFrame([(0, "a b c a b")], "text_id long, text string")
+    got = {r["word_id"]: (r["ngram_surprisal_context_1"], r["ngram_surprisal_context_2"]) for r in g.backoff_surprisal(own, g.count_grams(own, 2), [1, 2]).collect()}
+    assert got[0] == pytest.approx((math.log(5 / 2),) * 2) and got[1] == pytest.approx((0, 0)) and got[2] == pytest.approx((math.log(2), math.log(2 / 0.4)))
 
 
 def test_backoff_refuses_a_count_without_history(spark):
     counts = spark.createDataFrame([(0, "", 9), (1, "hen", 3), (2, "red hen", 2)], "order int, ngram string, cnt long")
     with pytest.raises(Exception, match="none of its history"):
-        w.backoff_surprisal(spark.createDataFrame([(0, "red hen")], "text_id long, text string"), counts, [1]).collect()
+        g.backoff_surprisal(spark.createDataFrame([(0, "red hen")], "text_id long, text string"), g.from_strings(counts), [1]).collect()
 
 
 def test_count_violations(spark):
