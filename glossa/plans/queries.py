@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators import checks, grams, joins, readings, regression, reports, words
 from glossa.plans.base import ORACLES, QUERIES, SQL_WORDS, WORDS, held_out, passages, query
-from glossa.session import table
+from glossa.session import shared_dir, table
+from glossa.sources import stores
 
 @query(f"WITH {SQL_WORDS} SELECT text_id, word_id, word, length(word) AS word_len FROM words")
 def word_table(spark, sf_dir):
@@ -352,23 +355,18 @@ def word_length_study(spark, sf_dir):
     return c.select("predictor", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
-@query(f"""WITH {SQL_WORDS}, {SQL_HELD}, need AS (SELECT DISTINCT word FROM hwords), store AS (SELECT DISTINCT unnest({WORDS}) AS word FROM conversations),
-c AS (SELECT word, count(*) AS n FROM words GROUP BY word)
-SELECT 'corpus' AS index_name, 1 AS "order", word AS ngram, coalesce(n, 0) AS cnt FROM need LEFT JOIN c USING (word) WHERE word NOT IN (SELECT word FROM store)""")
+@query(f"""WITH {SQL_WORDS}, {SQL_HELD}, e AS (SELECT word, lead(word) OVER (PARTITION BY text_id ORDER BY word_id) AS following FROM words),
+n AS (SELECT 0 AS "order", '' AS ngram, count(*) AS cnt FROM words UNION ALL SELECT 1, word, count(*) FROM words GROUP BY word UNION ALL SELECT 2, word || ' ' || following, count(*) FROM e WHERE following IS NOT NULL GROUP BY ALL),
+need AS (SELECT 0 AS "order", '' AS ngram UNION SELECT 1, word FROM hwords UNION SELECT 2, word || ' ' || following FROM (SELECT word, lead(word) OVER (PARTITION BY text_id ORDER BY word_id) AS following FROM hwords) WHERE following IS NOT NULL)
+SELECT "order", ngram, coalesce(cnt, 0) AS cnt, "order" = 1 AND ngram IN (SELECT unnest({WORDS}) FROM conversations) AS reused FROM need LEFT JOIN n USING ("order", ngram)""")
 def incremental_counts(spark, sf_dir):
-    """A count store that holds what the conversations needed; the rest is counted."""
-    from glossa.sources.readers import extend_counts
-
-    needed = words.ngrams(held_out(spark, sf_dir), 1).select("order", "ngram").distinct()
-    stored = words.ngrams(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("text_id"), "text"), 1)
-    store = stored.select(F.lit("corpus").alias("index_name"), "order", "ngram").distinct()
-    return extend_counts(passages(spark, sf_dir), needed, store, "corpus")
-
-
-@query("SELECT lang, count(*) AS n_docs, round(100 * avg(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END), 6) AS over_percent FROM documents GROUP BY lang")
-def long_share(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.round(100 * F.avg((F.col("n_chars") > 2000).cast("double")), 6).alias("over_percent"))
+    """A count store that the conversations' words filled; what the benchmark needs
+    besides, the corpus size and pairs of words, is counted and committed."""
+    store = stores.count_store(spark, f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}")
+    docs, talks = passages(spark, sf_dir), table(spark, sf_dir, "conversations").select(F.monotonically_increasing_id().alias("text_id"), "text")
+    stores.extend_counts(docs, words.ngrams(talks, 1), store, "documents")
+    size = spark.createDataFrame([(0, "")], "order int, ngram string")
+    return stores.extend_counts(docs, words.ngrams(held_out(spark, sf_dir), 2).select("order", "ngram").unionByName(size), store, "documents")
 
 
 @query(f"WITH {SQL_WORDS} SELECT text_id, count(*) AS n_words, max(length(word)) AS longest FROM words GROUP BY text_id HAVING count(*) < 50")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glossa.operators import checks, words
 from glossa.plans.base import SQL_WORDS, passages, query
 from glossa.session import shared_dir, table
-from glossa.sources import readers
+from glossa.sources import readers, stores
 
 
 def _home(spark, name: str) -> str:
@@ -81,12 +81,14 @@ def result_grid_scan(spark, sf_dir):
 
 @query(f"WITH {SQL_WORDS} SELECT text_id, word_id, word, length(word)::DOUBLE AS value, text_id IN (SELECT doc_id FROM labels) AS reused FROM words")
 def resumed_scores(spark, sf_dir):
-    """Labelled documents were scored by this run before, all others by another run."""
+    """A run that stopped after the labelled documents, another run's scores of
+    all, and the same run again, in batches."""
     score = lambda p: words.word_table(p).select("text_id", "word_id", "word", F.col("word_len").cast("double").alias("value"))
     docs, labelled = passages(spark, sf_dir), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("text_id")).distinct()
-    mine = score(docs.join(labelled, "text_id", "left_semi")).withColumn("identity", F.lit("this"))
-    other = score(docs.join(labelled, "text_id", "left_anti")).withColumn("identity", F.lit("other"))
-    return readers.resume_scores(docs, mine.unionByName(other), "this", score)
+    store = stores.score_store(spark, _home(spark, "scores"))
+    store.commit(score(docs.join(labelled, "text_id", "left_semi")), "this")
+    store.commit(score(docs).withColumn("value", F.lit(0.0)), "other")
+    return stores.resume_scores(docs, store, "this", score, batches=2)
 
 
 @query("SELECT doc_id AS text_id, sha256(text) AS sha256 FROM documents")

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.words import ngrams, word_table
-from glossa.session import cut, small_side
-
 ABSENT = "\x00absent"
 #: What the Windows-1252 code page has at 0x80 to 0x9f, in order; undefined codes keep their own.
 CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
@@ -80,33 +75,3 @@ def read_result_grid(spark: SparkSession, folder: str, pattern: str, name: str,
     tagged = read.select("*", F.regexp_extract(file, name, 1).alias("dataset"), F.regexp_extract(file, name, 2).alias("model"))
     known = F.create_map(*[F.lit(x) for pair in (families or {"": ""}).items() for x in pair])
     return tagged.withColumn("family", F.coalesce(F.element_at(known, F.col("model")), F.substring_index("model", "-", 1)))
-
-
-def missing_keys(needed: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
-    """What a resumable job has still to compute."""
-    return needed.select(*keys).distinct().join(store.select(*keys), keys, "left_anti")
-
-
-def extend_counts(corpus: DataFrame, needed: DataFrame, store: DataFrame, index_name: str) -> DataFrame:
-    """Rows (index_name, order, ngram, cnt) to append to a count store: counts of
-    the needed n-grams that it lacks for this index, 0 for those the corpus lacks."""
-    open_ = cut(missing_keys(needed, store.where(F.col("index_name") == index_name), ["order", "ngram"]))
-    top = open_.agg(F.max("order")).first()[0] or 1
-    counts = ngrams(corpus, top).join(small_side(open_, open_.count()), ["order", "ngram"], "left_semi").groupBy("order", "ngram").agg(F.count(F.lit(1)).alias("cnt"))
-    return open_.join(counts, ["order", "ngram"], "left").select(F.lit(index_name).alias("index_name"), "order", "ngram", F.coalesce("cnt", F.lit(0)).alias("cnt"))
-
-
-def resume_scores(passages: DataFrame, store: DataFrame, identity: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Scores of all passages (text_id, word_id, word, value, reused): what the
-    store has for this run's identity is reused, the rest computed. Stored rows
-    that don't cover their passage's words exactly, or aren't finite, stop the job."""
-    stored = store.where(F.col("identity") == identity).drop("identity")
-    words = word_table(passages).select("text_id", "word_id", "word")
-    done = stored.select("text_id").distinct()
-    of_stored = words.join(done, "text_id", "left_semi").withColumnRenamed("word", "expected")
-    checked = stored.withColumn("found", F.lit(True)).join(of_stored, ["text_id", "word_id"], "full_outer")
-    sound = F.col("found").isNotNull() & F.col("word").eqNullSafe(F.col("expected")) & F.coalesce(~F.isnan("value") & (F.abs("value") < float("inf")), F.lit(False))
-    refused = F.raise_error(F.concat(F.lit("stored scores don't fit text "), F.col("text_id").cast("string")))
-    reused = checked.where(F.when(sound, F.lit(True)).otherwise(refused.cast("boolean"))).select("text_id", "word_id", "word", "value")
-    fresh = compute(passages.join(done, "text_id", "left_anti"))
-    return reused.withColumn("reused", F.lit(True)).unionByName(fresh.select("text_id", "word_id", "word", "value").withColumn("reused", F.lit(False)))

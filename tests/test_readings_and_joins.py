@@ -92,26 +92,6 @@ def test_readers(spark, tmp_path):
     assert got == [(k, f"line {k}") for k in range(5000)]
 
 
-def test_incremental_counts(spark):
-    corpus = spark.createDataFrame([(0, "a b a")], "text_id long, text string")
-    needed = spark.createDataFrame([(1, "a"), (1, "b"), (2, "z z")], "order int, ngram string")
-    store = spark.createDataFrame([("i", 1, "a", 2), ("other", 1, "b", 9)], "index_name string, order int, ngram string, cnt long")
-    got = sorted((r["ngram"], r["cnt"]) for r in readers.extend_counts(corpus, needed, store, "i").collect())
-    assert got == [("b", 1), ("z z", 0)]
-
-
-def test_stored_scores_are_reused_or_refused(spark):
-    texts = spark.createDataFrame([(0, "one two"), (1, "three")], "text_id long, text string")
-    ddl = "identity string, text_id long, word_id int, word string, value double"
-    compute = lambda p: words.word_table(p).withColumn("value", F.lit(7.0))
-    store = [("me", 0, 0, "one", 1.0), ("me", 0, 1, "two", 2.0), ("you", 1, 0, "three", 3.0)]
-    got = readers.resume_scores(texts, spark.createDataFrame(store, ddl), "me", compute)
-    assert sorted(tuple(r) for r in got.collect()) == [(0, 0, "one", 1.0, True), (0, 1, "two", 2.0, True), (1, 0, "three", 7.0, False)]
-    for bad in (store[:1], [("me", 0, 0, "one", float("inf")), store[1]], [("me", 0, 0, "uno", 1.0), store[1]]):
-        with pytest.raises(Exception, match="don't fit"):
-            readers.resume_scores(texts, spark.createDataFrame(bad, ddl), "me", compute).collect()
-
-
 def test_strict_integers_and_clashing_families(spark):
     with pytest.raises(Exception, match="no whole number"):
         checks.strict_integer(spark.createDataFrame([("1",), ("1.5",)], "x string"), "x").collect()
