@@ -1,9 +1,10 @@
-"""Cross-validated linear models from per-fold sums of products.
+"""Cross-validated linear models from one triangular factor a fold.
 
-One aggregation gives, for every fold, the sums of products of all design
-columns. Any formula over those columns is a sub-matrix, its training data the
-total less the fold, so all folds and formulas are solved from a few numbers a
-fold and the data are read once.
+The design's rows, [1, terms..., response], are reduced to a triangle by QR in every
+task, and triangles to one a fold. The triangle has the same products as the rows, but
+its condition is theirs and not its square. Any formula is a choice of its columns and
+a training set the other folds' triangles under one another, so all folds and formulas
+are solved from a few numbers a fold and the data are read once.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.session import cut, small_side
 
 NARROW = 24
+LANES = 16  # groups that a fold's triangles are reduced in before they are one
+RANK_TOLERANCE = 1e-10  # of the largest singular value, columns scaled
 WAVES = ("", "prev_", "prev2_", "prev3_")
 
 
@@ -62,20 +66,22 @@ def baselines(buggy: str = "surprisal_buggy") -> dict[str, list[str]]:
     return {"empty": [], "full_surprisal": [f"{w}{buggy}" for w in WAVES]}
 
 
-def grid_formulas(first: dict[int, str], second: dict[int, str]) -> dict[str, list[str]]:
+def grid_formulas(first: dict[int, str], second: dict[int, str], prefix: str = "") -> dict[str, list[str]]:
     """M8, M9: the lexical controls alone, with each predictor of either family, and
     with each pair, every predictor at four places."""
     out = {"m0": formula_terms([])}
     out |= {f"a{k}": formula_terms([a]) for k, a in first.items()} | {f"b{k}": formula_terms([b]) for k, b in second.items()}
-    return out | {f"a{i}b{j}": formula_terms([a, b]) for i, a in first.items() for j, b in second.items()}
+    out |= {f"a{i}b{j}": formula_terms([a, b]) for i, a in first.items() for j, b in second.items()}
+    return {f"{prefix}{name}": terms for name, terms in out.items()}
 
 
-def grid_deltas(scores: DataFrame, first: list[int], second: list[int]) -> DataFrame:
+def grid_deltas(scores: DataFrame, first: list[int], second: list[int], prefix: str = "") -> DataFrame:
     """M8, M9: per cell and fold the log densities of the four models and the gain of
     each predictor given the other, as means and sums."""
-    cells = scores.sparkSession.createDataFrame([(i, j, f"a{i}", f"b{j}", f"a{i}b{j}") for i in first for j in second], "first int, second int, a string, b string, ab string")
+    scores = sound_scores(scores)
+    cells = scores.sparkSession.createDataFrame([(i, j, f"{prefix}a{i}", f"{prefix}b{j}", f"{prefix}a{i}b{j}") for i in first for j in second], "first int, second int, a string, b string, ab string")
     held = scores.select("fold", "n_train", "n_test", F.col("formula"), "ll_mean", "ll_sum")
-    out = F.broadcast(cells).crossJoin(held.where("formula = 'm0'").select("fold", "n_train", "n_test", F.col("ll_mean").alias("ll_m0_mean"), F.col("ll_sum").alias("ll_m0_sum")))
+    out = F.broadcast(cells).crossJoin(held.where(F.col("formula") == f"{prefix}m0").select("fold", "n_train", "n_test", F.col("ll_mean").alias("ll_m0_mean"), F.col("ll_sum").alias("ll_m0_sum")))
     for name, column in (("a", "a"), ("b", "b"), ("joint", "ab")):
         part = held.select(F.col("formula").alias(column), "fold", F.col("ll_mean").alias(f"ll_{name}_mean"), F.col("ll_sum").alias(f"ll_{name}_sum"))
         out = out.join(part, [column, "fold"])
@@ -148,47 +154,82 @@ def gram(rows: DataFrame, terms: list[str], response: str) -> DataFrame:
     return wide.select("fold", F.inline(cells))
 
 
-def _solve(total: np.ndarray, held: np.ndarray, use: list[int]) -> tuple[float, float, float, np.ndarray, int]:
-    """n_train, n_test, held-out log density sum, coefficients, rank."""
-    y = len(total) - 1
-    train = total - held
-    x = train[np.ix_(use, use)]
-    scale = np.sqrt(np.diag(x))
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """The square upper triangle with the rows' products, its diagonal 0 or above."""
+    r = np.linalg.qr(rows, mode="r")
+    r = np.vstack([r, np.zeros((rows.shape[1] - len(r), rows.shape[1]))])
+    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+
+
+def factors(rows: DataFrame, terms: list[str], response: str) -> DataFrame:
+    """M4: (fold, line, values), the lines of each fold's triangle over [1, terms...,
+    response]. A task reduces its rows batch by batch and hands on p lines a fold; these
+    are reduced in LANES groups and then to one triangle."""
+    columns = [F.lit(1.0), *[term_column(t) for t in terms], F.col(response).cast("double")]
+    named = rows.select(F.col("fold").cast("int").alias("fold"), *[c.alias(f"c{k}") for k, c in enumerate(columns)])
+    lined = pa.schema([("fold", pa.int32()), ("lane", pa.int32()), ("values", pa.list_(pa.float64()))])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fold, *values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x = np.column_stack(values).astype(float)
+            for k in np.unique(fold).tolist():
+                part = x[fold == k]
+                held[k] = triangle(np.vstack([held[k], part]) if k in held else part)
+        lane = TaskContext.get().partitionId() % LANES
+        for k, r in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(r), pa.int32()), pa.array([lane] * len(r), pa.int32()), pa.array(r.tolist(), lined.field("values").type)], schema=lined)
+
+    def merge(lines: pd.DataFrame) -> pd.DataFrame:
+        r = triangle(np.vstack(lines["values"].to_list()))
+        return pd.DataFrame({"fold": lines["fold"].iloc[0], "lane": lines["lane"].iloc[0], "line": range(len(r)), "values": r.tolist()})
+
+    ddl = "fold int, lane int, line int, values array<double>"
+    lanes = named.mapInArrow(reduce, "fold int, lane int, values array<double>").groupBy("fold", "lane").applyInPandas(merge, ddl)
+    return lanes.groupBy("fold").applyInPandas(merge, ddl).drop("lane")
+
+
+def _fit(train: np.ndarray, use: list[int]) -> tuple[np.ndarray, int]:
+    """Coefficients and rank of a formula's columns, each scaled to length one."""
+    x = train[:, use]
+    scale = np.linalg.norm(x, axis=0)
     scale[scale == 0] = 1
-    scaled = x / np.outer(scale, scale)
-    rank = int(np.linalg.matrix_rank(scaled, tol=1e-10))
-    beta = np.linalg.lstsq(scaled, train[use, y] / scale, rcond=None)[0] / scale
-    rss = lambda g: g[y, y] - 2 * beta @ g[use, y] + beta @ g[np.ix_(use, use)] @ beta
-    n_train, n_test = train[0, 0], held[0, 0]
-    variance = rss(train) / n_train
-    density = -n_test / 2 * math.log(2 * math.pi * variance) - rss(held) / (2 * variance) if variance > 0 else float("nan")
-    return n_train, n_test, density, beta, rank
+    beta, _, _, singular = np.linalg.lstsq(x / scale, train[:, -1], rcond=RANK_TOLERANCE)
+    return beta / scale, int((singular > RANK_TOLERANCE * singular[0]).sum())
 
 
-def fold_scores(sums: DataFrame, terms: list[str], formulas: dict[str, list[str]]) -> DataFrame:
+def fold_scores(triangles: DataFrame, terms: list[str], formulas: dict[str, list[str]]) -> DataFrame:
     """M4, M5, M7: for each formula and fold the mean and summed held-out Gaussian log
-    density, the coefficients, and whether the training design has full rank."""
+    density, the coefficients, and whether they are sound: the training design has full
+    rank and more rows than coefficients, and the density is finite."""
     place = {t: k + 1 for k, t in enumerate(terms)}
     wanted = {name: [0, *[place[t] for t in use]] for name, use in formulas.items()}
-    size = len(terms) + 2
-
-    def solve(cells: pd.DataFrame) -> pd.DataFrame:
-        grams = {}
-        for fold, part in cells.groupby("fold"):
-            g = np.zeros((size, size))
-            g[part["i"], part["j"]] = part["v"]
-            grams[fold] = g + np.triu(g, 1).T
-        total = sum(grams.values())
+
+    def solve(lines: pd.DataFrame) -> pd.DataFrame:
+        by_fold = {fold: np.vstack(part.sort_values("line")["values"].to_list()) for fold, part in lines.groupby("fold")}
         out = []
-        for name, use in wanted.items():
-            for fold, held in grams.items():
-                n_train, n_test, density, beta, rank = _solve(total, held, use)
-                out.append((name, fold, int(n_train), int(n_test), density / n_test, density, rank == len(use) and math.isfinite(density), [float(b) for b in beta]))
+        for fold, held in by_fold.items():
+            train = triangle(np.vstack([r for k, r in by_fold.items() if k != fold] or [0 * held]))
+            n_train, n_test = round(train[0, 0] ** 2), round(held[0, 0] ** 2)
+            for name, use in wanted.items():
+                beta, rank = _fit(train, use)
+                rss = lambda r: float(((r[:, -1] - r[:, use] @ beta) ** 2).sum())  # noqa: B023, E731
+                variance = rss(train) / n_train if n_train else 0.0
+                density = -n_test / 2 * math.log(2 * math.pi * variance) - rss(held) / (2 * variance) if variance > 0 else math.nan
+                sound = rank == len(use) and n_train > len(use) and math.isfinite(density)
+                out.append((name, fold, n_train, n_test, density / n_test, density, sound, beta.tolist()))
         return pd.DataFrame(out, columns=["formula", "fold", "n_train", "n_test", "ll_mean", "ll_sum", "sound", "coefficients"])
 
     ddl = "formula string, fold int, n_train long, n_test long, ll_mean double, ll_sum double, sound boolean, coefficients array<double>"
     # One group of folds * p * p numbers, whatever the rows.
-    return sums.groupBy(F.lit(0).alias("all")).applyInPandas(lambda cells: solve(cells), ddl)
+    return triangles.groupBy(F.lit(0).alias("all")).applyInPandas(solve, ddl)
+
+
+def sound_scores(scores: DataFrame) -> DataFrame:
+    """M5: the scores, unless one isn't sound, which stops the job."""
+    refused = F.raise_error(F.format_string("no sound fit of %s in fold %d: too few training rows, a rank lost, or no finite density", "formula", "fold"))
+    return scores.where(F.when(F.col("sound"), F.lit(True)).otherwise(refused.cast("boolean")))
 
 
 def coefficients(scores: DataFrame, formulas: dict[str, list[str]]) -> DataFrame:
@@ -199,7 +240,9 @@ def coefficients(scores: DataFrame, formulas: dict[str, list[str]]) -> DataFrame
 
 
 def deltas(scores: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
-    """M6, M8, M9: for (name, with, without) the fold differences of log density."""
+    """M6, M8, M9: for (name, with, without) the fold differences of log density; scores
+    that aren't sound stop the job."""
+    scores = sound_scores(scores)
     wanted = scores.sparkSession.createDataFrame(pairs, "delta string, with_name string, without_name string")
     plus = scores.select(F.col("formula").alias("with_name"), "fold", "n_test", F.col("ll_mean").alias("plus_mean"), F.col("ll_sum").alias("plus_sum"))
     minus = scores.select(F.col("formula").alias("without_name"), "fold", F.col("ll_mean").alias("minus_mean"), F.col("ll_sum").alias("minus_sum"))

@@ -249,7 +249,7 @@ FORMULAS = {"m0": [], "a": ["a"], "b": ["b"], "ab": ["a", "b"]}
 
 
 def _scores(spark, sf_dir):
-    return regression.fold_scores(regression.gram(_design(spark, sf_dir), ["a", "b"], "y"), ["a", "b"], FORMULAS)
+    return regression.fold_scores(regression.factors(_design(spark, sf_dir), ["a", "b"], "y"), ["a", "b"], FORMULAS)
 
 
 SQL_OLS = f"""{SQL_FOLDS},
@@ -383,13 +383,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = grams.backoff_surprisal(docs, grams.count_grams(docs, 2), [0, 1])
     rows = joins.join_predictors(words.word_table(docs), scored).drop("word")
     rows = joins.add_lags(rows, ["word_len", "ngram_surprisal_context_0", "ngram_surprisal_context_1"])
-    terms = ["prev_word_len", "ngram_surprisal_context_0", "prev_ngram_surprisal_context_0", "ngram_surprisal_context_1", "prev_ngram_surprisal_context_1"]
-    ready = regression.assign_folds(regression.complete_rows(rows, ["word_len", *terms]).select("text_id", "word_id", "word_len", *terms), ["text_id", "word_id"], 10, "flagship")
-    scores = regression.fold_scores(regression.gram(ready, terms, "word_len"), terms, {"m0": terms[:1], "n0": terms[:3], "n1": [terms[0], *terms[3:]], "both": terms})
-    gains = regression.deltas(scores, [("n0", "n0", "m0"), ("n1", "n1", "m0"), ("n0 given n1", "both", "n1"), ("n1 given n0", "both", "n0")])
-    return regression.fold_summary(gains, ["delta"], "delta_mean")
+    ready = regression.assign_folds(regression.complete_rows(rows, ["word_len", *GAIN_TERMS]).select("text_id", "word_id", "word_len", *GAIN_TERMS), ["text_id", "word_id"], 10, "flagship")
+    scores = regression.fold_scores(regression.factors(ready, GAIN_TERMS, "word_len"), GAIN_TERMS, GAIN_FORMULAS)
+    return regression.fold_summary(regression.deltas(scores, GAINS), ["delta"], "delta_mean")
 
 
-QUERIES["surprisal_gains"] = flagship
+GAIN_TERMS = ["prev_word_len", "ngram_surprisal_context_0", "prev_ngram_surprisal_context_0", "ngram_surprisal_context_1", "prev_ngram_surprisal_context_1"]
+GAIN_FORMULAS = {"m0": GAIN_TERMS[:1], "n0": GAIN_TERMS[:3], "n1": [GAIN_TERMS[0], *GAIN_TERMS[3:]], "both": GAIN_TERMS}
+GAINS = [("n0", "n0", "m0"), ("n1", "n1", "m0"), ("n0 given n1", "both", "n1"), ("n1 given n0", "both", "n0")]
 
 from glossa.plans import merges, scans, studies, texts, validation  # noqa: E402, F401 - they register their queries

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from glossa.operators import grams, joins, regression, reports, words
 from glossa.plans.base import SQL_WORDS, passages, query
-from glossa.plans.queries import FORMULAS, SQL_FOLDS, SQL_PAIR, _design, _scores
-from glossa.session import table
+from glossa.plans.queries import FORMULAS, GAIN_FORMULAS, GAIN_TERMS, SQL_FOLDS, SQL_PAIR, _design, _scores, flagship
+from glossa.plans.queries import GAINS as GAIN_PAIRS
+from glossa.plans.sweep import sweep_sql
+from glossa.session import cut, table
 
 
 @query("""SELECT count(*) AS n_input, count(*) FILTER (WHERE l_tax <> 0 AND l_quantity <> 13) AS n_complete, count(*) FILTER (WHERE NOT (l_tax <> 0 AND l_quantity <> 13)) AS n_excluded FROM lineitem""")
@@ -42,7 +44,7 @@ def rank_deficiency(spark, sf_dir):
     """M5: a design with a column and its double has no full rank."""
     rows = _design(spark, sf_dir).withColumn("a2", 2 * F.col("a"))
     terms = ["a", "b", "a2"]
-    scores = regression.fold_scores(regression.gram(rows, terms, "y"), terms, {"apart": ["a", "b"], "twice": ["a", "a2"]})
+    scores = regression.fold_scores(regression.factors(rows, terms, "y"), terms, {"apart": ["a", "b"], "twice": ["a", "a2"]})
     return scores.select("formula", "fold", "sound")
 
 
@@ -60,14 +62,13 @@ def reading_design(spark, sf_dir):
     docs = passages(spark, sf_dir)
     counts = grams.count_grams(docs, 2)
     scored = grams.backoff_surprisal(docs, counts, [0, 1])
-    w = words.word_table(docs)
-    freq = counts.words.words.select("word", F.sqrt(F.log1p("cnt")).alias("freq"))  # no sum of the surprisals
+    w = grams.coded(words.word_table(docs), counts.words).withColumn("freq", F.sqrt(F.log1p("cnt"))).drop("id", "cnt")  # no sum of the surprisals
     part = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", "word", "text_id", "word_id")), k, 4), 16, 10).cast("double") / 65536
-    noisy = w.join(freq, "word").withColumns({
+    noisy = w.withColumns({
         "context_limited_surprisal_context_1": F.col("word_len") + 3 * part(1), "context_limited_surprisal_context_2": F.col("word_len") / 2 + 5 * part(5), "internal_layer_surprisal_layer_6": 2 * part(9) - F.col("freq") / 4, "noise": part(13),
     })
     rows = joins.join_predictors(noisy, scored).withColumn("time", 200 + 8 * F.col("word_len") + 3 * F.col("ngram_surprisal_context_1") + 4 * F.col("context_limited_surprisal_context_1") + 30 * F.col("noise"))
-    families = [c for prefix in ("ngram_surprisal_context", "context_limited_surprisal_context", "internal_layer_surprisal_layer") for c in joins.family_columns(rows, prefix)]
+    families = [c for prefix in FAMILIES for c in joins.family_columns(rows, prefix)]
     lagged = joins.add_lags(rows, ["word_len", "freq", *families])
     terms = regression.formula_terms(families)
     needed = sorted({p for t in terms for p in t.split(":")})
@@ -75,34 +76,82 @@ def reading_design(spark, sf_dir):
     return regression.assign_folds(ready, ["text_id", "word_id"], 10, "grid"), terms
 
 
-def _grid(rows, terms, first: str, second: str):
-    """Every cell of one family's contexts by another's."""
-    by_number = lambda prefix: {int(c.rsplit("_", 1)[1]): c for c in joins.family_columns(rows, prefix)}
-    one, two = by_number(first), by_number(second)
-    scores = regression.fold_scores(regression.gram(rows, terms, "time"), terms, regression.grid_formulas(one, two))
-    return regression.grid_deltas(scores, list(one), list(two))
-
-
-@query()
+FAMILIES = ("ngram_surprisal_context", "context_limited_surprisal_context", "internal_layer_surprisal_layer")
+CONTEXTS = {"ngram": {0: "ngram_surprisal_context_0", 1: "ngram_surprisal_context_1"}, "context": {1: "context_limited_surprisal_context_1", 2: "context_limited_surprisal_context_2"}, "layer": {6: "internal_layer_surprisal_layer_6"}}
+_PREDICTORS = [c for family in CONTEXTS.values() for c in family.values()]
+_LAGGED = ", ".join(f"{c}, " + ", ".join(f"lag({c}, {k}) OVER t AS prev{k if k > 1 else ''}_{c}" for k in (1, 2, 3)) for c in ("word_len", "freq", *_PREDICTORS))
+SQL_READINGS = f"""{SQL_WORDS},
+unigrams AS (SELECT word, count(*) AS c1 FROM words GROUP BY word),
+follows AS (SELECT text_id, word_id, word, lag(word) OVER (PARTITION BY text_id ORDER BY word_id) AS before FROM words),
+bigrams AS (SELECT before, word, count(*) AS c2 FROM follows WHERE before IS NOT NULL GROUP BY ALL),
+scored AS (
+  SELECT text_id, word_id, f.word, u.c1, ln((SELECT count(*) FROM words)) - ln(u.c1) AS s0, ln(d.c1) - ln(c2) AS s1, md5(concat_ws('|', f.word, text_id::VARCHAR, word_id::VARCHAR)) AS h
+  FROM follows f JOIN unigrams u ON u.word = f.word LEFT JOIN unigrams d ON d.word = f.before LEFT JOIN bigrams b ON b.before = f.before AND b.word = f.word)"""
+_PART = "('0x' || substr(h, {}, 4))::INT / 65536.0::DOUBLE"
+SQL_DESIGN = f"""{SQL_READINGS},
+noisy AS (
+  SELECT text_id, word_id, length(word) AS word_len, sqrt(ln(1 + c1)) AS freq, s0 AS ngram_surprisal_context_0, coalesce(s1, s0) AS ngram_surprisal_context_1, length(word) + 3 * {_PART.format(1)} AS context_limited_surprisal_context_1,
+    length(word) / 2.0::DOUBLE + 5 * {_PART.format(5)} AS context_limited_surprisal_context_2, 2 * {_PART.format(9)} - sqrt(ln(1 + c1)) / 4 AS internal_layer_surprisal_layer_6, {_PART.format(13)} AS noise FROM scored),
+timed AS (SELECT *, 200 + 8 * word_len + 3 * ngram_surprisal_context_1 + 4 * context_limited_surprisal_context_1 + 30 * noise AS time FROM noisy),
+lagged AS (SELECT text_id, word_id, time, {_LAGGED} FROM timed WINDOW t AS (PARTITION BY text_id ORDER BY word_id)),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 'grid', text_id::VARCHAR, word_id::VARCHAR)), text_id, word_id) AS r, count(*) OVER () AS n FROM lagged WHERE word_id >= 3),
+readings AS (SELECT *, greatest(1, ceil((r - 1) * 10 / (n - 1)::DOUBLE))::INT AS fold FROM placed)"""
+TERMS = regression.formula_terms(_PREDICTORS)
+
+
+def _grid_sql(first: str, second: str) -> str:
+    """Cells of two families: ll of the four models and the gains of each predictor."""
+    formulas = regression.grid_formulas(CONTEXTS[first], CONTEXTS[second])
+    cells = ", ".join(f"({i}, {j}, 'a{i}', 'b{j}', 'a{i}b{j}')" for i in CONTEXTS[first] for j in CONTEXTS[second])
+    return f"""WITH RECURSIVE {SQL_DESIGN}, {sweep_sql("readings", TERMS, "time", formulas)},
+cells(first, second, a, b, ab) AS (VALUES {cells}),
+grid AS (
+  SELECT first, second, m.fold, m.n_train, m.n_test, {", ".join(f"{x}.ll_{f} AS ll_{name}_{f}" for x, name in (("m", "m0"), ("p", "a"), ("q", "b"), ("j", "joint")) for f in ("mean", "sum"))},
+    {", ".join(f"j.ll_{f} - {without}.ll_{f} AS delta_{x}_given_{y}_{f}" for x, y, without in (("a", "b", "q"), ("b", "a", "p")) for f in ("mean", "sum"))}
+  FROM cells JOIN ll m ON m.formula = 'm0' JOIN ll p ON p.formula = a AND p.fold = m.fold JOIN ll q ON q.formula = b AND q.fold = m.fold JOIN ll j ON j.formula = ab AND j.fold = m.fold)"""
+
+
+GAINS = [f"delta_{x}_given_{y}_{f}" for x, y in (("a", "b"), ("b", "a")) for f in ("mean", "sum")]
+
+
+@query(f"""{_grid_sql("ngram", "context")}
+SELECT first AS ngram_context, second AS context, {", ".join(f"round(avg({c}), 6) AS {c}, round(stddev_samp({c}) / sqrt(count(*)), 6) AS {c}_se" for c in GAINS[::2])}, count(*) AS k FROM grid GROUP BY ALL""")
 def joint_grid(spark, sf_dir):
     """M1, M2, M8, A4: gains of n-gram and context scores given each other, over all
-    pairs of contexts; tested against a row-level refit in numpy."""
-    cells = _grid(*reading_design(spark, sf_dir), "ngram_surprisal_context", "context_limited_surprisal_context")
+    pairs of contexts."""
+    cells = _grids(spark, sf_dir, {"": ("ngram", "context")})[""]
     return cells.groupBy(F.col("first").alias("ngram_context"), F.col("second").alias("context")).agg(
-        *[f(c) for c in ("delta_a_given_b_mean", "delta_b_given_a_mean") for f in (lambda c: F.avg(c).alias(c), lambda c: (F.stddev_samp(c) / F.sqrt(F.count(c))).alias(f"{c}_se"))], F.count(F.lit(1)).alias("k")
+        *[F.round(f(c), 6).alias(n) for c in ("delta_a_given_b_mean", "delta_b_given_a_mean") for n, f in ((c, F.avg), (f"{c}_se", lambda c: F.stddev_samp(c) / F.sqrt(F.count(c))))], F.count(F.lit(1)).alias("k")
     )
 
 
-@query()
+def _grids(spark, sf_dir, families: dict[str, tuple[str, str]]):
+    """Cells of each pair of families; all their formulas are solved from one scan."""
+    rows, terms = reading_design(spark, sf_dir)
+    by_number = lambda prefix: {int(c.rsplit("_", 1)[1]): c for c in joins.family_columns(rows, prefix)}
+    prefixes = dict(zip(("ngram", "context", "layer"), FAMILIES, strict=True))
+    pairs = {name: [by_number(prefixes[f]) for f in both] for name, both in families.items()}
+    formulas = {f: use for name, (one, two) in pairs.items() for f, use in regression.grid_formulas(one, two, name).items()}
+    scores = cut(regression.fold_scores(regression.factors(rows, terms, "time"), terms, formulas))
+    return {name: regression.grid_deltas(scores, list(one), list(two), name) for name, (one, two) in pairs.items()}
+
+
+_LAYER_COLUMNS = ", ".join(["first AS predictor_context", "second AS layer", "fold", "n_train", "n_test", *[f"round({c}, 6) AS {c}" for c in [f"ll_{m}_mean" for m in ("m0", "a", "b", "joint")] + GAINS[::2]], *[f"round({c}, 3) AS {c}" for c in [f"ll_{m}_sum" for m in ("m0", "a", "b", "joint")] + GAINS[1::2]]])
+
+
+@query(f"""WITH ngram_ AS ({_grid_sql("ngram", "layer")} SELECT *, 'ngram' AS family FROM grid), context_ AS ({_grid_sql("context", "layer")} SELECT *, 'context' AS family FROM grid)
+SELECT {_LAYER_COLUMNS}, 'corpus' AS model, family, CASE WHEN family = 'ngram' THEN round(delta_a_given_b_mean, 6) END AS delta_ngram, CASE WHEN family = 'context' THEN round(delta_a_given_b_mean, 6) END AS delta_context
+FROM (SELECT * FROM ngram_ UNION ALL SELECT * FROM context_)""")
 def layer_grid(spark, sf_dir):
     """The same for layers, by families with their directional columns and a
-    model tag; tested with joint_grid."""
-    rows, terms = reading_design(spark, sf_dir)
+    model tag."""
     out = None
-    for family, prefix in (("ngram", "ngram_surprisal_context"), ("context", "context_limited_surprisal_context")):
-        cells = _grid(rows, terms, prefix, "internal_layer_surprisal_layer").withColumns({"model": F.lit("corpus"), "family": F.lit(family)})
-        out = cells if out is None else out.unionByName(cells)
-    return reports.directional(out.withColumnsRenamed({"first": "predictor_context", "second": "layer"}), "family", "delta_a_given_b_mean")
+    for family, cells in _grids(spark, sf_dir, {f: (f, "layer") for f in ("ngram", "context")}).items():
+        tagged = cells.withColumns({"model": F.lit("corpus"), "family": F.lit(family)})
+        out = tagged if out is None else out.unionByName(tagged)
+    wide = reports.directional(out.withColumnsRenamed({"first": "predictor_context", "second": "layer"}), "family", "delta_a_given_b_mean")
+    return wide.withColumns({c: F.round(c, 3 if c.endswith("_sum") else 6) for c in wide.columns if c.startswith(("ll_", "delta_"))})
 
 
 @query("""SELECT l_linenumber AS context, round(avg(l_tax) FILTER (WHERE l_returnflag = 'A'), 9) AS "A", round(avg(l_tax) FILTER (WHERE l_returnflag = 'N'), 9) AS "N", round(avg(l_tax) FILTER (WHERE l_returnflag = 'R'), 9) AS "R" FROM lineitem GROUP BY 1""")
@@ -231,3 +280,27 @@ def budgets(spark, sf_dir):
 def story_folds(spark, sf_dir):
     """W11."""
     return regression.fold_by_text(table(spark, sf_dir, "documents").select("doc_id"), 10, "story", "doc_id")
+
+
+@query(f"""WITH RECURSIVE {SQL_READINGS},
+w AS (SELECT text_id, word_id, length(word) AS word_len, s0 AS ngram_surprisal_context_0, coalesce(s1, s0) AS ngram_surprisal_context_1 FROM scored),
+l AS (SELECT *, {", ".join(f"lag({c}) OVER t AS prev_{c}" for c in ("word_len", "ngram_surprisal_context_0", "ngram_surprisal_context_1"))} FROM w WINDOW t AS (PARTITION BY text_id ORDER BY word_id)),
+p AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 'flagship', text_id::VARCHAR, word_id::VARCHAR)), text_id, word_id) AS r, count(*) OVER () AS n FROM l WHERE word_id > 0),
+readings AS (SELECT *, greatest(1, ceil((r - 1) * 10 / (n - 1)::DOUBLE))::INT AS fold FROM p),
+{sweep_sql("readings", GAIN_TERMS, "word_len", GAIN_FORMULAS)},
+wanted(delta, w, o) AS (VALUES {", ".join(map(str, GAIN_PAIRS))}),
+gain AS (SELECT delta, x.ll_mean - y.ll_mean AS d FROM wanted JOIN ll x ON x.formula = w JOIN ll y ON y.formula = o AND y.fold = x.fold)
+SELECT delta, round(avg(d), 6) AS mean, round(stddev_samp(d) / sqrt(count(*)), 6) AS se, count(*) AS k FROM gain GROUP BY delta""")
+def surprisal_gains(spark, sf_dir):
+    """The flagship."""
+    return flagship(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("mean", "se")})
+
+
+@query(f"""WITH {SQL_PAIR} SELECT fold, n_train, n_test, round(ll_mean, 6) AS ll_mean, round(ll_sum, 3) AS ll_sum FROM ll WHERE formula = 'ab'""")
+def collinear_scores(spark, sf_dir):
+    """M4, M5: a column and one that differs from it by a ten-millionth span what two
+    plain columns span, so they give the same densities, at a condition of some 1e8."""
+    rows = _design(spark, sf_dir).withColumn("near", F.col("a") + 1e-7 * F.col("b"))
+    terms = ["a", "near"]
+    scores = regression.sound_scores(regression.fold_scores(regression.factors(rows, terms, "y"), terms, {"both": terms}))
+    return scores.select("fold", "n_train", "n_test", F.round("ll_mean", 6).alias("ll_mean"), F.round("ll_sum", 3).alias("ll_sum"))
