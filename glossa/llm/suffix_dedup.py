@@ -49,7 +49,8 @@ MOST_STARTS = 200  # of a piece: a longer run of one anchor (periodic text) is s
 SLICE, PLACES = 1 << 20, U((1 << 21) - 1)  # starts of a long text that are hashed at once, and the bits of their places
 CROWD = 300_000  # starts of an anchor's distinct pieces that one array takes, some 150 MB
 BATCH_STARTS = 16_000  # small anchors share an array up to here
-KEY_ROWS = 50_000  # of anchors or texts: broadcast up to here
+KEY_ROWS = 50_000  # of anchors: broadcast up to here
+TEXT_ROWS = 1_000_000  # of (id, mark), 16 MB: broadcast up to here, so that other texts aren't shuffled
 LAST = 2**63 - 1
 _FACTORS = np.random.default_rng(12).integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 PIECE = pa.schema([(n, pa.int64()) for n in ("key", "d", "id", "mark")] + [(n, pa.int32()) for n in ("at", "run", "n", "inner")])
@@ -227,9 +228,15 @@ def _side(df: DataFrame, limit: int = KEY_ROWS) -> DataFrame:
     return small_side(df, df.count(), limit)
 
 
-def _of_texts(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """rows that lists has (id, mark) of, with its columns: others aren't shuffled."""
-    return rows.join(_side(lists.select("id", "mark")), ["id", "mark"], "left_semi").join(lists, ["id", "mark"])
+def _of_texts(rows: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (id, mark, text, ...) that lists has a line of, with it, and the others with a
+    null one. Where the lines are few, the others aren't shuffled."""
+    column, keys = lists.columns[-1], ["id", "mark"]
+    if lists.count() > TEXT_ROWS:
+        both = rows.join(lists, keys, "left")
+        return both.where(F.col(column).isNotNull()), both.where(F.col(column).isNull())
+    side = F.broadcast(lists.select(*keys))
+    return rows.join(side, keys, "left_semi").join(lists, keys), rows.join(side, keys, "left_anti").withColumn(column, F.lit(None).cast(lists.schema[column].dataType))
 
 
 def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", keep_first: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -256,7 +263,7 @@ def repeated_spans(docs: DataFrame, *, doc_id="doc_id", text="text", keep_first:
     first = F.min(F.struct("id", "mark", "at")).alias("first")
     distinct = kept(mixed.groupBy("key", "d").agg(F.sum("n").alias("met"), first, F.first("run").alias("run")), "distinct")
     wanted = distinct.groupBy("first.id", "first.mark").agg(F.collect_list(F.struct("key", "d", "first.at", "run")).alias("wanted"))
-    bodies = _of_texts(walked.select("id", "mark", "text"), kept(wanted, "wanted")).mapInArrow(_bodies, BODY_DDL).dropDuplicates(["key", "d"])
+    bodies = _of_texts(walked.select("id", "mark", "text"), kept(wanted, "wanted"))[0].mapInArrow(_bodies, BODY_DDL).dropDuplicates(["key", "d"])
     crowds = cut(distinct.groupBy("key").agg(F.sum("run").alias("starts")).where(F.col("starts") > CROWD).select("key"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bodies = kept(bodies, "bodies")
@@ -306,11 +313,11 @@ def remove_copies(docs: DataFrame, *, doc_id="doc_id", text="text", keep_first:
     rows, copies, spans = repeated_spans(docs, doc_id=doc_id, text=text, keep_first=keep_first)
     gone = F.col("first").isNotNull() & ((F.col("id") != F.col("first")) | F.lit(not keep_first))
     placed = rows.join(_side(copies.select("mark", "second", "first")), ["mark", "second"], "left").select("id", "mark", "text", gone.alias("whole"))
-    full = _of_texts(placed.where("not whole"), spans)
-    rest = placed.where("not whole").join(_side(spans.select("id", "mark")), ["id", "mark"], "left_anti").unionByName(placed.where("whole"))
+    some, none = _of_texts(placed.where("not whole"), spans)
+    every = placed.where("whole").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     columns = ["id", "text", "whole", "spans"]
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<long>" * keep_bytes
-    return full.select(columns).unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(columns)).mapInArrow(_left(keep_bytes), ddl)
+    return some.select(columns).unionByName(none.select(columns)).unionByName(every.select(columns)).mapInArrow(_left(keep_bytes), ddl)
 
 
 #: Windows as hexadecimal digits, two a byte; all that repeat go.
