@@ -86,10 +86,12 @@ def plain_removal(rows, keep_first):
 
 
 @pytest.mark.parametrize("keep_first", [True, False])
-@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 0])
-def test_removal_equals_a_plain_one(spark, docs, monkeypatch, keep_first, crowd):
-    """Also where every anchor is a crowded one."""
+@pytest.mark.parametrize("crowd, broadcast", [(suffix_dedup.CROWD, 1000), (0, 0)])
+def test_removal_equals_a_plain_one(spark, docs, monkeypatch, keep_first, crowd, broadcast):
+    """Also where every anchor is a crowded one and nothing is broadcast."""
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "KEY_ROWS", broadcast)
+    monkeypatch.setattr(suffix_dedup, "TEXT_ROWS", broadcast)
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
     rows = [(r["doc_id"], r["text"], r["h"]) for r in hashed]
     got = suffix_dedup.remove_copies(docs, keep_first=keep_first).collect()
