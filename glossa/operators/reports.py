@@ -26,16 +26,17 @@ def with_cost(types: DataFrame) -> DataFrame:
     return types.withColumn("zipf", -F.col("zipf"))
 
 
-def rank_column(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """A column's ranks from 1, ties at their mean: distinct values go into ranges, a
-    range's sum gives its offset and only its own values are ordered in a task."""
-    sizes = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("ties"))
-    ranged = cut(sizes.repartitionByRange("value").withColumn("pid", F.spark_partition_id()))
+def rank_values(values: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
+    """(groups, value, name): ranks from 1 of a value among its group's, ties at their
+    mean, for all groups at once. Distinct values go into ranges; what a group has in
+    earlier ranges gives a range's offset, and only a range's own values are ordered in
+    a task."""
+    sizes = values.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("ties"))
+    ranged = cut(sizes.repartitionByRange(*groups, value).withColumn("pid", F.spark_partition_id()))
     ahead = lambda what, window: F.coalesce(F.sum(what).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranged.groupBy("pid").agg(F.sum("ties").alias("held")).select("pid", ahead("held", Window.orderBy("pid")).alias("offset"))  # a row a range
-    within = ahead("ties", Window.partitionBy("pid").orderBy("value"))
-    ranks = ranged.join(F.broadcast(offsets), "pid").select("value", (F.col("offset") + within + (F.col("ties") + 1) / 2).alias(name))
-    return rows.join(ranks, F.col(column) == F.col("value")).drop("value")
+    offsets = ranged.groupBy(*groups, "pid").agg(F.sum("ties").alias("held")).select(*groups, "pid", ahead("held", Window.partitionBy(*groups).orderBy("pid")).alias("offset"))  # a row a range and group
+    within = ahead("ties", Window.partitionBy("pid", *groups).orderBy(value))
+    return ranged.join(F.broadcast(offsets), [*groups, "pid"]).select(*groups, value, (F.col("offset") + within + (F.col("ties") + 1) / 2).alias(name))
 
 
 def _incomplete_beta(x: float, a: float, b: float) -> float:
@@ -71,12 +72,16 @@ def student_p(t: Column, df: Column) -> Column:
 
 
 def length_correlations(types: DataFrame, predictors: list[str], length: str = "word_len") -> DataFrame:
-    """Pearson and Spearman of word length with each predictor, their t and p."""
-    out = None
-    for p in predictors:
-        both = rank_column(rank_column(types.select(length, p).where(F.col(p).isNotNull()), length, "rank_a"), p, "rank_b")
-        line = both.agg(F.lit(p).alias("predictor"), F.count(F.lit(1)).alias("n"), F.corr(length, p).alias("pearson"), F.corr("rank_a", "rank_b").alias("spearman"))
-        out = line if out is None else out.unionByName(line)
+    """Pearson and Spearman of word length with each predictor, their t and p, over
+    the rows that have the predictor. All are ranked in one long form: a row's two sides
+    for each predictor, ranks by (predictor, side, value), and the sides together again."""
+    whole = cut(types.select(length, *predictors)).withColumn("row", F.monotonically_increasing_id())
+    sides = [F.when(F.col(p).isNotNull(), F.struct(F.lit(p).alias("predictor"), F.lit(side).alias("side"), F.col(c).cast("double").alias("value"))) for p in predictors for side, c in enumerate((length, p))]
+    long = whole.select("row", F.inline(F.array_compact(F.array(*sides))))
+    ranks = rank_values(long, ["predictor", "side"], "value", "rank")
+    of = lambda side, what: F.max(F.when(F.col("side") == side, F.col(what)))
+    pairs = long.join(ranks, ["predictor", "side", "value"]).groupBy("row", "predictor").agg(of(0, "value").alias("a"), of(1, "value").alias("b"), of(0, "rank").alias("rank_a"), of(1, "rank").alias("rank_b"))
+    out = pairs.groupBy("predictor").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("pearson"), F.corr("rank_a", "rank_b").alias("spearman"))
     t = lambda r: F.col(r) * F.sqrt((F.col("n") - 2) / (1 - F.col(r) * F.col(r)))
     timed = out.withColumns({"pearson_t": t("pearson"), "spearman_t": t("spearman")})
     return timed.withColumns({f"{r}_p": student_p(F.col(f"{r}_t"), F.col("n") - 2) for r in ("pearson", "spearman")})

@@ -318,11 +318,33 @@ def grid_completeness(spark, sf_dir):
     return checks.incomplete_grid(found, wanted)
 
 
-@query()
+def _newton_sql(steps: int) -> str:
+    """b0 to b{steps}: coefficients of each fold, one Newton step after another, three by
+    three by Cramer's rule."""
+    det = lambda a: " + ".join(f"{s} {a[0][i]} * {a[1][j]} * {a[2][k]}" for s, i, j, k in (("", 0, 1, 2), ("", 1, 2, 0), ("", 2, 0, 1), ("-", 2, 1, 0), ("-", 1, 0, 2), ("-", 0, 2, 1))).replace("+ -", "-")
+    h = [["h00", "h01", "h02"], ["h01", "h11", "h12"], ["h02", "h12", "h22"]]
+    swapped = lambda c: [[f"g{i}" if j == c else h[i][j] for j in range(3)] for i in range(3)]
+    x = ("1.0::DOUBLE", "quality", "size")
+    out = ["n0 AS (SELECT DISTINCT fold AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM f)"]
+    for s in range(1, steps + 1):
+        out.append(f"q{s} AS (SELECT k, b0, b1, b2, f.*, 1 / (1 + exp(-(b0 + b1 * quality + b2 * size))) AS p FROM n{s - 1}, f WHERE fold <> k)")
+        sums = [f"sum({x[i]} * (toxic - p)) AS g{i}" for i in range(3)] + [f"sum({x[i]} * {x[j]} * p * (1 - p)) AS h{i}{j}" for i in range(3) for j in range(i, 3)]
+        out.append(f"s{s} AS (SELECT k, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, {', '.join(sums)} FROM q{s} GROUP BY k)")
+        out.append(f"n{s} AS (SELECT k, {', '.join(f'b{c} + ({det(swapped(c))}) / ({det(h)}) AS b{c}' for c in range(3))} FROM s{s})")
+    return ", ".join(out)
+
+
+@query(f"""WITH j AS (SELECT doc_id, quality, toxic, ln(1 + n_chars) AS size FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 'logit', doc_id::VARCHAR)), doc_id) AS r, count(*) OVER () AS n FROM j WHERE quality IS NOT NULL AND toxic IS NOT NULL AND size IS NOT NULL),
+f AS (SELECT quality::DOUBLE AS quality, toxic::DOUBLE AS toxic, size, greatest(1, ceil((r - 1) * 4 / (n - 1)::DOUBLE))::INT AS fold FROM r), {_newton_sql(12)},
+z AS (SELECT fold, CASE WHEN toxic > 0.5 THEN -1 ELSE 1 END * (b0 + b1 * quality + b2 * size) AS z FROM f JOIN n12 ON fold = k)
+SELECT fold, count(*) AS n_test, round(avg(-ln(1 + exp(z))), 6) AS ll_mean FROM z GROUP BY fold""")
 def logistic_cv(spark, sf_dir):
-    """Toxic labels by quality and length."""
+    """Toxic labels by quality and length."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("size", F.log1p("n_chars"))
-    return regression.logistic_scores(regression.assign_folds(rows, ["doc_id"], 4, "logit"), ["quality", "size"], "toxic", [1, 2, 3, 4])
+    ready = regression.complete_rows(rows, ["toxic", "quality", "size"])
+    scores = regression.logistic_scores(regression.assign_folds(ready, ["doc_id"], 4, "logit"), ["quality", "size"], "toxic")
+    return scores.withColumn("ll_mean", F.round("ll_mean", 6))
 
 
 SQL_TYPES = f"""{SQL_WORDS}, w AS (SELECT word, length(word) AS l, (word_id % 11 + length(word))::DOUBLE AS s, (word_id % 7 + 1)::DOUBLE AS u FROM words WHERE regexp_full_match(word, '[a-z]+')),
@@ -346,13 +368,22 @@ def _ranks(c: str) -> str:
     return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}"
 
 
+def _student_sql(t: str) -> str:
+    """Two-sided tail of Student's t by Simpson's rule over its angle, df = n - 2."""
+    step, f = f"atan(abs({t}) / sqrt(n - 2)) / 4000", "pow(cos(i * step), n - 3)"
+    return f"(SELECT greatest(0, 1 - 2 * exp(lgamma((n - 1) / 2.0::DOUBLE) - lgamma((n - 2) / 2.0::DOUBLE)) / sqrt(pi()) * step / 3 * list_sum(list_transform(range(4001), lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {f}))) FROM (SELECT {step} AS step))"
+
+
 @query(f"""WITH {SQL_TYPES}, n AS (SELECT * REPLACE (-zipf AS zipf) FROM t), v AS (SELECT word_len, {', '.join(f'round({c}, 9) AS {c}' for c in COSTS)} FROM n),
-r AS (SELECT *, {', '.join(map(_ranks, ['word_len', *COSTS]))} FROM v)
-{' UNION ALL '.join(f"SELECT '{c}' AS predictor, count(*) AS n, round(corr(word_len, {c}), 6) AS pearson, round(corr(r_word_len, r_{c}), 6) AS spearman FROM r" for c in COSTS)}""")
+r AS (SELECT *, {', '.join(map(_ranks, ['word_len', *COSTS]))} FROM v),
+c AS ({' UNION ALL '.join(f"SELECT '{c}' AS predictor, count(*) AS n, corr(word_len, {c}) AS pearson, corr(r_word_len, r_{c}) AS spearman FROM r" for c in COSTS)}),
+s AS (SELECT *, pearson * sqrt((n - 2) / (1 - pearson * pearson)) AS pearson_t, spearman * sqrt((n - 2) / (1 - spearman * spearman)) AS spearman_t FROM c)
+SELECT predictor, n, {', '.join(f"round({r}, 6) AS {r}, round({r}_t, 4) AS {r}_t, round({_student_sql(r + '_t')}, 6) AS {r}_p" for r in ('pearson', 'spearman'))} FROM s""")
 def word_length_study(spark, sf_dir):
+    """A8."""
     costs = reports.with_cost(_types(spark, sf_dir)).select("word_len", *[F.round(c, 9).alias(c) for c in COSTS])
     c = reports.length_correlations(costs, COSTS)
-    return c.select("predictor", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+    return c.select("predictor", "n", *[F.round(f"{r}{x}", 4 if x == "_t" else 6).alias(f"{r}{x}") for r in ("pearson", "spearman") for x in ("", "_t", "_p")])
 
 
 @query(f"""WITH {SQL_WORDS}, {SQL_HELD}, e AS (SELECT word, lead(word) OVER (PARTITION BY text_id ORDER BY word_id) AS following FROM words),

@@ -27,8 +27,8 @@ def test_folds_match_cut(design):
 
 def test_scores_equal_row_level_fit(design):
     formulas = {"m0": [], "ab": ["a", "b", "a:b"]}
-    sums = regression.gram(design, ["a", "b", "a:b"], "y")
-    scores = regression.fold_scores(sums, ["a", "b", "a:b"], formulas)
+    triangles = regression.factors(design, ["a", "b", "a:b"], "y")
+    scores = regression.fold_scores(triangles, ["a", "b", "a:b"], formulas)
     got = {(r["formula"], r["fold"]): (r["ll_mean"], r["coefficients"]) for r in scores.collect()}
     d = design.toPandas()
     for name, use in formulas.items():
@@ -46,10 +46,48 @@ def test_scores_equal_row_level_fit(design):
 
 def test_rank_deficiency_is_reported(design):
     twice = design.withColumn("a2", F.col("a") * 2)
-    scores = regression.fold_scores(regression.gram(twice, ["a", "a2"], "y"), ["a", "a2"], {"bad": ["a", "a2"], "good": ["a"]})
+    scores = regression.fold_scores(regression.factors(twice, ["a", "a2"], "y"), ["a", "a2"], {"bad": ["a", "a2"], "good": ["a"]})
     assert {r["formula"]: r["sound"] for r in scores.collect()} == {"bad": False, "good": True}
 
 
+def test_unsound_scores_stop_what_builds_on_them(design):
+    twice = design.withColumn("a2", F.col("a") * 2)
+    scores = regression.fold_scores(regression.factors(twice, ["a", "a2"], "y"), ["a", "a2"], {"bad": ["a", "a2"], "good": ["a"]})
+    with pytest.raises(Exception, match="no sound fit of bad"):
+        regression.deltas(scores, [("d", "bad", "good")]).collect()
+    few = regression.fold_scores(regression.factors(design.where("k < 6"), ["a", "b"], "y"), ["a", "b"], {"m": ["a", "b"]})
+    assert {r["sound"] for r in few.where("n_train <= 3").collect()} <= {False}
+    constant = regression.fold_scores(regression.factors(design.withColumn("y", F.lit(2.0)), ["a"], "y"), ["a"], {"m": ["a"]})
+    assert all(not r["sound"] or r["ll_mean"] > 20 for r in constant.collect())
+
+
+def test_condition_of_1e8_equals_a_row_level_fit(spark):
+    """Raw normal equations lose all digits here."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 3000))
+    near, y = a + 2e-8 * b, 3 + a + rng.normal(size=3000)
+    assert 5e7 < np.linalg.cond(np.column_stack([np.ones(3000), a, near])) < 1e9
+    rows = spark.createDataFrame([(k % 4 + 1, *map(float, v)) for k, v in enumerate(zip(a, near, b, y))], "fold int, a double, near double, b double, y double").repartition(7)
+    terms = ["a", "near", "b"]
+    got = {(r["formula"], r["fold"]): r for r in regression.fold_scores(regression.factors(rows, terms, "y"), terms, {"near": ["a", "near"], "plain": ["a", "b"]}).collect()}
+    d = rows.toPandas()
+    for f in range(1, 5):
+        want = row_level(d, terms, ["a", "b"], "y", f)
+        assert got["near", f]["sound"] and got["near", f]["ll_mean"] == pytest.approx(want, abs=1e-7) and got["plain", f]["ll_mean"] == pytest.approx(want, abs=1e-10)
+
+
+def test_spearman_over_the_rows_that_have_the_predictor(spark):
+    rng = np.random.default_rng(6)
+    d = pd.DataFrame({"word_len": rng.integers(1, 9, 300), "x": rng.normal(size=300).round(1), "z": rng.normal(size=300)})
+    d.loc[::4, "x"] = None
+    rows = spark.createDataFrame(d.astype(object).where(d.notna(), None).values.tolist(), "word_len int, x double, z double")
+    got = {r["predictor"]: r for r in reports.length_correlations(rows, ["x", "z"]).collect()}
+    for c in ("x", "z"):
+        some = d[d[c].notna()]
+        assert got[c]["n"] == len(some) and got[c]["pearson"] == pytest.approx(some["word_len"].corr(some[c]))
+        assert got[c]["spearman"] == pytest.approx(some["word_len"].rank().corr(some[c].rank()))
+
+
 def test_signflip_and_correction(spark):
     folds = spark.createDataFrame([("x", f, 0.1 * f) for f in range(1, 5)], "name string, fold int, d double")
     r = reports.signflip_exact(folds, ["name"], "d", 4).first()
@@ -96,7 +134,7 @@ def test_grids_equal_row_level_fits(spark):
     n, c, layer = ({int(x.rsplit("_", 1)[1]): x for x in d.columns if x.startswith(p)} for p in ("ngram_surprisal", "context_limited", "internal_layer"))
     for one, two in ((n, c), (n, layer)):
         formulas = regression.grid_formulas(one, two)
-        scores = regression.fold_scores(regression.gram(rows, terms, "time"), terms, formulas)
+        scores = regression.fold_scores(regression.factors(rows, terms, "time"), terms, formulas)
         assert scores.where("not sound").count() == 0
         got = {(r["first"], r["second"], r["fold"]): r for r in regression.grid_deltas(scores, list(one), list(two)).collect()}
         assert set(got) == {(i, j, f) for i in one for j in two for f in range(1, 11)}
@@ -119,7 +157,7 @@ def test_many_columns_are_planned_at_once(spark):
     names = [f"x{k}" for k in range(240)]
     rows = spark.range(3000).select((F.col("id") % 3 + 1).cast("int").alias("fold"), *[F.sin((F.col("id") + 1) * (k + 1)).alias(c) for k, c in enumerate(names)], F.cos(F.col("id") * 2.5).alias("y"))
     d = rows.toPandas()
-    scores = {r["fold"]: r["ll_mean"] for r in regression.fold_scores(regression.gram(rows, names, "y"), names, {"all": names}).collect()}
+    scores = {r["fold"]: r["ll_mean"] for r in regression.fold_scores(regression.factors(rows, names, "y"), names, {"all": names}).collect()}
     assert all(scores[f] == pytest.approx(row_level(d, names, names, "y", f), abs=1e-6) for f in (1, 2, 3))
 
 
@@ -128,7 +166,7 @@ def test_logistic_scores_equal_newton_steps(spark):
     x = rng.normal(size=(300, 2))
     y = (rng.random(300) < 1 / (1 + np.exp(-(0.4 + x @ [1.2, -0.7])))).astype(float)
     rows = [(k % 3 + 1, float(a), float(b), float(t)) for k, ((a, b), t) in enumerate(zip(x, y))]
-    got = {r["fold"]: r["ll_mean"] for r in regression.logistic_scores(spark.createDataFrame(rows, "fold int, a double, b double, y double"), ["a", "b"], "y", [1, 2, 3]).collect()}
+    got = {r["fold"]: r["ll_mean"] for r in regression.logistic_scores(spark.createDataFrame(rows, "fold int, a double, b double, y double"), ["a", "b"], "y").collect()}
     full, fold = np.column_stack([np.ones(300), x]), np.arange(300) % 3 + 1
     for f in (1, 2, 3):
         beta, tr, te = np.zeros(3), fold != f, fold == f
@@ -136,7 +174,7 @@ def test_logistic_scores_equal_newton_steps(spark):
             p = 1 / (1 + np.exp(-full[tr] @ beta))
             beta += np.linalg.solve((full[tr] * (p * (1 - p))[:, None]).T @ full[tr], full[tr].T @ (y[tr] - p))
         p = 1 / (1 + np.exp(-full[te] @ beta))
-        assert got[f] == pytest.approx((y[te] * np.log(p) + (1 - y[te]) * np.log(1 - p)).mean(), abs=1e-5)
+        assert got[f] == pytest.approx((y[te] * np.log(p) + (1 - y[te]) * np.log(1 - p)).mean(), abs=1e-9)
 
 
 def test_flagship_gains_equal_row_level_fits(spark):
@@ -176,9 +214,11 @@ def test_student_tail_and_ranks_over_ranges(spark):
         assert reports._incomplete_beta(df / (df + t * t), df / 2, 0.5) == pytest.approx(p, abs=2e-4)
     rng = np.random.default_rng(2)
     values = rng.integers(0, 60, 500) / 7
-    rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k int, x double")
-    want = pd.Series(values).rank()
-    assert {r["k"]: r["r"] for r in reports.rank_column(rows, "x", "r").collect()} == dict(enumerate(want))
+    rows = spark.createDataFrame([(k % 3, float(v)) for k, v in enumerate(values)], "g int, x double")
+    want = pd.DataFrame({"g": np.arange(500) % 3, "x": values})
+    want["r"] = want.groupby("g")["x"].rank()
+    got = {(r["g"], r["x"]): r["r"] for r in reports.rank_values(rows, ["g"], "x", "r").collect()}
+    assert got == {(g, x): r for g, x, r in want.itertuples(index=False)}
 
 
 def test_budgets_have_the_signs_of_their_names(spark):
