@@ -250,6 +250,14 @@ def deltas(scores: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
     return joined.select("delta", "fold", "n_test", (F.col("plus_mean") - F.col("minus_mean")).alias("delta_mean"), (F.col("plus_sum") - F.col("minus_sum")).alias("delta_sum"))
 
 
+def baseline_deltas(scores: DataFrame, predictors: list[str]) -> DataFrame:
+    """M3, M6: (predictor, fold, diff_empty, diff_full_surprisal): the gain of each over
+    either baseline, from formulas named baseline_predictor and baseline_none."""
+    gains = deltas(scores, [(f"{base}|{p}", f"{base}_{p}", f"{base}_none") for base in baselines() for p in predictors])
+    base, name = (F.split_part("delta", F.lit("|"), F.lit(k)) for k in (1, 2))
+    return gains.groupBy(name.alias("predictor"), "fold").agg(*[F.max(F.when(base == b, F.col("delta_mean"))).alias(f"diff_{b}") for b in baselines()])
+
+
 def fold_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """A4: mean over folds and its standard error, null for one fold."""
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"), F.count(value).alias("k"))

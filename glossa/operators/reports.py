@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.session import cut, small_side
 
+MOST_FOLDS = 40  # 2^20 sums a half, 8 MB
+
 
 def word_types(words: DataFrame, surprisal: str = "surprisal", buggy: str | None = None, frequency: str | None = None) -> DataFrame:
     """Per word the mean surprisal, its channel-capacity form mean(s^2) /
@@ -87,25 +91,38 @@ def length_correlations(types: DataFrame, predictors: list[str], length: str = "
     return timed.withColumns({f"{r}_p": student_p(F.col(f"{r}_t"), F.col("n") - 2) for r in ("pearson", "spearman")})
 
 
+def _greater_patterns(values: np.ndarray) -> int:
+    """How many sign patterns give a sum strictly greater in size than the plain one. The
+    sums of either half are sorted and met in the middle; as every pattern's opposite
+    is one too, those above count for those below."""
+    signed = lambda part: np.sort(functools.reduce(lambda sums, v: np.concatenate((sums + v, sums - v)), part, np.zeros(1)))
+    half = len(values) // 2
+    left, right = signed(values[:half]), signed(values[half:])
+    limit = abs(values.sum()) + 1e-12
+    return 2 * int((len(right) - np.searchsorted(right, limit - left, side="right")).sum())
+
+
 def signflip_exact(folds: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
     """M11, exact: the share of the 2^k sign patterns of a group's k fold values whose
-    mean is strictly greater in size than the one seen."""
-    listed = folds.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", value))), lambda s: s[value]).alias("d"))
-    signed = lambda pattern: F.aggregate(F.zip_with("d", F.sequence(F.lit(0), F.size("d") - 1), lambda v, i: F.when(F.call_function("getbit", pattern, i) == 1, -v).otherwise(v)), F.lit(0.0), lambda a, v: a + v)
-    if k > 16:
-        raise ValueError("2^k sign patterns: for more than 16 folds use signflip_random")
-    patterns = folds.sparkSession.range(1 << k).withColumnRenamed("id", "pattern")
+    mean is strictly greater in size than the one seen; 2^(k/2) sums a group in memory."""
+    if k > MOST_FOLDS:
+        raise ValueError(f"for more than {MOST_FOLDS} folds use signflip_random")
+    listed = folds.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", value))), lambda s: s[value].cast("double")).alias("d"))
+
+    def count(lists: pd.Series) -> pd.Series:
+        return pd.Series([_greater_patterns(np.asarray(d, float)) for d in lists], dtype="int64")
+
     seen = F.aggregate("d", F.lit(0.0), lambda a, v: a + v)
-    flips = listed.crossJoin(F.broadcast(patterns)).select(*keys, signed(F.col("pattern")).alias("flipped"), seen.alias("seen"))  # 2^k patterns, k folds
-    greater = F.count_if(F.abs("flipped") > F.abs("seen") + 1e-12)
-    return flips.groupBy(*keys).agg(greater.alias("n_greater"), F.count(F.lit(1)).alias("n_patterns"), (F.max("seen") / k).alias("mean_delta")).withColumn("p", (F.col("n_greater") + 1) / F.col("n_patterns"))
+    counted = listed.select(*keys, F.pandas_udf(count, "long")("d").alias("n_greater"), F.shiftleft(F.lit(1).cast("long"), k).alias("n_patterns"), (seen / k).alias("mean_delta"))
+    return counted.withColumn("p", (F.col("n_greater") + 1) / F.col("n_patterns"))
 
 
 def signflip_random(folds: DataFrame, keys: list[str], value: str, flips: int, seed: str) -> DataFrame:
     """The same with random signs, p = (greater + 1) / flips. A group is one row
     with its fold values, met by every flip."""
     listed = folds.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", value))), lambda s: s[value]).alias("d"))  # folds: a few values a group
-    bits = lambda i: F.pmod(F.xxhash64(F.lit(seed), *keys, F.col("flip"), i), F.lit(2))
+    digest = lambda i: F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("flip").cast("string"), F.floor(i / 32).cast("string")))
+    bits = lambda i: F.conv(F.substr(digest(i), i % 32 + 1, F.lit(1)), 16, 10).cast("int") % 2
     total = lambda signed: F.aggregate(signed, F.lit(0.0), lambda a, v: a + v)
     flipped = total(F.transform("d", lambda v, i: F.when(bits(i) == 0, v).otherwise(-v)))
     drawn = listed.withColumn("flip", F.explode(F.sequence(F.lit(1), F.lit(flips))))

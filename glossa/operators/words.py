@@ -55,10 +55,38 @@ def point_fixes(word: Column, fixes: dict[str, str]) -> Column:
     return reduce(lambda c, p: F.when(word == p[0], p[1]).otherwise(c), fixes.items(), word)
 
 
-def normalise_punctuation(text: Column) -> Column:
-    """Typographic quotes, dashes, dots and spaces in their ASCII form."""
-    plain = F.translate(text, "“”„«»‘’‚`´–   ", "\"\"\"\"\"'''''-   ")
-    return F.regexp_replace(F.regexp_replace(F.replace(F.replace(plain, F.lit("…"), F.lit("...")), F.lit("—"), F.lit(" - ")), " +", " "), r" ([,.;:!?)])", "$1")
+#: The published rules of the Moses punctuation normaliser, in their order,
+#: as (pattern, replacement); those of one language's quotes and numbers apart.
+PUNCTUATION_RULES = [
+    ("\r", ""), (r"\(", " ("), (r"\)", ") "), (" +", " "), (r"\) ([.!:?;,])", ")$1"), (r"\( ", "("), (r" \)", ")"), ("([0-9]) %", "$1%"), (" :", ":"), (" ;", ";"),
+    ("`", "'"), ("''", ' " '), ("[„“”]", '"'), ("–", "-"), ("—", " - "), (" +", " "), ("´", "'"), ("([A-Za-z])[‘’]([A-Za-z])", "$1'$2"), ("[‘‚]", "'"), ("’", '"'), ("''", '"'), ("…", "..."),
+    (" « ", ' "'), ("« ?", '"'), (" » ", '" '), (" ?»", '"'), ("\xa0%", "%"), ("nº\xa0", "nº "), ("\xa0:", ":"), ("\xa0ºC", " ºC"), ("\xa0cm", " cm"), ("\xa0([?!;])", "$1"), (",\xa0", ", "), (" +", " "),
+]
+ENGLISH_RULES = [('"([,.]+)', '$1"'), ("([0-9])\xa0([0-9])", "$1.$2")]
+OTHER_RULES = [(',"', '",'), (r'([.]+)"(\s*[^<])', '"$1$2'), ("([0-9])\xa0([0-9])", "$1,$2")]
+#: The published rules that part a word into tokens in English: other signs
+#: and commas outside numbers stand alone, an apostrophe goes to what follows it.
+#: A hyphen parts nothing. {a} stands for letters, {n} for numbers.
+TOKEN_RULES = [
+    (r"([^{a}{n}\s.'`,-])", " $1 "), ("([^{n}]),", "$1 , "), (",([^{n}])", " , $1"), ("([{n}]),$", "$1 ,"),
+    ("([^{a}])'([^{a}])", "$1 ' $2"), ("([^{a}{n}])'([{a}])", "$1 ' $2"), ("([{a}])'([^{a}])", "$1 ' $2"), ("([{a}])'([{a}])", "$1 '$2"), ("([{n}])'(s)", "$1 '$2"),
+]
+
+
+def rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Regular replacements, in order."""
+    return reduce(lambda c, rule: F.regexp_replace(c, *rule), rules, text)
+
+
+def normalise_punctuation(text: Column, english: bool = True) -> Column:
+    """Typographic punctuation and its spaces in plain form."""
+    return rewritten(text, PUNCTUATION_RULES + (ENGLISH_RULES if english else OTHER_RULES))
+
+
+def word_tokens(word: Column) -> Column:
+    """The tokens of a cleaned word."""
+    rules = [(pattern.replace("{a}", r"\p{IsAlphabetic}").replace("{n}", r"\p{N}"), to) for pattern, to in TOKEN_RULES]
+    return F.filter(F.split(rewritten(F.concat(F.lit(" "), word, F.lit(" ")), rules), " +"), lambda t: t != "")
 
 
 def byte_alphabet(word: Column) -> Column:
@@ -95,12 +123,20 @@ def reference_tokens(readings: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def realign_words(readings: DataFrame, passages: DataFrame) -> DataFrame:
-    """T5: the first place at or after word_id where the passage has the cleaned
-    word; null place where it has none."""
-    arrays = passages.select("text_id", F.transform(word_array(F.col("text")), clean_word).alias("passage"))
-    joined = readings.join(arrays, "text_id", "left")
-    at = F.array_position(F.slice("passage", F.col("word_id") + 1, F.greatest(F.size("passage"), F.lit(1))), clean_word(F.col("word")))
-    return joined.withColumn("place", F.when(at > 0, F.col("word_id") + at - 1)).drop("passage")
+    """T5: the first place at or after word_id where the passage has the cleaned word;
+    null place where it has none.
+
+    A search for the next equal word, as of each question: places of a passage's words
+    and the distinct questions about them lie in one order by (text, word), the last
+    place first, and a question takes the last place that it has passed."""
+    clean = clean_word(F.col("word"))
+    asked = readings.select("text_id", clean.alias("clean"), F.col("word_id").cast("long").alias("at")).distinct().withColumn("place", F.lit(None).cast("long"))
+    places = word_table(passages).select("text_id", clean.alias("clean"), F.col("word_id").cast("long").alias("at"), F.col("word_id").cast("long").alias("place"))
+    order = Window.partitionBy("text_id", "clean").orderBy(F.desc("at"), F.col("place").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = places.unionByName(asked).withColumn("next", F.last("place", ignorenulls=True).over(order)).where("place IS NULL")
+    answers = passed.select("text_id", F.col("clean").alias("_clean"), F.col("at").alias("_at"), F.col("next").cast("int").alias("place"))
+    own = readings.withColumns({"_clean": clean, "_at": F.col("word_id").cast("long")})
+    return own.join(answers, ["text_id", "_clean", "_at"], "left").drop("_clean", "_at")
 
 
 def prefix_sample(words: DataFrame, k: int) -> DataFrame:
@@ -147,13 +183,14 @@ def word_frequency(corpus: DataFrame, study: DataFrame) -> DataFrame:
 
 
 def lexicon_score(words: DataFrame, lexicon: DataFrame, constant: float | None = None) -> DataFrame:
-    """The sum of a word's token values; null if any token is unknown or none
-    is left. Scored once a distinct word. A language without a lexicon has the
-    same constant for every word."""
+    """The sum of a word's token values; null if any token is unknown or the word
+    cleans to nothing. Scored once a distinct word. A language without a lexicon has
+    the same constant for every word that isn't empty."""
+    clean = clean_word(F.trim(F.col("word")))
     if constant is not None:
-        return words.withColumn("freq", F.lit(constant))
+        return words.withColumn("freq", F.when(clean != "", F.lit(constant)))
     distinct = words.select("word").distinct()
-    tokens = distinct.select("word", F.explode_outer(F.split(clean_word(F.col("word")), "[-'/]+")).alias("token"))
+    tokens = distinct.select("word", F.explode_outer(word_tokens(clean)).alias("token"))
     scored = tokens.join(lexicon.select("token", "value"), "token", "left").groupBy("word").agg(
         F.when(F.count("value") == F.count(F.lit(1)), F.sum("value")).alias("freq")
     )

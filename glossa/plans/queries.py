@@ -80,20 +80,6 @@ def corpus_frequency(spark, sf_dir):
     return words.word_frequency(passages(spark, sf_dir), words.word_table(held_out(spark, sf_dir)))
 
 
-PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-@query(f"""WITH {SQL_WORDS}, {SQL_HELD},
-lex AS (SELECT t AS token, count(*)::DOUBLE AS value FROM (SELECT trim(lower(word), '{PUNCT}') AS t FROM words) GROUP BY t HAVING count(*) >= 2 AND t <> ''),
-tok AS (SELECT word, unnest(string_split_regex(trim(lower(word), '{PUNCT}'), '[-''/]+')) AS token FROM (SELECT DISTINCT word FROM hwords)),
-scored AS (SELECT word, CASE WHEN count(value) = count(*) THEN sum(value) END AS freq FROM tok LEFT JOIN lex USING (token) GROUP BY word)
-SELECT text_id, word_id, word, freq FROM hwords LEFT JOIN scored USING (word)""")
-def lexicon_frequency(spark, sf_dir):
-    tokens = words.word_table(passages(spark, sf_dir)).groupBy(words.clean_word(F.col("word")).alias("token")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    scored = words.lexicon_score(words.word_table(held_out(spark, sf_dir)), tokens.where("value >= 2 and token != ''"))
-    return scored.select("text_id", "word_id", "word", "freq")
-
-
 @query(f"""WITH {SQL_WORDS} SELECT text_id, word_id, length(word) AS word_len, lag(length(word)::DOUBLE, 1) OVER t AS prev_word_len, lag(length(word)::DOUBLE, 2) OVER t AS prev2_word_len,
  lag(length(word)::DOUBLE, 3) OVER t AS prev3_word_len FROM words WINDOW t AS (PARTITION BY text_id ORDER BY word_id)""")
 def spillover_lags(spark, sf_dir):

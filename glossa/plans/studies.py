@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.operators import grams, joins, regression, reports, words
@@ -267,8 +268,6 @@ l AS (SELECT text_id, word_id, s, e, lag(s, 1) OVER t AS s1, lag(e, 1) OVER t AS
 SELECT text_id, word_id, {", ".join(f"round(coalesce({x} - {y}, -99), 6) AS {n}budget_delta_entropy, round(CASE WHEN {x} - {y} IS NULL THEN -99 ELSE greatest({y} - {x}, 0) END, 6) AS {n}overbudget_entropy, round(CASE WHEN {x} - {y} IS NULL THEN -99 ELSE greatest({x} - {y}, 0) END, 6) AS {n}underbudget_entropy, round(coalesce(abs({x} - {y}), -99), 6) AS {n}absdelta_entropy" for n, x, y in (("", "s", "e"), ("prev_", "s1", "e1"), ("prev3_", "s3", "e3"), ("next_", "sn", "en")))} FROM l""")
 def budgets(spark, sf_dir):
     """P23, missing ones as -99."""
-    from pyspark.sql import Window
-
     place = Window.partitionBy("text_id").orderBy("word_id")
     rows = words.word_table(passages(spark, sf_dir)).select("text_id", "word_id", F.col("word_len").cast("double").alias("surprisal"), (F.ascii("word") / 10).alias("entropy"))
     lagged = joins.add_lags(rows, ["surprisal", "entropy"]).withColumns({f"next_{c}": F.lead(c).over(place) for c in ("surprisal", "entropy")})
@@ -304,3 +303,46 @@ def collinear_scores(spark, sf_dir):
     terms = ["a", "near"]
     scores = regression.sound_scores(regression.fold_scores(regression.factors(rows, terms, "y"), terms, {"both": terms}))
     return scores.select("fold", "n_train", "n_test", F.round("ll_mean", 6).alias("ll_mean"), F.round("ll_sum", 3).alias("ll_sum"))
+
+
+BUGGY = "context_limited_surprisal_context_1"
+NEW = {"n0": "ngram_surprisal_context_0", "n1": "ngram_surprisal_context_1", "layer": "internal_layer_surprisal_layer_6"}
+BASELINES = {f"{base}_{name}": regression.formula_terms([c] if c else []) + terms for base, terms in regression.baselines(BUGGY).items() for name, c in {"none": None, **NEW}.items()}
+
+
+@query(f"""WITH RECURSIVE {SQL_DESIGN}, {sweep_sql("readings", TERMS, "time", BASELINES)}, p(predictor) AS (VALUES {", ".join(f"('{n}')" for n in NEW)})
+SELECT predictor, e.fold, round(e.ll_mean - e0.ll_mean, 6) AS diff_empty, round(f.ll_mean - f0.ll_mean, 6) AS diff_full_surprisal FROM p
+JOIN ll e ON e.formula = 'empty_' || predictor JOIN ll e0 ON e0.formula = 'empty_none' AND e0.fold = e.fold JOIN ll f ON f.formula = 'full_surprisal_' || predictor AND f.fold = e.fold JOIN ll f0 ON f0.formula = 'full_surprisal_none' AND f0.fold = e.fold""")
+def baseline_deltas(spark, sf_dir):
+    """M3, M6: what each predictor adds to the lexical controls alone, and to them with
+    the uncorrected score at the word and three before."""
+    rows, terms = reading_design(spark, sf_dir)
+    scores = regression.fold_scores(regression.factors(rows, terms, "time"), terms, BASELINES)
+    return regression.baseline_deltas(scores, list(NEW)).select("predictor", "fold", *[F.round(c, 6).alias(c) for c in ("diff_empty", "diff_full_surprisal")])
+
+
+SQL_THIRTY = """v AS (SELECT l_returnflag AS flag, ('0x' || substr(md5(concat_ws('|', 'thirty', l_orderkey::VARCHAR)), 1, 8))::BIGINT % 30 + 1 AS fold, avg(l_extendedprice - 35000) / 1000 AS d FROM lineitem GROUP BY ALL)"""
+
+
+@query(f"""WITH {SQL_THIRTY}, s AS (SELECT flag, abs(sum(d)) + 1e-12::DOUBLE AS seen, avg(d) AS mean_delta FROM v GROUP BY flag),
+b AS (SELECT flag, (fold - 1) // 15 AS half, (fold - 1) % 15 AS i, d FROM v),
+half AS (SELECT flag, half, r.range AS pattern, sum(CASE WHEN (r.range >> i) & 1 = 1 THEN -d ELSE d END) AS x FROM b, range(32768) r GROUP BY ALL),
+line AS (SELECT flag, x, 0 AS asks FROM half WHERE half = 1 UNION ALL SELECT flag, seen - x, 1 FROM half JOIN s USING (flag) WHERE half = 0),
+above AS (SELECT flag, asks, 32768 - sum(1 - asks) OVER (PARTITION BY flag ORDER BY x, asks ROWS UNBOUNDED PRECEDING) AS n FROM line)
+SELECT flag, round(any_value(mean_delta), 9) AS mean_delta, (2 * sum(n))::BIGINT AS n_greater, 1073741824::BIGINT AS n_patterns, (2 * sum(n) + 1) / 1073741824::DOUBLE AS p FROM above JOIN s USING (flag) WHERE asks = 1 GROUP BY flag""")
+def signflip_thirty(spark, sf_dir):
+    """M11 over 2^30 sign patterns, exactly."""
+    rows = regression.fold_by_text(table(spark, sf_dir, "lineitem"), 30, "thirty", "l_orderkey")
+    means = rows.groupBy(F.col("l_returnflag").alias("flag"), "fold").agg((F.avg(F.col("l_extendedprice") - 35000) / 1000).alias("d"))
+    return reports.signflip_exact(means, ["flag"], "d", 30).withColumn("mean_delta", F.round("mean_delta", 9))
+
+
+@query(f"""WITH {SQL_THIRTY}, seen AS (SELECT flag, abs(sum(d)) AS s FROM v GROUP BY flag), n AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY fold) - 1 AS i FROM v),
+flips AS (
+  SELECT flag, flip, abs(sum(CASE WHEN ('0x' || substr(md5(concat_ws('|', 'coins', flag, flip::VARCHAR, '0')), i + 1, 1))::INT % 2 = 0 THEN d ELSE -d END)) AS f FROM n, range(1, 2001) r(flip) GROUP BY ALL)
+SELECT flag, (count(*) FILTER (WHERE f > s) + 1) / 2000::DOUBLE AS p FROM flips JOIN seen USING (flag) GROUP BY flag""")
+def signflip_random(spark, sf_dir):
+    """M11 with 2,000 random patterns."""
+    rows = regression.fold_by_text(table(spark, sf_dir, "lineitem"), 30, "thirty", "l_orderkey")
+    means = rows.groupBy(F.col("l_returnflag").alias("flag"), "fold").agg((F.avg(F.col("l_extendedprice") - 35000) / 1000).alias("d"))
+    return reports.signflip_random(means, ["flag"], "d", 2000, "coins")

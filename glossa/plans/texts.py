@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossa.operators import grams, words
@@ -31,10 +32,20 @@ def byte_alphabet(spark, sf_dir):
     return words.word_table(held_out(spark, sf_dir)).select("text_id", "word_id", words.byte_alphabet(F.col("word")).alias("coded"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(replace(replace(translate(text, '“”„«»‘’‚`´–' || chr(160) || chr(8239) || chr(8201), '""'''''''''' || '   '), '…', '...'), '—', ' - '), ' +', ' ', 'g'), ' ([,.;:!?)])', '\\1', 'g') AS text FROM documents""".replace("'\"\"'''''''''' || '   '", "'\"\"\"\"\"' || repeat('''', 5) || '-   '"))
+def _rewritten_sql(text: str, rules: list[tuple[str, str]]) -> str:
+    """The rules for DuckDB's engine, which writes groups with a backslash and knows
+    letters and numbers by their category."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    for pattern, to in rules:
+        text = f"regexp_replace({text}, {quoted(pattern.replace('{a}', r'\p{L}').replace('{n}', r'\p{N}'))}, {quoted(to.replace('$', chr(92)))}, 'g')"
+    return text
+
+
+@query(f"SELECT doc_id, {_rewritten_sql('text', words.PUNCTUATION_RULES + words.ENGLISH_RULES)} AS text, {_rewritten_sql('text', words.PUNCTUATION_RULES + words.OTHER_RULES)} AS other FROM documents")
 def plain_punctuation(spark, sf_dir):
-    """P9."""
-    return table(spark, sf_dir, "documents").select("doc_id", words.normalise_punctuation(F.col("text")).alias("text"))
+    """P9, by the rules for English and for other languages."""
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", words.normalise_punctuation(text).alias("text"), words.normalise_punctuation(text, english=False).alias("other"))
 
 
 @query(f"WITH {SQL_WORDS} SELECT text_id, string_agg(word, ' ' ORDER BY word_id) AS text FROM words GROUP BY text_id")
@@ -43,8 +54,6 @@ def offset_rebuild(spark, sf_dir):
     w = words.word_table(passages(spark, sf_dir))
     head = F.least(F.lit(3), F.col("word_len"))
     tokens = w.select("text_id", F.inline(F.array(F.struct((2 * F.col("word_id")).alias("row"), F.substring("word", 1, 3).alias("token"), F.lit(0).alias("at")), F.struct((2 * F.col("word_id") + 1).alias("row"), F.expr("substring(word, 4)").alias("token"), head.alias("at")))), "word_id")
-    from pyspark.sql import Window
-
     starts = w.select("text_id", "word_id", (F.sum(F.col("word_len") + 1).over(Window.partitionBy("text_id").orderBy("word_id")) - F.col("word_len") - 1).alias("start"))
     placed = tokens.join(starts, ["text_id", "word_id"]).where("token != ''").withColumn("offset", F.col("start") + F.col("at"))
     return words.rebuild_from_offsets(placed.select("text_id", "row", "offset", "token"))
@@ -67,13 +76,37 @@ def realigned_words(spark, sf_dir):
     return words.realign_words(words.reference_tokens(shifted, texts), texts).select("text_id", "own", "word", "place", "ref_token")
 
 
-@query(f"WITH {SQL_HELD} SELECT text_id, word_id, word, 1.0::DOUBLE AS freq FROM hwords")
+SQL_ODD = """odd AS (SELECT text_id, word_id, CASE word_id % 9 WHEN 4 THEN '"?!"' WHEN 5 THEN word || chr(39) || 's' WHEN 6 THEN word || '-' || word WHEN 7 THEN word || '&' || word || ',' ELSE word END AS word FROM hwords)"""
+SQL_TOKENS = f"unnest(string_split_regex({_rewritten_sql(f"' ' || trim(lower(word), '{PUNCT}') || ' '", words.TOKEN_RULES)}, ' +')) AS token"
+
+
+def _odd_words(spark, sf_dir):
+    """Words of the benchmark, some with signs, apostrophes and hyphens, some of signs alone."""
+    c, k = F.col("word"), F.col("word_id") % 9
+    joined = F.when(k == 4, '"?!"').when(k == 5, F.concat(c, F.lit("'s"))).when(k == 6, F.concat_ws("-", c, c)).when(k == 7, F.concat(c, F.lit("&"), c, F.lit(","))).otherwise(c)
+    return words.word_table(held_out(spark, sf_dir)).select("text_id", "word_id", joined.alias("word"))
+
+
+@query(f"WITH {SQL_HELD}, {SQL_ODD} SELECT text_id, word_id, word, CASE WHEN trim(lower(trim(word)), '{PUNCT}') <> '' THEN 1.0::DOUBLE END AS freq FROM odd")
 def constant_frequency(spark, sf_dir):
-    """T8 for a language without a lexicon."""
-    w = words.word_table(held_out(spark, sf_dir))
+    """T8 for a language without a lexicon: words of signs alone have no value."""
+    w = _odd_words(spark, sf_dir)
     return words.lexicon_score(w, w, constant=1.0).select("text_id", "word_id", "word", "freq")
 
 
+@query(f"""WITH {SQL_WORDS}, {SQL_HELD}, {SQL_ODD},
+lex AS (SELECT token, count(*)::DOUBLE AS value FROM (SELECT {SQL_TOKENS} FROM words) WHERE token <> '' GROUP BY token HAVING count(*) >= 2),
+tok AS (SELECT word, {SQL_TOKENS} FROM (SELECT DISTINCT word FROM odd)),
+scored AS (SELECT word, CASE WHEN count(value) = count(*) THEN sum(value) END AS freq FROM tok LEFT JOIN lex USING (token) WHERE token <> '' GROUP BY word)
+SELECT text_id, word_id, word, freq FROM odd LEFT JOIN scored USING (word)""")
+def lexicon_frequency(spark, sf_dir):
+    """T8 with the corpus's tokens as lexicon: a word's tokens all count or none does."""
+    spoken = words.word_table(passages(spark, sf_dir)).groupBy(words.clean_word(F.col("word")).alias("clean")).agg(F.count(F.lit(1)).alias("n"))
+    lexicon = spoken.select(F.explode(words.word_tokens(F.col("clean"))).alias("token"), "n").groupBy("token").agg(F.sum("n").cast("double").alias("value"))
+    scored = words.lexicon_score(_odd_words(spark, sf_dir), lexicon.where("value >= 2"))
+    return scored.select("text_id", "word_id", "word", "freq")
+
+
 @query(f"""WITH {SQL_WORDS}, f AS (SELECT word, lead(word) OVER (PARTITION BY text_id ORDER BY word_id) AS following FROM words),
 uni AS (SELECT word, count(*) AS n FROM words GROUP BY word HAVING count(*) >= 2)
 SELECT 2 AS "order", word || ' ' || following AS ngram, 'history without count' AS violation FROM f WHERE following IS NOT NULL AND word NOT IN (SELECT word FROM uni) GROUP BY word, following""")

@@ -96,6 +96,24 @@ def test_signflip_and_correction(spark):
     assert sorted(x["p_corrected"] for x in reports.corrected_p(p, ["g"]).collect()) == pytest.approx([0.03, 0.06, 0.9])
 
 
+@pytest.mark.parametrize("k", [1, 2, 5, 10])
+def test_patterns_met_in_the_middle_equal_all_of_them(k):
+    import itertools
+
+    for seed in range(20):
+        values = np.random.default_rng(seed).normal(0.4, 1, k).round(seed % 3)
+        sums = np.array([abs(sum(s * v for s, v in zip(signs, values))) for signs in itertools.product((1, -1), repeat=k)])
+        assert reports._greater_patterns(values) == (sums > abs(values.sum()) + 1e-12).sum()
+
+
+def test_forty_folds(spark):
+    folds = spark.createDataFrame([("x", f, 1.0) for f in range(40)] + [("y", f, (-1.0) ** f) for f in range(40)], "name string, fold int, d double")
+    got = {r["name"]: (r["n_greater"], r["n_patterns"]) for r in reports.signflip_exact(folds, ["name"], "d", 40).collect()}
+    import math
+
+    assert got == {"x": (0, 1 << 40), "y": ((1 << 40) - math.comb(40, 20), 1 << 40)}
+
+
 def test_random_signflip_is_close_to_exact(spark):
     folds = spark.createDataFrame([("x", f, d) for f, d in enumerate((0.5, -0.4, 0.3, 0.2))], "name string, fold int, d double")
     exact = reports.signflip_exact(folds, ["name"], "d", 4).first()["p"]

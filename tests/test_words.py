@@ -146,10 +146,24 @@ def test_rebuild_from_offsets(spark):
     assert w.rebuild_from_offsets(t).first()["text"] == "Hello you"
 
 
+def test_tokens_by_the_published_rules(spark):
+    cases = {"well-known": ["well-known"], "don't": ["don", "'t"], "dogs'": ["dogs", "'"], "'tis": ["'", "tis"], "1990's": ["1990", "'s"], "rock'n'roll": ["rock", "'n'roll"], "a&b": ["a", "&", "b"],
+             "3,000": ["3,000"], "one,two": ["one", ",", "two"], "x,5": ["x", ",", "5"], "7,": ["7", ","], "u.s": ["u.s"], "either/or": ["either", "/", "or"], "naïve": ["naïve"], "": []}
+    got = {r["word"]: r["t"] for r in spark.createDataFrame([(w_,) for w_ in cases], "word string").select("word", w.word_tokens(F.col("word")).alias("t")).collect()}
+    assert got == cases
+
+
+def test_punctuation_by_the_published_rules(spark):
+    cases = {"„Ja“, sagte er – nein…": ('"Ja," sagte er - nein...', '"Ja", sagte er - nein...'), "it’s ( so ) !": ("it's (so)!", "it's (so)!"), "« oui » 5\xa0% 12\xa0000": ('"oui" 5% 12.000', '"oui" 5% 12,000'), "a—b ; c :d": ("a - b; c:d", "a - b; c:d"), "``x''": (' " x " ',) * 2}
+    rows_ = spark.createDataFrame([(t,) for t in cases], "t string").select("t", w.normalise_punctuation(F.col("t")).alias("e"), w.normalise_punctuation(F.col("t"), english=False).alias("o")).collect()
+    assert {r["t"]: (r["e"], r["o"]) for r in rows_} == cases
+
+
 def test_lexicon_needs_every_token(spark):
-    words = spark.createDataFrame([(0, 0, "Well-known"), (0, 1, "odd-one"), (0, 2, "?")], "text_id long, word_id int, word string")
-    lexicon = spark.createDataFrame([("well", 1.0), ("known", 2.0), ("odd", 1.0)], "token string, value double")
-    assert rows(w.lexicon_score(words, lexicon), "word_id", "freq") == [(0, 3.0), (1, None), (2, None)]
+    words = spark.createDataFrame([(0, 0, "Well-known"), (0, 1, "odd-one"), (0, 2, "?"), (0, 3, " It's,")], "text_id long, word_id int, word string")
+    lexicon = spark.createDataFrame([("well-known", 1.5), ("odd", 1.0), ("it", 2.0), ("'s", 0.25)], "token string, value double")
+    assert rows(w.lexicon_score(words, lexicon), "word_id", "freq") == [(0, 1.5), (1, None), (2, None), (3, 2.25)]
+    assert rows(w.lexicon_score(words, lexicon, constant=1.0), "word_id", "freq") == [(0, 1.0), (1, 1.0), (2, None), (3, 1.0)]
 
 
 def test_realign_and_prefix(spark):
@@ -159,6 +173,27 @@ def test_realign_and_prefix(spark):
     assert w.short_passages(w.word_table(p), 5).count() == 1
 
 
+def test_realigned_places_equal_a_plain_search(spark):
+    """Readings by several workers, of a text of 50,000 words and of one that isn't there."""
+    import random
+
+    rng = random.Random(2)
+    text = [rng.choice(["The", "the,", "cat", "dog", "...", "a"]) for _ in range(50_000)]
+    own = spark.createDataFrame([(0, " ".join(text)), (1, "The end")], "text_id long, text string")
+    asked = [(w_, rng.choice([0, 0, 0, 1, 2]), rng.randrange(50_000), rng.choice(["the", "CAT!", "cow", "!", "a"])) for w_ in range(3) for _ in range(400)]
+    asked += [(9, 0, None, "the"), (9, 0, 5, None)]
+    clean = lambda x: x.lower().strip(w.PUNCTUATION)
+    texts = {0: [clean(x) for x in text], 1: ["the", "end"]}
+
+    def place(i, at, word):
+        if at is None or word is None:
+            return None
+        return next((k for k in range(at, len(texts.get(i, ()))) if texts[i][k] == clean(word)), None)
+
+    got = w.realign_words(spark.createDataFrame(asked, "worker int, text_id long, word_id int, word string"), own)
+    assert sorted(map(str, map(tuple, got.select("worker", "text_id", "word_id", "word", "place").collect()))) == sorted(str((*a, place(*a[1:]))) for a in asked)
+
+
 def test_class_mass(spark):
     logits = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "position int, vocab_id int, logit double")
     weights = spark.createDataFrame([(1, 1.0)], "vocab_id int, weight double")
