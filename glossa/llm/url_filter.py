@@ -14,11 +14,14 @@ or fewer urls than SUPPORT; trees grow level by level until all branches have
 ended.
 
 A template's purity is its smoothed share of blocked labels, (blocked + SMOOTH *
-prior) / (labelled + SMOOTH). In the corpus tree a branch's prior is the purity of
-the one above it, the root's the labels' block rate, one half at most. The
-domain template's prior is the corpus purity of the url's shape and the host's is
-the domain's, so that a host or domain with few labels or none goes by what the
-same shape is elsewhere. From REJECT on a template is rejected.
+prior) / (labelled + SMOOTH). In the corpus tree a domain has one vote, its own share
+of blocked labels in a branch, and a branch with votes of fewer than VOTERS domains
+says nothing: one site's rule is no evidence about another. Its purity is (votes +
+prior) / (domains + 1), the prior that of the branch above or, at first, the mean of
+the domains' own block rates, one half at most; without enough votes it is the prior. The domain template's prior
+is the corpus purity of the url's shape and the host's is the domain's, so that a
+domain with few labels or none goes by what several others say of the same shape.
+From REJECT on a template is rejected.
 
 All work is grouping and joining on (tree, prefix): counts are combined before
 every shuffle, and the joins have one row a key on one side, which Spark may
@@ -50,6 +53,7 @@ RULES = (
 SUPPORT = 8  # urls of a branch that may be split further
 MANY, RARE = 12, 4.0  # a wildcard: so many children, seen so often on average at most
 SMOOTH, REJECT, ALIKE = 4.0, 0.75, 2.0
+VOTERS = 2  # labelled domains from which on a corpus template says something
 SCOPES = ("corpus", "domain", "host")
 
 
@@ -127,6 +131,23 @@ def grow_tree(shapes: DataFrame, prior: Column) -> DataFrame:
         level += 1
 
 
+def domain_votes(keyed: DataFrame, grown: DataFrame, prior: Column) -> DataFrame:
+    """(shape, pooled) of the corpus tree: the purity of each shape's template, by one
+    vote a domain. Each branch on the way to the template with enough votes smooths them
+    by the purity of the one before it."""
+    parts = F.split("template", "/")
+    branches = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("level"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("branch")))
+    templates = cut(grown.select("shape", "template"))
+    ways = templates.select("template").distinct().select("template", F.inline(branches))
+    labels = keyed.where("labelled > 0").groupBy("domain", "shape").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    own = labels.join(templates, "shape").groupBy("template", "domain").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    shares = own.join(ways, "template").groupBy("branch", "domain").agg((F.sum("blocked") / F.sum("labelled")).alias("share"))
+    votes = shares.groupBy("branch").agg(F.count(F.lit(1)).alias("domains"), F.sum("share").alias("votes")).where(F.col("domains") >= VOTERS)
+    heard = ways.join(votes, "branch").groupBy("template").agg(F.sort_array(F.collect_list(F.struct("level", "domains", "votes"))).alias("line"))
+    pooled = F.aggregate(F.coalesce("line", F.array().cast("array<struct<level:int,domains:bigint,votes:double>>")), prior, lambda above, x: (x["votes"] + above) / (x["domains"] + 1))
+    return templates.join(small_side(heard, templates.count()), "template", "left").select("shape", pooled.alias("pooled"))
+
+
 def _purities(shapes: DataFrame, prior: Column) -> DataFrame:
     """(host, shape) with its host template and purity: corpus, domain and host trees,
     each the prior of the next."""
@@ -135,9 +156,12 @@ def _purities(shapes: DataFrame, prior: Column) -> DataFrame:
     for scope in SCOPES:
         sums = cut(keyed.groupBy(F.col(scope).alias("key"), "shape").agg(*[F.sum(c).alias(c) for c in COUNTS]))
         grown = cut(grow_tree(sums, prior)).withColumnRenamed("key", scope)
+        if scope == "corpus":
+            heard = cut(domain_votes(keyed, grown, prior))
+            out = out.join(small_side(heard, heard.count()), "shape").select(*SCOPES, "shape", F.col("pooled").alias("purity"))
+            continue
         joined = out.join(small_side(grown, grown.count()), [scope, "shape"])
-        purity = F.col("pooled") if scope == "corpus" else _smoothed(F.col("purity"), "blocked", "labelled")
-        out = joined.select(*SCOPES, "shape", purity.alias("purity"), *(["template"] if scope == "host" else []))
+        out = joined.select(*SCOPES, "shape", _smoothed(F.col("purity"), "blocked", "labelled").alias("purity"), *(["template"] if scope == "host" else []))
     return out.select("host", "shape", "template", "purity")
 
 
@@ -151,8 +175,9 @@ def filter_urls(pages: DataFrame, *, page_id="page_id", url="url", rules=RULES,
     judged = parsed.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("shape", path_shape(F.col("path")))
     label = F.when(taught if taught is not None else F.lit(True), F.col("by_rule"))
     shapes = cut(judged.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("labelled"), F.count_if(F.coalesce(label, F.lit("")) == "block").alias("blocked")))
-    total = shapes.agg(F.sum("labelled"), F.sum("blocked")).first()
-    prior = F.lit(min(0.5, ((total[1] or 0) + 1.0) / ((total[0] or 0) + 2.0)))
+    rates = shapes.where("labelled > 0").groupBy(registered_domain(F.col("host")).alias("domain")).agg((F.sum("blocked") / F.sum("labelled")).alias("rate"))
+    n, summed = rates.agg(F.count(F.lit(1)), F.sum("rate")).first()
+    prior = F.lit(min(0.5, ((summed or 0) + 1.0) / (n + 2.0)))
     verdicts = cut(_purities(shapes, prior))
     judged = judged.join(small_side(verdicts, shapes.count()), ["host", "shape"])
     own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
@@ -201,10 +226,19 @@ judged AS (
       lambda s: CASE WHEN regexp_full_match(s, '[0-9a-fA-F]{{8,}}|[^/]{{40,}}') THEN '*' ELSE regexp_replace(s, '[0-9]+', '*', 'g') END) AS shape FROM parsed),
 shapes AS MATERIALIZED (
   SELECT host, shape, count(*) AS n, count(rule) AS labelled, count(*) FILTER (WHERE by_rule = 'block') AS blocked FROM judged GROUP BY host, shape),
-prior AS (SELECT least(0.5::DOUBLE, (coalesce(sum(blocked), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE)) AS prior FROM shapes),{",".join(_tree_sql(k, v) for k, v in keys.items())},
+by_domain AS MATERIALIZED (SELECT {keys["domain"]} AS domain, shape, sum(labelled) AS labelled, sum(blocked) AS blocked FROM shapes WHERE labelled > 0 GROUP BY ALL),
+prior AS (
+  SELECT least(0.5::DOUBLE, (coalesce(sum(rate), 0) + 1.0::DOUBLE) / (count(*) + 2.0::DOUBLE)) AS prior FROM (SELECT sum(blocked) / sum(labelled) AS rate FROM by_domain GROUP BY domain)),{",".join(_tree_sql(k, v) for k, v in keys.items())},
+ways AS (
+  SELECT template, level, array_to_string(string_split(template, '/')[1:level], '/') AS branch FROM (SELECT template, unnest(range(1, len(string_split(template, '/')) + 1)) AS level FROM (SELECT DISTINCT template FROM corpus_tree))),
+votes AS (
+  SELECT branch, count(*) AS domains, sum(share) AS votes FROM (
+    SELECT branch, domain, sum(b.blocked) / sum(b.labelled) AS share FROM by_domain b JOIN corpus_tree t ON t.shape = b.shape JOIN ways USING (template) GROUP BY ALL) GROUP BY branch HAVING count(*) >= {VOTERS}),
+lines AS (SELECT template, list([domains::DOUBLE, votes] ORDER BY level) AS line FROM ways JOIN votes USING (branch) GROUP BY template),
+heard AS (SELECT shape, list_reduce(list_prepend([0, prior], coalesce(line, [])), lambda a, x: [0, (x[2] + a[2]) / (x[1] + 1)])[2] AS pooled FROM corpus_tree LEFT JOIN lines USING (template) CROSS JOIN prior),
 purities AS (
   SELECT s.host, s.shape, h.template, {smooth("h", smooth("d", "c.pooled"))} AS purity FROM shapes s
-  JOIN corpus_tree c ON c.shape = s.shape JOIN domain_tree d ON d.shape = s.shape AND d.key = {keys["domain"].replace("host", "s.host")} JOIN host_tree h ON h.shape = s.shape AND h.key = s.host)
+  JOIN heard c ON c.shape = s.shape JOIN domain_tree d ON d.shape = s.shape AND d.key = {keys["domain"].replace("host", "s.host")} JOIN host_tree h ON h.shape = s.shape AND h.key = s.host)
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END AS method
 FROM judged JOIN purities USING (host, shape)
 """

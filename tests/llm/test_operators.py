@@ -123,19 +123,40 @@ def test_templates_follow_labels(spark):
     assert all(v == "block" for k, (rule, v) in got.items() if k < 40) and all(v == "allow" for k, (rule, v) in got.items() if k >= 40)
 
 
-def test_templates_carry_labels_to_other_hosts(spark):
-    """Held-out hosts' labels are met, urls without a rule are blocked by what their
-    shape is elsewhere, and without any labels none is."""
+def test_templates_carry_labels_to_other_hosts_of_a_domain(spark):
+    """Held-out hosts' labels are met; what one domain's rule blocks is not blocked
+    elsewhere, and without any labels nothing is."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
     held = F.crc32("host") % 5 == 0
     got = url_filter.filter_urls(pages, taught=~held).where(held & F.col("rule").isNotNull()).groupBy("verdict", "method").count().collect()
     assert sum(r["count"] for r in got if r["verdict"] == r["method"]) >= 0.95 * sum(r["count"] for r in got) > 100
     assert {r["method"] for r in got} == {"allow", "block"}
-    whole = url_filter.filter_urls(pages).where("rule is null").groupBy("verdict").count().collect()
-    assert {r["verdict"] for r in whole} == {"allow", "block"} and all(r["count"] > 100 for r in whole)
+    whole = url_filter.filter_urls(pages)
+    strange = whole.where("rule is null").withColumn("site", url_filter.registered_domain(F.col("host"))).withColumn("top", F.split_part("path", F.lit("/"), F.lit(2)))
+    assert strange.where("top = 'en' and verdict = 'block'").count() == 0 and strange.where("top = 'en'").count() > 500
     assert url_filter.filter_urls(pages, taught=F.lit(False)).where("method = 'block'").count() == 0
 
 
+@pytest.mark.parametrize("sites", [1, 2, 5])
+def test_a_corpus_template_needs_the_labels_of_several_domains(spark, sites):
+    """Sites that block /win/ and allow /doc/, each on every page, and one that has no
+    rule; how many pages a site has is no matter."""
+    urls = [f"http://www.site{s}.org/{w}/{k}" for s in range(sites) for w in ("win", "doc") for k in range(3000 if s == 0 else 20)] + [f"http://new.net/{w}/{k}" for w in ("win", "doc") for k in range(10)]
+    rules = tuple((f"site{s}.org", f"/{w}/", v) for s in range(sites) for w, v in (("win", "block"), ("doc", "allow")))
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).where("rule is null")
+    assert {(r["path"].split("/")[1], r["verdict"]) for r in got.collect()} == {("win", "block" if sites > 1 else "allow"), ("doc", "allow")}
+
+
+def test_a_domain_left_out_goes_by_the_others(spark):
+    """Of ten domains each is left out in turn; one of them is at odds with the rest."""
+    say = lambda s, w: "block" if (w == "ads") != (s == 9) else "allow"
+    urls = [f"http://d{s}.org/{w}/{k}" for s in range(10) for w in ("ads", "news") for k in range(15)]
+    rules = tuple((f"d{s}.org", f"/{w}/", say(s, w)) for s in range(10) for w in ("ads", "news"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    met = [url_filter.filter_urls(pages, rules=rules, taught=F.col("host") != f"d{s}.org").where((F.col("host") == f"d{s}.org") & (F.col("verdict") == F.col("method"))).count() for s in (0, 4, 9)]
+    assert met == [30, 30, 0]
+
+
 def test_deep_paths_are_told_apart(spark):
     urls = [f"http://h{k % 9}.org/a/b/c/d/{'bad' if k % 2 else 'good'}/e/{k}" for k in range(400)] + [f"http://new.org/a/b/c/d/{w}/e/x{k}" for k in range(20) for w in ("bad", "good")] + ["http://h.org/" + "x/" * 5000]
     rules = tuple((f"h{k}.org", f"/a/b/c/d/{w}/", v) for k in range(9) for w, v in (("bad", "block"), ("good", "allow")))
@@ -391,7 +412,7 @@ def test_wrapped_licenses(spark):
     assert [(r["license"], r["licenses"]) for r in got] == [(None, ""), ("Apache-2.0", "Apache-2.0,MIT"), ("MPL-2.0", "MPL-2.0"), ("MIT", "MIT")]
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(n for n in ORACLES if int(n[2:].split("_")[0]) <= 10))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "labels"):
