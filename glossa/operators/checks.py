@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from glossa.operators.joins import KEY, add_lags, family_columns
@@ -165,3 +165,18 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """A digest of a table's content, whatever its order."""
     h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
+
+
+def observed(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """V3, V4, P3, P22, V12 as one run: df, which counts the rows that break each rule (a
+    null breaks it too) while something else reads it, and where the counts will be."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()]), seen
+
+
+def write_checked(df: DataFrame, rules: dict[str, Column], path: str) -> DataFrame:
+    """df as Parquet at path, and (check, n_rows, n_broken) from the same scan."""
+    counted, seen = observed(df, rules)
+    counted.write.mode("overwrite").parquet(path)
+    counts = seen.get
+    return df.sparkSession.createDataFrame([(name, counts["rows"], counts[name]) for name in rules], "check string, n_rows long, n_broken long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,16 +34,28 @@ def full_match(left: DataFrame, right: DataFrame, keys: list[str] = KEY) -> Data
 
 def match_violations(left: DataFrame, right: DataFrame, keys: list[str] = KEY, word: str | None = None) -> DataFrame:
     """Keys on one side only, keys that repeat, and words that differ
-    (the right word may be the left one or its byte alphabet)."""
-    both = full_match(left, right, keys)
-    checks = [F.when(~F.col("in_right"), "missing right"), F.when(~F.col("in_left"), "missing left")]
+    (the right word may be the left one or its byte alphabet).
+
+    Both sides lie in one table with a mark and are dealt by key once; a key's counts by
+    side and word say all there is to say of it. A row on one side, and a pair of rows
+    whose words differ, is a violation each."""
+    text = (lambda df: F.col(word).cast("string")) if word else (lambda df: F.lit(None).cast("string"))
+    sides = left.select(*keys, text(left).alias("_word"), F.lit(0).alias("_side")).unionByName(right.select(*keys, text(right).alias("_word"), F.lit(1).alias("_side")))
+    words = sides.repartition(*keys).groupBy(*keys, "_side", "_word").agg(F.count(F.lit(1)).alias("_n"))
+    of = lambda side: F.collect_list(F.when(F.col("_side") == side, F.struct(F.col("_word").alias("word"), F.col("_n").alias("n"))))
+    met = words.groupBy(*keys).agg(of(0).alias("_l"), of(1).alias("_r"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    n, m = total("_l"), total("_r")
+    unlike = F.lit(0).cast("long")
     if word:
-        same = (F.col(word) == F.col(f"{word}_right")) | (byte_alphabet(F.col(word)) == F.col(f"{word}_right"))
-        checks.append(F.when(F.col("in_left") & F.col("in_right") & ~F.coalesce(same, F.lit(False)), "word differs"))
-    found = both.select(*keys, F.coalesce(*checks).alias("violation")).where("violation is not null")
-    for side, df in (("left", left), ("right", right)):
-        found = found.unionByName(df.groupBy(*keys).count().where("count > 1").select(*keys, F.lit(f"repeated {side}").alias("violation")))
-    return found
+        same = lambda a, b: F.coalesce((a["word"] == b["word"]) | (byte_alphabet(a["word"]) == b["word"]), F.lit(False))
+        unlike = F.aggregate("_l", unlike, lambda t, a: t + F.aggregate("_r", F.lit(0).cast("long"), lambda u, b: u + F.when(same(a, b), 0).otherwise(a["n"] * b["n"])))
+    # A null key meets no other: each of its rows is missing on the other side.
+    alone = reduce(lambda c, k: c | F.col(k).isNull(), keys, F.lit(False))
+    found = {"missing right": F.when(alone | (m == 0), n), "missing left": F.when(alone | (n == 0), m), "word differs": F.when(~alone, unlike), "repeated left": F.when(n > 1, 1), "repeated right": F.when(m > 1, 1)}
+    lines = F.array(*[F.struct(F.lit(name).alias("violation"), F.coalesce(count, F.lit(0)).alias("_times")) for name, count in found.items()])
+    every = met.select(*keys, F.inline(lines)).where("_times > 0")
+    return every.select(*keys, "violation", F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_k")).drop("_k")
 
 
 def join_predictors(*tables: DataFrame, keys: list[str] = KEY) -> DataFrame:

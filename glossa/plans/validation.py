@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from glossa.operators import checks, joins, words
 from glossa.plans.base import SQL_WORDS, held_out, passages, query
 from glossa.plans.merges import SQL_BASE, _base
 from glossa.plans.queries import SQL_FOLDS, SQL_PAIR, _design, _scores
-from glossa.session import table
+from glossa.session import shared_dir, table
 
 
 @query("""SELECT c AS name, 'missing column' AS violation FROM (VALUES ('l_tax'), ('l_comment'), ('l_clerk')) v(c) WHERE c NOT IN (SELECT column_name FROM (DESCRIBE lineitem))
@@ -201,3 +203,17 @@ def table_fingerprints(spark, sf_dir):
     """Digests of two tables' contents, whatever their order."""
     two = [checks.fingerprint(table(spark, sf_dir, t)).withColumn("name", F.lit(t)) for t in ("orders", "documents")]
     return two[0].unionByName(two[1])
+
+
+#: Rules on lines, each as SQL that both engines read.
+LINE_RULES = {
+    "quantity is whole": "l_quantity = floor(l_quantity)", "quantity is small": "l_quantity <= 45", "price is positive": "l_extendedprice > 0", "discount is a share": "l_discount BETWEEN 0 AND 0.05", "tax is there": "nullif(l_tax, 0) IS NOT NULL",
+    "tax is below discount": "nullif(l_tax, 0.02) < l_discount", "flag is known": "l_returnflag IN ('A', 'N')", "open lines aren't returned": "l_linestatus <> 'O' OR l_returnflag = 'N'", "part and supplier differ": "l_partkey <> l_suppkey", "line is early": "l_linenumber < 5",
+}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{name.replace("'", "''")}' AS "check", count(*) AS n_rows, count(*) FILTER (WHERE NOT coalesce({rule}, false)) AS n_broken FROM lineitem""" for name, rule in LINE_RULES.items()))
+def checked_write(spark, sf_dir):
+    """Ten rules counted while the lines are written."""
+    home = f"{shared_dir(spark)}/checked-{uuid.uuid4().hex}"
+    return checks.write_checked(table(spark, sf_dir, "lineitem"), {name: F.expr(rule) for name, rule in LINE_RULES.items()}, home)
