@@ -113,17 +113,17 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 def dictionaries(rows: list[tuple[str, int]]) -> Distance | None:
     """Both dictionaries from labelled texts; None where there are too few."""
-    docs = [Counter(), Counter()]
-    texts: list[list[list[bytes]]] = [[], []]
+    docs, sizes, phrases = [Counter(), Counter()], [0, 0], []
     for text, toxic in rows:
         words = [w.strip(_EDGES) for w in windows(text)]
         docs[toxic].update(set(words))
-        texts[toxic].append(words)
-    if not texts[0] or not texts[1]:
+        sizes[toxic] += 1
+        if not toxic:  # phrases alone are kept: word lists of all texts take several times their memory
+            phrases += [b" " + b" ".join(words[k : k + 4]) + b" " for k in range(0, len(words), 4)]
+    if not all(sizes):
         return None
-    ratio = len(texts[0]) / len(texts[1])
+    ratio = sizes[0] / sizes[1]
     telling = {w for w, n in docs[1].items() if n >= LEAST_DOCS and w and n * ratio / (docs[0][w] + 0.5) >= LEAST_RATIO}
-    phrases = [b" " + b" ".join(words[k : k + 4]) + b" " for words in texts[0] for k in range(0, len(words), 4)]
     random.Random(0).shuffle(phrases)
     try:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, phrases[:FIT_PHRASES]).as_bytes()
