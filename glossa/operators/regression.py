@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.session import cut, small_side
+from glossa.session import cut, small_side, written
 
 NARROW = 24
+FEW_DIGESTS = 10_000  # that are read to find the one at a rank
 LANES = 16  # groups that a fold's triangles are reduced in before they are one
 RANK_TOLERANCE = 1e-10  # of the largest singular value, columns scaled
 WAVES = ("", "prev_", "prev2_", "prev3_")
@@ -94,22 +96,64 @@ def sample_too_small(sizes: DataFrame, terms: int | Column) -> DataFrame:
     return sizes.where(F.col("n_train") <= terms)
 
 
+def digest_at(rows: DataFrame, ranks: list[int]) -> dict[int, tuple[str, int, int]]:
+    """For each rank from 1 of rows(digest) in the order of hexadecimal digests: the digest
+    there, how many are below it and how many equal it. Counts by ever longer prefixes
+    narrow a rank down to a few digests; four letters more a pass, 65,536 rows a rank."""
+    open_, found = {r: ("", 0) for r in ranks}, {}
+    for length in (4, 8, 12, 32):
+        if not open_:
+            break
+        known = sorted({prefix for prefix, _ in open_.values()})
+        inside = rows.where(F.substring("digest", 1, length - 4 if length < 32 else 12).isin(known)) if known != [""] else rows
+        counts = sorted((r["p"], r["n"]) for r in inside.groupBy(F.substring("digest", 1, length).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        narrowed = {}
+        for rank, (prefix, below) in open_.items():
+            for p, n in counts:
+                if p.startswith(prefix):
+                    if below + n >= rank:
+                        narrowed[rank] = (p, below, n)
+                        break
+                    below += n
+        few = sorted({p for p, _, n in narrowed.values() if n <= FEW_DIGESTS or length == 32})
+        digests = sorted((r["digest"], r["n"]) for r in rows.where(F.substring("digest", 1, length).isin(few)).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).collect()) if few else []
+        open_ = {}
+        for rank, (p, below, _) in narrowed.items():
+            if p not in few:
+                open_[rank] = (p, below)
+                continue
+            for digest, n in digests:
+                if digest.startswith(p):
+                    if below + n >= rank:
+                        found[rank] = (digest, below, n)
+                        break
+                    below += n
+    return found
+
+
 def assign_folds(rows: DataFrame, keys: list[str], folds: int, seed: str) -> DataFrame:
     """Ranks by a seeded digest, cut into folds of even width as R's cut does.
 
-    Ranks come from counts of digest prefixes and a rank inside each prefix, so
-    no task sees more than 1/4096 of the rows.
+    The rows are written once. A fold ends at a digest, which counts of digests find, so
+    the rows themselves are neither sorted nor shuffled; only rows that share the digest
+    where a fold ends (their keys are equal) are numbered.
     """
     digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
-    marked = cut(rows.withColumn("digest", digest).withColumn("prefix", F.substring("digest", 1, 3)))
-    sizes = marked.groupBy("prefix").agg(F.count(F.lit(1)).alias("held"))
-    before = F.coalesce(F.sum("held").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("held").over(Window.partitionBy())
-    offsets = sizes.select("prefix", before.alias("before"), total.alias("n"))  # 4096 rows at most
-    rank = F.row_number().over(Window.partitionBy("prefix").orderBy("digest", *keys)) + F.col("before")
-    fold = F.greatest(F.lit(1), F.ceil((rank - 1) * folds / (F.col("n") - 1))).cast("int")
-    ranked = marked.join(F.broadcast(offsets), "prefix").withColumn("fold", F.coalesce(fold, F.lit(1)))
-    return ranked.drop("digest", "prefix", "before", "n")
+    marked = written(rows, "folds").withColumn("digest", digest)
+    n = marked.count()
+    last = {f: f * (n - 1) // folds + 1 for f in range(1, folds)} if n else {}  # the last rank of each fold
+    ends = digest_at(marked.select("digest"), sorted(set(last.values())))
+    bounds = [(f, *ends[rank], rank) for f, rank in last.items()]
+    fold = reduce(lambda c, b: c + (F.col("digest") > b[1]).cast("int"), bounds, F.lit(1))
+    shared = {d: (below, rank) for f, d, below, equal, rank in bounds if below + equal > rank}
+    if not shared:
+        return marked.withColumn("fold", fold).drop("digest")
+    tied = F.col("digest").isin(list(shared))
+    place = F.row_number().over(Window.partitionBy("digest").orderBy(*keys))
+    rank = reduce(lambda c, d: F.when(F.col("digest") == d, shared[d][0] + place).otherwise(c), shared, place)
+    split = reduce(lambda c, b: c + (F.col("rank") > b[4]).cast("int"), bounds, F.lit(1))
+    ranked = marked.where(tied).withColumn("rank", rank).withColumn("fold", split).drop("rank")
+    return marked.where(~tied).withColumn("fold", fold).unionByName(ranked).drop("digest")
 
 
 def fold_by_text(rows: DataFrame, folds: int, seed: str, text_id: str = "text_id") -> DataFrame:

@@ -218,6 +218,20 @@ def overlapping_chunks(passages: DataFrame, size: int, stride: int) -> DataFrame
     return rows.select("text_id", "chunk", "start", F.least(F.lit(size), F.col("n") - F.col("start")).alias("n_tokens"), dropped.alias("n_dropped"))
 
 
+def chunk_tokens(passages: DataFrame, size: int, stride: int) -> DataFrame:
+    """The chunks with their tokens, and place, the first token that counts: what
+    scores chunks takes tokens whole and keeps the scores from n_dropped on."""
+    chunks = overlapping_chunks(passages, size, stride)
+    own = passages.select("text_id", word_array(F.col("text")).alias("w"))
+    cut_out = F.slice("w", F.col("start") + 1, F.col("n_tokens"))
+    return chunks.join(own, "text_id").withColumns({"tokens": cut_out, "place": F.col("start") + F.col("n_dropped")}).drop("w")
+
+
+def kept_tokens(chunks: DataFrame) -> DataFrame:
+    """(text_id, token_pos, token, chunk) of the tokens that count, each once."""
+    return chunks.select("text_id", "chunk", "place", "n_dropped", F.posexplode("tokens").alias("k", "token")).where("k >= n_dropped").select("text_id", (F.col("place") + F.col("k") - F.col("n_dropped")).alias("token_pos"), "token", "chunk")
+
+
 def word_ids_of_tokens(tokens: DataFrame) -> DataFrame:
     """A running count of word starts; a token ends a word where the next starts one."""
     place = Window.partitionBy("text_id").orderBy("token_pos")

@@ -105,6 +105,12 @@ def chunk_overlap(spark, sf_dir):
     return words.overlapping_chunks(passages(spark, sf_dir), 256, 50)
 
 
+@query(f"""WITH {SQL_WORDS} SELECT text_id, word_id AS token_pos, word AS token, CASE WHEN word_id < 64 THEN 0 ELSE (word_id - 64) // 49 + 1 END AS chunk FROM words""")
+def chunked_tokens(spark, sf_dir):
+    """Chunks of 64 tokens that share 15; every token counts in one of them."""
+    return words.kept_tokens(words.chunk_tokens(passages(spark, sf_dir), 64, 16))
+
+
 def _token_scores(spark, sf_dir):
     w = words.word_table(passages(spark, sf_dir)).select("text_id", F.col("word_id").alias("token_pos"), "word")
     part = lambda k: F.conv(F.substring(F.md5("word"), k, 4), 16, 10).cast("double") / 65536

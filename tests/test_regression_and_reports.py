@@ -25,6 +25,19 @@ def test_folds_match_cut(design):
     assert sorted(sizes) == [1, 2, 3, 4, 5] and sum(sizes.values()) == 400 and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_folds_equal_ranks_with_repeated_keys(spark, monkeypatch, few):
+    """Repeated keys that a fold's end parts, tables of a few rows, and digests that are
+    told apart by long prefixes alone."""
+    monkeypatch.setattr(regression, "FEW_DIGESTS", few)
+    for n, copies, folds in ((97, 5, 4), (3, 1, 10), (1, 1, 3), (40, 1, 7), (0, 1, 3)):
+        keys = [k // copies for k in range(n)]
+        rows = spark.createDataFrame([(k, j) for j, k in enumerate(keys)], "k long, j long")
+        order = sorted(keys, key=lambda k: (hashlib.md5(f"s|{k}".encode()).hexdigest(), k))
+        want = sorted((k, max(1, int(np.ceil(r * folds / (n - 1)))) if n > 1 else 1) for r, k in enumerate(order))
+        assert sorted((r["k"], r["fold"]) for r in regression.assign_folds(rows, ["k"], folds, "s").collect()) == want
+
+
 def test_scores_equal_row_level_fit(design):
     formulas = {"m0": [], "ab": ["a", "b", "a:b"]}
     triangles = regression.factors(design, ["a", "b", "a:b"], "y")
