@@ -162,9 +162,12 @@ def text_digests(texts: DataFrame, key: str = "text_id", text: str = "text") ->
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """A digest of a table's content, whatever its order."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
+    """A digest of a table's content, whatever its order: rows are told by 60 bits of
+    the md5 of their values, each with its length, which other engines have too."""
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in df.columns]
+    line = F.concat(*[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts])
+    h = F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("hash_xor"))
 
 
 def observed(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Observation]:
