@@ -25,13 +25,6 @@ def drop_index_columns(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if not re.match("Unnamed:", c)])
 
 
-def full_match(left: DataFrame, right: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Full outer join with side flags; right columns get the suffix _right."""
-    right = right.select(*[F.col(k) for k in keys], *[F.col(c).alias(f"{c}_right") for c in right.columns if c not in keys], F.lit(True).alias("in_right"))
-    joined = left.withColumn("in_left", F.lit(True)).join(right, keys, "full_outer")
-    return joined.withColumns({"in_left": F.coalesce("in_left", F.lit(False)), "in_right": F.coalesce("in_right", F.lit(False))})
-
-
 def match_violations(left: DataFrame, right: DataFrame, keys: list[str] = KEY, word: str | None = None) -> DataFrame:
     """Keys on one side only, keys that repeat, and words that differ
     (the right word may be the left one or its byte alphabet).

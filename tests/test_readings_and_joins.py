@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.operators import checks, joins, readings, words
+from glossa.operators import checks, joins, readings
 from glossa.sources import readers
 
 
@@ -98,3 +98,36 @@ def test_strict_integers_and_clashing_families(spark):
     one = spark.createDataFrame([(0, 0, "a", 1.0)], "text_id long, word_id int, word string, s double")
     with pytest.raises(ValueError, match="both tables have s"):
         joins.join_predictors(one, one)
+
+
+def test_match_violations_equal_a_plain_comparison(spark):
+    """Repeated and null keys, words that are null, equal, in the byte alphabet or not."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(7)
+    code = {"é": "Ã©", "ok": "ok", "no": "no"}
+    side = lambda n: [(rng.choice([0, 0, 1, 2, None]), rng.choice([*range(12), None]), rng.choice(["é", "Ã©", "ok", "no", None])) for _ in range(n)]
+    left, right = side(60), side(50)
+    ddl = "text_id long, word_id int, word string"
+    want = Counter()
+    for t, w_, a in left:
+        met = [b for u, x, b in right if (u, x) == (t, w_)] if None not in (t, w_) else []
+        if not met:
+            want[t, w_, "missing right"] += 1
+        want[t, w_, "word differs"] += sum(a is None or b is None or b not in (a, code.get(a, "?")) for b in met)
+    for t, w_, _ in right:
+        want[t, w_, "missing left"] += None in (t, w_) or not any((u, x) == (t, w_) for u, x, _ in left)
+    for name, rows_ in (("repeated left", left), ("repeated right", right)):
+        for (t, w_), n in Counter((t, w_) for t, w_, _ in rows_).items():
+            want[t, w_, name] += n > 1
+    got = joins.match_violations(spark.createDataFrame(left, ddl), spark.createDataFrame(right, ddl), word="word")
+    assert Counter(tuple(r) for r in got.collect()) == Counter({k: n for k, n in want.items() if n})
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rules_are_counted_while_a_table_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2.0), (2, None), (None, float("nan"))], "k long, x double")
+    got = checks.write_checked(rows, {"key": F.col("k").isNotNull(), "value": F.col("x") > 1}, str(tmp_path / "t"))
+    assert [tuple(r) for r in got.collect()] == [("key", 3, 1), ("value", 3, 1)] and spark.read.parquet(str(tmp_path / "t")).count() == 3
