@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,7 +26,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[li
                     rows, held = [], 0
     if rows:
         yield rows
+    give_back()
+
+
+def give_back() -> None:
+    """Unused memory, of Arrow's pool and of the C library's heap where it can, goes back
+    to the system: a worker waits for its next task with what it needs alone."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
