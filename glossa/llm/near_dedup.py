@@ -1,7 +1,11 @@
 """Near-duplicate classes by HyperMinHash registers, banding and exact checks.
 
-A document's set of word shingles gives REGISTERS registers, each the minimum
-of one hash function kept as its leading-zero count and ten mantissa bits.
+One hash deals a document's word shingles into REGISTERS parts by its top bits;
+a part's register is the least of the other bits there, kept as its leading-zero
+count and ten mantissa bits. Shingles are dealt again, by the same hash mixed
+anew, into parts that are still empty, so that registers of short texts agree as
+often as those of long ones: each is a minimum over the whole set. What ROUNDS
+rounds leave empty, in sets of a few dozen shingles, counts for neither side.
 Bands of ROWS registers put documents into buckets; a pair from one bucket is
 checked by the Jaccard estimate of its registers, corrected for the collisions
 that short registers have by chance, and then on the full sets.
@@ -12,7 +16,7 @@ member that meets most others. A bucket of many near copies collapses there
 without its pairs being listed. Components that still meet in a bucket are then
 compared whole, member by member, as hosts and visitors in cells of bounded
 size, so no link that a bucket shows is lost. At a similarity of 0.8 two
-documents share no bucket with probability 6e-7.
+documents share no bucket with probability 3e-7, at 0.5 they share one with 0.4.
 
 Buckets are counted with partial sums and joined by key, so a hot bucket is
 never gathered in one task.
@@ -42,52 +46,82 @@ from glossa.llm.shingles import U, mix, shingle_set
 from glossa.llm.texts import gathered, map_chunks, to_batch
 from glossa.session import cut, small_side
 
-BANDS, ROWS, MANTISSA = 36, 5, 10
+BANDS, ROWS, MANTISSA = 64, 7, 10
 REGISTERS = BANDS * ROWS
+ROUNDS, SETS = 64, 1024  # deals of a set's shingles, and sets that are dealt together
+NOTHING = 2**16 - 1  # the register of an empty part
 BLOCK, BLOCK_SHINGLES = 1024, 400_000  # members, or visitors, of a cell and their shingles
 SMALL = 128  # components under SMALL documents share a host
-SIMILAR_PERCENT, SLACK = 80, 0.15  # the estimate's standard error is 0.03
+SIMILAR_PERCENT, SLACK = 80, 0.15  # the estimate's standard error is 0.02 to 0.03
 UNNAMED = 2**62  # rows without an id go by this bit and a hash of their text
 ID_ROWS = 2_000_000  # ids, 32 MB: broadcast up to here
-_rng = np.random.default_rng(9)
-_ODD = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
-_FLIP = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64)
-_BAND = _rng.integers(1, 2**63, (ROWS, BANDS), dtype=np.uint64) * U(2) + U(1)
+_GOLDEN = 0x9E3779B97F4A7C15
+_BAND = np.random.default_rng(9).integers(1, 2**63, (ROWS, BANDS), dtype=np.uint64) * U(2) + U(1)
+
+
+def _least(sets: list[np.ndarray]) -> np.ndarray:
+    """The least remainder of each part of each set; the largest number where it is empty."""
+    items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    none = U(2**64 - 1)
+    least = np.full(len(sets) * REGISTERS, none)
+    for k in range(ROUNDS):
+        hashed = mix(items + U(k * _GOLDEN % 2**64)) if k else items
+        part = owner * REGISTERS + ((hashed >> U(32)) * U(REGISTERS) >> U(32)).astype(np.int64)
+        empty = least[part] == none
+        np.minimum.at(least, part[empty], hashed[empty] * U(REGISTERS))  # the product's low bits are what the part leaves over
+        if k % 4 == 0:
+            left = (least.reshape(-1, REGISTERS) == none).any(1)[owner]
+            items, owner = items[left], owner[left]
+            if not len(items):
+                break
+    return least.reshape(-1, REGISTERS)
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """Registers of nonempty sets, a row each."""
-    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    items = np.concatenate(sets)
-    least = np.empty((len(sets), REGISTERS), np.uint64)
-    for k in range(REGISTERS):
-        least[:, k] = np.minimum.reduceat((items ^ _FLIP[k]) * _ODD[k], starts)
-    fraction, bits = np.frexp(least.astype(np.float64))
-    zeros = np.clip(64 - bits, 0, 63).astype(np.uint16)
-    return (zeros << np.uint16(MANTISSA)) | np.clip((fraction - 0.5) * 2**(MANTISSA + 1), 0, 2**MANTISSA - 1).astype(np.uint16)
+    out = np.empty((len(sets), REGISTERS), np.uint16)
+    for start in range(0, len(sets), SETS):
+        least = _least(sets[start : start + SETS])
+        fraction, bits = np.frexp(least.astype(np.float64))
+        zeros = np.clip(64 - bits, 0, 62).astype(np.uint16)
+        short = np.clip((fraction - 0.5) * 2 ** (MANTISSA + 1), 0, 2**MANTISSA - 1).astype(np.uint16)
+        out[start : start + SETS] = np.where(least == U(2**64 - 1), np.uint16(NOTHING), (zeros << np.uint16(MANTISSA)) | short)
+    return out
 
 
-def band_keys(rows: np.ndarray) -> np.ndarray:
-    """A key for each band of each row of registers."""
-    parts = rows.reshape(len(rows), BANDS, ROWS).astype(np.uint64)
-    key = sum(mix(parts[:, :, j] + U(1)) * _BAND[j] for j in range(ROWS))
-    return mix(key + np.arange(BANDS, dtype=np.uint64) * U(0x9E3779B97F4A7C15)).view(np.int64)
+def band_keys(rows: np.ndarray) -> list[np.ndarray]:
+    """For each row of registers the keys of its bands, but for bands of empty parts alone."""
+    parts = rows.reshape(len(rows), BANDS, ROWS)
+    key = sum(mix(parts[:, :, j].astype(np.uint64) + U(1)) * _BAND[j] for j in range(ROWS))
+    keys = mix(key + np.arange(BANDS, dtype=np.uint64) * U(_GOLDEN)).view(np.int64)
+    return [line[full] for line, full in zip(keys, (parts != NOTHING).any(2), strict=True)]
 
 
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """How often registers of unrelated sets of n and m shingles agree."""
-    zeros = 2.0 ** -np.arange(0, 64)
-    share = lambda size: np.exp(-size[:, None] * zeros / 2) - np.exp(-size[:, None] * zeros)
-    return (share(n.astype(float)) * share(m.astype(float))).sum(1) / 2**MANTISSA
+    zeros = 2.0 ** -np.arange(0, 63)
+
+    def share(size: np.ndarray) -> np.ndarray:
+        dealt = size.astype(float)[:, None] / REGISTERS  # in a part, on the average; registers have one or more
+        return (np.exp(-dealt * zeros / 2) - np.exp(-dealt * zeros)) / -np.expm1(-dealt)
+
+    return (share(n) * share(m)).sum(1) / 2**MANTISSA
+
+
+def likeness(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Collision-corrected Jaccard estimate of rows of registers of sets of n and m shingles."""
+    filled = (a != NOTHING) | (b != NOTHING)
+    agree = ((a == b) & filled).sum(1) / filled.sum(1)
+    by_chance = chance(n, m)
+    return (agree - by_chance) / (1 - by_chance)
 
 
 def estimate(left: pd.Series, right: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    """Collision-corrected Jaccard estimate of register pairs."""
+    """Likeness of pairs of packed registers."""
     if not len(left):
         return pd.Series([], dtype=float)
     a, b = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, REGISTERS) for s in (left, right))
-    by_chance = chance(n.to_numpy(), m.to_numpy())
-    return pd.Series(((a == b).mean(1) - by_chance) / (1 - by_chance))
+    return pd.Series(likeness(a, b, n.to_numpy(), m.to_numpy()))
 
 
 def _sketch(docs: DataFrame, size: int) -> DataFrame:
@@ -104,7 +138,7 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
 
 def _banded(classes: DataFrame) -> DataFrame:
     def keys(lines: pd.Series) -> pd.Series:
-        return pd.Series(list(band_keys(np.frombuffer(b"".join(lines), np.uint16).reshape(-1, REGISTERS))) if len(lines) else [])
+        return pd.Series(band_keys(np.frombuffer(b"".join(lines), np.uint16).reshape(-1, REGISTERS)) if len(lines) else [])
 
     return classes.select("id", "n", F.explode(F.pandas_udf(keys, "array<long>")("registers")).alias("key"))
 
@@ -124,8 +158,7 @@ def _compare(size: int):
         sizes = np.array([r["n"] for r in members], float)
         out = []
         for line, visitor in zip(v, visitors, strict=True):
-            by_chance = chance(sizes, np.full(len(members), float(visitor["n"])))
-            alike = ((m == line).mean(1) - by_chance) / (1 - by_chance)
+            alike = likeness(m, line[None, :], sizes, np.array([visitor["n"]]))
             near = np.minimum(sizes, visitor["n"]) * 100 >= np.maximum(sizes, visitor["n"]) * SIMILAR_PERCENT
             joined = {visitor["root"]}
             for k in np.flatnonzero((alike >= SIMILAR_PERCENT / 100 - SLACK) & near):
@@ -217,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", size: int
     # A class goes by its least id. An id with several texts has several classes, and all its texts are compared.
     classes = cut(sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "registers")).alias("c")).select("digest", "c.*"))
     banded = _banded(classes.select("id", "n", "registers"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("id").alias("first"), F.max("id").alias("final")).where("first < final")
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     buckets = cut(banded.join(sizes, "key").select("key", "id", "n", "g"))
     roots = sketches.where("digest is not null").join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b").where("a != b")
     roots = components(roots)

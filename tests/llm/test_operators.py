@@ -224,6 +224,44 @@ def test_rows_without_an_id_join_no_strangers(spark):
     assert unnamed == Counter({**{(k, False): 1 for k in range(30)}, (None, True): 3})
 
 
+@pytest.mark.parametrize(("n", "both"), [(9, 8), (60, 48), (300, 267), (3000, 2000), (300, 200)])
+def test_registers_of_one_hash(n, both):
+    """Parts agree as often as sets are alike, whatever their size, and so do bands."""
+    rng = np.random.default_rng(n + both)
+    draws = [rng.integers(0, 2**64, 2 * n - both, dtype=np.uint64) for _ in range(1200)]
+    left, right = [np.unique(d[:n]) for d in draws], [np.unique(np.concatenate([d[:both], d[n:]])) for d in draws]
+    a, b = near_dedup.registers(left), near_dedup.registers(right)
+    sizes, jaccard = np.full(len(draws), n), both / (2 * n - both)
+    likeness = near_dedup.likeness(a, b, sizes, sizes)
+    assert abs(likeness.mean() - jaccard) < 0.003 and abs(likeness - jaccard).max() < near_dedup.SLACK
+    shared = np.mean([bool(set(x.tolist()) & set(y.tolist())) for x, y in zip(near_dedup.band_keys(a), near_dedup.band_keys(b), strict=True)])
+    if n > 60:
+        assert abs(shared - (1 - (1 - jaccard**near_dedup.ROWS) ** near_dedup.BANDS)) < 0.05
+    if jaccard >= 0.8:
+        assert shared == 1.0
+    strangers = near_dedup.likeness(a[:-1], b[1:], sizes[:-1], sizes[1:])
+    assert abs(strangers.mean()) < 0.001
+
+
+def test_registers_are_least_of_their_part():
+    """A plain deal of one small set, number by number."""
+    items, size = np.random.default_rng(4).integers(0, 2**64, 5, dtype=np.uint64), near_dedup.REGISTERS
+    plain = [near_dedup.NOTHING] * size
+    for k in range(near_dedup.ROUNDS):
+        dealt: dict[int, int] = {}
+        for item in items:
+            number = int(shingles.mix(np.array([(int(item) + k * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]) if k else int(item)
+            part, left = (number >> 32) * size >> 32, number * size % 2**64
+            dealt[part] = min(dealt.get(part, left), left)
+        for part, left in dealt.items():
+            if plain[part] == near_dedup.NOTHING:
+                zeros = 64 - left.bit_length()
+                plain[part] = zeros << 10 | ((left << zeros) >> 53) - 2**10
+    got = near_dedup.registers([np.sort(items)])[0]
+    assert got.tolist() == plain and near_dedup.registers([items[:2], np.sort(items)])[1].tolist() == plain
+    assert 0 < plain.count(near_dedup.NOTHING) < size
+
+
 def test_crowds_that_are_almost_near(spark):
     """Many texts that share buckets without being similar enough, and chains among them."""
     rng = random.Random(8)
