@@ -200,7 +200,8 @@ def _meet(members: DataFrame, visits: DataFrame, docs: DataFrame, registers_of:
     outside = visits.join(plan, "host").select("host", "id", "root", F.lit(1).alias("side"), F.explode(every("na")).alias("x"), place("nb").alias("y"))
     seats, _ = gathered(cut(inside.unionByName(outside).select("id", "root", "side", F.concat_ws("-", "host", "x", "y").alias("cell"))))
     ids = seats.select("id").distinct()
-    texts = docs.join(small_side(ids, ids.count(), ID_ROWS), "id").join(registers_of, "id")
+    few = small_side(ids, ids.count(), ID_ROWS)
+    texts = docs.join(few, "id").join(registers_of.join(few, "id", "left_semi"), "id")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = seats.join(texts, "id").select("cell", "side", "id", "root", "n", "registers", "text").repartition(tasks, "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(_compare(size), "a long, b long").distinct()
@@ -254,7 +255,8 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", size: int
     buckets = cut(banded.join(sizes, "key").select("key", "id", "n", "g"))
     roots = sketches.where("digest is not null").join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b").where("a != b")
     roots = components(roots)
-    known = classes.select("id", "n", "registers")
+    met, ids = gathered(cut(buckets.select("id").distinct()))
+    known = classes.select("id", "n", "registers").join(small_side(met, ids, ID_ROWS), "id", "left_semi")  # others' registers don't travel
     for among in (lambda rows: _fronts(rows, known), _hosts):
         placed = buckets.join(roots.select(F.col("a").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
