@@ -54,7 +54,7 @@ BLOCK, BLOCK_SHINGLES = 1024, 400_000  # members, or visitors, of a cell and the
 SMALL = 128  # components under SMALL documents share a host
 SIMILAR_PERCENT, SLACK = 80, 0.15  # the estimate's standard error is 0.02 to 0.03
 UNNAMED = 2**62  # rows without an id go by this bit and a hash of their text
-ID_ROWS = 2_000_000  # ids, 32 MB: broadcast up to here
+ID_ROWS = 2_000_000  # ids, 32 MB, or roots with two numbers: broadcast up to here
 _GOLDEN = 0x9E3779B97F4A7C15
 _BAND = np.random.default_rng(9).integers(1, 2**63, (ROWS, BANDS), dtype=np.uint64) * U(2) + U(1)
 
@@ -231,10 +231,10 @@ def _hosts(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     large bucket has few hosts.
     """
     crowd = F.shiftleft(F.least("g", F.lit(2**22)), 40).bitwiseOR(F.col("key").bitwiseAND(F.lit(2**40 - 1)))  # by size, then by name
-    sizes = open_.groupBy("root").agg(F.countDistinct("id").alias("weight"), F.max(crowd).alias("top"))
+    sizes, roots = gathered(cut(open_.groupBy("root").agg(F.countDistinct("id").alias("weight"), F.max(crowd).alias("top"))))
     small = F.col("weight") < SMALL
     own = F.when(small, F.concat(F.lit("k"), F.col("top"))).otherwise(F.concat(F.lit("r"), F.col("root")))
-    placed, _ = gathered(cut(open_.join(sizes, "root").select("key", "id", "n", "root", F.struct("weight", "root").alias("rank"), own.alias("own"), small.alias("small"))))
+    placed, _ = gathered(cut(open_.join(small_side(sizes, roots, ID_ROWS), "root").select("key", "id", "n", "root", F.struct("weight", "root").alias("rank"), own.alias("own"), small.alias("small"))))
     seat = ["host", "id", "root", "n"]
     members, _ = gathered(cut(placed.groupBy(F.col("own").alias("host"), "id", "root", "small").agg(F.max("n").alias("n"))))
     inside = members.where("small").select(*seat)
