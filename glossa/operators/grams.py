@@ -142,9 +142,35 @@ def count_grams(passages: DataFrame, top: int, needed: DataFrame | None = None)
     return GramCounts(words, cut(grams.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))), top, corpus)
 
 
-def ngram_counts(passages: DataFrame, top: int) -> DataFrame:
-    """(order, ngram, cnt) of all n-grams, the corpus size as order 0 with an empty one."""
-    return spelled(count_grams(passages, top))
+def spoken_grams(passages: DataFrame, top: int) -> DataFrame:
+    """(ngram) of every place and order, the words before a word taken from its own text."""
+    texts = passages.select(word_array(F.col("text")).alias("w"))
+    placed = texts.select("w", F.posexplode("w").alias("at", "word"))
+    before = lambda o: F.concat_ws(" ", *[F.get("w", F.col("at") - k) for k in range(o - 1, 0, -1)], "word")
+    ending = F.array(F.col("word"), *[F.when(F.col("at") >= o - 1, before(o)) for o in range(2, top + 1)])
+    return placed.select(F.explode(ending).alias("ngram")).where("ngram IS NOT NULL")
+
+
+def order_of(ngram: Column) -> Column:
+    """Words hold no blank, so an n-gram's order is its blanks and one."""
+    return F.length(ngram) - F.length(F.replace(ngram, F.lit(" "), F.lit(""))) + 1
+
+
+def ngram_counts(passages: DataFrame, top: int, needed: DataFrame | None = None) -> DataFrame:
+    """(order, ngram, cnt) of all n-grams, or only of those in needed(ngram), the
+    corpus size as order 0 with an empty one. They leave as they are spoken, so they are
+    counted as text by one shuffle."""
+    spoken, wanted = spoken_grams(passages, top), None
+    if needed is not None:
+        wanted = cut(needed.select("ngram").distinct())
+        few = wanted.count()
+        if few <= HEAD:
+            spoken = spoken.join(F.broadcast(wanted), "ngram", "left_semi")
+    counts = spoken.groupBy("ngram").agg(F.count(F.lit(1)).alias("cnt"))
+    if wanted is not None and few > HEAD:
+        counts = counts.join(wanted, "ngram", "left_semi")
+    size = passages.where("text IS NOT NULL").agg(F.coalesce(F.sum(F.size(word_array(F.col("text")))), F.lit(0)).cast("long").alias("cnt"))
+    return counts.select(order_of(F.col("ngram")).alias("order"), "ngram", "cnt").unionByName(size.select(F.lit(0).alias("order"), F.lit("").alias("ngram"), "cnt"))
 
 
 def spelled(grams: GramCounts) -> DataFrame:

@@ -199,3 +199,20 @@ def test_class_mass(spark):
     weights = spark.createDataFrame([(1, 1.0)], "vocab_id int, weight double")
     p = math.exp(2) / (math.exp(1) + math.exp(2))
     assert w.class_mass(logits, weights).first()["class_surprisal"] == pytest.approx(-math.log(p))
+
+
+def test_ngrams_are_counted_as_they_are_spoken(spark):
+    """All or the needed n-grams by one shuffle: no dictionary is written or spelled."""
+    texts = spark.createDataFrame([(1, "a b  a b"), (2, "b"), (3, None), (4, " ")], "text_id long, text string")
+    counted = g.ngram_counts(texts, 3)
+    assert "Join" not in counted._jdf.queryExecution().toString()
+    want = {(0, "", 5), (1, "a", 2), (1, "b", 3), (2, "a b", 2), (2, "b a", 1), (3, "a b a", 1), (3, "b a b", 1)}
+    assert {tuple(r) for r in counted.collect()} == want
+    needed = spark.createDataFrame([("a b",), ("b",), ("b b",), ("a b",)], "ngram string")
+    few = {(0, "", 5), (1, "b", 3), (2, "a b", 2)}
+    assert {tuple(r) for r in g.ngram_counts(texts, 2, needed).collect()} == few
+    held, g.HEAD = g.HEAD, 1
+    try:
+        assert {tuple(r) for r in g.ngram_counts(texts, 2, needed).collect()} == few
+    finally:
+        g.HEAD = held
