@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators.grams import count_grams, spelled
+from glossa.operators.grams import ngram_counts
 from glossa.operators.words import word_table
 from glossa.session import cut, small_side
 
@@ -74,8 +74,7 @@ def extend_counts(corpus: DataFrame, needed: DataFrame, store: Store, index_name
     before = store.commits(index_name)
     if not open_.isEmpty():
         top = max(open_.agg(F.max("order")).first()[0], 1)
-        asked = open_.where("order > 0").select(F.monotonically_increasing_id().alias("text_id"), F.col("ngram").alias("text"))
-        counts = spelled(count_grams(corpus, top, needed=asked))
+        counts = ngram_counts(corpus, top, needed=open_.where("order > 0"))
         store.commit(open_.join(counts, store.keys, "left").select(*store.keys, F.coalesce("cnt", F.lit(0)).alias("cnt")), index_name)
     wanted = needed.select(*store.keys).distinct().join(store.rows(index_name), store.keys)
     return wanted.select(*store.keys, "cnt", (F.col("number") <= before).alias("reused"))
