@@ -148,7 +148,7 @@ def first_rows(spark, sf_dir):
     return readings.first_rows(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
 
 
-@query("WITH s AS (SELECT avg(ln(value)) AS m, stddev_pop(ln(value)) AS sd FROM events WHERE value > 0) SELECT round(100 * avg(CASE WHEN abs(ln(value) - m) / sd > 2 THEN 1 ELSE 0 END), 9) AS outlier_percent, count(*) AS n FROM events, s")
+@query("WITH s AS (SELECT avg(ln(value)) AS m, stddev_pop(ln(value)) AS sd FROM events WHERE value > 0) SELECT round(100 * avg(CASE WHEN value > 0 AND abs(CASE WHEN value > 0 THEN ln(value) END - m) / sd > 2 THEN 1 ELSE 0 END), 9) AS outlier_percent, count(*) AS n FROM events, s")
 def outlier_share(spark, sf_dir):
     """A13."""
     marked = readings.log_outliers(table(spark, sf_dir, "events").withColumn("time", F.col("value")), limit=2.0)

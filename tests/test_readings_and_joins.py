@@ -131,3 +131,17 @@ def test_rules_are_counted_while_a_table_is_written(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2.0), (2, None), (None, float("nan"))], "k long, x double")
     got = checks.write_checked(rows, {"key": F.col("k").isNotNull(), "value": F.col("x") > 1}, str(tmp_path / "t"))
     assert [tuple(r) for r in got.collect()] == [("key", 3, 1), ("value", 3, 1)] and spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_outlier_share_of_zero_times_is_that_of_its_sql(spark, tmp_path):
+    """A time of zero is no outlier, in query and SQL."""
+    import duckdb
+
+    from glossa.plans.queries import ORACLES, QUERIES
+
+    values = [0.0] * 3 + [float(v) for v in range(90, 110)] + [100000.0]
+    spark.createDataFrame([(k, v) for k, v in enumerate(values)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = QUERIES["outlier_share"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.execute(ORACLES["outlier_share"]).fetchall() == [(round(100 / 24, 9), 24)]
