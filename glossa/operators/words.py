@@ -19,6 +19,12 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
+def by_text(rows: DataFrame) -> DataFrame:
+    """Rows dealt by text. Passages that are dealt while they are whole are shuffled once:
+    windows and joins by text over their words find these where they belong."""
+    return rows.repartition("text_id")
+
+
 def word_table(passages: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
     """One row a word with its 0-based place and length in code points."""
     words = passages.select(F.col(text_id).alias("text_id"), F.posexplode(word_array(F.col(text))).alias("word_id", "word"))

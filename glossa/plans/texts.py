@@ -51,12 +51,11 @@ def plain_punctuation(spark, sf_dir):
 @query(f"WITH {SQL_WORDS} SELECT text_id, string_agg(word, ' ' ORDER BY word_id) AS text FROM words GROUP BY text_id")
 def offset_rebuild(spark, sf_dir):
     """Every word cut in two tokens with their offsets, and put together again."""
-    w = words.word_table(passages(spark, sf_dir))
-    head = F.least(F.lit(3), F.col("word_len"))
-    tokens = w.select("text_id", F.inline(F.array(F.struct((2 * F.col("word_id")).alias("row"), F.substring("word", 1, 3).alias("token"), F.lit(0).alias("at")), F.struct((2 * F.col("word_id") + 1).alias("row"), F.expr("substring(word, 4)").alias("token"), head.alias("at")))), "word_id")
-    starts = w.select("text_id", "word_id", (F.sum(F.col("word_len") + 1).over(Window.partitionBy("text_id").orderBy("word_id")) - F.col("word_len") - 1).alias("start"))
-    placed = tokens.join(starts, ["text_id", "word_id"]).where("token != ''").withColumn("offset", F.col("start") + F.col("at"))
-    return words.rebuild_from_offsets(placed.select("text_id", "row", "offset", "token"))
+    w = words.word_table(words.by_text(passages(spark, sf_dir)))
+    starts = w.withColumn("start", F.sum(F.col("word_len") + 1).over(Window.partitionBy("text_id").orderBy("word_id")) - F.col("word_len") - 1)
+    halves = [(2 * F.col("word_id"), F.substring("word", 1, 3), F.col("start")), (2 * F.col("word_id") + 1, F.expr("substring(word, 4)"), F.col("start") + F.least(F.lit(3), F.col("word_len")))]
+    tokens = starts.select("text_id", F.inline(F.array(*[F.struct(row.alias("row"), token.alias("token"), at.alias("offset")) for row, token, at in halves])))
+    return words.rebuild_from_offsets(tokens.where("token != ''"))
 
 
 @query("""WITH d AS (SELECT DISTINCT user_id, event_type FROM events), n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM d)

@@ -216,3 +216,11 @@ def test_ngrams_are_counted_as_they_are_spoken(spark):
         assert {tuple(r) for r in g.ngram_counts(texts, 2, needed).collect()} == few
     finally:
         g.HEAD = held
+
+
+@pytest.mark.parametrize("name", ["offset_rebuild", "wrong_lags", "budgets", "boundary_scores"])
+def test_texts_are_shuffled_once_and_whole(spark, name):
+    from glossa.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("REPARTITION_BY_COL") == 1
