@@ -78,15 +78,22 @@ def family_differs(df: DataFrame, prefix: str, expected: list[int]) -> list[str]
 def changed_values(before: DataFrame, after: DataFrame, columns: list[str], tolerance: float = 1e-12) -> DataFrame:
     """V8: keys where a numeric column isn't what it was."""
     other = after.select(*KEY, *[F.col(c).alias(f"{c}_after") for c in columns])
+    return _changed(before.join(other, KEY), columns, tolerance)
+
+
+def _changed(both: DataFrame, columns: list[str], tolerance: float) -> DataFrame:
     differs = [~F.col(c).eqNullSafe(F.col(f"{c}_after")) & ~F.coalesce(F.abs(F.col(c) - F.col(f"{c}_after")) <= tolerance, F.lit(False)) for c in columns]
     names = F.array_compact(F.array(*[F.when(d, c) for c, d in zip(columns, differs, strict=True)]))
-    return before.join(other, KEY).select(*KEY, F.array_join(names, ",").alias("changed")).where("changed != ''")
+    return both.select(*KEY, F.array_join(names, ",").alias("changed")).where("changed != ''")
 
 
 def wrong_lags(df: DataFrame, columns: list[str], tolerance: float = 1e-12) -> DataFrame:
-    """V9: lags that differ from recomputed ones."""
+    """V9: lags that differ from recomputed ones, which are put beside them by one window;
+    keys are there and unique (V2, V3)."""
     lagged = [f"prev{k}_{c}" for c in columns for k in ("", "2", "3")]
-    return changed_values(df, add_lags(df.drop(*lagged), columns), lagged, tolerance)
+    own = df.select(*KEY, *columns, *[F.col(c).alias(f"_{c}") for c in lagged])
+    again = add_lags(own, columns).withColumnsRenamed({c: f"{c}_after" for c in lagged}).withColumnsRenamed({f"_{c}": c for c in lagged})
+    return _changed(again.dropna(subset=KEY), lagged, tolerance)
 
 
 def incomplete_grid(df: DataFrame, expected: DataFrame) -> DataFrame:

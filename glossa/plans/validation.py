@@ -112,7 +112,7 @@ SELECT text_id, word_id, concat_ws(',', CASE WHEN p1 IS NOT NULL THEN 'prev_word
 FROM g WHERE odd AND (p1 IS NOT NULL OR (p2 IS NOT NULL AND p2 <> p1))""")
 def wrong_lags(spark, sf_dir):
     """V9: stored lags of the longest words are off: the first is missing, the second is the first."""
-    rows = joins.add_lags(words.word_table(passages(spark, sf_dir)).select("text_id", "word_id", "word_len"), ["word_len"])
+    rows = joins.add_lags(words.word_table(words.by_text(passages(spark, sf_dir))).select("text_id", "word_id", "word_len"), ["word_len"])
     odd = F.col("word_len") > 12
     stored = rows.withColumns({"prev2_word_len": F.when(odd, F.col("prev_word_len")).otherwise(F.col("prev2_word_len")), "prev_word_len": F.when(~odd, F.col("prev_word_len"))})
     return checks.wrong_lags(stored, ["word_len"])
