@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.ranks import numbered
-from glossa.operators.words import word_array
-from glossa.session import cut, small_side
+from glossa.operators.words import by_text, ngrams, word_array
+from glossa.session import cut, small_side, written
 
 ABSENT, UNKNOWN, FIRST = 0, 1, 2
 HEAD = 200_000  # rows of a broadcast head
+TASK_WORDS = 500_000  # of whole texts that one task takes apart
 
 
 @dataclass(frozen=True)
@@ -173,6 +174,54 @@ def ngram_counts(passages: DataFrame, top: int, needed: DataFrame | None = None)
     return counts.select(order_of(F.col("ngram")).alias("order"), "ngram", "cnt").unionByName(size.select(F.lit(0).alias("order"), F.lit("").alias("ngram"), "cnt"))
 
 
+@dataclass(frozen=True)
+class OwnCounts:
+    """texts(text_id, w, c1..): a row a text that has words, its words and for each order
+    the corpus's counts of its own n-grams, that of the k-th word's first; corpus is
+    order 0."""
+
+    texts: DataFrame
+    top: int
+    corpus: int
+
+
+def own_counts(passages: DataFrame, top: int) -> OwnCounts:
+    """T11 of a corpus whose own n-grams are looked up (text_id tells its texts apart).
+
+    Every n-gram has been counted, so one that isn't among those met twice was met once:
+    only the others are kept and looked up, frequent ones by a broadcast and the rest by a
+    shuffle of their places. Counts go back to whole texts, and lie there in the order of
+    the words."""
+    counts = written(ngram_counts(passages, top).where("cnt > 1 or order = 0"), "counts")
+    corpus = counts.where("order = 0").first()["cnt"]
+    known, frequent = counts.where("order > 0").select("ngram", "cnt"), F.col("cnt") > corpus * top // HEAD
+    parts = max(int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")), corpus // TASK_WORDS)
+    whole = by_text(passages.select("text_id", "text"), parts)
+    met = ngrams(whole, top).join(F.broadcast(known.where(frequent)), "ngram", "left")
+    found = met.where("cnt IS NULL").drop("cnt").join(known.where(~frequent), "ngram").select("text_id", "order", "word_id", "cnt")
+    in_text = lambda rows: rows.groupBy("text_id").agg(F.collect_list(F.struct("order", "word_id", "cnt")).alias("counts"))
+    every = in_text(met.withColumn("cnt", F.coalesce("cnt", F.lit(1).cast("long"))))
+    rest = in_text(by_text(found, parts)).withColumnRenamed("counts", "rest")
+    both = every.join(rest, "text_id", "left").select("text_id", F.sort_array(F.concat("counts", F.coalesce("rest", F.array()))).alias("counts"))
+    same = lambda x, y: x["order"].eqNullSafe(y["order"]) & x["word_id"].eqNullSafe(y["word_id"])
+    last = both.select("text_id", F.filter("counts", lambda x, k: ~same(x, F.get("counts", k + 1))).alias("counts"))  # the rest's follows the 1 of its place
+    of = lambda o: F.transform(F.filter("counts", lambda x: x["order"] == o), lambda x: x["cnt"]).alias(f"c{o}")
+    texts = whole.select("text_id", word_array(F.col("text")).alias("w")).join(last, "text_id").select("text_id", "w", *[of(o) for o in range(1, top + 1)])
+    return OwnCounts(written(texts, "texts"), top, corpus)
+
+
+def own_surprisal(place: Column, counts: OwnCounts) -> list[Column]:
+    """T12 of the word at a place of own_counts' texts, at each context length from 0: all
+    n-grams have counts, so nothing is backed off; the start of a text shortens the
+    history."""
+    count = lambda o, at: F.log(F.get(f"c{o}", at))
+    scores = [-(count(1, place) - F.log(F.lit(float(counts.corpus))))]
+    for o in range(2, counts.top + 1):
+        first = place - (o - 1)  # where the n-gram begins, and its history too
+        scores.append(F.when(first < 0, scores[-1]).otherwise(-(count(o, first) - count(o - 1, first))))
+    return scores
+
+
 def spelled(grams: GramCounts) -> DataFrame:
     """(order, ngram, cnt); words that the corpus lacks are left out."""
     words, out = grams.words, grams.counts

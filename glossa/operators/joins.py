@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.words import byte_alphabet
@@ -116,6 +116,18 @@ def add_lags(rows: DataFrame, columns: list[str], partition: str = "text_id", or
     return rows.select(*rows.columns, *lags)
 
 
+def handed_out(texts: DataFrame, words: Column, size: Column, columns: list[str], most: int = 3, text_id: str = "text_id") -> DataFrame:
+    """W1 where a text is a row: words is an array of its size of structs, given back as a
+    row a word (text_id, word_id, fields...) with prev_, prev2_, prev3_ of columns. A lag
+    is an earlier place of the text's own array, so no row is shuffled or sorted."""
+    arrays = texts.where(size > 0).select(text_id, size.alias("_n"), words.alias("_words"))
+    fields = arrays.schema["_words"].dataType.elementType.names
+    placed = arrays.select(text_id, "_words", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("word_id"))
+    at = lambda c, k: F.get("_words", F.col("word_id") - k)[c]
+    lags = [at(c, k).alias(f"prev{k if k > 1 else ''}_{c}") for c in columns for k in range(1, most + 1)]
+    return placed.select(text_id, "word_id", *[at(c, 0).alias(c) for c in fields], *lags)
+
+
 def swap_model(canonical: DataFrame, replacement: DataFrame, columns: list[str]) -> DataFrame:
     """Columns of canonical replaced by key from another model, their lags
     rebuilt, the column order kept."""

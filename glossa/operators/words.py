@@ -19,10 +19,10 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
-def by_text(rows: DataFrame) -> DataFrame:
+def by_text(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows dealt by text. Passages that are dealt while they are whole are shuffled once:
     windows and joins by text over their words find these where they belong."""
-    return rows.repartition("text_id")
+    return rows.repartition(parts, "text_id") if parts else rows.repartition("text_id")
 
 
 def word_table(passages: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:

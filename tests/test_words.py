@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossa.operators import grams as g
+from glossa.operators import joins
 from glossa.operators import words as w
 
 
@@ -224,3 +225,31 @@ def test_texts_are_shuffled_once_and_whole(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == plan.count("REPARTITION_BY_COL") == 1
+
+
+@pytest.mark.parametrize("head, task", [(g.HEAD, g.TASK_WORDS), (4, 3)])
+def test_a_corpus_own_counts_and_surprisal(spark, monkeypatch, head, task):
+    """Counts of one aren't kept, frequent ones are broadcast (a small head leaves most to
+    the shuffle), and texts keep their words' order."""
+    monkeypatch.setattr(g, "HEAD", head)
+    monkeypatch.setattr(g, "TASK_WORDS", task)
+    texts = {0: "a rose is a rose is a rose", 2: "is a  rose\ta", 3: "", 4: None, 5: "daisy", 9: "a a a a"}
+    df = spark.createDataFrame(list(texts.items()), "text_id long, text string")
+    parts = {i: (t or "").split() for i, t in texts.items()}
+    seen = {}
+    for ws in parts.values():
+        for o in (1, 2, 3):
+            for at in range(len(ws) - o + 1):
+                seen[tuple(ws[at : at + o])] = seen.get(tuple(ws[at : at + o]), 0) + 1
+    counts = g.own_counts(df, 3)
+    own = lambda ws, o: [seen[tuple(ws[at : at + o])] for at in range(len(ws) - o + 1)]
+    assert {r["text_id"]: (r["w"], r["c1"], r["c2"], r["c3"]) for r in counts.texts.collect()} == {i: (ws, own(ws, 1), own(ws, 2), own(ws, 3)) for i, ws in parts.items() if ws}
+    assert counts.corpus == 17
+    scores = F.transform("w", lambda _, k: F.struct(*[s.alias(f"s{c}") for c, s in enumerate(g.own_surprisal(k, counts))]))
+    got = {(r["text_id"], r["word_id"]): r for r in joins.handed_out(counts.texts, scores, F.size("w"), ["s2"]).collect()}
+    want = {(r["text_id"], r["word_id"]): r for r in joins.add_lags(g.backoff_surprisal(df, g.count_grams(df, 3), [0, 2]), ["ngram_surprisal_context_2"]).collect()}
+    assert set(got) == set(want)
+    for key, r in got.items():
+        other = want[key]
+        for c in ("s0", "s2", "prev_s2", "prev2_s2", "prev3_s2"):
+            assert r[c] == pytest.approx(other[c.replace("s0", "ngram_surprisal_context_0").replace("s2", "ngram_surprisal_context_2")])
