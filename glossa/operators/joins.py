@@ -120,12 +120,13 @@ def handed_out(texts: DataFrame, words: Column, size: Column, columns: list[str]
     """W1 where a text is a row: words is an array of its size of structs, given back as a
     row a word (text_id, word_id, fields...) with prev_, prev2_, prev3_ of columns. A lag
     is an earlier place of the text's own array, so no row is shuffled or sorted."""
-    arrays = texts.where(size > 0).select(text_id, size.alias("_n"), words.alias("_words"))
+    # Made once a text, as a row of its own: inside the lambda it would be made once a word.
+    arrays = texts.where(size > 0).select(text_id, size.alias("_n"), F.explode(F.array(words)).alias("_words"))
     fields = arrays.schema["_words"].dataType.elementType.names
-    placed = arrays.select(text_id, "_words", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("word_id"))
-    at = lambda c, k: F.get("_words", F.col("word_id") - k)[c]
-    lags = [at(c, k).alias(f"prev{k if k > 1 else ''}_{c}") for c in columns for k in range(1, most + 1)]
-    return placed.select(text_id, "word_id", *[at(c, 0).alias(c) for c in fields], *lags)
+    near = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.struct(k.alias("word_id"), *[F.get("_words", k - back).alias(f"_{back}") for back in range(most + 1)]))
+    placed = arrays.select(text_id, F.inline_outer(near))  # a word's row holds its few places and not its text
+    lags = [F.col(f"_{k}")[c].alias(f"prev{k if k > 1 else ''}_{c}") for c in columns for k in range(1, most + 1)]
+    return placed.select(text_id, "word_id", *[F.col("_0")[c].alias(c) for c in fields], *lags)
 
 
 def swap_model(canonical: DataFrame, replacement: DataFrame, columns: list[str]) -> DataFrame:
