@@ -12,8 +12,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators.grams import ngram_counts
@@ -47,7 +48,7 @@ class Store:
 
     def missing(self, needed: DataFrame, name: str) -> DataFrame:
         """What is needed and in no commit."""
-        return needed.select(*self.keys).distinct().join(self.rows(name).select(*self.keys), self.keys, "left_anti")
+        return needed.select(*self.keys).distinct().join(self.rows(name).select(*self.keys).distinct(), self.keys, "left_anti")
 
     def commit(self, rows: DataFrame, name: str) -> int:
         """Write rows and then their line in the manifest; their number."""
@@ -85,16 +86,24 @@ def score_store(spark: SparkSession, home: str) -> Store:
     return Store(spark, home, "text_id long, word_id int, word string, value double", ["text_id"])
 
 
+def _marks(word_id: Column, word: Column) -> list[Column]:
+    """128 bits of a word and its place, in parts whose sums don't overflow."""
+    both = [F.xxhash64(F.lit(seed), word_id.cast("int"), word) for seed in (1, 2)]
+    return [part for h in both for part in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+
+
 def checked_scores(passages: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored rows as they are; rows that don't cover their passage's words exactly,
-    or aren't finite and 0 or above, stop the job."""
-    expected = word_table(passages).select("text_id", "word_id", F.col("word").alias("expected"))
-    own = expected.join(stored.select("text_id").distinct(), "text_id", "left_semi")
-    both = stored.withColumn("found", F.lit(True)).join(own, ["text_id", "word_id"], "full_outer")
-    fine = ~F.isnan("value") & (F.col("value") >= 0) & (F.col("value") < float("inf"))
-    sound = F.col("found").isNotNull() & F.col("word").eqNullSafe(F.col("expected")) & F.coalesce(fine, F.lit(False))
-    refused = F.raise_error(F.concat(F.lit("stored scores don't fit text "), F.col("text_id").cast("string")))
-    return both.where(F.when(sound, F.lit(True)).otherwise(refused.cast("boolean"))).drop("found", "expected")
+    or aren't finite and 0 or above, stop the job. Words are compared by a text's number of
+    them and the sums of their marks, so that a row a text is shuffled and no word."""
+    fine = F.coalesce(~F.isnan("value") & (F.col("value") >= 0) & (F.col("value") < float("inf")), F.lit(False))
+    held = stored.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~fine).alias("odd"), *[F.sum(m).alias(f"m{k}") for k, m in enumerate(_marks(F.col("word_id"), F.col("word")))])
+    said = word_table(passages).groupBy("text_id").agg(F.count(F.lit(1)).alias("n_said"), *[F.sum(m).alias(f"s{k}") for k, m in enumerate(_marks(F.col("word_id"), F.col("word")))])
+    same = reduce(lambda c, k: c & F.col(f"m{k}").eqNullSafe(F.col(f"s{k}")), range(4), F.col("n").eqNullSafe(F.col("n_said")) & (F.col("odd") == 0))
+    unfit = held.join(said, "text_id", "left").where(~same).select("text_id").first()
+    if unfit:
+        raise ValueError(f"stored scores don't fit text {unfit['text_id']}")
+    return stored
 
 
 def resume_scores(passages: DataFrame, store: Store, identity: str, compute: Callable[[DataFrame], DataFrame], batches: int = 1) -> DataFrame:
@@ -102,10 +111,10 @@ def resume_scores(passages: DataFrame, store: Store, identity: str, compute: Cal
     of this identity have is reused; the other passages are computed in batches, each
     committed when it is done, so that a job that stops goes on from its last batch."""
     before = store.commits(identity)
-    open_ = cut(store.missing(passages, identity).withColumn("batch", F.pmod(F.xxhash64("text_id"), F.lit(batches))))
-    left = passages.join(small_side(open_, open_.count()), "text_id")
+    open_ = cut(store.missing(passages, identity))
+    few, own = open_.count(), F.pmod(F.xxhash64("text_id"), F.lit(batches))
     for batch in range(batches):
-        part = left.where(F.col("batch") == batch).drop("batch")
+        part = passages.where(own == batch).join(small_side(open_.where(own == batch), few), "text_id")  # either side is dealt once, whatever the batches
         store.commit(compute(part).select("text_id", "word_id", "word", "value"), identity)
     all_rows = checked_scores(passages, store.rows(identity))
     return all_rows.select("text_id", "word_id", "word", "value", (F.col("number") <= before).alias("reused"))
