@@ -57,10 +57,11 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it."""
+    """Each row as often as the mix takes it; whole epochs over a source leave its empty
+    texts out too."""
     rows = numbered(docs)
     plan = mixing.mix(rows, table(spark, sf_dir, "labels"), keep=("row",)).select("row", (F.col("epochs") + F.col("more").cast("long")).alias("copies")).where("copies > 0")
-    repeated = rows.join(plan, "row")
+    repeated = rows.where("text <> ''").join(plan, "row")
     return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

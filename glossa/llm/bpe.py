@@ -199,4 +199,6 @@ def encode_texts(docs: DataFrame, *, doc_id="doc_id", text="text", vocabulary: s
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep_tokens
     coded = map_chunks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), encode, ddl)
-    return coded.withColumn("ids", F.split("ids", ",").cast("array<int>")) if keep_tokens else coded
+    # No ids are an empty string, whose split is one empty string and no number.
+    numbers = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>"))
+    return coded.withColumn("ids", numbers) if keep_tokens else coded

@@ -569,6 +569,18 @@ def test_pipeline_stages_on_odd_tables(spark, docs, empty):
         assert kept.count() > 0 and {"doc_id"} <= set(kept.columns), name
 
 
+def test_pipeline_ends_with_empty_texts_in_whole_epochs(spark):
+    """A source that is taken more than once has empty texts: they are in no mix, and have
+    no tokens where they are encoded."""
+    rows = [(k, prose(60, 300 + k), "s0") for k in range(6)] + [(6, "", "s0"), (7, None, "s0")] + [(8 + k, prose(90, 400 + k), "s2") for k in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    met = Counter(r["doc_id"] for r in mixed.collect())
+    assert max(met.values()) > 1 and set(range(6)) <= set(met) and not {6, 7} & set(met)
+    coded = {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in corpus_pipeline.encode(spark, docs, SF).collect()}
+    assert coded[6] == coded[7] == (0, []) and len(coded) == len(rows) and all(n == len(ids) for n, ids in coded.values())
+
+
 def test_operators_on_very_long_texts(spark, labels):
     rows = [(1, "word " * 200_000), (2, "w" * 1_000_000), (3, "é日" * 300_000), (4, " ".join(f"w{k}" for k in range(150_000)))]
     long = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
