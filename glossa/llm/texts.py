@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.session import ARROW, arrow_schema, to_batch  # noqa: F401 - the operators take them from here
+
 CHUNK_CHARS = 1_000_000
 
 
@@ -37,18 +39,6 @@ def give_back() -> None:
         trim(0)
 
 
-def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
-
-
-def arrow_schema(ddl: str) -> pa.Schema:
-    return pa.schema([(name, ARROW[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
-
-
 def map_chunks(df: DataFrame, work: Callable[[list[dict]], list[tuple]], ddl: str, done: Callable[[], None] | None = None) -> DataFrame:
     """df through work, which turns a chunk of rows into tuples of ddl's columns;
     done is called at the end of a partition."""

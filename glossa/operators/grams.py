@@ -13,19 +13,25 @@ shuffle, where no key has more than t rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.ranks import numbered
-from glossa.operators.words import by_text, ngrams, word_array
-from glossa.session import cut, small_side, written
+from glossa.operators.words import word_array, words_of
+from glossa.session import arrow_schema, cut, small_side, to_batch, written
 
 ABSENT, UNKNOWN, FIRST = 0, 1, 2
 HEAD = 200_000  # rows of a broadcast head
-TASK_WORDS = 500_000  # of whole texts that one task takes apart
+TASK_WORDS = 2_000_000  # of whole texts that one task takes apart
+BUCKET_GRAMS = 2_000_000  # distinct n-grams, those of each part counted, that one task adds up
+WORD_CHARS, CHUNK_CHARS, TEXT_ROWS = 6, 1_000_000, 256
+MIXED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 @dataclass(frozen=True)
@@ -186,28 +192,136 @@ class OwnCounts:
 
 
 def own_counts(passages: DataFrame, top: int) -> OwnCounts:
-    """T11 of a corpus whose own n-grams are looked up (text_id tells its texts apart).
-
-    Every n-gram has been counted, so one that isn't among those met twice was met once:
-    only the others are kept and looked up, frequent ones by a broadcast and the rest by a
-    shuffle of their places. Counts go back to whole texts, and lie there in the order of
-    the words."""
-    counts = written(ngram_counts(passages, top).where("cnt > 1 or order = 0"), "counts")
-    corpus = counts.where("order = 0").first()["cnt"]
-    known, frequent = counts.where("order > 0").select("ngram", "cnt"), F.col("cnt") > corpus * top // HEAD
-    parts = max(int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")), corpus // TASK_WORDS)
-    whole = by_text(passages.select("text_id", "text"), parts)
-    met = ngrams(whole, top).join(F.broadcast(known.where(frequent)), "ngram", "left")
-    found = met.where("cnt IS NULL").drop("cnt").join(known.where(~frequent), "ngram").select("text_id", "order", "word_id", "cnt")
-    in_text = lambda rows: rows.groupBy("text_id").agg(F.collect_list(F.struct("order", "word_id", "cnt")).alias("counts"))
-    every = in_text(met.withColumn("cnt", F.coalesce("cnt", F.lit(1).cast("long"))))
-    rest = in_text(by_text(found, parts)).withColumnRenamed("counts", "rest")
-    both = every.join(rest, "text_id", "left").select("text_id", F.sort_array(F.concat("counts", F.coalesce("rest", F.array()))).alias("counts"))
-    same = lambda x, y: x["order"].eqNullSafe(y["order"]) & x["word_id"].eqNullSafe(y["word_id"])
-    last = both.select("text_id", F.filter("counts", lambda x, k: ~same(x, F.get("counts", k + 1))).alias("counts"))  # the rest's follows the 1 of its place
-    of = lambda o: F.transform(F.filter("counts", lambda x: x["order"] == o), lambda x: x["cnt"]).alias(f"c{o}")
-    texts = whole.select("text_id", word_array(F.col("text")).alias("w")).join(last, "text_id").select("text_id", "w", *[of(o) for o in range(1, top + 1)])
-    return OwnCounts(written(texts, "texts"), top, corpus)
+    """T11 of a corpus whose own n-grams are looked up.
+
+    Texts are dealt whole into parts. A part sends each of its distinct n-grams once, with
+    its own count, as 96 bits of a digest in rising order; where an n-gram's parts meet,
+    the counts are added up, and the totals go back in the order in which the n-grams came,
+    without them. So a frequent n-gram is a row a part, whatever its count, and texts
+    are shuffled once."""
+    spark = passages.sparkSession
+    words = (passages.agg(F.sum(F.length("text"))).first()[0] or 0) // WORD_CHARS
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // TASK_WORDS)
+    bits = (words * top // BUCKET_GRAMS).bit_length()
+    whole = passages.where("text IS NOT NULL").select("text_id", "text", F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int").alias("part"))
+
+    def send(texts: pa.Table) -> pa.Table:
+        part, grams = texts.column("part")[0].as_py(), PartGrams(texts.column("text"), top)
+        ends = np.searchsorted(grams.keys >> np.uint64(64 - bits), np.arange(1 << bits), "right") if bits else [len(grams.keys)]
+        lines, at = [], 0
+        for bucket, end in enumerate(ends):
+            if end > at:
+                lines.append((part, bucket, planes(grams.keys[at:end]), grams.checks[at:end].tobytes(), narrow(grams.counts[at:end])))
+            at = end
+        return pa.Table.from_batches([to_batch(lines, sent)])
+
+    def add_up(lines: pa.Table) -> pa.Table:
+        rows = lines.to_pylist()
+        sizes = [len(r["keys"]) // 8 for r in rows]
+        keys = np.concatenate([level(r["keys"], n) for r, n in zip(rows, sizes, strict=True)])
+        checks = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in rows])
+        order, first = ranked(keys, checks)
+        held = np.concatenate([widened(r["counts"], n) for r, n in zip(rows, sizes, strict=True)])[order]
+        totals = np.empty(len(keys), np.int64)
+        totals[order] = np.add.reduceat(held, np.flatnonzero(first))[np.cumsum(first) - 1]
+        back = np.split(totals, np.cumsum(sizes)[:-1])
+        return pa.Table.from_batches([to_batch([(r["part"], r["bucket"], len(x), narrow(x)) for r, x in zip(rows, back, strict=True)], returned)])
+
+    def take(texts: pa.Table, lines: pa.Table) -> pa.Table:
+        grams = PartGrams(texts.column("text"), top)
+        totals = [widened(r["totals"], r["n"]) for r in sorted(lines.to_pylist(), key=lambda r: r["bucket"])]
+        counts = grams.spread(np.concatenate(totals) if totals else np.zeros(0, np.int64))
+        spoken = grams.sizes > 0
+        offsets = lambda o: pa.array(np.concatenate([[0], np.cumsum(np.maximum(grams.sizes[spoken] - (o - 1), 0))]), pa.int32())
+        columns = [texts.column("text_id").combine_chunks().filter(pa.array(spoken)), pa.ListArray.from_arrays(offsets(1), grams.spoken)]
+        columns += [pa.ListArray.from_arrays(offsets(o), pa.array(c)) for o, c in enumerate(counts, 1)]
+        whole = pa.table(columns, names=["text_id", "w", *[f"c{o}" for o in range(1, top + 1)]])
+        return pa.Table.from_batches(whole.to_batches(max_chunksize=TEXT_ROWS), whole.schema)
+
+    lined, given = "part int, bucket int, keys binary, checks binary, counts binary", "part int, bucket int, n long, totals binary"
+    sent, returned = arrow_schema(lined), arrow_schema(given)
+    totals = whole.groupBy("part").applyInArrow(send, lined).groupBy("bucket").applyInArrow(add_up, given)
+    ddl = f"text_id {passages.schema['text_id'].dataType.simpleString()}, w array<string>" + "".join(f", c{o} array<long>" for o in range(1, top + 1))
+    texts = written(whole.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(take, ddl), "texts", "zstd")
+    return OwnCounts(texts, top, texts.agg(F.coalesce(F.sum(F.size("c1")), F.lit(0)).cast("long")).first()[0])
+
+
+class PartGrams:
+    """The distinct n-grams of a part's texts up to an order: keys and checks (together 96
+    bits of a digest, which tell n-grams apart) in rising order, and counts; spoken are
+    all its words, sizes how many a text has."""
+
+    def __init__(self, texts: pa.ChunkedArray, top: int):
+        chunks, sizes, held, chars = [], [], [], 0
+        for text in (x.as_py() for x in texts):
+            said = words_of(text)
+            sizes.append(len(said))
+            held += said
+            if (chars := chars + len(text)) > CHUNK_CHARS:
+                chunks.append(pa.array(held, pa.string()))
+                held, chars = [], 0
+        self.spoken = pa.concat_arrays([*chunks, pa.array(held, pa.string())])
+        self.sizes = np.array(sizes, np.int64)
+        coded = self.spoken.dictionary_encode()
+        word, size = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
+        digests = np.frombuffer(b"".join([hashlib.blake2b(w.encode(), digest_size=16).digest() for w in coded.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)
+        ends = np.repeat(np.cumsum(self.sizes), self.sizes)  # where a place's text ends
+        place, known = np.arange(len(word)), digests
+        self.numbers = [word]
+        found = [(digests, np.bincount(word, minlength=len(digests)))]
+        for o in range(2, top + 1):
+            place = place[place + o <= ends[place]]
+            longer = np.zeros(len(word), np.int64)
+            pairs, longer[place], n = np.unique(self.numbers[-1][place] * size + word[place + o - 1], return_inverse=True, return_counts=True)
+            known = known[pairs // size] * MIXED[0] + digests[pairs % size] * MIXED[1] + np.uint64(o)
+            self.numbers.append(longer)
+            found.append((known, n))
+        both = np.concatenate([d for d, _ in found])
+        keys, checks = both[:, 0], (both[:, 1] >> np.uint64(32)).astype(np.uint32)
+        self.order, _ = ranked(keys, checks)
+        self.keys, self.checks, self.counts = keys[self.order], checks[self.order], np.concatenate([n for _, n in found])[self.order]
+        self.kinds = [len(n) for _, n in found]
+
+    def spread(self, totals: np.ndarray) -> list[np.ndarray]:
+        """For each order the totals, given in the order of keys, of every n-gram spoken."""
+        by_kind, out = np.empty(len(self.order), np.int64), []
+        by_kind[self.order] = totals
+        ends = np.repeat(np.cumsum(self.sizes), self.sizes)
+        for o, (number, known) in enumerate(zip(self.numbers, np.split(by_kind, np.cumsum(self.kinds)[:-1]), strict=True), 1):
+            out.append(known[number[np.arange(len(number)) + o <= ends]])
+        return out
+
+
+def ranked(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the order of keys and then checks, and which of these begin a new one."""
+    order = np.argsort(keys, kind="stable")
+    k, c = keys[order], checks[order]
+    if ((k[1:] == k[:-1]) & (c[1:] < c[:-1])).any():
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
+    first = np.ones(len(k), bool)
+    first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    return order, first
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: of numbers that rise or are small most
+    bytes are the same as their neighbours, which the shuffle's compression takes away."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def level(line: bytes, n: int) -> np.ndarray:
+    """The n numbers of planes."""
+    return np.ascontiguousarray(np.frombuffer(line, np.uint8).reshape(-1, n).T).view(f"u{len(line) // n}").ravel()
+
+
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts by planes, in as few bytes each as the greatest needs."""
+    return planes(counts.astype(np.min_scalar_type(counts.max())))
+
+
+def widened(line: bytes, n: int) -> np.ndarray:
+    return level(line, n).astype(np.int64)
 
 
 def own_surprisal(place: Column, counts: OwnCounts) -> list[Column]:
@@ -222,6 +336,17 @@ def own_surprisal(place: Column, counts: OwnCounts) -> list[Column]:
     return scores
 
 
+def own_surprisals(texts: pa.RecordBatch, place: np.ndarray, corpus: int) -> list[np.ndarray]:
+    """own_surprisal of every word of a batch of own_counts' texts, given its place there, at
+    context lengths 0 and 1."""
+    c1 = np.log(texts.column("c1").flatten().to_numpy())
+    scores = np.log(float(corpus)) - c1
+    after = scores.copy()
+    later = np.flatnonzero(place > 0)
+    after[later] = c1[later - 1] - np.log(texts.column("c2").flatten().to_numpy())
+    return [scores, after]
+
+
 def spelled(grams: GramCounts) -> DataFrame:
     """(order, ngram, cnt); words that the corpus lacks are left out."""
     words, out = grams.words, grams.counts

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.words import byte_alphabet
 
 KEY = ["text_id", "word_id"]
+SLICE_WORDS, TEXTS = 50_000, 256  # words and texts that a task holds at once
 FAMILIES = r"^(ngram_surprisal_context|context_limited_surprisal_context|internal_layer_surprisal_layer)_(\d+)$"
 
 
@@ -129,6 +134,69 @@ def handed_out(texts: DataFrame, words: Column, size: Column, columns: list[str]
     return placed.select(text_id, "word_id", *[F.col("_0")[c].alias(c) for c in fields], *lags)
 
 
+def read_out(texts: DataFrame, fields: str, read: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: list[str], most: int, seed: str) -> DataFrame:
+    """W1 as handed_out's, for the words that have all their lags, with read in Arrow tasks:
+    from a batch of texts (text_id, w, ...), the row of each of its words and the word's
+    place, read makes a value a word for each of fields. digest is that of the seed and the
+    key, as assign_folds has it."""
+    lags = [(f"prev{k if k > 1 else ''}_{c}", c, k) for c in columns for k in range(1, most + 1)]
+    kinds = dict(f.split() for f in fields.split(", "))
+    names = [*kinds, *[n for n, _, _ in lags]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            row, place = placed(batch)
+            values = read(batch, row, place)
+            at = np.flatnonzero(place >= most)
+            digests = pa.array(key_digests(seed, batch.column("text_id").to_pylist(), batch.column("w").value_lengths().to_numpy(), most))
+            out = [batch.column("text_id").take(pa.array(row[at])), pa.array(place[at].astype(np.int32)), digests]
+            out += [pa.array(values[c][at]) for c in kinds] + [pa.array(values[c][at - k]) for _, c, k in lags]
+            yield pa.RecordBatch.from_arrays(out, names=["text_id", "word_id", "digest", *names])
+
+    typed = ", ".join([fields, *[f"{n} {kinds[c]}" for n, c, _ in lags]])
+    return texts.mapInArrow(run, f"text_id {texts.schema['text_id'].dataType.simpleString()}, word_id int, digest string, {typed}")
+
+
+def word_digests(texts: DataFrame, most: int, seed: str) -> tuple[DataFrame, int]:
+    """(digest) of read_out's rows, without their other columns, and how many there are."""
+    sizes = texts.select("text_id", F.size("w").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS):
+                ids, n = (c.slice(start, TEXTS) for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array(key_digests(seed, ids.to_pylist(), n.to_numpy(), most), pa.string())], names=["digest"])
+
+    return sizes.mapInArrow(run, "digest string"), sizes.agg(F.coalesce(F.sum(F.greatest(F.col("n") - most, F.lit(0))), F.lit(0))).first()[0]
+
+
+def key_digests(seed: str, text_ids: list, sizes: np.ndarray, first: int) -> list[str]:
+    """md5 of seed|text_id|word_id for the places of each text from the first on."""
+    out, numbers = [], [str(k).encode() for k in range(max(sizes, default=0))]
+    for text_id, n in zip(text_ids, sizes.tolist(), strict=True):
+        head = "".join(f"{x}|" for x in (seed, text_id) if x is not None).encode()
+        out += [hashlib.md5(head + k).hexdigest() for k in numbers[first:n]]
+    return out
+
+
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' texts (w has their words) in slices of some SLICE_WORDS words."""
+    for batch in batches:
+        ends, start = np.cumsum(batch.column("w").value_lengths().to_numpy()), 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + SLICE_WORDS, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def placed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The row of every word of a batch's texts, and its place in the text."""
+    sizes = batch.column("w").value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def swap_model(canonical: DataFrame, replacement: DataFrame, columns: list[str]) -> DataFrame:
     """Columns of canonical replaced by key from another model, their lags
     rebuilt, the column order kept."""

@@ -131,21 +131,20 @@ def digest_at(rows: DataFrame, ranks: list[int]) -> dict[int, tuple[str, int, in
     return found
 
 
-def assign_folds(rows: DataFrame, keys: list[str], folds: int, seed: str, keys_only: bool = False) -> DataFrame:
+def assign_folds(rows: DataFrame, keys: list[str], folds: int, seed: str, digests: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Ranks by a seeded digest, cut into folds of even width as R's cut does.
 
-    The rows are written once, or only their keys, for wide rows that come from a written
-    table by no shuffle and are made again when they are read. A fold ends at a digest,
-    which counts of digests find, so the rows themselves are neither sorted nor shuffled;
-    only rows that share the digest where a fold ends (their keys are equal) are numbered.
+    The rows are written once, but for wide rows that come from a written table by no
+    shuffle and are made again when they are read: these bring their digest, and digests
+    are the column alone and its length. A fold ends at a digest, which counts of
+    digests find, so the rows themselves are neither sorted nor shuffled; only rows that
+    share the digest where a fold ends (their keys are equal) are numbered.
     """
-    digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
-    marked = written(rows.select(*keys) if keys_only else rows, "folds").withColumn("digest", digest)
-    n = marked.count()
+    marked = rows if digests else written(rows, "folds").withColumn("digest", F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys])))
+    alone, n = digests or (marked.select("digest"), marked.count())
     last = {f: f * (n - 1) // folds + 1 for f in range(1, folds)} if n else {}  # the last rank of each fold
-    ends = digest_at(marked.select("digest"), sorted(set(last.values())))
+    ends = digest_at(alone, sorted(set(last.values())))
     bounds = [(f, *ends[rank], rank) for f, rank in last.items()]
-    marked = rows.withColumn("digest", digest) if keys_only else marked
     fold = reduce(lambda c, b: c + (F.col("digest") > b[1]).cast("int"), bounds, F.lit(1))
     shared = {d: (below, rank) for f, d, below, equal, rank in bounds if below + equal > rank}
     if not shared:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pyarrow as pa
@@ -21,6 +22,16 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
 
 
+#: What the pattern WHITE leaves, and the signs that split() takes for white besides.
+WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+NOT_WHITE = "\x1c\x1d\x1e\x1f"
+
+
+def words_of(text: str) -> list[str]:
+    """word_array of a string inside a task."""
+    return WORD.findall(text) if any(c in text for c in NOT_WHITE) else text.split()
+
+
 def by_text(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows dealt by text. Passages that are dealt while they are whole are shuffled once:
     windows and joins by text over their words find these where they belong."""
