@@ -191,6 +191,12 @@ class OwnCounts:
     corpus: int
 
 
+def text_parts(passages: DataFrame) -> tuple[int, int]:
+    """About how many words there are, and the parts in which a task takes whole texts."""
+    words = (passages.agg(F.sum(F.length("text"))).first()[0] or 0) // WORD_CHARS
+    return words, max(int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // TASK_WORDS)
+
+
 def own_counts(passages: DataFrame, top: int) -> OwnCounts:
     """T11 of a corpus whose own n-grams are looked up.
 
@@ -199,9 +205,7 @@ def own_counts(passages: DataFrame, top: int) -> OwnCounts:
     the counts are added up, and the totals go back in the order in which the n-grams came,
     without them. So a frequent n-gram is a row a part, whatever its count, and texts
     are shuffled once."""
-    spark = passages.sparkSession
-    words = (passages.agg(F.sum(F.length("text"))).first()[0] or 0) // WORD_CHARS
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // TASK_WORDS)
+    words, parts = text_parts(passages)
     bits = (words * top // BUCKET_GRAMS).bit_length()
     whole = passages.where("text IS NOT NULL").select("text_id", "text", F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int").alias("part"))
 

@@ -190,9 +190,9 @@ def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
-def placed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def placed(batch: pa.RecordBatch, words: str = "w") -> tuple[np.ndarray, np.ndarray]:
     """The row of every word of a batch's texts, and its place in the text."""
-    sizes = batch.column("w").value_lengths().to_numpy()
+    sizes = batch.column(words).value_lengths().to_numpy()
     row = np.repeat(np.arange(len(sizes)), sizes)
     return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
@@ -206,6 +206,38 @@ def swap_model(canonical: DataFrame, replacement: DataFrame, columns: list[str])
     return add_lags(fresh, lagged).select(*canonical.columns)
 
 
+def swap_in_texts(canonical: DataFrame, replacement: DataFrame, columns: list[str], most: int = 3) -> DataFrame:
+    """J7 where a text is a row: text_id, word_id (an array of rising places) and w, an array
+    of structs, a value a field. As swap_model of both tables' words, canonical with lags of
+    all its fields: texts meet by one key and words inside their text, so no row a word is
+    shuffled or sorted."""
+    kinds = {f.name: f.dataType.simpleString() for f in canonical.schema["w"].dataType.elementType.fields}
+    met = canonical.select("text_id", "word_id", "w").join(replacement.select("text_id", F.col("word_id").alias("_at"), F.col("w").alias("_new")), "text_id")
+    lags = [(f"prev{k if k > 1 else ''}_{c}", c, k) for c in kinds for k in range(1, most + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            (row, place), (other, _) = placed(batch), placed(batch, "_new")
+            ids, theirs = batch.column("word_id").flatten().to_numpy(), batch.column("_at").flatten().to_numpy()
+            # A word's key: its text's row, and its number in it.
+            wide = max(ids.max(initial=0), theirs.max(initial=0)) + 1
+            own, asked = row * wide + ids, other * wide + theirs
+            order = np.argsort(asked, kind="stable")
+            first, last = (np.searchsorted(asked[order], own, side) for side in ("left", "right"))
+            at = np.repeat(np.arange(len(own)), last - first)
+            new = order[np.arange(len(at)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[at]]
+            values, fresh = (dict(zip((f.name for f in c.type.value_type), c.flatten().flatten(), strict=True)) for c in (batch.column("w"), batch.column("_new")))
+            nth = np.arange(len(at)) - np.searchsorted(row[at], row[at], "left")
+            out = [batch.column("text_id").take(pa.array(row[at])), pa.array(ids[at])]
+            lag = lambda c, k: fresh[c].take(pa.array(np.roll(new, k), mask=nth < k)) if c in columns else values[c].take(pa.array(at - k, mask=place[at] < k))  # noqa: B023, E731
+            out += [lag(c, 0) for c in kinds] + [lag(c, k) for _, c, k in lags]
+            yield pa.RecordBatch.from_arrays(out, names=["text_id", "word_id", *kinds, *[n for n, _, _ in lags]])
+
+    of = lambda name: canonical.schema[name].dataType
+    typed = "".join(f", {n} {kinds[c]}" for n, c in [*((c, c) for c in kinds), *((n, c) for n, c, _ in lags)])
+    return met.mapInArrow(run, f"text_id {of('text_id').simpleString()}, word_id {of('word_id').elementType.simpleString()}{typed}")
+
+
 def anchor_report(left: DataFrame, right: DataFrame, value: str, keys: list[str] = KEY) -> DataFrame:
     """Greatest, mean and nearest-rank p99 of absolute differences by key."""
     gap = left.join(right.select(*keys, F.col(value).alias("other")), keys).select(F.abs(F.col(value) - F.col("other")).alias("gap"))
