@@ -148,7 +148,7 @@ def read_out(texts: DataFrame, fields: str, read: Callable[[pa.RecordBatch, np.n
             row, place = placed(batch)
             values = read(batch, row, place)
             at = np.flatnonzero(place >= most)
-            digests = pa.array(key_digests(seed, batch.column("text_id").to_pylist(), batch.column("w").value_lengths().to_numpy(), most))
+            digests = spelled_digests(key_digests(seed, batch.column("text_id").to_pylist(), batch.column("w").value_lengths().to_numpy(), most))
             out = [batch.column("text_id").take(pa.array(row[at])), pa.array(place[at].astype(np.int32)), digests]
             out += [pa.array(values[c][at]) for c in kinds] + [pa.array(values[c][at - k]) for _, c, k in lags]
             yield pa.RecordBatch.from_arrays(out, names=["text_id", "word_id", "digest", *names])
@@ -157,28 +157,52 @@ def read_out(texts: DataFrame, fields: str, read: Callable[[pa.RecordBatch, np.n
     return texts.mapInArrow(run, f"text_id {texts.schema['text_id'].dataType.simpleString()}, word_id int, digest string, {typed}")
 
 
-def word_digests(texts: DataFrame, most: int, seed: str) -> tuple[DataFrame, int]:
-    """(digest) of read_out's rows, without their other columns, and how many there are."""
+def word_digests(texts: DataFrame, most: int, seed: str) -> tuple[DataFrame, int, Callable[[list[int]], DataFrame]]:
+    """(digest) of read_out's rows, without their other columns; how many there are; and a
+    function of rising edges that takes the digests' first 64 bits apart in one pass: (place, n,
+    digest), n of the place (how many edges are at or below) or one digest of an odd place."""
     sizes = texts.select("text_id", F.size("w").alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
                 ids, n = (c.slice(start, TEXTS) for c in batch.columns)
-                yield pa.RecordBatch.from_arrays([pa.array(key_digests(seed, ids.to_pylist(), n.to_numpy(), most), pa.string())], names=["digest"])
+                yield key_digests(seed, ids.to_pylist(), n.to_numpy(), most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for digests in parts(batches):
+            yield pa.RecordBatch.from_arrays([spelled_digests(digests)], names=["digest"])
+
+    def near(edges: list[int]) -> DataFrame:
+        bounds = np.array(edges, np.uint64)
 
-    return sizes.mapInArrow(run, "digest string"), sizes.agg(F.coalesce(F.sum(F.greatest(F.col("n") - most, F.lit(0))), F.lit(0))).first()[0]
+        def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, schema = np.zeros(len(bounds) + 1, np.int64), pa.schema([("place", pa.int32()), ("n", pa.int64()), ("digest", pa.string())])
+            for digests in parts(batches):
+                place = np.searchsorted(bounds, np.frombuffer(b"".join(digests), ">u8")[::2], "right")
+                counts += np.bincount(place, minlength=len(counts))
+                odd = np.flatnonzero(place % 2)
+                yield pa.RecordBatch.from_arrays([pa.array(place[odd], pa.int32()), pa.nulls(len(odd), pa.int64()), spelled_digests([digests[k] for k in odd])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts)), pa.int32()), pa.array(counts), pa.nulls(len(counts), pa.string())], schema=schema)
 
+        return sizes.mapInArrow(take_apart, "place int, n long, digest string")
 
-def key_digests(seed: str, text_ids: list, sizes: np.ndarray, first: int) -> list[str]:
+    return sizes.mapInArrow(run, "digest string"), sizes.agg(F.coalesce(F.sum(F.greatest(F.col("n") - most, F.lit(0))), F.lit(0))).first()[0], near
+
+
+def key_digests(seed: str, text_ids: list, sizes: np.ndarray, first: int) -> list[bytes]:
     """md5 of seed|text_id|word_id for the places of each text from the first on."""
     out, numbers = [], [str(k).encode() for k in range(max(sizes, default=0))]
     for text_id, n in zip(text_ids, sizes.tolist(), strict=True):
         head = "".join(f"{x}|" for x in (seed, text_id) if x is not None).encode()
-        out += [hashlib.md5(head + k).hexdigest() for k in numbers[first:n]]
+        out += [hashlib.md5(head + k).digest() for k in numbers[first:n]]
     return out
 
 
+def spelled_digests(digests: list[bytes]) -> pa.Array:
+    return pa.array([d.hex() for d in digests], pa.string())
+
+
 def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches' texts (w has their words) in slices of some SLICE_WORDS words."""
     for batch in batches:

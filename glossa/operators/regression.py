@@ -10,7 +10,7 @@ are solved from a few numbers a fold and the data are read once.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,6 +24,7 @@ from glossa.session import cut, small_side, written
 
 NARROW = 24
 FEW_DIGESTS = 10_000  # that are read to find the one at a rank
+MANY_DIGESTS, SPREAD = 1_000_000, 4.0  # from here on in one pass; half a root of n is the most a rank's deviation can be
 LANES = 16  # groups that a fold's triangles are reduced in before they are one
 RANK_TOLERANCE = 1e-10  # of the largest singular value, columns scaled
 WAVES = ("", "prev_", "prev2_", "prev3_")
@@ -131,19 +132,40 @@ def digest_at(rows: DataFrame, ranks: list[int]) -> dict[int, tuple[str, int, in
     return found
 
 
-def assign_folds(rows: DataFrame, keys: list[str], folds: int, seed: str, digests: tuple[DataFrame, int] | None = None) -> DataFrame:
+def digest_near(near: Callable[[list[int]], DataFrame], n: int, ranks: list[int]) -> dict[int, tuple[str, int, int]] | None:
+    """digest_at of n digests by one pass over them: a digest's rank is known to some square
+    roots of n before, so those about each rank are written and the others only counted. None
+    where one lies outside after all, or the ranks are too near each other."""
+    half = math.ceil(SPREAD * math.sqrt(n)) * 2**64 // n
+    edges = [min(max(0, r * 2**64 // n + side), 2**64 - 1) for r in ranks for side in (-half, half)]
+    if any(b <= a for a, b in zip(edges, edges[1:], strict=False)):
+        return None
+    found = written(near(edges), "digests")
+    counts = dict(found.where("n IS NOT NULL").groupBy("place").agg(F.sum("n")).collect())
+    before, shift = {}, {}  # of each rank the digests below its place, and how many of these aren't written
+    for k, r in enumerate(ranks):
+        before[r] = sum(counts.get(p, 0) for p in range(2 * k + 1))
+        shift[r] = sum(counts.get(p, 0) for p in range(0, 2 * k + 1, 2))
+        if not before[r] < r <= before[r] + counts.get(2 * k + 1, 0):
+            return None
+    at = digest_at(found.where("digest IS NOT NULL").select("digest"), [r - shift[r] for r in ranks])
+    return {r: (digest, below + shift[r], equal) for r in ranks for digest, below, equal in [at[r - shift[r]]]}
+
+
+def assign_folds(rows: DataFrame, keys: list[str], folds: int, seed: str, digests: tuple[DataFrame, int, Callable[[list[int]], DataFrame]] | None = None) -> DataFrame:
     """Ranks by a seeded digest, cut into folds of even width as R's cut does.
 
     The rows are written once, but for wide rows that come from a written table by no
     shuffle and are made again when they are read: these bring their digest, and digests
-    are the column alone and its length. A fold ends at a digest, which counts of
+    are the column alone, its length, and what takes it apart by edges. A fold ends at a digest, which counts of
     digests find, so the rows themselves are neither sorted nor shuffled; only rows that
     share the digest where a fold ends (their keys are equal) are numbered.
     """
     marked = rows if digests else written(rows, "folds").withColumn("digest", F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys])))
-    alone, n = digests or (marked.select("digest"), marked.count())
+    alone, n, near = digests or (marked.select("digest"), marked.count(), None)
     last = {f: f * (n - 1) // folds + 1 for f in range(1, folds)} if n else {}  # the last rank of each fold
-    ends = digest_at(alone, sorted(set(last.values())))
+    ranks = sorted(set(last.values()))
+    ends = near and n > MANY_DIGESTS and digest_near(near, n, ranks) or digest_at(alone, ranks)
     bounds = [(f, *ends[rank], rank) for f, rank in last.items()]
     fold = reduce(lambda c, b: c + (F.col("digest") > b[1]).cast("int"), bounds, F.lit(1))
     shared = {d: (below, rank) for f, d, below, equal, rank in bounds if below + equal > rank}
